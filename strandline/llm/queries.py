@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import mixing, sstable
+from pyspark.sql import functions as F
+
+from strandline.llm import arc, edit_embedding, gif, mixing, simhash, sstable
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,13 +25,30 @@ def op1_sorted_string_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.token_shards(_documents(spark, sf_dir), vocabulary_path())
 
 
+def op2_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gif.text_media(_documents(spark, sf_dir))
+
+
+def op3_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return arc.page_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op4_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_embedding.embed_neighbours(_documents(spark, sf_dir))
+
+
+def op5_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(_documents(spark, sf_dir))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op9_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.pareto_mix(_documents(spark, sf_dir).select("doc_id", "text", "source"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sorted_string_tables, op9_pareto_mix)}
+    return {f.__name__: f for f in (op1_sorted_string_tables, op2_gif_media, op3_arc_to_warc, op4_edit_embedding, op5_simhash_anchors, op9_pareto_mix)}
 
 
 def oracle_sql() -> dict[str, str]:

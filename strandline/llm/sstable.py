@@ -274,11 +274,13 @@ def write_shards(docs: DataFrame, vocabulary: str, path: str, key: str = "doc_id
                 if writer.keys and writer.size() >= SHARD_BYTES:
                     yield pd.DataFrame({"value": [writer.finish(order + made)]})
                     writer, made = ShardWriter(), made + 1
-                writer.add(encode_key(None if pd.isna(k) else int(k)), pack_ids(np.append(ids, np.uint32(END_ID))), len(ids) + 1)
+                writer.add(encode_key(None if k is None else int(k)), pack_ids(np.append(ids, np.uint32(END_ID))), len(ids) + 1)
         if writer.keys:
             yield pd.DataFrame({"value": [writer.finish(order + made)]})
 
     ordered = rows.repartitionByRange(parts, F.col("k").asc_nulls_first()).sortWithinPartitions(F.col("k").asc_nulls_first(), "t")
+    # keys go as text: a batch with a null would make them floating-point numbers
+    ordered = ordered.withColumn("k", F.col("k").cast("string"))
     files = ordered.mapInPandas(shards, "value binary").select(F.col("value").cast("string").alias("value"))
     files.write.option("maxRecordsPerFile", 1).option("lineSep", "\n").text(path)
 
