@@ -83,3 +83,15 @@ def ordered_buckets(df: DataFrame, key: str, buckets: int, knots: int = 64) -> C
 def input_bytes(df: DataFrame, column: str) -> int:
     """UTF-8 bytes of a string column over all rows."""
     return int(df.select(F.sum(F.octet_length(F.coalesce(F.col(column), F.lit(""))))).first()[0] or 0)
+
+
+#: Tables up to this many bytes may be broadcast; beyond it a join shuffles both sides.
+BROADCAST_BYTES = 48 * 1024 * 1024
+
+
+def small(table: DataFrame, row_bytes: int) -> DataFrame:
+    """``table`` marked for broadcast if its counted rows of ``row_bytes`` stay within ``BROADCAST_BYTES``; else as it is.
+
+    ``table`` should be written already, as its rows are counted.
+    """
+    return F.broadcast(table) if table.count() * row_bytes <= BROADCAST_BYTES else table

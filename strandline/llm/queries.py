@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from strandline.llm import arc, edit_embedding, gif, mixing, simhash, sstable
+from strandline.llm import arc, edit_embedding, gif, line_dedup, mixing, simhash, sstable, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,13 +42,22 @@ def op5_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_factorization_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op9_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.pareto_mix(_documents(spark, sf_dir).select("doc_id", "text", "source"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op10_line_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(_documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "kept_lines", "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sorted_string_tables, op2_gif_media, op3_arc_to_warc, op4_edit_embedding, op5_simhash_anchors, op9_pareto_mix)}
+    return {f.__name__: f for f in (op1_sorted_string_tables, op2_gif_media, op3_arc_to_warc, op4_edit_embedding, op5_simhash_anchors, op8_factorization_machine, op9_pareto_mix, op10_line_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
