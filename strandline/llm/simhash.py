@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import WORD, materialise, whole_text
+from strandline.llm.common import WORD, materialise, small, whole_text
 from strandline.llm.components import components
 
 SHINGLE = 3
@@ -203,9 +203,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without near-duplicates of one with a lesser key; columns as they were.
 
-    Of repeated rows with one key, one stays. Documents without a key stay where they stand alone.
+    Of repeated rows with one key, one stays; only such rows are grouped, the others' texts stay where
+    they are. Rows without a key stay if one of them stands alone.
     """
-    classes = near_duplicates(docs, key, text).select(F.col(key).alias("_k"), "component_id").distinct()
-    keepers = classes.where("_k <=> component_id").select("_k")
-    kept = docs.join(keepers, docs[key].eqNullSafe(F.col("_k"))).drop("_k")
-    return kept.dropDuplicates([key])
+    classes = near_duplicates(docs, key, text).select(F.col(key).alias("_k"), "component_id")
+    classes = materialise(classes.groupBy("_k").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n")), "simhash-classes")
+    same = docs[key].eqNullSafe(F.col("_k"))
+    keepers = materialise(classes.where("_k <=> component_id").select("_k", "n"), "simhash-keepers")
+    once = docs.join(small(keepers.where("n = 1").select("_k"), 24), same, "left_semi")
+    again = keepers.where("n > 1").select("_k")
+    if again.isEmpty():
+        return once
+    return once.unionByName(docs.join(small(again, 24), same, "left_semi").dropDuplicates([key]))
