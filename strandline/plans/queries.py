@@ -1,0 +1,477 @@
+"""The queries of the series operators, and the SQL that gives the same rows."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from strandline.operators import levels, patterns, similarity, store, windows
+from strandline.sources.series import event_bars, latest, ship_days, table
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+_BARS = """bars AS (SELECT event_type AS symbol, time_bucket(INTERVAL '4 hours', ts) AS open_time, arg_min(value, row(ts, event_id)) AS open,
+  max(value) AS high, min(value) AS low, arg_max(value, row(ts, event_id)) AS close, count(*) AS volume FROM events GROUP BY 1, 2),
+l AS (SELECT * FROM bars QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY open_time DESC) <= 100),
+s AS (SELECT *, (row_number() OVER (PARTITION BY symbol ORDER BY open_time) - 1)::INTEGER AS idx FROM l)"""
+_TR = """tr AS (SELECT *, greatest(high - low, abs(high - lag(close) OVER o), abs(low - lag(close) OVER o)) AS tr,
+  row_number() OVER (PARTITION BY symbol ORDER BY idx DESC) AS rn FROM s WINDOW o AS (PARTITION BY symbol ORDER BY idx)),
+atr AS (SELECT symbol, avg(tr) AS atr FROM tr WHERE rn <= 14 GROUP BY 1),
+scale AS (SELECT symbol, greatest(atr, 0.01 * span) AS vol_scale FROM atr JOIN (SELECT symbol, max(close) - min(close) AS span FROM s GROUP BY 1) USING (symbol))"""
+_PIV = """pw AS (SELECT *, count(*) OVER (PARTITION BY symbol) AS n, max(high) OVER a AS top, min(low) OVER a AS bot FROM s
+  WINDOW a AS (PARTITION BY symbol ORDER BY idx ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)),
+piv AS (SELECT symbol, idx, true AS is_high, high AS price FROM pw WHERE idx >= 5 AND idx < n - 5 AND high = top
+  UNION ALL SELECT symbol, idx, false, low FROM pw WHERE idx >= 5 AND idx < n - 5 AND low = bot)"""
+_NORM = """nm AS (SELECT symbol, idx, CASE WHEN max(close) OVER p - min(close) OVER p < 1e-10 THEN 0.0
+  ELSE (close - min(close) OVER p) / (max(close) OVER p - min(close) OVER p) END AS y, close FROM s WINDOW p AS (PARTITION BY symbol)),
+np AS (SELECT *, count(*) OVER (PARTITION BY symbol) AS n, max(y) OVER a AS top, min(y) OVER a AS bot FROM nm
+  WINDOW a AS (PARTITION BY symbol ORDER BY idx ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)),
+yp AS (SELECT symbol, idx, true AS is_high, y AS price FROM np WHERE idx >= 5 AND idx < n - 5 AND y = top
+  UNION ALL SELECT symbol, idx, false, y FROM np WHERE idx >= 5 AND idx < n - 5 AND y = bot)"""
+
+
+def query(sql: str | None = None, *ctes: str) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = ("WITH " + ",\n".join(ctes) + "\n" if ctes else "") + sql
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, places: int = 6) -> DataFrame:
+    """Floating-point columns to ``places``, without negative zeros."""
+    return df.withColumns({c: F.round(F.col(c), places) + 0.0 for c, t in df.dtypes if t == "double"})
+
+
+def series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return latest(event_bars(spark, sf_dir))
+
+
+def lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Normalised lines and their pivots."""
+    norm = windows.normalised(series(spark, sf_dir)).select("symbol", "idx", "y", "close")
+    return norm, windows.pivots(norm, 5, "y", "y")
+
+
+# --- bars and windows ---
+
+
+@query("SELECT symbol, open_time, open, high, low, close, volume FROM bars", _BARS)
+def ohlcv_4h(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return event_bars(spark, sf_dir)
+
+
+@query("SELECT symbol, idx, open_time, close, volume FROM s", _BARS)
+def latest_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return series(spark, sf_dir).select("symbol", "idx", "open_time", "close", "volume")
+
+
+@query("SELECT symbol, round(atr, 6) AS atr FROM atr", _BARS, _TR)
+def atr14(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(windows.atr(series(spark, sf_dir)))
+
+
+@query("SELECT symbol, round(vol_scale, 6) AS vol_scale FROM scale", _BARS, _TR)
+def vol_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(windows.vol_scale(series(spark, sf_dir)))
+
+
+@query("SELECT symbol, idx, is_high, price FROM piv", _BARS, _PIV)
+def pivots_k5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.pivots(series(spark, sf_dir))
+
+
+@query(
+    """SELECT symbol, idx, close, h AS is_high FROM (SELECT symbol, idx, close, close > max(close) OVER b AND close > max(close) OVER a AS h,
+    close < min(close) OVER b AND close < min(close) OVER a AS w FROM s WINDOW b AS (PARTITION BY symbol ORDER BY idx ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING),
+    a AS (PARTITION BY symbol ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING)) WHERE h OR w""", _BARS)
+def strict_extrema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.strict_extrema(series(spark, sf_dir))
+
+
+@query(
+    """SELECT symbol, count(*) AS n, min(close) AS lo, max(close) AS hi, round(avg(close), 6) AS mean, round(stddev_pop(close), 6) AS sd,
+    round(quantile_cont(close, 0.5), 6) AS median, round(max(close) - min(close), 6) AS span FROM s GROUP BY 1""", _BARS)
+def series_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(windows.series_stats(series(spark, sf_dir)))
+
+
+@query("SELECT symbol, arg_min(idx, row(close, idx)) AS argmin, arg_max(idx, row(close, -idx)) AS argmax FROM s GROUP BY 1", _BARS)
+def argminmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.arg_extremes(series(spark, sf_dir))
+
+
+@query(
+    """SELECT symbol, round(regr_slope(close, idx), 6) AS slope, round(regr_intercept(close, idx), 6) AS intercept, round(corr(close, idx), 6) AS r FROM s GROUP BY 1""", _BARS)
+def linreg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(windows.line_fit(series(spark, sf_dir)).select("symbol", "slope", "intercept", "r"))
+
+
+@query(
+    """SELECT symbol, round(tanh(regr_slope(close, idx) * count(*) / (max(close) - min(close) + 1e-10)) * abs(corr(close, idx)), 6) AS trend FROM s GROUP BY 1""", _BARS)
+def trend_dir(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(windows.trend(series(spark, sf_dir)))
+
+
+@query(
+    """SELECT symbol, round(stddev_pop(r), 6) AS volatility FROM (SELECT symbol, (close - lag(close) OVER o) / (lag(close) OVER o + 1e-10) AS r FROM s
+    WINDOW o AS (PARTITION BY symbol ORDER BY idx)) GROUP BY 1""", _BARS)
+def volatility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(windows.returns_volatility(series(spark, sf_dir)))
+
+
+@query(
+    """SELECT symbol, round(CASE WHEN count(*) < 20 OR stddev_pop(close) FILTER (half) = 0 THEN 0.0 ELSE 1 - stddev_pop(close) FILTER (NOT half) / stddev_pop(close) FILTER (half) END, 6)
+    AS compression FROM (SELECT *, idx < floor(count(*) OVER (PARTITION BY symbol) / 2) AS half FROM s) GROUP BY 1""", _BARS)
+def compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(windows.compression(series(spark, sf_dir)))
+
+
+@query(
+    """SELECT symbol, round(0.3 * abs(last - first) + 0.3 * least(3.0, s2 / (s1 + 1e-10)) / 3 + 0.4 * CASE WHEN last > hi OR last < lo THEN 1 ELSE 0 END, 6) AS breakout_strength
+    FROM (SELECT symbol, stddev_pop(y) FILTER (NOT t) AS s1, stddev_pop(y) FILTER (t) AS s2, max(y) FILTER (NOT t) AS hi, min(y) FILTER (NOT t) AS lo, arg_max(y, idx) AS last,
+    arg_min(y, idx) FILTER (t) AS first FROM (SELECT *, idx >= floor(count(*) OVER (PARTITION BY symbol) * 0.75) AS t FROM nm) GROUP BY 1)""", _BARS, _NORM)
+def breakout_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(windows.breakout_strength(series(spark, sf_dir)))
+
+
+@query(
+    """SELECT symbol, count(*) FILTER (is_high AND price > b) AS hh, count(*) FILTER (is_high AND price < b) AS lh, count(*) FILTER (NOT is_high AND price > b) AS hl,
+    count(*) FILTER (NOT is_high AND price < b) AS ll FROM (SELECT *, lag(price) OVER (PARTITION BY symbol, is_high ORDER BY idx) AS b FROM piv) GROUP BY 1""", _BARS, _PIV)
+def hh_hl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.swing_counts(windows.pivots(series(spark, sf_dir)))
+
+
+@query("SELECT symbol, idx, round(y, 6) AS y FROM nm", _BARS, _NORM)
+def normalize_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(windows.normalised(series(spark, sf_dir)).select("symbol", "idx", "y"))
+
+
+@query(
+    """SELECT symbol, w::INTEGER AS window_size, count(*) AS n, round(avg(close), 6) AS mean FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY idx DESC) AS rn FROM s),
+    (VALUES (NULL), (30), (50), (70)) v(w) WHERE w IS NULL OR rn <= w GROUP BY 1, 2""", _BARS)
+def sub_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = windows.sub_windows(series(spark, sf_dir))
+    return rounded(rows.groupBy("symbol", "window_size").agg(F.count("*").alias("n"), F.avg("close").alias("mean")))
+
+
+@query(
+    """SELECT symbol, idx, first_close, close, round(m, 6) AS mean_close FROM (SELECT symbol, idx, close, count(*) OVER w AS n, first(close) OVER w AS first_close, avg(close) OVER w AS m
+    FROM a WINDOW w AS (PARTITION BY symbol ORDER BY idx ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)) WHERE n = 100""",
+    _BARS, "a AS (SELECT *, (row_number() OVER (PARTITION BY symbol ORDER BY open_time) - 1)::INTEGER AS idx FROM bars)")
+def replay_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(windows.replay(latest(event_bars(spark, sf_dir), 1 << 30)))
+
+
+@query(
+    """SELECT symbol, open_time, close FROM (SELECT *, sign(close - lag(close) OVER o) AS d, lag(close) OVER o AS b FROM s WINDOW o AS (PARTITION BY symbol ORDER BY idx))
+    WHERE b IS NULL OR abs(close - b) > 0.1 * b""", _BARS)
+def change_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars whose close moved by more than a tenth since the bar before, and each first bar."""
+    before = F.lag("close").over(windows.ORDER)
+    rows = series(spark, sf_dir).withColumn("_b", before)
+    return rows.where("_b is null or abs(close - _b) > 0.1 * _b").select("symbol", "open_time", "close")
+
+
+# --- levels ---
+
+_ZONES = """zn AS (SELECT *, sum(new) OVER (PARTITION BY symbol, is_high ORDER BY price, idx) AS zone FROM (SELECT piv.*, vol_scale,
+  CASE WHEN price - lag(price) OVER (PARTITION BY symbol, is_high ORDER BY price, idx) <= {eps} * vol_scale THEN 0 ELSE 1 END AS new FROM piv JOIN scale USING (symbol))),
+zones AS (SELECT symbol, is_high, quantile_cont(price, 0.5) AS price, count(*) AS touches, min(idx) AS first_touch, max(idx) AS last_touch FROM zn GROUP BY symbol, is_high, zone HAVING count(*) >= 2)"""
+
+
+@query("SELECT symbol, is_high, round(price, 6) AS price, touches, first_touch, last_touch FROM zones", _BARS, _TR, _PIV, _ZONES.format(eps=0.5))
+def dbscan_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = series(spark, sf_dir)
+    return rounded(levels.zones(windows.pivots(bars), windows.vol_scale(bars)))
+
+
+@query("SELECT symbol, is_high, round(price, 6) AS price, touches, first_touch, last_touch FROM zones", _BARS, _TR, _PIV, _ZONES.format(eps=0.02))
+def dbscan_zones_fine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = series(spark, sf_dir)
+    return rounded(levels.zones(windows.pivots(bars), windows.vol_scale(bars), 0.02))
+
+
+@query(
+    """SELECT symbol, is_high, round(price, 6) AS price, count(*) AS closes_near FROM zones JOIN scale USING (symbol) JOIN (SELECT symbol, close FROM s) c USING (symbol)
+    WHERE abs(close - price) <= 0.3 * vol_scale GROUP BY symbol, is_high, price""", _BARS, _TR, _PIV, _ZONES.format(eps=0.02))
+def zone_touches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = series(spark, sf_dir)
+    scale = windows.vol_scale(bars)
+    return rounded(levels.zone_touches(bars, levels.zones(windows.pivots(bars), scale, 0.02), scale))
+
+
+_HIST = """hist AS (SELECT symbol, CASE WHEN w > 0 THEN least(19, floor((close - lo) / w)) ELSE 0 END::INTEGER AS bin, lo, w, sum(volume)::BIGINT AS volume FROM
+  (SELECT symbol, close, volume, min(close) OVER p AS lo, (max(close) OVER p - min(close) OVER p) / 20 AS w FROM s WINDOW p AS (PARTITION BY symbol)) GROUP BY ALL)"""
+
+
+@query("SELECT symbol, bin, volume FROM hist", _BARS, _HIST)
+def volume_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return levels.volume_histogram(series(spark, sf_dir)).select("symbol", "bin", "volume")
+
+
+@query(
+    """SELECT symbol, poc, a AS low_bin, b AS high_bin, round(lo + (poc + 0.5) * w, 6) AS poc_price, t::DOUBLE AS area_volume FROM (SELECT * FROM grown QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY step DESC) = 1)""",
+    "RECURSIVE " + _BARS, _HIST,
+    "full_h AS (SELECT k.symbol, g.bin::INTEGER AS bin, k.lo, k.w, coalesce(h.volume, 0) AS v FROM (SELECT DISTINCT symbol, lo, w FROM hist) k, range(20) g(bin) LEFT JOIN hist h ON h.symbol = k.symbol AND h.bin = g.bin)",
+    "tops AS (SELECT symbol, lo, w, arg_max(bin, row(v, -bin)) AS poc, sum(v) AS total, max(v) AS best, list(v ORDER BY bin) AS vs FROM full_h GROUP BY ALL)",
+    """grown AS (SELECT symbol, lo, w, poc, total, vs, poc AS a, poc AS b, best::DOUBLE AS t, 0 AS step FROM tops UNION ALL
+    SELECT symbol, lo, w, poc, total, vs, CASE WHEN r THEN a ELSE a - 1 END, CASE WHEN r THEN b + 1 ELSE b END, t + CASE WHEN r THEN vs[b + 2] ELSE vs[a] END, step + 1 FROM
+    (SELECT *, b < 19 AND (a = 0 OR vs[b + 2] >= vs[a]) AS r FROM grown WHERE t < 0.7 * total AND (a > 0 OR b < 19)))""")
+def poc_value_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(levels.value_area(levels.volume_histogram(series(spark, sf_dir))))
+
+
+@query(
+    """SELECT symbol, round(level, 6) AS level, count(*) AS touches, max(idx) AS last_touch FROM (SELECT symbol, vol_scale, (round(last / step) + k) * step AS level FROM
+    (SELECT *, CASE WHEN f < 1.5 THEN 1.0 WHEN f < 3 THEN 2.0 WHEN f < 7 THEN 5.0 ELSE 10.0 END * p AS step FROM (SELECT *, pow(10.0, floor(log10(vol_scale))) AS p, vol_scale / pow(10.0, floor(log10(vol_scale))) AS f
+    FROM (SELECT symbol, arg_max(close, idx) AS last FROM s GROUP BY 1) JOIN scale USING (symbol))), range(-3, 4) r(k)) v JOIN s USING (symbol)
+    WHERE level > 0 AND least(abs(high - level), abs(low - level)) <= 0.5 * vol_scale GROUP BY 1, 2""", _BARS, _TR)
+def round_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = series(spark, sf_dir)
+    return rounded(levels.round_levels(bars, windows.vol_scale(bars)))
+
+
+@query(
+    """SELECT symbol, is_high, i, j, round(slope, 6) AS slope, count(*) AS touches FROM (SELECT a.symbol, a.is_high, a.idx AS i, b.idx AS j, (b.price - a.price) / (b.idx - a.idx) AS slope, a.price AS base
+    FROM piv a JOIN piv b ON a.symbol = b.symbol AND a.is_high = b.is_high AND a.idx < b.idx) JOIN (SELECT symbol, max(high) - min(low) AS span FROM s GROUP BY 1) USING (symbol)
+    JOIN (SELECT symbol, is_high, idx AS x, price FROM piv) t USING (symbol, is_high) WHERE abs(price - (base + slope * (x - i))) <= 0.0015 * span GROUP BY ALL HAVING count(*) >= 3""", _BARS, _PIV)
+def pivot_pairs_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = series(spark, sf_dir)
+    return rounded(levels.pivot_lines(bars, windows.pivots(bars)))
+
+
+# --- patterns ---
+
+
+def _pairs_sql(high: bool) -> str:
+    kind, agg = ("is_high", "min") if high else ("NOT is_high", "max")
+    return f"""pr AS (SELECT a.symbol, a.idx AS i, b.idx AS j, a.price AS yi, b.price AS yj, {agg}(n.y) AS neck FROM (SELECT * FROM yp WHERE {kind}) a JOIN (SELECT * FROM yp WHERE {kind}) b
+    ON a.symbol = b.symbol AND a.idx < b.idx JOIN nm n ON n.symbol = a.symbol AND n.idx > a.idx AND n.idx < b.idx GROUP BY ALL)"""
+
+
+_DOUBLE = """SELECT symbol, i, j, round(neck, 6) AS neck, round(c, 6) AS confidence FROM (SELECT *, round(0.5 * (1 - abs(yi - yj) / 0.1) + 0.5 * least(1.0, abs(yi - neck) / 0.3), 9) AS c FROM pr
+  WHERE abs(yi - yj) < 0.1 AND abs(yi - neck) > 0.12) WHERE c > 0.45 QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY c DESC, i, j) = 1"""
+
+
+@query(_DOUBLE, _BARS, _NORM, _pairs_sql(True))
+def double_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(patterns.double_extremes(*lines(spark, sf_dir), True, 0.1))
+
+
+@query(_DOUBLE, _BARS, _NORM, _pairs_sql(False))
+def double_bottom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(patterns.double_extremes(*lines(spark, sf_dir), False, 0.1))
+
+
+_TRIPLE = """SELECT symbol, i, j, k, round(c, 6) AS confidence FROM (SELECT *, round(0.5 * (1 - spread / 0.1) + 0.5 * least(1.0, depth / 0.25), 9) AS c FROM (SELECT p.symbol, p.i, p.j, q.j AS k,
+  greatest(p.yi, p.yj, q.yj) - least(p.yi, p.yj, q.yj) AS spread, {depth} AS depth FROM pr p JOIN pr q ON p.symbol = q.symbol AND p.j = q.i) WHERE spread < 0.1 AND depth > 0.10) WHERE c > 0.45"""
+
+
+@query(_TRIPLE.format(depth="greatest(p.yi, p.yj, q.yj) - greatest(p.neck, q.neck)"), _BARS, _NORM, _pairs_sql(True))
+def triple_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(patterns.triple_extremes(*lines(spark, sf_dir), True, 0.1))
+
+
+@query(_TRIPLE.format(depth="least(p.neck, q.neck) - least(p.yi, p.yj, q.yj)"), _BARS, _NORM, _pairs_sql(False))
+def triple_bottom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(patterns.triple_extremes(*lines(spark, sf_dir), False, 0.1))
+
+
+_HS = """SELECT symbol, l AS "left", h AS head, r AS "right", round(c2, 6) AS confidence FROM (SELECT *, round(CASE WHEN least(h - l, r - h) / greatest(h - l, r - h) < 0.3 THEN c * 0.7 ELSE c END, 9) AS c2 FROM
+  (SELECT *, 0.3 * (1 - off / 0.18) + 0.4 * least(1.0, ahead / 0.2) + 0.3 AS c FROM (SELECT symbol, idx AS l, lead(idx) OVER o AS h, lead(idx, 2) OVER o AS r, abs(price - lead(price, 2) OVER o) AS off,
+  least({s} * (lead(price) OVER o - price), {s} * (lead(price) OVER o - lead(price, 2) OVER o)) AS ahead FROM yp WHERE {kind} WINDOW o AS (PARTITION BY symbol ORDER BY idx)) WHERE off < 0.18 AND ahead > 0.06)) WHERE c2 > 0.5"""
+
+
+@query(_HS.format(s=1, kind="is_high"), _BARS, _NORM)
+def head_shoulders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(patterns.head_shoulders(lines(spark, sf_dir)[1], True))
+
+
+@query(_HS.format(s=-1, kind="NOT is_high"), _BARS, _NORM)
+def inverse_head_shoulders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(patterns.head_shoulders(lines(spark, sf_dir)[1], False))
+
+
+@query(
+    """SELECT symbol, round(m, 6) AS size, idx, CASE WHEN mv > 0 THEN 'impulse_up' ELSE 'impulse_down' END AS type FROM (SELECT symbol, idx, mv, round(abs(mv), 9) AS m FROM
+    (SELECT symbol, idx, lead(y, 20) OVER (PARTITION BY symbol ORDER BY idx) - y AS mv FROM nm) WHERE abs(mv) > 0.55) QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY m DESC, idx) = 1""", _BARS, _NORM)
+def impulse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(patterns.impulse(lines(spark, sf_dir)[0]))
+
+
+@query(
+    """SELECT symbol, split, CASE WHEN pole > 0 THEN 'bull_flag' ELSE 'bear_flag' END AS type, round(0.5 * least(1.0, abs(pole)) + 0.3 * (1 - width) + 0.2, 6) AS confidence FROM
+    (SELECT symbol, split, arg_max(y, idx) FILTER (idx < cut) - arg_min(y, idx) FILTER (idx < cut) AS pole, arg_max(y, idx) FILTER (idx >= cut) - arg_min(y, idx) FILTER (idx >= cut) AS drift,
+    max(y) FILTER (idx >= cut) - min(y) FILTER (idx >= cut) AS width FROM (SELECT *, floor(count(*) OVER (PARTITION BY symbol, split) * split) AS cut FROM nm, (VALUES (0.3::DOUBLE), (0.4), (0.5)) v(split)) GROUP BY 1, 2)
+    WHERE abs(pole) >= 0.35 AND width <= 0.45 AND sign(pole) * sign(drift) <= 0""", _BARS, _NORM)
+def flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(patterns.flags(lines(spark, sf_dir)[0]))
+
+
+@query(
+    """SELECT symbol, round(hs, 6) AS high_slope, round(ls, 6) AS low_slope, round(c, 6) AS convergence, CASE WHEN c >= 0.15 AND hs > 0 AND ls > 0 THEN 'rising_wedge' WHEN c >= 0.15 AND hs < 0 AND ls < 0 THEN 'falling_wedge'
+    WHEN c BETWEEN 0.15 AND 0.95 THEN 'triangle' WHEN abs(c) <= 0.4 AND rise > 0.15 THEN 'channel_up' WHEN abs(c) <= 0.4 AND rise < -0.15 THEN 'channel_down' WHEN abs(c) <= 0.4 THEN 'horizontal_channel' ELSE 'none' END AS type
+    FROM (SELECT *, (g0 - g1) / g0 AS c, (hs + ls) / 2 * (x1 - x0) AS rise FROM (SELECT *, (hb + hs * x0) - (lb + ls * x0) AS g0, (hb + hs * x1) - (lb + ls * x1) AS g1 FROM (SELECT symbol, regr_slope(price, idx) FILTER (is_high) AS hs,
+    regr_intercept(price, idx) FILTER (is_high) AS hb, regr_slope(price, idx) FILTER (NOT is_high) AS ls, regr_intercept(price, idx) FILTER (NOT is_high) AS lb, count(*) FILTER (is_high) AS h, count(*) FILTER (NOT is_high) AS l,
+    min(idx) AS x0, max(idx) AS x1 FROM yp GROUP BY 1) WHERE h >= 2 AND l >= 2) WHERE g0 > 0)""", _BARS, _NORM)
+def channel_wedge_triangle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(patterns.shapes(lines(spark, sf_dir)[1]))
+
+
+@query(
+    """SELECT symbol, round(r1, 6) AS r1, round(r2, 6) AS r2, round(net, 6) AS net, r1 < 0.25 AND r2 > 0.55 AS is_breakout, net < 0.2 AS is_range, CASE WHEN s1 > 0 THEN 1 - s2 / s1 ELSE 0 END > 0.35 AND net < 0.3 AS is_compression FROM
+    (SELECT symbol, max(y) FILTER (e) - min(y) FILTER (e) AS r1, max(y) FILTER (NOT e) - min(y) FILTER (NOT e) AS r2, stddev_pop(y) FILTER (h) AS s1, stddev_pop(y) FILTER (NOT h) AS s2, abs(arg_max(y, idx) - arg_min(y, idx)) AS net
+    FROM (SELECT *, idx < floor(count(*) OVER p * 0.65) AS e, idx < floor(count(*) OVER p / 2) AS h FROM nm WINDOW p AS (PARTITION BY symbol)) GROUP BY 1)""", _BARS, _NORM)
+def breakout_range_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(patterns.segments(lines(spark, sf_dir)[0]))
+
+
+_CONFIRM = """SELECT symbol, from_idx, level, height, up, breakout, state, CASE WHEN state = 'confirmed' THEN breakout + 1 END AS confirmed_at FROM (SELECT *, CASE WHEN breakout IS NULL THEN 'none' WHEN fell THEN 'invalidated'
+  WHEN breakout + 1 > last THEN 'pending' ELSE 'confirmed' END AS state FROM (SELECT f.*, coalesce((SELECT bool_or(level - close > 0.5 * height) FROM s n WHERE n.symbol = f.symbol AND n.idx = f.breakout + 1), false) AS fell FROM
+  (SELECT c.*, min(s.idx) FILTER (s.close > c.level) AS breakout, max(s.idx) AS last FROM cand c JOIN s ON s.symbol = c.symbol AND s.idx > c.from_idx GROUP BY ALL) f))"""
+
+
+@query(_CONFIRM, _BARS, _TR, _PIV, "cand AS (SELECT symbol, idx AS from_idx, price * 0.9 AS level, vol_scale AS height, true AS up FROM piv JOIN scale USING (symbol) WHERE is_high)")
+def confirm_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closes beyond nine tenths of each high pivot after it, confirmed one bar later or fallen back."""
+    bars = series(spark, sf_dir)
+    points = windows.pivots(bars).where("is_high").join(windows.vol_scale(bars), "symbol")
+    candidates = points.select("symbol", F.col("idx").alias("from_idx"), (F.col("price") * 0.9).alias("level"), F.col("vol_scale").alias("height"), F.lit(True).alias("up"))
+    return patterns.confirm(bars, candidates)
+
+
+# --- likeness ---
+
+_V = "v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS a FROM embeddings), r AS (SELECT a AS b FROM v ORDER BY vec_id LIMIT 1)"
+_SUMS = """m AS (SELECT vec_id, label, list_sum(list_transform(list_zip(a, b), lambda p: p[1] * p[2])) AS ab, list_sum(list_transform(a, lambda x: x * x)) AS aa, list_sum(list_transform(b, lambda x: x * x)) AS bb,
+  list_sum(a) AS sa, list_sum(b) AS sb, list_sum(list_transform(list_zip(a, b), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS dd, len(a) AS n FROM v, r)"""
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("a"))
+    return similarity.against(rows, rows.orderBy("vec_id").limit(1).select(F.col("a").alias("b")))
+
+
+@query("SELECT vec_id, round(CASE WHEN aa > 0 AND bb > 0 THEN ab / (sqrt(aa) * sqrt(bb)) ELSE 0 END, 6) AS score FROM m ORDER BY score DESC, vec_id LIMIT 20", _V, _SUMS)
+def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = vectors(spark, sf_dir).select("vec_id", F.round(similarity.cosine(F.col("a"), F.col("b")), 6).alias("score"))
+    return similarity.top_k(scored, 20)
+
+
+@query("SELECT vec_id, round((ab / n - sa / n * sb / n) / sqrt((aa / n - (sa / n) ** 2) * (bb / n - (sb / n) ** 2)), 6) AS score FROM m ORDER BY score DESC, vec_id LIMIT 20", _V, _SUMS)
+def pearson_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = vectors(spark, sf_dir).select("vec_id", F.round(similarity.pearson(F.col("a"), F.col("b")), 6).alias("score"))
+    return similarity.top_k(scored, 20)
+
+
+@query("SELECT vec_id, round(-dd / n, 6) AS score FROM m ORDER BY score DESC, vec_id LIMIT 20", _V, _SUMS)
+def mse_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = vectors(spark, sf_dir).select("vec_id", F.round(-similarity.mse(F.col("a"), F.col("b")), 6).alias("score"))
+    return similarity.top_k(scored, 20)
+
+
+@query(
+    """SELECT vec_id, round(greatest(p, 0.85 * q), 6) AS best, 0.85 * q > p AS is_mirrored FROM (SELECT vec_id, (c + 1) / 2 AS p, (1 - c) / 2 AS q FROM
+    (SELECT vec_id, (ab / n - sa / n * sb / n) / sqrt((aa / n - (sa / n) ** 2) * (bb / n - (sb / n) ** 2)) AS c FROM m))""", _V, _SUMS)
+def mirror_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Correlation with the reference or, at a penalty, with its mirror image."""
+    r = similarity.pearson(F.col("a"), F.col("b"))
+    scored = vectors(spark, sf_dir).select("vec_id", ((r + 1) / 2).alias("p"), ((1 - r) / 2).alias("q"))
+    return rounded(similarity.mirror_best(scored, "p", "q").select("vec_id", "best", "is_mirrored"))
+
+
+@query()
+def dtw_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 vectors nearest to the first one under banded time warping; its one row comes to the driver."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("a"))
+    reference = rows.orderBy("vec_id").first()["a"]
+    return similarity.dtw_scores(rows, reference, "a", "vec_id", 1).orderBy("dtw", "vec_id").limit(20)
+
+
+# --- matches, feedback, validation ---
+
+_MATCH = """mt AS (SELECT event_id AS match_id, 'u' || user_id AS symbol, event_type AS timeframe, value AS score, ts FROM events),
+fb AS (SELECT event_id AS match_id, CASE WHEN (props->>'$.k')::INTEGER % 2 = 0 THEN 1 ELSE 0 END AS is_relevant, CASE WHEN event_type = 'click' THEN 'override' END AS timeframe FROM events WHERE event_id % 3 = 0)"""
+
+
+@query("SELECT match_id, is_relevant, coalesce(fb.timeframe, mt.timeframe) AS timeframe, score FROM fb LEFT JOIN mt USING (match_id)", _MATCH)
+def feedback_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.feedback_with_matches(*store.example(spark, sf_dir))
+
+
+@query("SELECT mt.timeframe, count(*) AS n, count(*) FILTER (is_relevant = 1) AS relevant, count(*) FILTER (is_relevant = 0) AS irrelevant FROM fb JOIN mt USING (match_id) GROUP BY 1", _MATCH)
+def feedback_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.feedback_stats(*store.example(spark, sf_dir))
+
+
+@query("SELECT match_id, is_relevant FROM fb WHERE match_id NOT IN (SELECT match_id FROM mt WHERE timeframe = 'error')", _MATCH)
+def semi_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    matches, feedback = store.example(spark, sf_dir)
+    return store.delete_feedback(feedback, matches.where("timeframe = 'error'")).select("match_id", "is_relevant")
+
+
+@query("SELECT least(9, greatest(0, floor(score / 100 * 10)))::INTEGER AS bin, count(*) AS n FROM mt GROUP BY 1", _MATCH)
+def score_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.score_histogram(store.example(spark, sf_dir)[0].withColumn("score", F.col("score") / 100))
+
+
+@query(
+    """SELECT symbol, timeframe, round(least(99.99, score * CASE WHEN n >= 3 THEN 1.08 WHEN n = 2 THEN 1.04 ELSE 1 END), 2) AS score FROM (SELECT symbol, timeframe, max(score) AS score FROM mt GROUP BY 1, 2)
+    JOIN (SELECT symbol, count(DISTINCT timeframe) AS n FROM mt GROUP BY 1) USING (symbol)""", _MATCH)
+def mtf_bonus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = store.example(spark, sf_dir)[0].groupBy("symbol", "timeframe").agg(F.max("score").alias("score"))
+    return similarity.timeframe_bonus(best)
+
+
+@query()
+def dedup_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = store.example(spark, sf_dir)[0].groupBy("symbol", "timeframe").agg(F.max("score").alias("score"))
+    order = Window.partitionBy("symbol").orderBy("timeframe")
+    return similarity.dedup_matches(best.withColumn("ord", F.row_number().over(order)))
+
+
+@query("SELECT event_type AS symbol, sum(value * 1000)::DOUBLE AS quote_volume FROM events GROUP BY 1 HAVING sum(value * 1000) >= 1000 ORDER BY 2 DESC LIMIT 3")
+def liquid_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most liquid symbols above a least volume (F1, T1). Whole cents, so that sums are exact."""
+    rows = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("symbol")).agg(F.sum(F.col("value") * 1000).alias("quote_volume"))
+    return rounded(rows.where("quote_volume >= 1000").orderBy(F.col("quote_volume").desc()).limit(3), 3)
+
+
+ORACLES["liquid_topn"] = "SELECT symbol, round(quote_volume, 3) AS quote_volume FROM (" + ORACLES["liquid_topn"] + ")"
+
+
+@query("SELECT symbol, round((last - first) / first * 100, 6) AS change FROM (SELECT symbol, arg_min(close, idx) AS first, arg_max(close, idx) AS last FROM s WHERE idx >= 94 GROUP BY 1) ORDER BY change DESC", _BARS)
+def movers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Change over the last six bars, 24 hours, the largest first."""
+    rows = series(spark, sf_dir).where("idx >= 94").groupBy("symbol").agg(F.min_by("close", "idx").alias("first"), F.max_by("close", "idx").alias("last"))
+    return rounded(rows.select("symbol", ((F.col("last") - F.col("first")) / F.col("first") * 100).alias("change"))).orderBy(F.col("change").desc())
+
+
+@query(
+    """SELECT event_type AS pattern_type, tp, fp, fn, round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall FROM (SELECT event_type, count(*) FILTER (p AND t) AS tp, count(*) FILTER (p AND NOT t) AS fp,
+    count(*) FILTER (NOT p AND t) AS fn FROM (SELECT event_type, value > 10 AS p, (props->>'$.k')::INTEGER > 50 AS t FROM events) GROUP BY 1)""")
+def prf1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Precision and recall per pattern."""
+    rows = table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("pattern_type"), (F.col("value") > 10).alias("predicted"), (F.get_json_object("props", "$.k").cast("int") > 50).alias("actual")
+    )
+    return rounded(store.precision_recall(rows))
+
+
+@query("SELECT event_type, (props->>'$.k')::INTEGER % 10 AS k, count(*) AS n FROM events GROUP BY 1, 2")
+def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of JSON text by a declared schema; text that does not parse gives null."""
+    rows = table(spark, sf_dir, "events").withColumn("p", F.from_json("props", "k int"))
+    return rows.groupBy("event_type", (F.col("p.k") % 10).alias("k")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT symbol, count(*) AS n, round(avg(close), 4) AS mean FROM (SELECT l_returnflag AS symbol, l_shipdate, avg(l_extendedprice / l_quantity) AS close FROM lineitem GROUP BY 1, 2) GROUP BY 1")
+def ship_day_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(ship_days(spark, sf_dir).groupBy("symbol").agg(F.count("*").alias("n"), F.avg("close").alias("mean")), 4)
