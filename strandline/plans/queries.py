@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandline.operators import levels, patterns, similarity, store, windows
+from strandline.functions import shapes
+from strandline.operators import folds, levels, patterns, relevance, similarity, store, validation, windows
 from strandline.sources.series import event_bars, latest, ship_days, table
+from strandline.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -475,3 +477,95 @@ def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT symbol, count(*) AS n, round(avg(close), 4) AS mean FROM (SELECT l_returnflag AS symbol, l_shipdate, avg(l_extendedprice / l_quantity) AS close FROM lineitem GROUP BY 1, 2) GROUP BY 1")
 def ship_day_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ship_days(spark, sf_dir).groupBy("symbol").agg(F.count("*").alias("n"), F.avg("close").alias("mean")), 4)
+
+
+# --- folds, validation, learning, streams: held against plain references in the tests ---
+
+
+@query()
+def zigzag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(folds.zigzag_pivots(lines(spark, sf_dir)[0]))
+
+
+@query()
+def trend_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(folds.trend_levels(series(spark, sf_dir)))
+
+
+@query()
+def consensus_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = series(spark, sf_dir)
+    return rounded(folds.consensus_lines(windows.pivots(bars), windows.vol_scale(bars)))
+
+
+@query()
+def merged_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Zones, strongest first, merged."""
+    bars = series(spark, sf_dir)
+    scale = windows.vol_scale(bars)
+    found = levels.zones(windows.pivots(bars), scale, 0.02)
+    strength = 0.2 + 0.5 * F.least(F.lit(1.0), F.col("touches") / 5) + 0.2 * F.col("last_touch") / 100
+    return rounded(folds.merge_levels(found.withColumn("strength", strength), scale))
+
+
+@query()
+def range_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strict extrema as detections, pivots as labels a bar wide."""
+    bars = series(spark, sf_dir)
+    kind = F.when(F.col("is_high"), "high").otherwise("low").alias("pattern_type")
+    events = windows.strict_extrema(bars).select("symbol", kind, "idx")
+    labels = windows.pivots(bars).select("symbol", kind, F.col("idx").alias("start"), (F.col("idx") + 1).alias("end"))
+    return validation.match_events(events, labels)
+
+
+@query(
+    """SELECT symbol, sum(gone)::BIGINT AS gone, sum(seen)::BIGINT AS seen, round(coalesce(sum(gone) / nullif(sum(seen), 0), 0), 6) AS rate FROM (SELECT symbol, len(list_filter(p, lambda x: NOT list_contains(q, x))) AS gone, len(p) AS seen FROM
+    (SELECT symbol, p, lead(p) OVER (PARTITION BY symbol ORDER BY step) AS q FROM (SELECT symbol, idx // 10 AS step, list(DISTINCT CASE WHEN close > 20 THEN 'high' WHEN close > 10 THEN 'mid' ELSE 'low' END) AS p FROM s GROUP BY 1, 2))
+    WHERE q IS NOT NULL) GROUP BY 1""", _BARS)
+def repaint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds of closes of ten bars that are gone in the next ten."""
+    kind = F.when(F.col("close") > 20, "high").when(F.col("close") > 10, "mid").otherwise("low")
+    active = series(spark, sf_dir).groupBy("symbol", F.floor(F.col("idx") / 10).alias("step")).agg(F.collect_set(kind).alias("patterns"))
+    return rounded(validation.repaint_rate(active))
+
+
+@query("SELECT symbol, round(avg(confirmed_at - from_idx), 6) AS latency FROM (" + _CONFIRM + ") GROUP BY 1", _BARS, _TR, _PIV, "cand AS (SELECT symbol, idx AS from_idx, price * 0.9 AS level, vol_scale AS height, true AS up FROM piv JOIN scale USING (symbol) WHERE is_high)")
+def latency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(validation.latency(confirm_level(spark, sf_dir)))
+
+
+@query()
+def rf_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = relevance.bar_features(event_bars(spark, sf_dir))
+    return relevance.score(rows, relevance.train(rows)).select("symbol", "open_time", F.round("ml_score", 6).alias("ml_score"))
+
+
+@query("SELECT symbol, timeframe, is_click, is_view FROM (SELECT 'u' || user_id AS symbol, event_type AS timeframe, (event_type = 'click')::DOUBLE AS is_click, (event_type = 'view')::DOUBLE AS is_view FROM events)")
+def one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = relevance.one_hot(store.example(spark, sf_dir)[0], "timeframe", ["click", "view"])
+    return rows.select("symbol", "timeframe", F.col("timeframe_click").alias("is_click"), F.col("timeframe_view").alias("is_view"))
+
+
+@query()
+def similarity_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lines and their mirrors against every preset, by score."""
+    norm = lines(spark, sf_dir)[0].groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("idx", "y"))).alias("p")).select("symbol", F.col("p.y").alias("a")).where("size(a) = 100")
+    rows = norm.crossJoin(F.broadcast(shapes.presets(spark)))  # a handful of presets
+    flipped = F.transform("a", lambda v: 1 - v)
+    rows = rows.select("symbol", "name", similarity.line_score(F.col("a"), F.col("line")).alias("score"), similarity.line_score(flipped, F.col("line")).alias("mirrored"))
+    return rounded(similarity.mirror_best(rows, "score", "mirrored")).orderBy(F.col("best").desc(), "symbol", "name")
+
+
+@query()
+def stream_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest bars of each event type after all events went through a stream; the stream ends when its input does."""
+    import uuid
+
+    schema = table(spark, sf_dir, "events").schema
+    ticks = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
+    bars = ticks.select(F.col("event_type").alias("symbol"), F.unix_millis(F.col("ts").cast("timestamp")).alias("open_time"), F.col("value").alias("close"))
+    name = f"buffer_{uuid.uuid4().hex}"
+    run = live.latest_buffer(bars).writeStream.outputMode("update").format("memory").queryName(name).trigger(availableNow=True).start()
+    run.awaitTermination()
+    last = Window.partitionBy("symbol").orderBy(F.col("last_time").desc())
+    return spark.table(name).withColumn("_rn", F.row_number().over(last)).where("_rn = 1").drop("_rn")
