@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.operators.windows import ORDER, SERIES
+from strandline.operators.windows import by_series, in_order
 
 
 def _sides(points: DataFrame, high: bool) -> DataFrame:
@@ -67,14 +67,14 @@ def head_shoulders(points: DataFrame, high: bool = True) -> DataFrame:
 
 def impulse(lines: DataFrame, n: int = 100) -> DataFrame:
     """Moves of more than .55 of the range within n / 5 bars (D1): the largest of each series, with its direction."""
-    rows = lines.withColumn("move", F.lead("y", n // 5).over(ORDER) - F.col("y"))
+    rows = lines.withColumn("move", F.lead("y", n // 5).over(in_order()) - F.col("y"))
     best = rows.where(F.abs("move") > 0.55).groupBy("symbol").agg(F.max(F.struct(F.round(F.abs("move"), 9).alias("size"), (-F.col("idx")).alias("at"), F.signum("move").alias("way"))).alias("b"))
     return best.select("symbol", F.col("b.size").alias("size"), (-F.col("b.at")).alias("idx"), F.when(F.col("b.way") > 0, "impulse_up").otherwise("impulse_down").alias("type"))
 
 
 def flags(lines: DataFrame) -> DataFrame:
     """Bull and bear flags (D6): a pole of .35 up to .3, .4 or .5 of the series, then a quiet drift against it."""
-    rows = lines.withColumn("n", F.count("*").over(SERIES)).withColumn("split", F.explode(F.array(F.lit(0.3), F.lit(0.4), F.lit(0.5))))
+    rows = lines.withColumn("n", F.count("*").over(by_series())).withColumn("split", F.explode(F.array(F.lit(0.3), F.lit(0.4), F.lit(0.5))))
     rows = rows.withColumn("cut", F.floor(F.col("n") * F.col("split")))
     pole, flag = F.col("idx") < F.col("cut"), F.col("idx") >= F.col("cut")
     at = lambda c, when, f: f("y", F.when(when, F.col("idx"))).alias(c)
@@ -115,7 +115,7 @@ def shapes(points: DataFrame) -> DataFrame:
 
 def segments(lines: DataFrame) -> DataFrame:
     """Breakout, range and compression tests from segment statistics."""
-    n = F.count("*").over(SERIES)
+    n = F.count("*").over(by_series())
     rows = lines.withColumns({"early": F.col("idx") < F.floor(n * 0.65), "half": F.col("idx") < F.floor(n / 2)})
     span = lambda when: F.max(F.when(when, F.col("y"))) - F.min(F.when(when, F.col("y")))
     sd = lambda when: F.stddev_pop(F.when(when, F.col("y")))

@@ -6,16 +6,21 @@ exchange and one sort serve every window of a query.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-SERIES = Window.partitionBy("symbol")
-ORDER = SERIES.orderBy("idx")
+
+def by_series() -> WindowSpec:
+    return Window.partitionBy("symbol")
+
+
+def in_order() -> WindowSpec:
+    return by_series().orderBy("idx")
 
 
 def true_range(bars: DataFrame) -> DataFrame:
     """Adds ``tr`` (W1): the largest of high - low and the moves from the close before."""
-    before = F.lag("close").over(ORDER)
+    before = F.lag("close").over(in_order())
     return bars.withColumn("tr", F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before)))
 
 
@@ -33,9 +38,9 @@ def vol_scale(bars: DataFrame) -> DataFrame:
 
 def pivots(bars: DataFrame, k: int = 5, high: str = "high", low: str = "low") -> DataFrame:
     """Centred extrema (W3): bars whose high (low) is the greatest (least) within ``k`` on either side; ends are left out."""
-    around = ORDER.rowsBetween(-k, k)
+    around = in_order().rowsBetween(-k, k)
     rows = bars.withColumns({
-        "_n": F.count("*").over(SERIES), "_top": F.max(high).over(around), "_low": F.min(low).over(around),
+        "_n": F.count("*").over(by_series()), "_top": F.max(high).over(around), "_low": F.min(low).over(around),
     }).where((F.col("idx") >= k) & (F.col("idx") < F.col("_n") - k))
     kinds = F.array(
         F.when(F.col(high) == F.col("_top"), F.struct(F.lit(True).alias("is_high"), F.col(high).alias("price"))),
@@ -47,7 +52,7 @@ def pivots(bars: DataFrame, k: int = 5, high: str = "high", low: str = "low") ->
 
 def strict_extrema(bars: DataFrame, k: int = 3) -> DataFrame:
     """Closes strictly beyond all ``k`` on either side (W4); frames are cut at the ends, the end bars never count."""
-    before, after = ORDER.rowsBetween(-k, -1), ORDER.rowsBetween(1, k)
+    before, after = in_order().rowsBetween(-k, -1), in_order().rowsBetween(1, k)
     close = F.col("close")
     rows = bars.withColumns({
         "is_high": (close > F.max("close").over(before)) & (close > F.max("close").over(after)),
@@ -87,14 +92,14 @@ def trend(bars: DataFrame) -> DataFrame:
 
 def returns_volatility(bars: DataFrame) -> DataFrame:
     """Deviation of returns."""
-    before = F.lag("close").over(ORDER)
+    before = F.lag("close").over(in_order())
     rows = bars.withColumn("ret", (F.col("close") - before) / (before + 1e-10))
     return rows.groupBy("symbol").agg(F.stddev_pop("ret").alias("volatility"))
 
 
 def compression(bars: DataFrame) -> DataFrame:
     """1 - deviation of the second half over that of the first (P3); 0 for short or flat series."""
-    rows = bars.withColumn("half", F.col("idx") < F.floor(F.count("*").over(SERIES) / 2))
+    rows = bars.withColumn("half", F.col("idx") < F.floor(F.count("*").over(by_series()) / 2))
     rows = rows.groupBy("symbol").agg(
         F.count("*").alias("n"), F.stddev_pop(F.when(F.col("half"), F.col("close"))).alias("s1"), F.stddev_pop(F.when(~F.col("half"), F.col("close"))).alias("s2")
     )
@@ -103,7 +108,7 @@ def compression(bars: DataFrame) -> DataFrame:
 
 def breakout_strength(bars: DataFrame) -> DataFrame:
     """.3 end move + .3 min(3, deviation ratio) / 3 + .4 range break, last quarter against the rest."""
-    rows = normalised(bars).withColumn("tail", F.col("idx") >= F.floor(F.count("*").over(SERIES) * 0.75))
+    rows = normalised(bars).withColumn("tail", F.col("idx") >= F.floor(F.count("*").over(by_series()) * 0.75))
     rows = rows.groupBy("symbol").agg(
         F.stddev_pop(F.when(~F.col("tail"), F.col("y"))).alias("s1"), F.stddev_pop(F.when(F.col("tail"), F.col("y"))).alias("s2"),
         F.max(F.when(~F.col("tail"), F.col("y"))).alias("hi"), F.min(F.when(~F.col("tail"), F.col("y"))).alias("lo"),
@@ -116,7 +121,7 @@ def breakout_strength(bars: DataFrame) -> DataFrame:
 
 def normalised(bars: DataFrame) -> DataFrame:
     """Adds ``y``: the close from 0 to 1 within its series; a flat series is 0 (A1)."""
-    lo, hi = F.min("close").over(SERIES), F.max("close").over(SERIES)
+    lo, hi = F.min("close").over(by_series()), F.max("close").over(by_series())
     return bars.withColumn("y", F.when(hi - lo < 1e-10, 0.0).otherwise((F.col("close") - lo) / (hi - lo)))
 
 
@@ -138,6 +143,6 @@ def sub_windows(series: DataFrame, sizes: tuple[int, ...] = (30, 50, 70)) -> Dat
 
 def replay(series: DataFrame, n: int = 100) -> DataFrame:
     """Rolling windows of ``n`` bars that slide by one (W22): first and last close and mean of each full window."""
-    frame = ORDER.rowsBetween(-(n - 1), 0)
+    frame = in_order().rowsBetween(-(n - 1), 0)
     rows = series.withColumns({"n": F.count("*").over(frame), "first_close": F.first("close").over(frame), "mean_close": F.avg("close").over(frame)})
     return rows.where(F.col("n") == n).select("symbol", "idx", "first_close", "close", "mean_close")

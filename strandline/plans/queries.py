@@ -176,7 +176,7 @@ def replay_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     WHERE b IS NULL OR abs(close - b) > 0.1 * b""", _BARS)
 def change_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars whose close moved by more than a tenth since the bar before, and each first bar."""
-    before = F.lag("close").over(windows.ORDER)
+    before = F.lag("close").over(windows.in_order())
     rows = series(spark, sf_dir).withColumn("_b", before)
     return rows.where("_b is null or abs(close - _b) > 0.1 * _b").select("symbol", "open_time", "close")
 

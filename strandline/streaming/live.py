@@ -46,7 +46,7 @@ def latest_buffer(bars: DataFrame, keep: int = 100) -> DataFrame:
 
 def closed_klines(messages: DataFrame) -> DataFrame:
     """Kline messages (JSON in ``value``) to bars, closed ones only (F16, ST3); what does not parse is left out."""
-    schema = "data struct<e:string, s:string, k:struct<t:long, T:long, i:string, o:string, h:string, l:string, c:string, v:string, x:boolean>>"
+    schema = "data struct<e:string, s:string, k:struct<t:long, i:string, o:string, h:string, l:string, c:string, v:string, x:boolean>>"
     k = F.from_json("value", schema)["data"]
     rows = messages.select(k.alias("d")).where("d.e = 'kline' and d.k.x and endswith(d.s, 'USDT')")
     number = lambda c: F.col(f"d.k.{c}").try_cast("double")
