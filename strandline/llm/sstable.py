@@ -9,7 +9,7 @@ index with the first key of every block, and a footer.
   bytes, the value. The shared count is 0 at the start of a block.
 * value: the token ids as little-endian unsigned 16-bit integers, or 32-bit where an id needs it (a
   leading byte, 2 or 4, says which).
-* block: CRC-32 and sizes in the index; compressed with zlib where a flag in the index says so.
+* block: CRC-32 and sizes in the index; compressed with Zstandard where a flag in the index says so.
 * footer: places of Bloom filter and index, counts, the shard's place in the order, a magic number
   that ends in a line feed. The text writer puts that line feed; so shards go through Spark's own
   commit protocol, and a lost executor leaves no half shard behind.
@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -112,7 +113,7 @@ class ShardWriter:
     def _flush(self) -> None:
         if self.block:
             raw = bytes(self.block)
-            packed = zlib.compress(raw, 1)
+            packed = zstandard.compress(raw, 1)
             stored, flag = (packed, 1) if len(packed) < len(raw) else (raw, 0)
             self.index.append((self.first, len(self.body), len(stored), flag, zlib.crc32(stored)))
             self.body += stored
@@ -154,7 +155,7 @@ class Shard:
         raw = self.data[at : at + size]
         if zlib.crc32(raw) != crc:
             raise ValueError(f"block {i} is damaged")
-        raw = zlib.decompress(raw) if flag else raw
+        raw = zstandard.decompress(raw) if flag else raw
         at, key = 0, b""
         while at < len(raw):
             shared, at = _read_varint(raw, at)
@@ -191,15 +192,16 @@ class Encoder:
     """Whole texts to ids with the tokenizers library, which never merges across its pieces.
 
     Text of basic Latin letters is split into the pieces, and the ids of a piece are kept once the
-    library has given them, in a table of at most ``most`` pieces; any other text goes to the library as it is.
+    library has given them, in two tables of about ``most`` pieces; any other text goes to the library as it is.
     """
 
-    def __init__(self, path: str, most: int = 600_000) -> None:
+    def __init__(self, path: str, most: int = 300_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.most, self.known = most, {}
+        self.line_feed = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
+        self.most, self.known, self.older = most, {}, {}
 
     @staticmethod
     def at(path: str) -> Encoder:
@@ -208,39 +210,56 @@ class Encoder:
         return _encoders[path]
 
     def _learn(self, pieces: list[str]) -> None:
-        if len(self.known) + len(pieces) > self.most:
-            self.known.clear()
-        # words with a space before them stay apart when joined, which spares calls
-        words = [p for p in pieces if p[0] == " " and p[1:].isalpha()]
-        others = [p for p in pieces if not (p[0] == " " and p[1:].isalpha())]
+        """Fills ``known``. At ``most`` pieces it becomes ``older``, from which pieces still in use come back."""
+        if len(self.known) >= self.most:
+            self.known, self.older = {}, self.known
+        known, older, words, others = self.known, self.older, [], []
+        for p in pieces:
+            if p in older:
+                known[p] = older[p]
+            elif p[0] == " " and p[1:].isalpha():
+                words.append(p)  # these stay apart when joined, which spares calls
+            else:
+                others.append(p)
         for i in range(0, len(words), 20_000):
             part = words[i : i + 20_000]
-            got = self.tokenizer.encode("".join(part), add_special_tokens=False)
-            ids = np.array(got.ids, "<u4")
-            starts = np.array([a for a, _ in got.offsets])
-            edges = np.cumsum([0, *map(len, part)])
-            cuts = np.searchsorted(starts, edges)
-            for w, a, b in zip(part, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                self.known[w] = ids[a:b].tobytes()
+            # a line feed before " word" is a piece and an id of its own, so it marks the ends
+            ids = np.array(self.tokenizer.encode("\n".join([*part, ""]), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(ids == self.line_feed) * 4
+            raw = ids.tobytes()
+            known.update(zip(part, [raw[a:b] for a, b in zip([0, *(ends[:-1] + 4).tolist()], ends.tolist())], strict=True))
         for p, e in zip(others, self.tokenizer.encode_batch(others, add_special_tokens=False), strict=True):
-            self.known[p] = np.array(e.ids, "<u4").tobytes()
+            known[p] = np.array(e.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [_PIECES.findall(t) if _PLAIN.fullmatch(t) else None for t in texts]
-        fresh = {p for pieces in split if pieces for p in pieces} - self.known.keys()
-        todo = list(fresh)
-        if len(self.known) + len(todo) > self.most:
-            self.known.clear()
-            todo = list({p for pieces in split if pieces for p in pieces})
-        if todo:
-            self._learn(todo)
-        whole = [t for t, pieces in zip(texts, split, strict=True) if pieces is None]
-        rest = iter(self.tokenizer.encode_batch(whole, add_special_tokens=False)) if whole else iter(())
-        known = self.known
-        return [
-            np.array(next(rest).ids, "<u4") if pieces is None else np.frombuffer(b"".join([known[p] for p in pieces]), "<u4")
-            for pieces in split
-        ]
+        """The ids of each text; a call is one portion of texts, whose pieces are all known at once."""
+        out: list[np.ndarray | None] = []
+        whole, later, fresh, find = [], [], set(), self.known.get
+        for i, text in enumerate(texts):
+            ids = None
+            if text.isascii() or _PLAIN.fullmatch(text):
+                pieces = _PIECES.findall(text)
+                got = list(map(find, pieces))
+                if None in got:
+                    gaps = [j for j, g in enumerate(got) if g is None]
+                    later.append((i, pieces, got, gaps))
+                    fresh.update([pieces[j] for j in gaps])
+                else:
+                    ids = np.frombuffer(b"".join(got), "<u4")
+            else:
+                whole.append(i)
+            out.append(ids)
+        if fresh:
+            self._learn(list(fresh))
+            known = self.known
+            for i, pieces, got, gaps in later:
+                for j in gaps:
+                    got[j] = known[pieces[j]]
+                out[i] = np.frombuffer(b"".join(got), "<u4")
+        if whole:
+            for i, e in zip(whole, self.tokenizer.encode_batch([texts[i] for i in whole], add_special_tokens=False), strict=True):
+                out[i] = np.array(e.ids, "<u4")
+        return out
 
 
 def _portions(frames: Iterator[pd.DataFrame], size: int = 4_000_000) -> Iterator[list[tuple]]:
