@@ -44,6 +44,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sheltered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` under names that no column made on the way has, and the new name of each column."""
+    names = {c: f"in_{i}" for i, c in enumerate(df.columns)}
+    return df.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), names
+
+
 def whole_text(column: str = "text") -> Column:
     """The text itself; null counts as empty."""
     return F.coalesce(F.col(column), F.lit(""))

@@ -3,8 +3,8 @@
 Text is put in lower case and cut to its words. A passage matches a template if the Dice coefficient
 of their sets of word bigrams is at least ``LEAST``. That bounds the passage's number of bigrams on both
 sides and asks for a share of the template's bigrams somewhere in the text, which rules most templates
-out before any passage is looked at. Passages start at a bigram of the template, have as many bigrams
-as it, and are then cut to their last common one. The whole text goes over one pass and nothing is shuffled.
+out before any passage is looked at. Passages start and end at a bigram of the template and have at most
+the greater bound of bigrams, repeats counted. Every such passage of the whole text is looked at; nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -78,13 +78,14 @@ def normalise(text: str) -> list[str]:
 
 class Scanner:
     def __init__(self, templates: dict[str, str] | None = None, least: float = LEAST) -> None:
-        self.least, self.sets = least, {}
+        self.least, self.sets, self.lengths = least, {}, {}
         words = {name: normalise(text) for name, text in (TEMPLATES if templates is None else templates).items()}
         self.vocabulary = {w: i for i, w in enumerate(sorted({w for ws in words.values() for w in ws}))}
         self.n = len(self.vocabulary) + 1
         for name, ws in words.items():
             ids = [self.vocabulary[w] for w in ws]
             self.sets[name] = {a * self.n + b for a, b in zip(ids, ids[1:])}
+            self.lengths[name] = len(ids) - 1
         self.known = np.zeros(self.n * self.n, bool)
         self.known[sorted(set().union(*self.sets.values()))] = True
 
@@ -109,17 +110,17 @@ class Scanner:
                 continue
             best = (0.0, 0, 0)
             hits = [int(p) for p in at if int(codes[p]) in wanted]
+            span = int(self.bounds(self.lengths[name])[1])
+            ends = np.searchsorted(hits, np.array(hits) + span).tolist()
             for k, first in enumerate(hits):
-                inside = []
-                for p in hits[k:]:
-                    if p >= first + size:
-                        break
-                    inside.append(p)
-                if len(inside) < self.bounds(size)[0]:
+                if ends[k] - k < self.bounds(size)[0]:
                     continue
-                own = len(set(zip(words[first : inside[-1] + 1], words[first + 1 : inside[-1] + 2])))
-                dice = 2 * len({int(codes[p]) for p in inside}) / (own + size)
-                best = max(best, (dice, -first, inside[-1] - first + 2))
+                own, common, at_hit = set(), set(), set(hits[k : ends[k]])
+                for p in range(first, hits[ends[k] - 1] + 1):
+                    own.add((words[p], words[p + 1]))
+                    if p in at_hit:
+                        common.add(int(codes[p]))
+                        best = max(best, (2 * len(common) / (len(own) + size), -first, p - first + 2))
             if best[0] >= self.least:
                 found.append((name, best[0], -best[1], best[2]))
         return sorted(found, key=lambda f: (-f[1], -f[3], f[0]))

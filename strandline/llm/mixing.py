@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.common import word_count
+from strandline.llm.common import sheltered, word_count
 
 #: Bins of a source's ranks; the rows of one bin of one source are put in order in one task.
 BINS = 4096
@@ -90,7 +90,9 @@ def pareto_mix(
     Nulls, repeated rows, empty tables and extra columns: see the module's docstring.
     """
     made = ["size", "source_size", "target", "copies", "taken"]
-    base = docs.drop(*[c for c in made if c in docs.columns]).withColumn("size", word_count(text))
+    base, names = sheltered(docs)
+    key, text, source = names[key], names[text], names[source]
+    base = base.withColumn("size", word_count(text))
     group = F.floor(F.log2(F.col("size").cast("double") + 1)).cast("int")
     base = base.withColumns({"_src": F.col(source), "_class": group, "_u": uniform(F.col(key), seed)})
 
@@ -135,7 +137,7 @@ def pareto_mix(
     result = outside.unionByName(inside)
     result = result.withColumn("copies", F.col("_sure") + F.col("_extra").cast("long"))
     result = result.withColumn("taken", F.col("copies") * F.col("size"))
-    return result.select(*[c for c in docs.columns if c not in made], *made)
+    return result.select(*[F.col(n).alias(c) for c, n in names.items() if c not in made], *made)
 
 
 def repeat_copies(mixed: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import WORD, materialise, small, whole_text
+from strandline.llm.common import WORD, materialise, sheltered, small, whole_text
 from strandline.llm.components import components
 
 SHINGLE = 3
@@ -208,10 +208,11 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     """
     classes = near_duplicates(docs, key, text).select(F.col(key).alias("_k"), "component_id")
     classes = materialise(classes.groupBy("_k").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n")), "simhash-classes")
-    same = docs[key].eqNullSafe(F.col("_k"))
+    rows, names = sheltered(docs)
+    same = F.col(names[key]).eqNullSafe(F.col("_k"))
     keepers = materialise(classes.where("_k <=> component_id").select("_k", "n"), "simhash-keepers")
-    once = docs.join(small(keepers.where("n = 1").select("_k"), 24), same, "left_semi")
+    kept = rows.join(small(keepers.where("n = 1").select("_k"), 24), same, "left_semi")
     again = keepers.where("n > 1").select("_k")
-    if again.isEmpty():
-        return once
-    return once.unionByName(docs.join(small(again, 24), same, "left_semi").dropDuplicates([key]))
+    if not again.isEmpty():
+        kept = kept.unionByName(rows.join(small(again, 24), same, "left_semi").dropDuplicates([names[key]]))
+    return kept.select(*[F.col(n).alias(c) for c, n in names.items()])
