@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import shapes
-from strandline.operators import folds, levels, patterns, relevance, similarity, store, validation, windows
+from strandline.operators import folds, levels, patterns, relevance, similarity, store, structures, validation, windows
 from strandline.sources.series import event_bars, latest, ship_days, table
 from strandline.streaming import live
 
@@ -569,3 +569,66 @@ def stream_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
     run.awaitTermination()
     last = Window.partitionBy("symbol").orderBy(F.col("last_time").desc())
     return spark.table(name).withColumn("_rn", F.row_number().over(last)).where("_rn = 1").drop("_rn")
+
+
+# --- curves, squeezes, types ---
+
+_FIT = """fx AS (SELECT *, idx - (count(*) OVER p - 1) / 2 AS x FROM nm WINDOW p AS (PARTITION BY symbol)),
+fs AS (SELECT *, count(*) OVER p AS n, sum(x ** 2) OVER p AS s2, sum(x ** 4) OVER p AS s4, sum(y) OVER p AS sy, sum(x * y) OVER p AS sxy, sum(x ** 2 * y) OVER p AS sx2y FROM fx WINDOW p AS (PARTITION BY symbol)),
+fab AS (SELECT *, (n * sx2y - s2 * sy) / (n * s4 - s2 ** 2) AS a, sxy / s2 AS b FROM fs),
+fit AS (SELECT symbol, any_value(a) AS a, any_value(b) AS b, avg(abs(y - (a * x ** 2 + b * x + (sy - a * s2) / n))) AS cr, avg(abs(y - (b * x + sy / n))) AS lr FROM fab GROUP BY 1)"""
+
+
+@query("SELECT symbol, round(a, 6) AS a, round(b, 6) AS b, round(cr, 6) AS curve_residual, round(lr, 6) AS line_residual FROM fit", _BARS, _NORM, _FIT)
+def quadfit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(structures.curve_fit(lines(spark, sf_dir)[0]))
+
+
+@query(
+    """SELECT symbol, low_idx, round(a, 6) AS a, low_idx >= 0.35 * n AND low_idx <= 0.65 * n AND least(f, l) - low >= 0.10 AND a > 0 AND cr <= 0.6 * lr AS found FROM (SELECT symbol, arg_min(idx, row(y, idx)) AS low_idx, min(y) AS low,
+    arg_min(y, idx) AS f, arg_max(y, idx) AS l, count(*) AS n FROM nm GROUP BY 1) JOIN fit USING (symbol)""", _BARS, _NORM, _FIT)
+def rounding_bottom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(structures.rounding_bottom(lines(spark, sf_dir)[0]))
+
+
+@query(
+    """SELECT symbol, top, round(pole, 6) AS pole, round(c, 6) AS convergence, coalesce(pole >= 0.12 AND c >= 0.15, false) AS found FROM (SELECT symbol, top, pole, CASE WHEN r1 > 0 THEN 1 - r2 / r1 END AS c FROM
+    (SELECT symbol, top, max(high) - min(y) FILTER (idx <= top) AS pole, max(y) FILTER (g AND h) - min(y) FILTER (g AND h) AS r1, max(y) FILTER (g AND NOT h) - min(y) FILTER (g AND NOT h) AS r2 FROM
+    (SELECT *, idx > top AND idx <= top + floor((n - top) * 0.65) AS g, idx <= top + floor((n - top) * 0.65 / 2) AS h FROM nm JOIN
+    (SELECT symbol, arg_max(idx, row(y, -idx)) AS top, max(y) AS high, max(n) AS n FROM (SELECT *, count(*) OVER (PARTITION BY symbol) AS n FROM nm) WHERE idx < 0.6 * n GROUP BY 1) USING (symbol)) GROUP BY 1, 2))""", _BARS, _NORM)
+def pennant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(structures.pennant(lines(spark, sf_dir)[0]))
+
+
+@query(
+    """SELECT symbol, round(h, 6) AS highs, round(l, 6) AS lows, round(hm, 6) AS high_move, round(lm, 6) AS low_move, CASE WHEN h < 0.2 AND lm > 0.1 THEN 'squeeze_up' WHEN l < 0.2 AND hm < -0.1 THEN 'squeeze_down' END AS type FROM
+    (SELECT symbol, count(*) AS n, max(price) FILTER (is_high) - min(price) FILTER (is_high) AS h, max(price) FILTER (NOT is_high) - min(price) FILTER (NOT is_high) AS l,
+    arg_max(price, idx) FILTER (is_high) - arg_min(price, idx) FILTER (is_high) AS hm, arg_max(price, idx) FILTER (NOT is_high) - arg_min(price, idx) FILTER (NOT is_high) AS lm FROM yp GROUP BY 1) WHERE n >= 4""", _BARS, _NORM)
+def squeeze(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(structures.squeezes(lines(spark, sf_dir)[1]))
+
+
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """symbol, type, confidence, ord of all detectors on the latest lines."""
+    norm, points = lines(spark, sf_dir)
+    found = [
+        ("double_top", patterns.double_extremes(norm, points, True, 0.1)), ("double_bottom", patterns.double_extremes(norm, points, False, 0.1)),
+        ("triple_top", patterns.triple_extremes(norm, points, True, 0.1)), ("triple_bottom", patterns.triple_extremes(norm, points, False, 0.1)),
+        ("head_shoulders", patterns.head_shoulders(points, True)), ("inv_head_shoulders", patterns.head_shoulders(points, False)),
+    ]
+    rows = [d.select("symbol", F.lit(name).alias("type"), "confidence", F.lit(i).alias("ord")) for i, (name, d) in enumerate(found)]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
+@query()
+def type_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The type scan: every series with its primary type, the surest first."""
+    return rounded(structures.primary_types(candidates(spark, sf_dir))).orderBy(F.col("confidence").desc(), "symbol")
+
+
+@query()
+def pattern_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structures.shared_types(candidates(spark, sf_dir))
