@@ -93,7 +93,7 @@ def pareto_mix(
     base, names = sheltered(docs)
     key, text, source = names[key], names[text], names[source]
     base = base.withColumn("size", word_count(text))
-    group = F.floor(F.log2(F.col("size").cast("double") + 1)).cast("int")
+    group = (F.length(F.bin(F.col("size") + 1)) - 1).cast("int")  # the whole part of log2(size + 1)
     base = base.withColumns({"_src": F.col(source), "_class": group, "_u": uniform(F.col(key), seed)})
 
     # sources x length classes (at most 64 a source): the only table that is shared out

@@ -68,5 +68,26 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_sorted_string_tables, op2_gif_media, op3_arc_to_warc, op4_edit_embedding, op5_simhash_anchors, op6_license_scan, op7_best_fit_packing, op8_factorization_machine, op9_pareto_mix, op10_line_minhash)}
 
 
+#: Water filling of shares ``w`` of ``total`` up to ``cap`` as SQL: the rows of ``table`` with their ``share``, per ``by``.
+_FILL = """{name}_1 AS (SELECT *, CASE WHEN w > 0 THEN cap / w ELSE 'inf'::DOUBLE END AS edge FROM {table}),
+{name}_2 AS (SELECT *, total - coalesce(sum(cap) OVER o, 0) AS rest, sum(w) OVER (PARTITION BY {by}) - coalesce(sum(w) OVER o, 0) AS ws FROM {name}_1
+  WINDOW o AS (PARTITION BY {by} ORDER BY edge, w DESC, cap ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+{name}_3 AS (SELECT *, CASE WHEN ws > 0 THEN rest / ws ELSE 0 END AS level FROM {name}_2),
+{name} AS (SELECT *, CASE WHEN edge <= level THEN cap ELSE least(cap, greatest(0.0, w * max(CASE WHEN edge > level THEN level END) OVER (PARTITION BY {by}))) END AS share FROM {name}_3)"""
+
+_MIX = f"""WITH b AS (SELECT *, length(bin(size + 1)) - 1 AS cls FROM (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
+  (('0x' || substr(md5('20:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::UBIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u FROM documents)),
+src AS (SELECT source, s, 2.0 * s AS cap, sum(s) OVER () * 1.5::DOUBLE AS total, [5.0::DOUBLE, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w, 0 AS one
+  FROM (SELECT source, sum(size)::DOUBLE AS s FROM b GROUP BY 1)),
+{_FILL.format(name="t", table="src", by="one")},
+cl AS (SELECT c.source, cls, cs, t.s AS source_size, t.share AS total, 2.0 * cs AS cap, (cls + 1) * cs AS w FROM (SELECT source, cls, sum(size)::DOUBLE AS cs FROM b GROUP BY 1, 2) c JOIN t ON c.source IS NOT DISTINCT FROM t.source),
+{_FILL.format(name="f", table="cl", by="source")},
+e AS (SELECT *, least(CASE WHEN cs > 0 THEN round(share / cs, 9) ELSE 0 END, 2.0) AS e FROM f),
+g AS (SELECT source, cls, source_size, total AS target, floor(e)::BIGINT AS sure, e - floor(e) AS p, total - sum(floor(e) * cs) OVER (PARTITION BY source) AS wanted FROM e),
+r AS (SELECT b.doc_id, b.source, size, source_size, target, sure, wanted, CASE WHEN p > 0 AND size > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS odds FROM b JOIN g ON b.source IS NOT DISTINCT FROM g.source AND b.cls = g.cls),
+x AS (SELECT *, odds IS NOT NULL AND wanted > 0 AND sum(CASE WHEN odds IS NOT NULL THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY odds / (1 + odds) NULLS LAST, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) - size / 2 <= wanted AS extra FROM r)
+SELECT doc_id, size, source_size::BIGINT AS source_size, target, (sure + extra::BIGINT) * size AS taken, source, sure + extra::BIGINT AS copies FROM x"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_pareto_mix": _MIX}
