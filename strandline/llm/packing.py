@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import word_count
+from strandline.llm.common import materialise, word_count
 
 LENGTHS = (256, 512, 1024, 2048, 4096)
 #: Cost of a sequence besides its length, and the length at which attention costs as much as the rest.
@@ -76,8 +76,8 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", lengths: tupl
     Null and empty texts are one end token; null keys are packed like others; repeated rows are
     packed each; an empty table gives no rows. Other columns aren't used.
     """
-    rows = pieces(docs, key, text, lengths[-1])
-    groups = max(1, -(-docs.count() // GROUP))
+    rows = materialise(pieces(docs, key, text, lengths[-1]), "pieces")
+    groups = max(1, -(-rows.count() // GROUP))
     # a row's place spreads even rows that are all alike
     rows = rows.withColumn("group", F.pmod(F.xxhash64("k", "piece", F.monotonically_increasing_id()), F.lit(groups)))
     rows = rows.withColumn("k", F.col("k").cast("string"))
