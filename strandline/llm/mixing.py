@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.common import sheltered, word_count
+from strandline.llm.common import materialise, sheltered, small, word_count
 
 #: Bins of a source's ranks; the rows of one bin of one source are put in order in one task.
 BINS = 4096
@@ -110,6 +110,7 @@ def pareto_mix(
     per_source = Window.partitionBy("_src")
     classes = classes.withColumn("_wanted", F.col("target") - F.sum(F.col("_sure") * F.col("class_size")).over(per_source))
     classes = classes.select(F.col("_src").alias("_cs"), F.col("_class").alias("_cc"), "source_size", "target", "_sure", "_p", "_wanted")
+    classes = small(materialise(classes, "mix-classes"), 128)  # written: small enough to be sent to the rows, which then stay where they are
     rows = base.join(classes, F.col("_src").eqNullSafe(F.col("_cs")) & (F.col("_class") == F.col("_cc"))).drop("_cs", "_cc")
 
     # Pareto order: random odds over inclusion odds; a monotone map to [0, 1) gives the bins
@@ -124,6 +125,7 @@ def pareto_mix(
     bins = bins.withColumn("_before", F.sum("_words").over(upto) - F.col("_words"))
     cut = bins.where((F.col("_before") < F.col("_wanted")) & (F.col("_before") + F.col("_words") >= F.col("_wanted")))
     cut = cut.select(F.col("_src").alias("_cs"), F.col("_bin").alias("_cut"), "_before", F.lit(True).alias("_has_cut"))
+    cut = small(materialise(cut, "mix-cuts"), 64)
     rows = rows.join(cut, F.col("_src").eqNullSafe(F.col("_cs")), "left").drop("_cs")
     rows = rows.withColumn("_at_cut", F.coalesce(F.col("_bin") == F.col("_cut"), F.lit(False)))
 
