@@ -55,13 +55,14 @@ def alternate(y: np.ndarray, points: list[tuple[int, bool]]) -> list[tuple[int,
     if len(points) <= 2:
         return points
     least = max(0.04, 1.5 * float(np.abs(np.diff(y)).mean()))
+    span = float(y.max() - y.min())
     kept = [points[0]]
     for i, high in points[1:]:
         at, kind = kept[-1]
         if kind == high:
             if (y[i] >= y[at]) if high else (y[i] <= y[at]):
                 kept[-1] = (i, high)
-        elif abs(y[i] - y[at]) / (abs(y[at]) + 1e-10) >= least:
+        elif span > 0 and abs(y[i] - y[at]) / span >= least:
             kept.append((i, high))
     out = [kept[0]]
     for i, high in kept[1:]:

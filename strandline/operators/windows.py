@@ -77,9 +77,9 @@ def arg_extremes(bars: DataFrame) -> DataFrame:
 
 
 def line_fit(bars: DataFrame) -> DataFrame:
-    """Least-squares line of closes over places."""
+    """Least-squares line of closes over places (G3); a flat series has r 0."""
     return bars.groupBy("symbol").agg(
-        F.regr_slope("close", "idx").alias("slope"), F.regr_intercept("close", "idx").alias("intercept"), F.corr("close", "idx").alias("r"),
+        F.regr_slope("close", "idx").alias("slope"), F.regr_intercept("close", "idx").alias("intercept"), (F.signum(F.regr_slope("close", "idx")) * F.sqrt(F.regr_r2("close", "idx"))).alias("r"),
         F.count("*").alias("n"), (F.max("close") - F.min("close")).alias("span"),
     )
 
@@ -107,16 +107,18 @@ def compression(bars: DataFrame) -> DataFrame:
 
 
 def breakout_strength(bars: DataFrame) -> DataFrame:
-    """.3 end move + .3 min(3, deviation ratio) / 3 + .4 range break, last quarter against the rest."""
-    rows = normalised(bars).withColumn("tail", F.col("idx") >= F.floor(F.count("*").over(by_series()) * 0.75))
+    """.3 end move + .3 min(3, ratio of the moves' deviations) / 3 + .4 range break, last quarter against the rest, at most 1 (P7); 0 under 15 bars."""
+    n, part = F.count("*").over(by_series()), Window.partitionBy("symbol", "tail").orderBy("idx")
+    rows = normalised(bars).withColumns({"n": n, "tail": F.col("idx") >= F.floor(n * 0.75)}).withColumn("move", F.col("y") - F.lag("y").over(part))
+    tail = F.col("tail")
     rows = rows.groupBy("symbol").agg(
-        F.stddev_pop(F.when(~F.col("tail"), F.col("y"))).alias("s1"), F.stddev_pop(F.when(F.col("tail"), F.col("y"))).alias("s2"),
-        F.max(F.when(~F.col("tail"), F.col("y"))).alias("hi"), F.min(F.when(~F.col("tail"), F.col("y"))).alias("lo"),
-        F.max_by("y", "idx").alias("last"), F.min_by("y", F.when(F.col("tail"), F.col("idx"))).alias("first"),
+        F.max("n").alias("n"), F.stddev_pop(F.when(~tail, F.col("move"))).alias("s1"), F.stddev_pop(F.when(tail, F.col("move"))).alias("s2"),
+        F.max(F.when(~tail, F.col("y"))).alias("hi"), F.min(F.when(~tail, F.col("y"))).alias("lo"), F.max_by("y", "idx").alias("last"), F.min_by("y", F.when(tail, F.col("idx"))).alias("first"),
     )
-    breaks = ((F.col("last") > F.col("hi")) | (F.col("last") < F.col("lo"))).cast("double")
+    breaks = F.greatest(F.lit(0.0), F.col("last") - F.col("hi")) + F.greatest(F.lit(0.0), F.col("lo") - F.col("last"))
     grown = F.least(F.lit(3.0), F.col("s2") / (F.col("s1") + 1e-10)) / 3
-    return rows.select("symbol", (0.3 * F.abs(F.col("last") - F.col("first")) + 0.3 * grown + 0.4 * breaks).alias("breakout_strength"))
+    score = F.least(F.lit(1.0), 0.3 * F.abs(F.col("last") - F.col("first")) + 0.3 * grown + 0.4 * breaks)
+    return rows.select("symbol", F.when(F.col("n") < 15, 0.0).otherwise(score).alias("breakout_strength"))
 
 
 def normalised(bars: DataFrame) -> DataFrame:

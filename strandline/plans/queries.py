@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import shapes
-from strandline.operators import folds, levels, patterns, relevance, similarity, store, structures, validation, windows
+from strandline.operators import features, folds, levels, patterns, relevance, similarity, store, structures, validation, windows
 from strandline.sources.series import event_bars, latest, ship_days, table
 from strandline.streaming import live
 
@@ -136,9 +136,9 @@ def compression(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT symbol, round(0.3 * abs(last - first) + 0.3 * least(3.0, s2 / (s1 + 1e-10)) / 3 + 0.4 * CASE WHEN last > hi OR last < lo THEN 1 ELSE 0 END, 6) AS breakout_strength
-    FROM (SELECT symbol, stddev_pop(y) FILTER (NOT t) AS s1, stddev_pop(y) FILTER (t) AS s2, max(y) FILTER (NOT t) AS hi, min(y) FILTER (NOT t) AS lo, arg_max(y, idx) AS last,
-    arg_min(y, idx) FILTER (t) AS first FROM (SELECT *, idx >= floor(count(*) OVER (PARTITION BY symbol) * 0.75) AS t FROM nm) GROUP BY 1)""", _BARS, _NORM)
+    """SELECT symbol, round(CASE WHEN n < 15 THEN 0.0 ELSE least(1.0, 0.3 * abs(last - first) + 0.3 * least(3.0, s2 / (s1 + 1e-10)) / 3 + 0.4 * (greatest(0.0, last - hi) + greatest(0.0, lo - last))) END, 6) AS breakout_strength
+    FROM (SELECT symbol, count(*) AS n, stddev_pop(mv) FILTER (NOT t) AS s1, stddev_pop(mv) FILTER (t) AS s2, max(y) FILTER (NOT t) AS hi, min(y) FILTER (NOT t) AS lo, arg_max(y, idx) AS last, arg_min(y, idx) FILTER (t) AS first
+    FROM (SELECT *, y - lag(y) OVER (PARTITION BY symbol, t ORDER BY idx) AS mv FROM (SELECT *, idx >= floor(count(*) OVER (PARTITION BY symbol) * 0.75) AS t FROM nm)) GROUP BY 1)""", _BARS, _NORM)
 def breakout_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(windows.breakout_strength(series(spark, sf_dir)))
 
@@ -632,3 +632,89 @@ def type_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def pattern_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structures.shared_types(candidates(spark, sf_dir))
+
+
+# --- scores of lines and pivots ---
+
+_PROM = """prom AS (SELECT p.symbol, p.idx, is_high, price, CASE WHEN is_high THEN price - min(y) ELSE max(y) - price END AS prominence FROM (SELECT *, coalesce(lag(idx) OVER o, 0) AS a, coalesce(lead(idx) OVER o, 2147483647) AS b
+  FROM yp WINDOW o AS (PARTITION BY symbol ORDER BY idx, is_high)) p JOIN nm ON nm.symbol = p.symbol AND nm.idx BETWEEN a AND b GROUP BY p.symbol, p.idx, is_high, price)"""
+_SWINGS = """sw AS (SELECT symbol, highs, lows, CASE WHEN highs >= 2 THEN hh / (highs - 1) ELSE 0 END AS hh, CASE WHEN highs >= 2 THEN lh / (highs - 1) ELSE 0 END AS lh, CASE WHEN lows >= 2 THEN hl / (lows - 1) ELSE 0 END AS hl,
+  CASE WHEN lows >= 2 THEN ll / (lows - 1) ELSE 0 END AS ll FROM (SELECT symbol, count(*) FILTER (is_high) AS highs, count(*) FILTER (NOT is_high) AS lows, count(*) FILTER (is_high AND d > 0) AS hh, count(*) FILTER (is_high AND d < 0) AS lh,
+  count(*) FILTER (NOT is_high AND d > 0) AS hl, count(*) FILTER (NOT is_high AND d < 0) AS ll FROM (SELECT *, price - lag(price) OVER (PARTITION BY symbol, is_high ORDER BY idx) AS d FROM yp) GROUP BY 1))"""
+
+
+@query("SELECT symbol, idx, is_high, round(price, 6) AS price, round(prominence, 6) AS prominence FROM prom", _BARS, _NORM, _PROM)
+def pivot_prominence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(features.prominences(*lines(spark, sf_dir)))
+
+
+@query(
+    """SELECT symbol, round(CASE WHEN n < 10 OR coalesce(m, 0) < 2 OR span < 1e-10 THEN 0.0 ELSE 0.25 * least(1.0, m / 4) + 0.30 * turns / greatest(1, m - 1) + 0.25 * least(1.0, coalesce(o, 0) * 5) + 0.20 * greatest(0.0, 1 - noise / 3) END, 6) AS quality
+    FROM (SELECT symbol, count(*) AS n, max(y) - min(y) AS span, stddev_pop(mv) / (avg(mv) + 1e-10) AS noise FROM (SELECT symbol, y, abs(y - lag(y) OVER (PARTITION BY symbol ORDER BY idx)) AS mv FROM nm) GROUP BY 1) LEFT JOIN
+    (SELECT symbol, count(*) AS m, count(*) FILTER (turn) AS turns, avg(prominence) FILTER (prominence > 0) AS o FROM (SELECT *, is_high <> lag(is_high) OVER (PARTITION BY symbol ORDER BY idx, is_high) AS turn FROM prom) GROUP BY 1) USING (symbol)""",
+    _BARS, _NORM, _PROM)
+def quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(features.quality(*lines(spark, sf_dir)))
+
+
+@query(
+    """SELECT symbol, idx, round(tanh(dy / (dx + 1e-10)), 6) AS slope, round(atan2(dx * ny - dy * nx, dx * nx + dy * ny) / pi(), 6) AS turn, round(CASE WHEN t > 0 THEN d / t ELSE d END, 6) AS share FROM
+    (SELECT *, sum(d) OVER (PARTITION BY symbol) AS t FROM (SELECT *, lead(dx) OVER o AS nx, lead(dy) OVER o AS ny, sqrt(dx * dx + dy * dy) AS d FROM (SELECT symbol, idx, is_high, (idx - lag(idx) OVER o) / n AS dx, price - lag(price) OVER o AS dy
+    FROM yp JOIN (SELECT symbol, count(*) AS n FROM nm GROUP BY 1) USING (symbol) WINDOW o AS (PARTITION BY symbol ORDER BY idx, is_high)) WINDOW o AS (PARTITION BY symbol ORDER BY idx, is_high))) WHERE dx IS NOT NULL""", _BARS, _NORM)
+def pivot_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(features.legs(*lines(spark, sf_dir)))
+
+
+@query("SELECT symbol, highs, lows, round(hh, 6) AS hh, round(lh, 6) AS lh, round(hl, 6) AS hl, round(ll, 6) AS ll FROM sw", _BARS, _NORM, _SWINGS)
+def swing_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(features.swings(lines(spark, sf_dir)[1]))
+
+
+@query(
+    """SELECT symbol, round(coalesce(sy, 0), 6) AS symmetry, round(CASE WHEN highs >= 2 AND lows >= 2 AND s0 > 0 THEN greatest(-1.0, least(1.0, (s0 - s1) / s0)) ELSE 0 END, 6) AS convergence,
+    round(CASE WHEN highs + lows < 3 THEN 0 ELSE (greatest(hh, lh) + greatest(hl, ll)) / 2 END, 6) AS consistency FROM sw JOIN (SELECT symbol, abs(arg_min(price, idx) FILTER (is_high) - arg_min(price, idx) FILTER (NOT is_high)) AS s0,
+    abs(arg_max(price, idx) FILTER (is_high) - arg_max(price, idx) FILTER (NOT is_high)) AS s1 FROM yp GROUP BY 1) USING (symbol) LEFT JOIN (SELECT a.symbol, avg(0.5 * (1 - least(1.0, abs(a.price - b.price))) + CASE WHEN a.is_high = b.is_high THEN 0.5 ELSE 0 END) AS sy
+    FROM rk a JOIN rk b ON a.symbol = b.symbol AND b.r = a.m - 1 - a.r WHERE a.m >= 4 AND a.r < a.m // 2 GROUP BY 1) USING (symbol)""", _BARS, _NORM, _SWINGS,
+    "rk AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY idx, is_high) - 1 AS r, count(*) OVER (PARTITION BY symbol) AS m FROM yp)")
+def pivot_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(features.geometry(lines(spark, sf_dir)[1]))
+
+
+@query(
+    """SELECT symbol, round(CASE WHEN n < 10 OR mean = 0 THEN 0.5 ELSE least(1.0, least(1.5, coalesce(at_p / mean, 1)) / 1.5 * 0.3 + least(1.5, CASE WHEN v1 > 0 THEN v2 / v1 ELSE 1 END) / 1.5 * 0.3 + least(2.0, vt / mean) / 2.0 * 0.4) END, 6) AS volume_confirmation
+    FROM (SELECT symbol, count(*) AS n, avg(volume) AS mean, avg(volume) FILTER (idx < floor(c / 2)) AS v1, avg(volume) FILTER (idx >= floor(c / 2)) AS v2, avg(volume) FILTER (idx >= floor(c * 0.85)) AS vt FROM (SELECT *, count(*) OVER (PARTITION BY symbol) AS c FROM s) GROUP BY 1)
+    LEFT JOIN (SELECT symbol, avg(volume) AS at_p FROM piv JOIN (SELECT symbol, idx, volume FROM s) USING (symbol, idx) GROUP BY 1) USING (symbol)""", _BARS, _PIV)
+def volume_confirmation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = series(spark, sf_dir)
+    return rounded(features.volume_confirmation(bars, windows.pivots(bars)))
+
+
+@query(
+    """SELECT symbol, idx, is_high, round(price, 6) AS price, round(score, 6) AS score FROM (SELECT *, round(0.5 * CASE WHEN prominence > 0 THEN prominence ELSE abs(price - mean) END + 0.3 * greatest(coalesce(abs(price - lag(price) OVER o), 0), coalesce(abs(price - lead(price) OVER o), 0)) + 0.2, 9) AS score
+    FROM prom JOIN (SELECT symbol, avg(y) AS mean FROM nm GROUP BY 1) USING (symbol) WINDOW o AS (PARTITION BY symbol ORDER BY idx, is_high)) QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY score DESC, idx DESC, is_high DESC) <= 10""", _BARS, _NORM, _PROM)
+def important_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(features.important_pivots(*lines(spark, sf_dir)))
+
+
+@query(
+    """SELECT symbol, dir AS direction, round(CASE WHEN dir IS NULL THEN 0 ELSE least(1.0, conf) END, 6) AS confidence, NOT coalesce(CASE WHEN n < 6 THEN false WHEN dir = 'up' THEN last - tv < -0.35 OR (high_at < cut AND hi - last > 0.45) WHEN dir = 'down' THEN last - tv > 0.35 OR (low_at < cut AND last - lo > 0.45) END, false) AS is_active FROM
+    (SELECT *, CASE WHEN few THEN CASE WHEN abs(mv) > 0.4 AND abs(lean) > 0.3 THEN CASE WHEN lean > 0 THEN 'up' ELSE 'down' END END WHEN mv > 0.15 AND (hh >= 0.5 OR hl >= 0.5) AND cu > 0.35 THEN 'up' WHEN mv < -0.15 AND (lh >= 0.5 OR ll >= 0.5) AND cd > 0.35 THEN 'down'
+    WHEN abs(mv) > 0.55 AND r2 > 0.5 THEN CASE WHEN mv > 0 THEN 'up' ELSE 'down' END END AS dir, CASE WHEN few THEN CASE WHEN abs(mv) > 0.4 AND abs(lean) > 0.3 THEN 0.5 * abs(mv) + 0.5 * abs(lean) END WHEN mv > 0.15 AND (hh >= 0.5 OR hl >= 0.5) AND cu > 0.35 THEN cu
+    WHEN mv < -0.15 AND (lh >= 0.5 OR ll >= 0.5) AND cd > 0.35 THEN cd WHEN abs(mv) > 0.55 AND r2 > 0.5 THEN 0.5 * abs(mv) + 0.5 * r2 END AS conf FROM
+    (SELECT *, least(1.0, abs(mv)) * 0.35 + (hh + hl) / 2 * 0.35 + r2 * 0.3 AS cu, least(1.0, abs(mv)) * 0.35 + (lh + ll) / 2 * 0.35 + r2 * 0.3 AS cd, highs < 2 OR lows < 2 AS few FROM
+    (SELECT l.*, coalesce(highs, 0) AS highs, coalesce(lows, 0) AS lows, coalesce(hh, 0) AS hh, coalesce(hl, 0) AS hl, coalesce(lh, 0) AS lh, coalesce(ll, 0) AS ll FROM (SELECT symbol, count(*) AS n, max(cut) AS cut, arg_max(y, idx) AS last, arg_max(y, idx) - arg_min(y, idx) AS mv, min(y) AS lo, max(y) AS hi,
+    max(y) FILTER (idx = cut) AS tv, arg_min(idx, row(y, idx)) AS low_at, arg_max(idx, row(y, -idx)) AS high_at, corr(y, idx) ** 2 AS r2, tanh(regr_slope(y, idx) * count(*) / (max(y) - min(y) + 1e-10)) * abs(corr(y, idx)) AS lean FROM
+    (SELECT *, c - greatest(5, floor(c / 5)) AS cut FROM (SELECT *, count(*) OVER (PARTITION BY symbol) AS c FROM nm)) GROUP BY 1) l LEFT JOIN sw USING (symbol))))""", _BARS, _NORM, _SWINGS)
+def trend_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(features.trends(*lines(spark, sf_dir)))
+
+
+@query()
+def pivot_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pivot sequences and leg lengths of every series against those of the first one, a single row."""
+    norm, points = lines(spark, sf_dir)
+    spoken = points.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("idx", "is_high", "price"))).alias("p")).select("symbol", F.col("p.price").alias("p"))
+    lengths = features.legs(norm, points).groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("idx", "share"))).alias("d")).select("symbol", F.col("d.share").alias("d"))
+    rows = spoken.join(lengths, "symbol", "left")
+    rows = similarity.against(rows, rows.orderBy("symbol").select(F.col("p").alias("q"), F.col("d").alias("e")))
+    return rounded(rows.select("symbol", features.pivot_likeness(F.col("p"), F.col("q")).alias("pivots"), features.distance_likeness(F.col("d"), F.col("e")).alias("distances")))
