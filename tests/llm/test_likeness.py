@@ -155,3 +155,35 @@ def test_lines_of_odd_tables(docs, no_docs):
     rows = {r["doc_id"]: r for r in out.collect()}
     assert rows[1]["kept_lines"] == 2 and rows[6]["text"] == "short"
     assert line_dedup.dedup_lines(no_docs).count() == 0
+
+
+def _shingled(x):
+    return {x[i : i + 5] for i in range(len(x) - 4)}
+
+
+def _jaccard(a, b):
+    a, b = _shingled(a), _shingled(b)
+    return len(a & b) / len(a | b)
+
+
+def _near_line(draw, line, low=0.8, high=0.9):
+    """``line`` with random letters changed, at a similarity from ``low`` to ``high``."""
+    while True:
+        new = list(line)
+        for at in draw.sample(range(len(line)), draw.randint(1, 1 + len(line) // 40)):
+            new[at] = draw.choice("abcdefghijklmnopqrstuvwxyzäß漢")
+        if low <= _jaccard(line, "".join(new)) <= high:
+            return "".join(new)
+
+
+def _random_line(draw, n):
+    return "".join(draw.choice("abcdefghijklmnop  äß漢") for _ in range(n - 2)).join("xy")
+
+
+def test_near_lines_of_each_length_are_found(spark):
+    draw = random.Random(11)
+    for low, high in ((30, 44), (45, 99), (100, 400)):
+        lines = [_random_line(draw, draw.randint(low, high)) for _ in range(250)]
+        rows = [(i, x) for i, x in enumerate(lines)] + [(1000 + i, _near_line(draw, x)) for i, x in enumerate(lines)]
+        found = {r["id"] for r in line_dedup.doubles(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert found <= {1000 + i for i in range(250)} and len(found) >= 0.98 * 250, (low, len(found))
