@@ -187,3 +187,22 @@ def test_near_lines_of_each_length_are_found(spark):
         rows = [(i, x) for i, x in enumerate(lines)] + [(1000 + i, _near_line(draw, x)) for i, x in enumerate(lines)]
         found = {r["id"] for r in line_dedup.doubles(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
         assert found <= {1000 + i for i in range(250)} and len(found) >= 0.98 * 250, (low, len(found))
+
+
+def test_links_beside_the_least_line_of_a_band(spark):
+    """A family around a common passage: pairs near each other whose bands hold many lines that are not near, and a chain."""
+    draw = random.Random(12)
+    shared = _random_line(draw, 260)
+    rows, want = [], set()
+    for pair in range(40):
+        line = shared + _random_line(draw, 40)
+        rows += [(10 * pair, line), (10 * pair + 1, _near_line(draw, line, 0.8, 0.83))]
+        want.add(10 * pair + 1)
+    chain = _random_line(draw, 200)
+    for i in range(12):
+        rows.append((5000 + i, chain))
+        chain = _near_line(draw, chain, 0.81, 0.9)
+    got = {r["id"] for r in line_dedup.doubles(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    exact = {d for d, _ in _slow_drops(rows)}
+    assert want <= exact and len(exact) == 40 + 11
+    assert got <= exact and len(exact - got) <= 1
