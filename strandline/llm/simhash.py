@@ -65,15 +65,15 @@ def fingerprint(text: str) -> int:
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key`` and ``fp``, the fingerprint as a signed long."""
+    """``key``, ``own``, a hash that tells the texts of one key apart, and ``fp``, the fingerprint as a signed long."""
 
     def make(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             fps = np.array([fingerprint(t) for t in frame["t"]], np.uint64).view(np.int64)
-            yield pd.DataFrame({"k": frame["k"], "fp": fps})
+            yield pd.DataFrame({"k": frame["k"], "own": frame["own"], "fp": fps})
 
-    rows = docs.select(F.col(key).cast("string").alias("k"), whole_text(text).alias("t"))
-    return rows.mapInPandas(make, "k string, fp long").select(F.col("k").cast("long").alias(key), "fp")
+    rows = docs.select(F.col(key).cast("string").alias("k"), F.xxhash64(whole_text(text)).alias("own"), whole_text(text).alias("t"))
+    return rows.mapInPandas(make, "k string, own long, fp long").select(F.col("k").cast("long").alias(key), "own", "fp")
 
 
 # --- the covering code ---
@@ -183,6 +183,14 @@ def links(distinct: DataFrame) -> DataFrame:
     return groups.mapInPandas(_compare, "a long, b long")
 
 
+def _rooted(marked: DataFrame, key: str) -> DataFrame:
+    """``fp``, ``least`` (its least key) and ``root`` (the least fingerprint reached by links) of each fingerprint."""
+    distinct = materialise(marked.groupBy("fp").agg(F.min(key).alias("least")), "simhash-distinct")
+    reached = components(links(distinct))
+    roots = distinct.join(reached, distinct["fp"] == reached["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    return materialise(roots, "simhash-roots")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, ``fp`` and ``component_id``: the least key of the documents reached by links.
 
@@ -191,28 +199,28 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     repeated rows each get their row; an empty table gives an empty result.
     """
     marked = materialise(fingerprints(docs, key, text), "simhash")
-    distinct = materialise(marked.groupBy("fp").agg(F.min(key).alias("least")), "simhash-distinct")
-    reached = components(links(distinct))
-    roots = distinct.join(reached, distinct["fp"] == reached["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    roots = materialise(roots, "simhash-roots")
+    roots = _rooted(marked, key)
     ids = roots.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = roots.join(ids, "root").select("fp", "component_id")
     return marked.join(classes, "fp").select(key, "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents without near-duplicates of one with a lesser key; columns as they were.
+    """One document of each class of near-duplicates, that of the least key, nulls last; columns as they were.
 
-    Of repeated rows with one key, one stays; only such rows are grouped, the others' texts stay where
-    they are. Rows without a key stay if one of them stands alone.
+    Texts under one key, or without a key, are told apart by a hash. Of repeats of key and text one stays;
+    only such rows are grouped, the others' texts stay where they are.
     """
-    classes = near_duplicates(docs, key, text).select(F.col(key).alias("_k"), "component_id")
-    classes = materialise(classes.groupBy("_k").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n")), "simhash-classes")
+    marked = materialise(fingerprints(docs, key, text).withColumnRenamed(key, "_k").withColumnRenamed("own", "_own"), "simhash")
+    roots = _rooted(marked, "_k").select("fp", "root")
+    rows_of = marked.groupBy("fp", "_k", "_own").agg(F.count("*").alias("n")).join(roots, "fp")
+    firsts = rows_of.groupBy("root").agg(F.min(F.struct(F.col("_k").isNull().alias("no_key"), "_k", "_own", "n")).alias("first"))
+    keepers = materialise(firsts.select("first._k", "first._own", "first.n"), "simhash-keepers")
     rows, names = sheltered(docs)
-    same = F.col(names[key]).eqNullSafe(F.col("_k"))
-    keepers = materialise(classes.where("_k <=> component_id").select("_k", "n"), "simhash-keepers")
-    kept = rows.join(small(keepers.where("n = 1").select("_k"), 24), same, "left_semi")
-    again = keepers.where("n > 1").select("_k")
+    rows = rows.withColumn("_hash", F.xxhash64(whole_text(names[text])))
+    same = F.col(names[key]).eqNullSafe(F.col("_k")) & (F.col("_hash") == F.col("_own"))
+    kept = rows.join(small(keepers.where("n = 1").select("_k", "_own"), 32), same, "left_semi")
+    again = keepers.where("n > 1").select("_k", "_own")
     if not again.isEmpty():
-        kept = kept.unionByName(rows.join(small(again, 24), same, "left_semi").dropDuplicates([names[key]]))
+        kept = kept.unionByName(rows.join(small(again, 32), same, "left_semi").dropDuplicates([names[key], "_hash"]))
     return kept.select(*[F.col(n).alias(c) for c, n in names.items()])

@@ -206,3 +206,16 @@ def test_links_beside_the_least_line_of_a_band(spark):
     exact = {d for d, _ in _slow_drops(rows)}
     assert want <= exact and len(exact) == 40 + 11
     assert got <= exact and len(exact - got) <= 1
+
+
+def test_rows_that_share_a_key_keep_their_own_text(spark):
+    draw = random.Random(13)
+    a, b, c, d, e = (" ".join(_random_line(draw, 60) for _ in range(4)) for _ in range(5))
+    rows = [(1, a), (None, a), (None, b), (None, c), (7, d), (7, e), (7, e)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted((r["doc_id"] or 0, r["text"]) for r in simhash.keep_one(df).collect())
+    assert kept == sorted([(1, a), (0, b), (0, c), (7, d), (7, e)])
+    x, y, z, w = (_random_line(draw, 60) for _ in range(4))
+    rows = [(1, x), (None, f"{x}\n{y}"), (None, f"{z}\n{x}"), (7, f"{w}\n{x}"), (7, f"{x}\nshort")]
+    left = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in left) == sorted([(1, x), (0, y), (0, z), (7, w), (7, "short")])
