@@ -105,12 +105,12 @@ def test_components_of_a_chain(spark):
     assert got == {**{i: 0 for i in range(n + 1)}, 100: 100, 101: 100}
 
 
-def _slow_drops(rows):
+def _slow_drops(rows, least=0.8):
     first, at = {}, []
     for doc, text in sorted(rows):
         for p, line in enumerate((text or "").split("\n")):
             line = line.strip(" \t\r\f\v")
-            if len(line) >= line_dedup.MIN_CHARS:
+            if line:
                 first.setdefault(line, (doc, p))
                 at.append((doc, p, line))
     lines = list(first)
@@ -124,8 +124,8 @@ def _slow_drops(rows):
 
     for i in range(len(lines)):
         for j in range(i):
-            k = len(sets[i] & sets[j])
-            if k >= 0.8 * (len(sets[i]) + len(sets[j]) - k):
+            k = len(sets[i] & sets[j]) if min(len(lines[i]), len(lines[j])) >= line_dedup.MIN_CHARS else 0
+            if k and k >= least * (len(sets[i]) + len(sets[j]) - k):
                 root[find(i)] = find(j)
     stays = {}
     for i, x in enumerate(lines):
@@ -140,10 +140,12 @@ def test_lines_against_all_pairs(spark, corpus):
     rows += [(1000 + i, base % (i, i * i)) for i in range(3)] + [(2000, None), (2001, ""), (2002, "short\nshort")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = _slow_drops(rows)
+    exact = _slow_drops(rows, least=1.0)
     got = {(r["id"], p) for r in line_dedup.doubles(df).collect() for p in r["drop"]}
-    assert got <= want and len(want - got) <= 0.03 * len(want)
+    assert got <= want and exact <= got
+    assert len(got - exact) >= 0.95 * len(want - exact) > 0
     kept = {r["doc_id"]: r for r in line_dedup.dedup_lines(df).collect()}
-    assert kept[2000]["text"] is None and kept[2001]["text"] == "" and kept[2002]["text"] == "short\nshort"
+    assert kept[2000]["text"] is None and kept[2001]["text"] == "" and kept[2002]["text"] == "short"
     for d, t in rows:
         if t is not None:
             assert kept[d]["text"] == "\n".join(x for p, x in enumerate(t.split("\n")) if (d, p) not in got)
@@ -153,7 +155,7 @@ def test_lines_of_odd_tables(docs, no_docs):
     out = line_dedup.dedup_lines(docs)
     assert out.count() == docs.count() and out.columns == [*docs.columns, "n_lines", "kept_lines"]
     rows = {r["doc_id"]: r for r in out.collect()}
-    assert rows[1]["kept_lines"] == 2 and rows[6]["text"] == "short"
+    assert rows[1]["kept_lines"] == 2 and rows[6]["text"] == ""
     assert line_dedup.dedup_lines(no_docs).count() == 0
 
 
@@ -216,6 +218,28 @@ def test_rows_that_share_a_key_keep_their_own_text(spark):
     kept = sorted((r["doc_id"] or 0, r["text"]) for r in simhash.keep_one(df).collect())
     assert kept == sorted([(1, a), (0, b), (0, c), (7, d), (7, e)])
     x, y, z, w = (_random_line(draw, 60) for _ in range(4))
-    rows = [(1, x), (None, f"{x}\n{y}"), (None, f"{z}\n{x}"), (7, f"{w}\n{x}"), (7, f"{x}\nshort")]
+    rows = [(1, x), (None, f"{x}\n{y}"), (None, f"{z}\n{x}"), (7, f"{w}\n{x}"), (7, f"{x}\n\nshort")]
     left = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert sorted((r["doc_id"] or 0, r["text"]) for r in left) == sorted([(1, x), (0, y), (0, z), (7, w), (7, "short")])
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in left) == sorted([(1, x), (0, y), (0, z), (7, w), (7, "\nshort")])
+
+
+def test_signatures_by_hand():
+    """Minima of every permutation, counted run by run, for lines of each kind."""
+    draw = random.Random(14)
+    lines = [_random_line(draw, n) for n in (16, 40, 55, 67, 90, 400)]
+    which, bands = line_dedup.signatures(lines)
+    kinds = [(i, 0) for i, x in enumerate(lines) if len(x) - 4 <= line_dedup.SHORT[1]] + [(i, 1) for i, x in enumerate(lines) if len(x) - 4 >= line_dedup.SHORT[0]]
+    assert which.tolist() == [i for i, _ in kinds]
+    for (i, kind), found in zip(kinds, bands.view(np.uint64).tolist(), strict=True):
+        x = line_dedup.runs([lines[i]])[0].tolist()
+        assert len(x) == len(lines[i]) - 4
+        for band, want in enumerate(found):
+            made = 2 * band + kind
+            for row in range(line_dedup.ROWS):
+                turn, shift = line_dedup._TURNS[band, row].tolist()
+                ranks = [(v % 2**32 * turn % 2**32) ^ shift for v in x if not kind or (v >> 32) * line_dedup.ROWS >> 32 == row]
+                made = (made ^ min(ranks, default=2**32 - 1)) * 0x9E3779B97F4A7C15 % 2**64
+                made ^= made >> 31
+            assert made == want
+    same, _ = line_dedup.runs(["abcdefgh", "xabcdefghy"])
+    assert set(same[:4].tolist()) < set(same[4:].tolist())
