@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.common import fresh_path, whole_text
+from strandline.llm.common import fresh_path, materialise, small, whole_text
 
 #: Header fields of ARC records by version (fixed values of the format).
 ARC_FIELDS = {
@@ -34,6 +34,8 @@ CRLF = b"\r\n"
 #: Payloads of fewer bytes are stored again rather than revisited.
 LEAST_REVISIT = 1000
 PAGE_DATE = "20240101000000"
+#: An archive is closed once it has this many bytes before compression.
+ARCHIVE_BYTES = 32 * 1024 * 1024
 
 
 @dataclass
@@ -156,6 +158,57 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = end + 8 + size
 
 
+def _rolled(parts: Iterator[list[bytes]]) -> Iterator[pd.DataFrame]:
+    """Records in archives of about ``ARCHIVE_BYTES``, however long single records are; the last separator is left to the writer."""
+    kept, size = [], 0
+    for part in parts:
+        for record in part:
+            if kept and size + len(record) > ARCHIVE_BYTES:
+                yield pd.DataFrame({"value": [(CRLF + CRLF).join(kept)]})
+                kept, size = [], 0
+            kept.append(record)
+            size += len(record)
+    if kept:
+        yield pd.DataFrame({"value": [(CRLF + CRLF).join(kept)]})
+
+
+def _write_archives(archives: DataFrame, path: str) -> None:
+    """One gzip file for each row, through Spark's commit protocol; the writer's line end is what closes a record."""
+    files = archives.select(F.col("value").cast("string").alias("value"))
+    files.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", 1).text(path)
+
+
+def convert_archives(spark: SparkSession, arcs: str, path: str) -> DataFrame:
+    """Converts the ARC files under ``arcs`` (plain or gzip) to WARC archives under ``path``.
+
+    Returns a row for each ARC file: path, records, error. A damaged file gives the records before the damage and a
+    message in ``error``; the others are converted all the same. Payloads are stored whole, nothing is a revisit.
+    """
+
+    def parsed(content: bytes) -> tuple[list[ArcRecord], str | None]:
+        found: list[ArcRecord] = []
+        try:
+            for r in parse_arc(gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content):
+                found.append(r)
+        except (ValueError, KeyError, IndexError, EOFError, OSError) as damage:
+            return found, f"{type(damage).__name__}: {damage}"
+        return found, None
+
+    def convert(frames: Iterator[pd.DataFrame]) -> Iterator[list[bytes]]:
+        for frame in frames:
+            for content in frame["content"]:
+                yield [to_warc(r, {"X-Payload-Length": str(len(r.payload()))}) for r in parsed(content)[0]]
+
+    def report(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = [parsed(content) for content in frame["content"]]
+            yield pd.DataFrame({"path": frame["path"], "records": [len(f) for f, _ in found], "error": [e for _, e in found]})
+
+    files = spark.read.format("binaryFile").load(arcs).select("path", "content")
+    _write_archives(files.select("content").mapInPandas(lambda frames: _rolled(convert(frames)), "value binary"), path)
+    return files.mapInPandas(report, "path string, records long, error string")
+
+
 def _url(page_id: str | None, url: str | None) -> str:
     return quote(url, safe=":/?&=#%+,;@!$'()*~[]") if url else f"unknown:{page_id}"
 
@@ -175,9 +228,9 @@ def pages_to_warc(pages: DataFrame, path: str) -> None:
     groups = rows.where(F.col("size") >= LEAST_REVISIT).groupBy("digest").agg(
         F.max(F.struct("page_id", "url")).alias("kept"), F.count("*").alias("n")
     )
-    groups = groups.where("n > 1").select(F.col("digest").alias("group_digest"), "kept")
+    groups = materialise(groups.where("n > 1").select(F.col("digest").alias("group_digest"), "kept"), "revisit-groups")
     same = (F.col("digest") == F.col("group_digest")) & (F.col("size") >= LEAST_REVISIT)
-    rows = rows.join(groups, same, "left").drop("group_digest", "size", "digest")
+    rows = rows.join(small(groups, 256), same, "left").drop("group_digest", "size", "digest")
     rows = rows.withColumns({"keeper": F.col("kept.page_id"), "keeper_url": F.col("kept.url"), "revisits": F.coalesce(F.col("kept.page_id") != F.coalesce(F.col("page_id"), F.lit(-(2**63))), F.lit(False))}).drop("kept")
     # ids go as text: a batch with a null would make them floating-point numbers
     rows = rows.withColumns({c: F.col(c).cast("string") for c in ("page_id", "keeper")})
@@ -199,10 +252,9 @@ def pages_to_warc(pages: DataFrame, path: str) -> None:
                     refers = record_id(_url(r.keeper, r.keeper_url), PAGE_DATE, sha, r.keeper)
                     more["X-Refers-To-Page-Id"] = r.keeper
                 data.append(to_warc(record, more, refers))
-            yield pd.DataFrame({"value": data})
+            yield data
 
-    records = rows.mapInPandas(convert, "value binary").select(F.col("value").cast("string").alias("value"))
-    records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", 20_000).text(path)
+    _write_archives(rows.mapInPandas(lambda frames: _rolled(convert(frames)), "value binary"), path)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:

@@ -6,7 +6,7 @@ import atexit
 import shutil
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but ASCII white space (fixed value of the contract).
@@ -16,12 +16,14 @@ _own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or our own where that is unset.
+    """The folder all executors share: ``spark.checkpoint.dir``, or our own where that is unset and Spark runs in one process.
 
-    ``checkpoint()`` needs the context's checkpoint folder too, so it is set when Spark has none.
+    On a cluster an unset folder raises, as each executor would write to a disk of its own. ``checkpoint()`` needs the context's checkpoint folder too, so it is set when Spark has none.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         app = spark.sparkContext.applicationId
         if app not in _own_dirs:
             _own_dirs[app] = f"/tmp/checkpoints/strandline-{uuid.uuid4().hex}"
@@ -37,10 +39,10 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Writes ``df`` to a Parquet table in the shared folder and reads it back: lineage ends there."""
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -101,3 +103,17 @@ def small(table: DataFrame, row_bytes: int) -> DataFrame:
     ``table`` should be written already, as its rows are counted.
     """
     return F.broadcast(table) if table.count() * row_bytes <= BROADCAST_BYTES else table
+
+
+def totals_before(df: DataFrame, order: str, value: str, out: str, block: int = 4096) -> DataFrame:
+    """Adds ``out``: the sum of ``value`` over all rows of a lesser ``order`` (a long, each once).
+
+    Sums of blocks of ``block`` orders meet in one window, single rows only within their block.
+    """
+    rows = df.withColumn("_block", F.floor(F.col(order) / block))
+    blocks = rows.groupBy("_block").agg(F.sum(value).alias("_sum"))
+    ahead = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("_block", F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy("_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.join(blocks, "_block").withColumn(out, F.col("_base") + F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    return rows.drop("_block", "_base")

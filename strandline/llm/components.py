@@ -8,10 +8,15 @@ folder all executors share. Stars aggregate on the driver nothing but a count.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import shared_dir
+from strandline.llm.common import materialise, shared_dir, small
+
+#: Members of a band that are compared with as many others at once.
+BLOCK = 64
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -45,3 +50,44 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
                 links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
             )
         state = tuple(now)
+
+
+def _alike(a: str, b: str, most_off: int) -> Column:
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= most_off
+
+
+def _crossing(members: DataFrame, links: DataFrame, most_off: int) -> DataFrame:
+    """Pairs ``h``, ``rep`` of a band that ``links`` leave in different components; each block of members meets each other block."""
+    roots = components(links, "h", "rep").select(F.col("node").alias("h"), "root")
+    placed = members.join(roots, "h", "left").select("h", "band", "sketch", F.coalesce("root", "h").alias("root"))
+    placed = materialise(placed, "band-members")
+    wide = placed.groupBy("band").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
+    wide = materialise(wide.where("low != high").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "open-bands")
+    placed = placed.join(small(wide, 16), "band")
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.select("band", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "h", "root", "sketch")
+    a, b = placed.where("own = x"), placed.where("own = y").select("band", "x", "y", F.col("h").alias("rep"), F.col("root").alias("_root"), F.col("sketch").alias("_sketch"))
+    pairs = a.join(b, ["band", "x", "y"]).where(F.expr("root != _root and (x != y or h < rep)") & _alike("sketch", "_sketch", most_off))
+    return pairs.select(F.greatest("h", "rep").alias("h"), F.least("h", "rep").alias("rep")).distinct()
+
+
+def banded_links(members: DataFrame, check: Callable[[DataFrame], DataFrame], most_off: int = 64) -> DataFrame:
+    """Links ``h``, ``rep`` that connect all members ``h`` of a ``band`` (longs) that ``check`` links, directly or by others of their bands.
+
+    ``sketch``: 64 bits of a member of which near ones have at most ``most_off`` that differ; other pairs are not checked.
+
+    Each member is checked against the band's least one, found by partial aggregation and a join that Spark may split. Bands whose
+    members are then in more than one component are cut into blocks of about ``BLOCK``, and all pairs across components
+    are checked, a pair of blocks at a time. ``check`` gets pairs ``h``, ``rep`` and returns those that are near.
+    """
+    tops = members.groupBy("band").agg(F.min("h").alias("rep"), F.max("h").alias("last")).where("rep != last").drop("last")
+    tops = materialise(tops, "bands")
+    shared = materialise(members.join(small(tops, 32), "band").select("h", "band", "rep", "sketch").distinct(), "bands-shared")
+    heads = materialise(shared.where("h = rep").select("rep", F.col("sketch").alias("_sketch")).distinct(), "band-heads")
+    pairs = shared.where("h != rep").join(small(heads, 32), "rep").where(_alike("sketch", "_sketch", most_off))
+    pairs = materialise(pairs.select("h", "rep").distinct(), "band-pairs")
+    links = check(pairs)
+    # a pair that was checked already is not checked again
+    rest = materialise(_crossing(shared.drop("rep"), links, most_off).join(pairs, ["h", "rep"], "left_anti"), "band-crossing")
+    return links if rest.isEmpty() else links.unionByName(check(rest))

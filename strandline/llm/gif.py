@@ -178,6 +178,8 @@ def decode(data: bytes) -> tuple[list[Frame], list[bytes]]:
             raise ValueError("an unknown block")
         left, top, w, h, flags = struct.unpack_from("<HHHHB", data, at + 1)
         palette, at = _palette(data, at + 10, flags) if flags & 0x80 else (common, at + 10)
+        if palette is None:
+            raise ValueError("a frame without a palette")
         size = data[at]
         stream, at = _read_sub_blocks(data, at + 1)
         samples = np.zeros(w * h, np.uint8)
@@ -207,6 +209,14 @@ def decode(data: bytes) -> tuple[list[Frame], list[bytes]]:
     return frames, comments
 
 
+def read_media(data: bytes) -> tuple[tuple[list[Frame], list[bytes]], str | None]:
+    """``decode``, and None; or nothing and the reason why these are not the bytes of a GIF."""
+    try:
+        return decode(data), None
+    except (ValueError, IndexError, struct.error) as damage:
+        return ([], []), f"{type(damage).__name__}: {damage}"
+
+
 def histogram(pixels: np.ndarray) -> np.ndarray:
     """Counts of opaque pixels in 4 x 4 x 4 boxes of red, green and blue."""
     seen = pixels[pixels[..., 3] > 0][:, :3].astype(np.int64) >> 6
@@ -230,23 +240,28 @@ def store_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
 
 def frame_columns(media: DataFrame, key: str = "doc_id", column: str = "media") -> DataFrame:
-    """One row per frame of each GIF: its place in time, its rectangle and rules, its histogram and RGBA pixels.
+    """One row per frame of each GIF: its place in time, its rectangle and rules, its histogram and RGBA pixels, and ``error``.
 
-    Null media have no frames. Media that are no GIF raise.
+    Null media have no frames. Media that cannot be decoded give one row with the reason in ``error`` and nulls elsewhere.
     """
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in frames:
             for k, data in zip(batch["k"], batch["m"], strict=True):
                 at, out = 0, []
-                for i, f in enumerate(decode(data)[0]):
-                    out.append((k, i, at, f.delay, f.disposal, f.transparent, f.left, f.top, f.width, f.height, histogram(f.canvas).tolist(), f.canvas.tobytes()))
+                shown, error = read_media(data)
+                for i, f in enumerate(shown[0]):
+                    out.append((k, i, at, f.delay, f.disposal, f.transparent, f.left, f.top, f.width, f.height, histogram(f.canvas).tolist(), f.canvas.tobytes(), None))
                     at += f.delay
-                made = pd.DataFrame(out, columns=["k", "frame", "start", "delay", "disposal", "transparent", "left", "top", "width", "height", "histogram", "pixels"])
-                yield made.astype({"transparent": "Int32"})
+                if error:
+                    out.append((k, *[None] * 11, error))
+                made = pd.DataFrame(out, columns=["k", *numbers[:1], "start", *numbers[1:], "histogram", "pixels", "error"])
+                yield made.astype(dict.fromkeys([*numbers, "start"], "Int32"))
+
+    numbers = ["frame", "delay", "disposal", "transparent", "left", "top", "width", "height"]
 
     rows = media.where(F.col(column).isNotNull()).select(F.col(key).cast("string").alias("k"), F.col(column).alias("m"))
-    made = rows.mapInPandas(read, "k string, frame int, start int, delay int, disposal int, transparent int, left int, top int, width int, height int, histogram array<long>, pixels binary")
+    made = rows.mapInPandas(read, "k string, frame int, start int, delay int, disposal int, transparent int, left int, top int, width int, height int, histogram array<long>, pixels binary, error string")
     return made.withColumn(key, F.col("k").cast("long")).select(key, *[c for c in made.columns if c != "k"])
 
 
@@ -254,23 +269,30 @@ def stored_digests(media: DataFrame, key: str = "doc_id", column: str = "media")
     """Per stored text, from its rendered frames: sizes, digests of samples and of the stored form, and a colour feature.
 
     ``feature``: counts of pixels by colour box over all frames, as ``box:count`` of the boxes in use,
-    and the duration.
+    and the duration. ``timeline``: each frame's place in time, duration (hundredths of a second) and counts by colour box. Media
+    that cannot be decoded, or were not stored by ``store_texts``, have the reason in ``error`` and nulls elsewhere.
     """
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in frames:
             out = []
             for k, data in zip(batch["k"], batch["m"], strict=True):
-                shown, comments = decode(data)
+                (shown, comments), error = read_media(data)
+                sizes = [int(c[6:]) for c in comments if c.startswith(b"bytes=")]
+                if error or not sizes:
+                    out.append((k, *[None] * (len(names) - 1), error or "no stored text"))
+                    continue
                 payload = b"".join(f.drawn()[..., 0].tobytes() for f in shown)
-                counts = sum(histogram(f.drawn()) for f in shown)
+                boxes = [histogram(f.drawn()) for f in shown]
+                counts, starts = sum(boxes), np.cumsum([0, *(f.delay for f in shown)]).tolist()
+                timeline = [{"frame": i, "start": starts[i], "delay": f.delay, "histogram": boxes[i].tolist()} for i, f in enumerate(shown)]
                 feature = " ".join(f"{i}:{counts[i]}" for i in np.flatnonzero(counts)) + f" {sum(f.delay for f in shown)}cs"
-                n = next(int(c[6:]) for c in comments if c.startswith(b"bytes="))
-                out.append((k, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature, len(shown)))
-            yield pd.DataFrame(out, columns=["k", *names])
+                out.append((k, sizes[0], len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature, len(shown), timeline, None))
+            made = pd.DataFrame(out, columns=["k", *names])
+            yield made.astype({n: "Int64" for n, kind in zip(names, kinds, strict=True) if kind == "long"})
 
-    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "frames"]
-    kinds = ["long", "long", "string", "long", "long", "string", "string", "long"]
+    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "frames", "timeline", "error"]
+    kinds = ["long", "long", "string", "long", "long", "string", "string", "long", "array<struct<frame: int, start: int, delay: int, histogram: array<long>>>", "string"]
     rows = media.where(F.col(column).isNotNull()).select(F.col(key).cast("string").alias("k"), F.col(column).alias("m"))
     made = rows.mapInPandas(read, "k string, " + ", ".join(map(" ".join, zip(names, kinds, strict=True))))
     return made.select(F.col("k").cast("long").alias(key), *names)

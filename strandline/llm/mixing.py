@@ -9,12 +9,13 @@ in a Pareto order sample: with ``u`` uniform from a hash of the key, documents a
 ``(u / (1 - u)) / (p / (1 - p))`` and taken in that order until the source's remaining words are
 reached. The size is fixed in words, so a source misses its target by less than one document.
 
-The cut in the ranking is found from a histogram of the ranks (``BINS`` bins a source), and only the
-rows of the one bin that holds the cut are put in order, so no source is sorted as a whole and a
-source may hold any share of the rows. Only the table of sources, one row each, meets in one task.
+The cut in the ranking is found from a histogram of the ranks (``BINS`` bins a source), then from one of the bin that holds
+the cut (``BINS`` bins again), and only the rows of that last bin are put in order: one row in 16 million of evenly spread ones. So no source
+is sorted as a whole and a source may hold any share of the rows. Only the table of sources, one row each, meets in one task.
 
 Nulls: a null text has size 0; a null source is a source of its own, last in order; a null key takes
-part with a fixed hash. Repeated rows are documents of their own. A source without words has target
+part with a fixed hash; rows of one key and size are in the order of a hash of their texts, and rows with
+equal texts as well are alike in all that decides. Repeated rows are documents of their own. A source without words has target
 0 and takes nothing. Empty tables give empty results. Further columns are kept as they are; the
 columns made here replace columns of the same name.
 """
@@ -75,6 +76,15 @@ def uniform(key: Column, seed: int) -> Column:
     return (number + 0.5) / F.lit(float(2**52))
 
 
+def _cut(rows: DataFrame, bin_column: str, base: Column, out: str, name: str) -> DataFrame:
+    """Per source the bin in which the words of rows by rank reach what is wanted: ``_cs``, ``out``, ``_before`` (words of earlier bins and ``base``), ``_wanted``."""
+    bins = rows.groupBy("_src", bin_column).agg(F.sum("size").alias("_words"), F.max("_wanted").alias("_wanted"), F.max(base).alias("_start"))
+    upto = Window.partitionBy("_src").orderBy(bin_column)
+    bins = bins.withColumn("_before", F.col("_start") + F.sum("_words").over(upto) - F.col("_words"))
+    cut = bins.where((F.col("_before") < F.col("_wanted")) & (F.col("_before") + F.col("_words") >= F.col("_wanted")))
+    return small(materialise(cut.select(F.col("_src").alias("_cs"), F.col(bin_column).alias(out), "_before", "_wanted"), name), 64)
+
+
 def pareto_mix(
     docs: DataFrame,
     key: str = "doc_id",
@@ -84,15 +94,16 @@ def pareto_mix(
     weights: tuple[float, ...] = (5.0, 2.0, 1.0),
     limit: float = 2.0,
     seed: int = 20,
+    size: str | None = None,
 ) -> DataFrame:
     """All rows of ``docs`` with size, source_size, target, copies and taken (= copies x size).
 
-    Nulls, repeated rows, empty tables and extra columns: see the module's docstring.
+    ``size``: a column with the numbers of words, where they are counted already; then no text is needed. Nulls, repeated rows, empty tables and extra columns: see the module's docstring.
     """
     made = ["size", "source_size", "target", "copies", "taken"]
     base, names = sheltered(docs)
-    key, text, source = names[key], names[text], names[source]
-    base = base.withColumn("size", word_count(text))
+    key, text, source = names[key], names.get(text), names[source]
+    base = base.withColumns({"size": word_count(text) if size is None else F.col(names[size]), "_tie": F.xxhash64(text) if size is None else F.lit(0).cast("long")})
     group = (F.length(F.bin(F.col("size") + 1)) - 1).cast("int")  # the whole part of log2(size + 1)
     base = base.withColumns({"_src": F.col(source), "_class": group, "_u": uniform(F.col(key), seed)})
 
@@ -120,29 +131,33 @@ def pareto_mix(
     rows = rows.withColumn("_bin", F.least(F.lit(BINS - 1), F.floor(F.col("_rank") * BINS)).cast("int"))
 
     # the histogram finds the bin of the cut: all earlier bins are in, all later ones out
-    bins = rows.where(F.col("_rank").isNotNull()).groupBy("_src", "_bin").agg(F.sum("size").alias("_words"), F.max("_wanted").alias("_wanted"))
-    upto = Window.partitionBy("_src").orderBy("_bin")
-    bins = bins.withColumn("_before", F.sum("_words").over(upto) - F.col("_words"))
-    cut = bins.where((F.col("_before") < F.col("_wanted")) & (F.col("_before") + F.col("_words") >= F.col("_wanted")))
-    cut = cut.select(F.col("_src").alias("_cs"), F.col("_bin").alias("_cut"), "_before", F.lit(True).alias("_has_cut"))
-    cut = small(materialise(cut, "mix-cuts"), 64)
-    rows = rows.join(cut, F.col("_src").eqNullSafe(F.col("_cs")), "left").drop("_cs")
+    cut = _cut(rows.where(F.col("_rank").isNotNull()), "_bin", F.lit(0.0), "_cut", "mix-cuts")
+    rows = rows.join(cut.drop("_wanted"), F.col("_src").eqNullSafe(F.col("_cs")), "left").drop("_cs")
     rows = rows.withColumn("_at_cut", F.coalesce(F.col("_bin") == F.col("_cut"), F.lit(False)))
-
-    # rows of the bin that holds the cut are taken in order while that brings the sum nearer
     sure_in = F.col("_rank").isNotNull() & (F.col("_cut").isNull() | (F.col("_bin") < F.col("_cut"))) & (F.col("_wanted") > 0)
     outside = rows.where(~F.col("_at_cut")).withColumn("_extra", sure_in)
-    order = Window.partitionBy("_src").orderBy("_rank", F.col(key).asc_nulls_first(), "size")
-    inside = rows.where("_at_cut")
-    so_far = F.col("_before") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    inside = inside.withColumn("_extra", so_far - F.col("size") / 2 <= F.col("_wanted"))
-    result = outside.unionByName(inside)
+
+    # that bin is cut again in the same way
+    inside = rows.where("_at_cut").withColumn("_fine", F.least(F.lit(BINS - 1), F.floor((F.col("_rank") * BINS - F.col("_bin")) * BINS)).cast("int"))
+    fine = _cut(inside, "_fine", F.col("_before"), "_fine_cut", "mix-fine-cuts").withColumnRenamed("_before", "_fine_before").drop("_wanted")
+    inside = inside.join(fine, F.col("_src").eqNullSafe(F.col("_cs")), "left").drop("_cs")
+    at_fine = F.coalesce(F.col("_fine") == F.col("_fine_cut"), F.lit(False))
+    beside = inside.where(~at_fine).withColumn("_extra", F.col("_fine_cut").isNull() | (F.col("_fine") < F.col("_fine_cut")))
+
+    # rows of the bin that holds the cut are taken in order while that brings the sum nearer
+    order = Window.partitionBy("_src").orderBy("_rank", F.col(key).asc_nulls_first(), "size", "_tie")
+    last = inside.where(at_fine)
+    so_far = F.col("_fine_before") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    last = last.withColumn("_extra", so_far - F.col("size") / 2 <= F.col("_wanted"))
+    result = outside
+    for part in (beside, last):
+        result = result.unionByName(part, allowMissingColumns=True)
     result = result.withColumn("copies", F.col("_sure") + F.col("_extra").cast("long"))
     result = result.withColumn("taken", F.col("copies") * F.col("size"))
     return result.select(*[F.col(n).alias(c) for c, n in names.items() if c not in made], *made)
 
 
 def repeat_copies(mixed: DataFrame) -> DataFrame:
-    """One row for each copy taken; rows with no copy go."""
+    """One row for each copy taken, with its number ``copy`` from 1; rows with no copy go, so an empty mix stays empty."""
     copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
     return mixed.where(F.col("copies") > 0).withColumn("copy", copies)

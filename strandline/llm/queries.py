@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
+from strandline.llm.common import materialise, word_count
 from strandline.llm import arc, edit_embedding, gif, licenses, line_dedup, mixing, packing, simhash, sstable, toxicity
 
 
@@ -34,7 +35,7 @@ def op3_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edit_embedding.embed_neighbours(_documents(spark, sf_dir))
+    return edit_embedding.embed_and_link(_documents(spark, sf_dir))
 
 
 def op5_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +48,8 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_documents(spark, sf_dir))
+    """The written sequences: their texts, and what each holds with offsets."""
+    return packing.sequences(_documents(spark, sf_dir))
 
 
 def op8_factorization_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +57,8 @@ def op8_factorization_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.pareto_mix(_documents(spark, sf_dir).select("doc_id", "text", "source"))
+    sized = _documents(spark, sf_dir).select("doc_id", "source", word_count("text").alias("words"))
+    mixed = mixing.pareto_mix(materialise(sized, "mix-sizes"), size="words")  # the texts are read once
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 

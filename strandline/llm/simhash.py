@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import WORD, materialise, sheltered, small, whole_text
+from strandline.llm.common import WORD, materialise, sheltered, shuffle_partitions, small, whole_text
 from strandline.llm.components import components
 
 SHINGLE = 3
@@ -178,7 +178,8 @@ def _compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def links(distinct: DataFrame) -> DataFrame:
     """Links ``a``, ``b`` that connect all distinct fingerprints ``fp`` no more than ``DISTANCE`` bits apart."""
     spark = distinct.sparkSession
-    visits = distinct.select("fp").mapInPandas(_visits, "anchor long, fp long, home boolean")
+    spread = distinct.select("fp").repartition(shuffle_partitions(spark), "fp")  # replicas are many more rows than this
+    visits = spread.mapInPandas(_visits, "anchor long, fp long, home boolean")
     groups = visits.repartition("anchor").sortWithinPartitions("anchor")
     return groups.mapInPandas(_compare, "a long, b long")
 

@@ -29,10 +29,10 @@ import numpy as np
 import pandas as pd
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.common import fresh_path, input_bytes, materialise, shuffle_partitions, whole_text
+from strandline.llm.common import fresh_path, input_bytes, materialise, shuffle_partitions, small, totals_before, whole_text
 
 MAGIC = b"SSTIDS1\n"
 FOOTER = struct.Struct("<QQQQQQQ")  # bloom at, bloom bytes, index at, index bytes, entries, tokens, order
@@ -234,18 +234,18 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text; a call is one portion of texts, whose pieces are all known at once."""
         out: list[np.ndarray | None] = []
-        whole, later, fresh, find = [], [], set(), self.known.get
+        whole, later, fresh, find, known = [], [], set(), self.known.get, self.known.__getitem__
         for i, text in enumerate(texts):
             ids = None
             if text.isascii() or _PLAIN.fullmatch(text):
                 pieces = _PIECES.findall(text)
-                got = list(map(find, pieces))
-                if None in got:
+                try:
+                    ids = np.frombuffer(b"".join(map(known, pieces)), "<u4")
+                except KeyError:
+                    got = list(map(find, pieces))
                     gaps = [j for j, g in enumerate(got) if g is None]
                     later.append((i, pieces, got, gaps))
                     fresh.update([pieces[j] for j in gaps])
-                else:
-                    ids = np.frombuffer(b"".join(got), "<u4")
             else:
                 whole.append(i)
             out.append(ids)
@@ -280,7 +280,7 @@ def write_shards(docs: DataFrame, vocabulary: str, path: str, key: str = "doc_id
     """Encodes every whole text, appends ``END_ID`` and writes shards in ascending key order.
 
     Null texts are empty; null keys come first; rows that share a key stay next to each other in the
-    order of their texts; an empty table writes no shard. Other columns are not used.
+    order of a hash of their texts; an empty table writes no shard. Other columns are not used.
     """
     rows = docs.select(F.col(key).cast("long").alias("k"), whole_text(text).alias("t"))
     parts = max(shuffle_partitions(docs.sparkSession), -(-input_bytes(docs, text) // (4 * SHARD_BYTES)))
@@ -297,7 +297,9 @@ def write_shards(docs: DataFrame, vocabulary: str, path: str, key: str = "doc_id
         if writer.keys:
             yield pd.DataFrame({"value": [writer.finish(order + made)]})
 
-    ordered = rows.repartitionByRange(parts, F.col("k").asc_nulls_first()).sortWithinPartitions(F.col("k").asc_nulls_first(), "t")
+    # ranges over key and a hash of the text, so that a key that many rows share is split like any other; equal pairs are equal rows
+    ordered = rows.withColumn("own", F.xxhash64("t")).repartitionByRange(parts, F.col("k").asc_nulls_first(), "own")
+    ordered = ordered.sortWithinPartitions(F.col("k").asc_nulls_first(), "own").drop("own")
     # keys go as text: a batch with a null would make them floating-point numbers
     ordered = ordered.withColumn("k", F.col("k").cast("string"))
     files = ordered.mapInPandas(shards, "value binary").select(F.col("value").cast("string").alias("value"))
@@ -338,15 +340,15 @@ def lookup(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
 def token_shards(docs: DataFrame, vocabulary: str) -> DataFrame:
     """Writes shards in the shared folder, reads them back: doc_id, start, n_tokens, ids_crc32.
 
-    ``start`` counts the ids of all documents before: those of the shards before (one row a shard
-    meets in a window) and those before it in its own shard.
+    ``start`` counts the ids of all documents before: those of the shards before (sums in two levels,
+    so no task sees all shards) and those before it in its own shard.
     """
     spark = docs.sparkSession
     path = fresh_path(spark, "token-shards")
     write_shards(docs, vocabulary, path)
     rows = materialise(read_shards(spark, path), "token-digests")
-    totals = rows.groupBy("shard").agg(F.sum("n_tokens").alias("_n"))
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    rows = rows.join(totals.select("shard", "_base"), "shard")
-    return rows.select("doc_id", (F.col("_base") + F.col("start_in_shard")).alias("start"), "n_tokens", "ids_crc32", "shard")
+    totals = materialise(rows.groupBy("shard").agg(F.sum("n_tokens").alias("_n")), "token-totals")
+    # the places of shards are a partition's number and 20 more bits: a dense rank would do as well, but this needs no sort
+    totals = totals_before(totals, "shard", "_n", "_before", block=1 << 28)
+    rows = rows.join(small(totals.select("shard", "_before"), 24), "shard")
+    return rows.select("doc_id", (F.col("_before") + F.col("start_in_shard")).alias("start"), "n_tokens", "ids_crc32", "shard")

@@ -6,8 +6,9 @@ as an insult and a mention of a group, besides the linear weights. Words are run
 digits in lower case; a term counts once.
 
 The machine is trained here, with Adagrad on the logistic loss, on a bounded sample of labelled rows
-(``SAMPLE`` rows by a hash of the key). Only terms that tell the labels apart there have weights (see
-``telling``), so the many words that occur by chance leave no noise. Scoring goes over all whole texts.
+(``SAMPLE`` rows by a hash of the key). A term has weights if it tells the labels apart there by itself (``telling``) or
+together with another term, by more than chance gives for so many pairs (``telling_pairs``), so two words that are each neutral but
+toxic together are learnt, and the many words that occur by chance leave no noise. Scoring goes over all whole texts.
 """
 
 from __future__ import annotations
@@ -26,12 +27,14 @@ from strandline.llm.common import whole_text
 
 BUCKETS = 1 << 18
 STEMS = (4,)
-TERMS = 4096
 LEAST_SIGMA = 3.0
+#: Pairs are looked for among terms of at least this share of the sampled rows, and must stand out this far.
+PAIR_SHARE = 0.01
+PAIR_SIGMA = 6.0
 FACTORS = 4
 SAMPLE = 12_000
 LEAST_DOCS = 8
-EPOCHS = 10
+EPOCHS = 12
 FOLDS = 5
 
 _TERM = re.compile(r"[^\W_]+")
@@ -69,15 +72,43 @@ class Machine:
 
 
 def telling(found: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """Buckets of enough rows whose count among label 1 is ``LEAST_SIGMA`` standard deviations off chance; at most ``TERMS``, the furthest."""
+    """Buckets of enough rows whose count among label 1 is ``LEAST_SIGMA`` standard deviations off chance."""
     none = [np.zeros(0, np.int64)]
     every = np.bincount(np.concatenate([*found, *none]), minlength=BUCKETS)
     toxic = np.bincount(np.concatenate([*(f for f, label in zip(found, y, strict=True) if label), *none]), minlength=BUCKETS)
     share = every / max(1, len(found))
     sigma = np.sqrt(np.maximum(1e-12, y.sum() * share * (1 - share)))
     off = np.where(every >= LEAST_DOCS, np.abs(toxic - y.sum() * share) / sigma, 0)
-    best = np.argsort(-off, kind="stable")[:TERMS]
-    return np.sort(best[off[best] >= LEAST_SIGMA])
+    return np.flatnonzero(off >= LEAST_SIGMA)
+
+
+def telling_pairs(found: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """Buckets that are part of a pair whose labels are ``PAIR_SIGMA`` standard deviations off what the two terms show apart.
+
+    What they show apart is the sum of their effects: the rate with either one, less that of all rows. Counts of pairs are products of
+    0-1 columns, over the sampled rows and frequent terms alone.
+    """
+    n = len(found)
+    every = np.bincount(np.concatenate([*found, np.zeros(0, np.int64)]), minlength=BUCKETS)
+    often = np.flatnonzero((every >= max(LEAST_DOCS, PAIR_SHARE * n)) & (every < n))
+    if not n or len(often) < 2:
+        return np.zeros(0, np.int64)
+    place = np.full(BUCKETS, -1, np.int64)
+    place[often] = np.arange(len(often))
+    there = np.zeros((n, len(often)), np.float32)
+    for row, f in zip(there, found, strict=True):
+        row[place[f][place[f] >= 0]] = 1
+    rate, single = y.mean(), (there.T @ y) / every[often]
+    out = np.zeros(len(often), bool)
+    for at in range(0, len(often), 512):  # a block of rows of the pair table at a time
+        part = there[:, at : at + 512]
+        both, toxic = part.T @ there, (part * y[:, None].astype(np.float32)).T @ there
+        want = np.clip(single[at : at + 512, None] + single[None, :] - rate, 0.02, 0.98)
+        off = np.abs(toxic - both * want) / np.sqrt(np.maximum(1e-9, both * want * (1 - want)))
+        off[(both < LEAST_DOCS) | (both > 0.9 * np.minimum(every[often][at : at + 512, None], every[often][None, :]))] = 0  # a word and its stem
+        out |= (off >= PAIR_SIGMA).any(axis=0)
+        out[at : at + 512] |= (off >= PAIR_SIGMA).any(axis=1)
+    return often[out]
 
 
 def train(rows: list[np.ndarray], labels: list[int], seed: int = 7) -> Machine:
@@ -85,11 +116,11 @@ def train(rows: list[np.ndarray], labels: list[int], seed: int = 7) -> Machine:
     found = [np.asarray(r, np.int64) for r in rows]
     y = np.array(labels, float)
     rate = (y.sum() + 0.5) / (len(y) + 1)
-    used = telling(found, y)
+    used = np.union1d(telling(found, y), telling_pairs(found, y))
     place = np.zeros(BUCKETS, np.int32)
     place[used] = np.arange(1, len(used) + 1)
     draw = np.random.default_rng(seed)
-    w, v = np.zeros(len(used) + 1), draw.normal(0, 0.01, (len(used) + 1, FACTORS))
+    w, v = np.zeros(len(used) + 1), draw.normal(0, 0.05, (len(used) + 1, FACTORS))
     v[0] = 0
     bias = float(np.log(rate / (1 - rate)))
     machine = Machine(bias, place, w, v)
@@ -152,11 +183,16 @@ def score(docs: DataFrame, machine: Machine, key: str = "doc_id", text: str = "t
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Fits on ``labels`` and scores every row of ``docs``; nulls, repeats and empty tables as in ``fit`` and ``score``."""
     return score(docs, fit(docs, labels))
 
 
 def keep_clean(docs: DataFrame, machine: Machine, text: str = "text", limit: float = 0.5) -> DataFrame:
-    """The rows that score below ``limit``, columns as they were."""
+    """The rows that score below ``limit``, columns as they were.
+
+    Null and empty texts have the score of the bias and so stay unless most labels are 1; null keys and repeated rows are judged by
+    their text like any other; an empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     @F.pandas_udf("double")

@@ -20,9 +20,11 @@ def test_neighbours_and_edits(docs, no_docs):
         edited = t[: len(t) - cut] + other[:cut]
         a, b, c = map(edit_embedding.fingerprint, (t, edited, other))
         want.append((r["doc_id"], len(t), hashlib.sha256(edited.encode()).hexdigest(), a, b, edit_embedding.likeness(a, b), edit_embedding.likeness(a, c)))
-    got = [tuple(r) for r in edit_embedding.embed_neighbours(docs).collect()]
+    got = [tuple(r) for r in edit_embedding.embed_neighbours(docs).drop("own").collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
-    assert edit_embedding.embed_neighbours(no_docs).count() == 0
+    assert edit_embedding.embed_neighbours(no_docs).count() == 0 and edit_embedding.embed_and_link(no_docs).count() == 0
+    linked = edit_embedding.embed_and_link(docs).collect()
+    assert len(linked) == docs.count() and {r["doc_id"]: r["component_id"] for r in linked} == {1: 1, 6: 1, 2: 2, 3: 2, 4: 4, 5: 5, 8: 8, 9: 9, None: None}
 
 
 def test_likeness_follows_edits():
@@ -227,10 +229,11 @@ def test_signatures_by_hand():
     """Minima of every permutation, counted run by run, for lines of each kind."""
     draw = random.Random(14)
     lines = [_random_line(draw, n) for n in (16, 40, 55, 67, 90, 400)]
-    which, bands = line_dedup.signatures(lines)
+    which, bands, sketch = line_dedup.signatures(lines)
     kinds = [(i, 0) for i, x in enumerate(lines) if len(x) - 4 <= line_dedup.SHORT[1]] + [(i, 1) for i, x in enumerate(lines) if len(x) - 4 >= line_dedup.SHORT[0]]
     assert which.tolist() == [i for i, _ in kinds]
-    for (i, kind), found in zip(kinds, bands.view(np.uint64).tolist(), strict=True):
+    for (i, kind), found, bits in zip(kinds, bands.view(np.uint64).tolist(), sketch.view(np.uint64).tolist(), strict=True):
+        slow_bits = 0
         x = line_dedup.runs([lines[i]])[0].tolist()
         assert len(x) == len(lines[i]) - 4
         for band, want in enumerate(found):
@@ -238,8 +241,52 @@ def test_signatures_by_hand():
             for row in range(line_dedup.ROWS):
                 turn, shift = line_dedup._TURNS[band, row].tolist()
                 ranks = [(v % 2**32 * turn % 2**32) ^ shift for v in x if not kind or (v >> 32) * line_dedup.ROWS >> 32 == row]
-                made = (made ^ min(ranks, default=2**32 - 1)) * 0x9E3779B97F4A7C15 % 2**64
+                least = min(ranks, default=2**32 - 1)
+                made = (made ^ least) * 0x9E3779B97F4A7C15 % 2**64
+                slow_bits |= (least * 0x9E3779B1 % 2**32 >> 31) << (59 - row * line_dedup.BANDS - band)
                 made ^= made >> 31
             assert made == want
+        assert slow_bits == bits
     same, _ = line_dedup.runs(["abcdefgh", "xabcdefghy"])
     assert set(same[:4].tolist()) < set(same[4:].tolist())
+
+
+def test_sketches_tell_strangers_but_no_near_lines():
+    draw = random.Random(15)
+    off = lambda a, b: int(np.bitwise_count(a.view(np.uint64) ^ b.view(np.uint64)))
+    for n in (20, 30, 60, 64, 120, 500):
+        lines = [_random_line(draw, n) for _ in range(150)]
+        near = [_near_line(draw, x, 0.8, 0.95) if n > 25 else x for x in lines]
+        for kind in [k for k in (0, 1) if (n - 4 <= line_dedup.SHORT[1], n - 4 >= line_dedup.SHORT[0])[k]]:
+            a, b = line_dedup._signed(lines, kind)[1], line_dedup._signed(near, kind)[1]
+            assert np.mean([off(x, y) <= line_dedup.MOST_OFF for x, y in zip(a, b, strict=True)]) >= 0.99
+            assert np.mean([off(x, y) <= line_dedup.MOST_OFF for x, y in zip(a[1:], b, strict=False)]) < 0.2
+
+
+def test_recall_of_edit_embedding(spark, corpus):
+    """Classes against all pairs of fingerprints of the same corpus with edits."""
+    draw, texts = random.Random(16), [r["text"] or "" for r in corpus.orderBy("doc_id").limit(150).collect()]
+    rows = list(enumerate(texts))
+    for i, t in enumerate(texts[:80]):
+        new = list(t)
+        for _ in range(1 + len(t) // 300):
+            at = draw.randrange(len(new) + 1)
+            new[at : at + 1] = draw.choice(([], ["x"], ["y", "z"]))
+        rows.append((1000 + i, "".join(new)))
+    marks = {i: edit_embedding.fingerprint(t) for i, t in rows}
+    root = {i: i for i in marks}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    near = [(a, b) for a in marks for b in marks if a < b and edit_embedding.likeness(marks[a], marks[b]) >= 0.8]
+    for a, b in near:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    got = {r["doc_id"]: r["component_id"] for r in edit_embedding.embed_and_link(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {i: find(i) for i in marks}
+    assert all(want[i] == want[c] for i, c in got.items())  # nothing is linked that is not near
+    linked = [i for i in want if want[i] != i]
+    assert len(linked) > 60 and sum(got[i] == want[i] for i in linked) >= 0.95 * len(linked)
