@@ -15,25 +15,30 @@ from strandline.llm.common import materialise
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that score as toxic go. Null and empty texts have the score of the bias, so they stay; repeats are judged alike; an empty table stays empty."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.keep_clean(docs, toxicity.fit(docs, labels))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of lines that repeat or nearly repeat, the first by key stays; n_chars follows. Null texts stay null; rows left without lines keep an empty text; no row goes."""
     left = line_dedup.dedup_lines(docs).select(*docs.columns)
     return left.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each class of near-duplicates stays, that of the least key, null keys last; null and empty texts are one class; of repeated rows one stays."""
     return simhash.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row as often as the mix takes it, sources by code point, null last. Rows without words have no share and go; repeated rows each have theirs; an empty table stays empty."""
     return mixing.repeat_copies(mixing.pareto_mix(docs)).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
+    """Sequences with their texts and what they hold. Null and empty texts are one end token; null keys and repeated rows are packed each; an empty table gives none."""
+    return packing.sequences(docs)
 
 
 STAGES = [
