@@ -15,9 +15,6 @@ from pyspark.sql import functions as F
 
 from strandline.llm.common import materialise, shared_dir, small
 
-#: Members of a band that are compared with as many others at once.
-BLOCK = 64
-
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
     """Links (a > b): each node's larger (or smaller) neighbours go to the least of them and itself."""
@@ -52,34 +49,43 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         state = tuple(now)
 
 
+#: Members of a group of two bands that all others are checked against: the least by itself and by other orders.
+HEADS = 3
+
+
 def _alike(a: str, b: str, most_off: int) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= most_off
 
 
-def _crossing(members: DataFrame, links: DataFrame, most_off: int) -> DataFrame:
-    """Pairs ``h``, ``rep`` of a band that ``links`` leave in different components; each block of members meets each other block."""
+def _in_two_bands(shared: DataFrame, links: DataFrame, most_off: int) -> DataFrame:
+    """Pairs ``h``, ``rep`` that ``links`` leave in different components: members of two bands at once with ``HEADS`` members of both.
+
+    Strangers share a band by chance, two hardly ever, so a group of two bands holds near members alone, however many strangers
+    the bands themselves hold. A member stands in as many groups as it has pairs of bands, which does not grow with the table.
+    """
     roots = components(links, "h", "rep").select(F.col("node").alias("h"), "root")
-    placed = members.join(roots, "h", "left").select("h", "band", "sketch", F.coalesce("root", "h").alias("root"))
-    placed = materialise(placed, "band-members")
-    wide = placed.groupBy("band").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
-    wide = materialise(wide.where("low != high").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "open-bands")
-    placed = placed.join(small(wide, 16), "band")
-    placed = placed.withColumn("own", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("band", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "h", "root", "sketch")
-    a, b = placed.where("own = x"), placed.where("own = y").select("band", "x", "y", F.col("h").alias("rep"), F.col("root").alias("_root"), F.col("sketch").alias("_sketch"))
-    pairs = a.join(b, ["band", "x", "y"]).where(F.expr("root != _root and (x != y or h < rep)") & _alike("sketch", "_sketch", most_off))
+    placed = materialise(shared.join(roots, "h", "left").select("h", "band", "sketch", F.coalesce("root", "h").alias("root")), "band-members")
+    wide = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("band")
+    left = placed.join(small(materialise(wide, "open-bands"), 16), "band", "left_semi")
+    left = left.groupBy("h", "sketch", "root").agg(F.array_sort(F.collect_set("band")).alias("b")).where("size(b) > 1")
+    two = F.flatten(F.transform("b", lambda x, i: F.transform(F.slice("b", i + 2, F.size("b")), lambda y: F.xxhash64(x, y))))
+    left = materialise(left.select("h", "sketch", "root", F.explode(two).alias("two")), "double-bands")
+    heads = F.array(F.min("h"), *[F.min_by("h", F.xxhash64(F.lit(i), "h")) for i in range(1, HEADS)])
+    tops = left.groupBy("two").agg(heads.alias("reps"), F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
+    tops = materialise(tops.select("two", F.explode(F.array_distinct("reps")).alias("rep")), "double-tops")
+    heads = left.select("two", F.col("h").alias("rep"), F.col("sketch").alias("_sketch"), F.col("root").alias("_root")).join(small(tops, 32), ["two", "rep"])
+    pairs = left.join(small(materialise(heads, "double-heads"), 48), "two").where((F.col("root") != F.col("_root")) & _alike("sketch", "_sketch", most_off))
     return pairs.select(F.greatest("h", "rep").alias("h"), F.least("h", "rep").alias("rep")).distinct()
 
 
 def banded_links(members: DataFrame, check: Callable[[DataFrame], DataFrame], most_off: int = 64) -> DataFrame:
-    """Links ``h``, ``rep`` that connect all members ``h`` of a ``band`` (longs) that ``check`` links, directly or by others of their bands.
+    """Links ``h``, ``rep`` that connect members ``h`` of a ``band`` (longs) that ``check`` links, directly or by others of their bands.
 
     ``sketch``: 64 bits of a member of which near ones have at most ``most_off`` that differ; other pairs are not checked.
 
-    Each member is checked against the band's least one, found by partial aggregation and a join that Spark may split. Bands whose
-    members are then in more than one component are cut into blocks of about ``BLOCK``, and all pairs across components
-    are checked, a pair of blocks at a time. ``check`` gets pairs ``h``, ``rep`` and returns those that are near.
+    Each member is checked against the band's least one, found by partial aggregation and a join that Spark may split. In bands whose
+    members are then in more than one component, members are checked against a few of each two bands they share (see
+    ``_in_two_bands``). No step makes all pairs of a band. ``check`` gets pairs ``h``, ``rep`` and returns those that are near.
     """
     tops = members.groupBy("band").agg(F.min("h").alias("rep"), F.max("h").alias("last")).where("rep != last").drop("last")
     tops = materialise(tops, "bands")
@@ -89,5 +95,5 @@ def banded_links(members: DataFrame, check: Callable[[DataFrame], DataFrame], mo
     pairs = materialise(pairs.select("h", "rep").distinct(), "band-pairs")
     links = check(pairs)
     # a pair that was checked already is not checked again
-    rest = materialise(_crossing(shared.drop("rep"), links, most_off).join(pairs, ["h", "rep"], "left_anti"), "band-crossing")
+    rest = materialise(_in_two_bands(shared.drop("rep"), links, most_off).join(pairs, ["h", "rep"], "left_anti"), "band-crossing")
     return links if rest.isEmpty() else links.unionByName(check(rest))
