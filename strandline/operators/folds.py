@@ -1,149 +1,107 @@
-"""Operators whose next step depends on what they kept so far: one pass over the bars of a series.
+"""Operators whose next step depends on what they kept so far, as folds over the arrays of packed series.
 
-Each series (a symbol's latest bars, of bounded length) is one group of an Arrow function; series spread over tasks.
+A series' bars, or a few levels of it, are one array; Spark folds it where it stands, and series spread over tasks. Only the choice of a
+line through most pivots, which tries every pair of them, is an Arrow function.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
+from strandline.operators import packed
+from strandline.operators.packed import deviation, let, mean, part, span, steps
 
-def zigzag_limits(y: np.ndarray) -> tuple[float, int]:
-    """Least swing and least spacing of a line: the swing follows its mean move and how uneven the moves are."""
-    moves = np.abs(np.diff(y))
-    w = max(5, len(y) // 10)
-    smooth = np.convolve(moves, np.ones(w) / w, "valid") if len(moves) >= w else moves
-    level = float(smooth.mean()) if len(smooth) else 0.0
-    noise = float(moves.std()) / (level + 1e-10) if len(moves) else 0.0
-    return max(level * float(np.clip(1.5 + 0.8 * noise, 1.5, 3.5)), 0.02), max(3, len(y) // 20)
 
+def zigzag_pivots(lines: DataFrame) -> DataFrame:
+    """Alternating turns of normalised lines (W11, W13): symbol, idx, y, is_high."""
+    rows = lines.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("idx", "y"))).alias("b")).select("symbol", F.col("b.idx").alias("at"), F.col("b.y").alias("line"))
+    rows = rows.withColumn("_turns", packed.zigzag_marks(F.col("line"))).withColumn("m", packed.without_small(F.col("_turns"), F.col("line")))
+    rows = rows.select("symbol", "at", "line", F.explode("m").alias("m"))
+    return rows.select("symbol", F.get("at", F.col("m.idx")).cast("int").alias("idx"), F.get("line", F.col("m.idx")).alias("y"), F.col("m.is_high").alias("is_high"))
 
-def zigzag(y: np.ndarray) -> list[tuple[int, bool]]:
-    """Turning points (place, is_high). The last, unfinished leg gives none.
 
-    The line rises or falls until it turns by the least swing; the extreme of the leg is a pivot if it
-    is far enough from the pivot before. A leg that ends too early turns without one.
-    """
-    swing, space = zigzag_limits(y)
-    way, points = 0, []
-    top = low = 0
-    for i in range(1, len(y)):
-        if way >= 0:
-            if y[i] > y[top]:
-                top = i
-            elif y[top] - y[i] >= swing:
-                clear = i > space and (top >= space or not points) if way == 0 else not points or top - points[-1][0] >= space
-                if clear:
-                    points.append((top, True))
-                way, low = -1, i
-                continue
-        if way <= 0:
-            if y[i] < y[low]:
-                low = i
-            elif y[i] - y[low] >= swing:
-                clear = i > space and (low >= space or not points) if way == 0 else not points or low - points[-1][0] >= space
-                if clear:
-                    points.append((low, False))
-                way, top = 1, i
-    return sorted(points)
-
-
-def alternate(y: np.ndarray, points: list[tuple[int, bool]]) -> list[tuple[int, bool]]:
-    """Pivots without small swings, highs and lows in turn (W13); the more extreme of a run of one kind stays."""
-    if len(points) <= 2:
-        return points
-    least = max(0.04, 1.5 * float(np.abs(np.diff(y)).mean()))
-    span = float(y.max() - y.min())
-    kept = [points[0]]
-    for i, high in points[1:]:
-        at, kind = kept[-1]
-        if kind == high:
-            if (y[i] >= y[at]) if high else (y[i] <= y[at]):
-                kept[-1] = (i, high)
-        elif span > 0 and abs(y[i] - y[at]) / span >= least:
-            kept.append((i, high))
-    out = [kept[0]]
-    for i, high in kept[1:]:
-        if out[-1][1] != high:
-            out.append((i, high))
-        elif (y[i] > y[out[-1][0]]) if high else (y[i] < y[out[-1][0]]):
-            out[-1] = (i, high)
-    return out
+def touches(off: Column, tolerance: Column, gap: Column) -> Column:
+    """Places whose distance ``off`` is within the tolerance, thinned (W9): of places nearer than ``gap``, the closest one holds."""
+    def keep(kept: Column, i: Column) -> Column:
+        last = F.try_element_at(kept, F.lit(-1))
+        fresh = last.isNull() | (i - last >= gap)
+        nearer = F.get(off, i) < F.get(off, last)
+        return F.when(fresh, F.concat(kept, F.array(i))).when(nearer, F.concat(part(kept, 0, F.size(kept) - 1), F.array(i))).otherwise(kept)
 
+    near = F.filter(F.sequence(F.lit(0), F.size(off) - 1), lambda i: F.get(off, i) <= tolerance)
+    return F.aggregate(near, F.array().cast("array<int>"), keep)
 
-def zigzag_pivots(lines: DataFrame) -> DataFrame:
-    """Alternating zigzag pivots of normalised lines (W11, W13): symbol, idx, y, is_high."""
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("idx")
-        y, at = f["y"].to_numpy(float), f["idx"].to_numpy()
-        found = alternate(y, zigzag(y))
-        return pd.DataFrame([(f["symbol"].iloc[0], int(at[i]), float(y[i]), high) for i, high in found], columns=["symbol", "idx", "y", "is_high"])
+def breakouts(beyond: Column, least: Column, gap: Column) -> Column:
+    """Runs of two values of ``beyond`` over ``least``, at least ``gap`` places apart."""
+    start = F.struct(F.lit(0).alias("run"), (-gap).cast("int").alias("last"), F.lit(0).alias("n"))
+
+    def step(s: Column, i: Column) -> Column:
+        run = F.when(F.get(beyond, i) > least, s.run + 1).otherwise(0)
+        counts = (run >= 2) & (i - s.last >= gap)
+        return F.struct(F.when(counts, 0).otherwise(run).alias("run"), F.when(counts, i).otherwise(s.last).alias("last"), (s.n + counts.cast("int")).alias("n"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.size(beyond) - 1), start, step, lambda s: s.n)
+
+
+_TREND = "struct<quality: double, slope: double, intercept: double, touches: int, breakouts: int, is_high: boolean>"
+
 
-    return lines.select("symbol", "idx", "y").groupBy("symbol").applyInPandas(run, "symbol string, idx int, y double, is_high boolean")
+def _trend_candidates(prices: Column, closes: Column, high: bool, whole: Column, least: int) -> Column:
+    """Lines through each two pivots of a kind, with touches, breakouts and quality."""
+    n = F.size(prices)
+    k = F.greatest(F.lit(2), F.floor(n / 20).cast("int"))
+    sign = 1 if high else -1
+    extreme = lambda i: F.array_max(part(prices, i - k, i + k + 1)) if high else F.array_min(part(prices, i - k, i + k + 1))
+    ends = F.filter(F.sequence(k, n - k - 1), lambda i: F.get(prices, i) == extreme(i))
 
+    def one(i: Column, j: Column) -> Column:
+        slope = (F.get(prices, j) - F.get(prices, i)) / (j - i)
+        base = F.get(prices, i) - slope * i
+        on_line = lambda a: F.transform(a, lambda v, x: v - base - slope * x)
+        off = F.transform(on_line(prices), F.abs)
 
-def touches(prices: np.ndarray, line: np.ndarray, tolerance: float, gap: int) -> list[int]:
-    """Places where prices touch a line, thinned (W9): nearer than ``gap`` to the last one, only a closer touch takes its place."""
-    off, kept = np.abs(prices - line), []
-    for i in np.flatnonzero(off <= tolerance).tolist():
-        if not kept or i - kept[-1] >= gap:
-            kept.append(i)
-        elif off[i] < off[kept[-1]]:
-            kept[-1] = i
-    return kept
+        def judged(s: Column) -> Column:
+            gaps = steps(F.transform(s.at, lambda v: v.cast("double")))
+            even = 1 / (1 + deviation(gaps) / mean(gaps))
+            away = mean(F.transform(s.at, lambda x: F.get(s.off, x))) / whole * 100
+            reach = (F.element_at(s.at, -1) - F.get(s.at, F.lit(0))) / n
+            score = 20 * F.size(s.at) + 30 * (1 - away / 0.15) + 25 * reach + 25 * even - 15 * s.broke
+            out = F.struct(
+                F.greatest(F.lit(0.0), F.least(F.lit(100.0), score)).alias("quality"), slope.alias("slope"), base.alias("intercept"), F.size(s.at).alias("touches"), s.broke.alias("breakouts"), F.lit(high).alias("is_high")
+            )
+            return F.when((F.size(s.at) >= least) & (s.broke < 3), out)
 
+        beyond = F.transform(on_line(closes), lambda v: sign * v)
+        seen = let(off, lambda o: F.struct(o.alias("off"), touches(o, 0.0015 * whole, k).alias("at"), breakouts(beyond, 0.003 * whole, k).alias("broke")))
+        return let(seen, judged)
 
-def breakouts(closes: np.ndarray, line: np.ndarray, beyond: float, above: bool, gap: int) -> int:
-    """Runs of two closes beyond a line, at least ``gap`` bars apart."""
-    run, last, n = 0, -gap, 0
-    past = (closes - line > beyond) if above else (line - closes > beyond)
-    for i, out in enumerate(past.tolist()):
-        run = run + 1 if out else 0
-        if run >= 2 and i - last >= gap:
-            n, last, run = n + 1, i, 0
-    return n
+    every = F.flatten(F.transform(ends, lambda i: F.transform(F.filter(ends, lambda j: j > i), lambda j: one(i, j))))
+    return F.when(n >= 20, F.array_compact(every)).otherwise(F.array().cast(f"array<{_TREND}>"))
 
 
 def trend_levels(bars: DataFrame, least: int = 3, keep: int = 10) -> DataFrame:
-    """Lines through two pivots of a kind with touches, breakouts and a quality from 0 to 100."""
-    names = ["symbol", "is_high", "slope", "intercept", "touches", "breakouts", "quality"]
+    """Lines through two pivots of a kind with touches, breakouts and a quality from 0 to 100.
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("idx")
-        n, out = len(f), []
-        if n < 20:
-            return pd.DataFrame(out, columns=names)
-        high, low, close = (f[c].to_numpy(float) for c in ("high", "low", "close"))
-        span, x, k = high.max() - low.min(), np.arange(n), max(2, n // 20)
-        for is_high, p in ((True, high), (False, low)):
-            ends = [i for i in range(k, n - k) if p[i] == (p[i - k : i + k + 1].max() if is_high else p[i - k : i + k + 1].min())]
-            for a, i in enumerate(ends):
-                for j in ends[a + 1 :]:
-                    slope = (p[j] - p[i]) / (j - i)
-                    line = p[i] + slope * (x - i)
-                    at = touches(p, line, 0.0015 * span, max(2, n // 20))
-                    if len(at) < least:
-                        continue
-                    broke = breakouts(close, line, 0.003 * span, is_high, max(2, n // 20))
-                    if broke >= 3:
-                        continue
-                    gaps = np.diff(at)
-                    even = 1 / (1 + gaps.std() / gaps.mean())
-                    off = np.abs(p[at] - line[at]).mean() / span * 100
-                    q = 20 * len(at) + 30 * (1 - off / 0.15) + 25 * (at[-1] - at[0]) / n + 25 * even - 15 * broke
-                    out.append((f["symbol"].iloc[0], is_high, slope, line[0], len(at), broke, float(np.clip(q, 0, 100))))
-        kept: list[tuple] = []
-        for row in sorted(out, key=lambda r: -r[-1]):
-            middle = row[3] + row[2] * n / 2
-            same = lambda o: o[1] == row[1] and abs(o[3] + o[2] * n / 2 - middle) / (abs(o[3]) + 1e-10) < 0.005 and abs(o[2] - row[2]) < 0.01  # noqa: B023, E731
-            if not any(same(o) for o in kept):
-                kept.append(row)
-        return pd.DataFrame(kept[:keep], columns=names)
-
-    return bars.groupBy("symbol").applyInPandas(run, "symbol string, is_high boolean, slope double, intercept double, touches int, breakouts int, quality double")
+    The best first, a line is left out if a kept one of its kind is as steep and near it in the middle of the series.
+    """
+    rows = packed.pack(bars)
+    whole = F.array_max("highs") - F.array_min("lows")
+    found = F.concat(*[_trend_candidates(F.col(c), F.col("closes"), high, F.col("whole"), least) for c, high in (("highs", True), ("lows", False))])
+    rows = rows.withColumn("whole", whole).select("symbol", F.size("closes").alias("n"), found.alias("found"))
+
+    def merge(kept: Column, c: Column) -> Column:
+        middle = lambda o: o.intercept + o.slope * F.col("n") / 2
+        same = lambda o: (o.is_high == c.is_high) & (F.abs(middle(o) - middle(c)) / (F.abs(o.intercept) + 1e-10) < 0.005) & (F.abs(o.slope - c.slope) < 0.01)
+        return F.when(F.exists(kept, same), kept).otherwise(F.concat(kept, F.array(c)))
+
+    by_quality = F.transform(F.array_sort(F.transform("found", lambda c, i: F.struct((-c.quality).alias("q"), i.alias("i"), c.alias("c")))), lambda x: x.c)
+    rows = rows.withColumn("sorted", by_quality).withColumn("kept", F.slice(F.aggregate("sorted", F.array().cast(f"array<{_TREND}>"), merge), 1, keep))
+    rows = rows.select("symbol", F.explode("kept").alias("c"))
+    return rows.select("symbol", "c.is_high", "c.slope", "c.intercept", "c.touches", "c.breakouts", "c.quality")
 
 
 def consensus_lines(points: DataFrame, scale: DataFrame, least: int = 3) -> DataFrame:
@@ -174,21 +132,54 @@ def consensus_lines(points: DataFrame, scale: DataFrame, least: int = 3) -> Data
     return points.join(scale, "symbol").groupBy("symbol", "is_high").applyInPandas(run, "symbol string, is_high boolean, slope double, intercept double, touches int, strength double")
 
 
-def merge_levels(levels: DataFrame, scale: DataFrame) -> DataFrame:
-    """Levels of a kind within .3 scales of a stronger one join it: strengths add up to at most 1."""
+_LEVEL = "struct<strength: double, price: double, is_high: boolean, touches: int, first_touch: int, last_touch: int>"
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        kept: list[dict] = []
-        for row in f.sort_values(["strength", "price"], ascending=[False, True]).to_dict("records"):
-            for other in kept:
-                if other["is_high"] == row["is_high"] and abs(other["price"] - row["price"]) < 0.3 * row["vol_scale"]:
-                    other["strength"] = min(1.0, other["strength"] + row["strength"])
-                    other["touches"] = max(other["touches"], row["touches"])
-                    other["first_touch"], other["last_touch"] = min(other["first_touch"], row["first_touch"]), max(other["last_touch"], row["last_touch"])
-                    break
-            else:
-                kept.append(row)
-        return pd.DataFrame(kept, columns=f.columns).drop(columns="vol_scale")
-
-    made = levels.select("symbol", "is_high", "price", "touches", "first_touch", "last_touch", "strength")
-    return made.join(scale, "symbol").groupBy("symbol").applyInPandas(run, made.schema)
+
+def merge_levels(levels: DataFrame, scale: DataFrame) -> DataFrame:
+    """Levels of a kind within .3 scales of a stronger one join it: strengths add up to at most 1 (L8); a series has a few dozen levels."""
+    fields = ["strength", "price", "is_high", "touches", "first_touch", "last_touch"]
+    one = F.struct(F.col("strength").cast("double").alias("strength"), "price", "is_high", *[F.col(c).cast("int").alias(c) for c in fields[3:]])
+    rows = levels.groupBy("symbol").agg(F.collect_list(one).alias("all")).join(scale, "symbol")
+
+    def join(kept: Column, c: Column) -> Column:
+        near = lambda o: (o.is_high == c.is_high) & (F.abs(o.price - c.price) < 0.3 * F.col("vol_scale"))
+        host = F.array_position(F.transform(kept, near), True)
+        joined = lambda o: F.struct(
+            F.least(F.lit(1.0), o.strength + c.strength).alias("strength"), o.price.alias("price"), o.is_high.alias("is_high"), F.greatest(o.touches, c.touches).alias("touches"),
+            F.least(o.first_touch, c.first_touch).alias("first_touch"), F.greatest(o.last_touch, c.last_touch).alias("last_touch"),
+        )
+        return F.when(host == 0, F.concat(kept, F.array(c))).otherwise(F.transform(kept, lambda o, i: F.when(i + 1 == host, joined(o)).otherwise(o)))
+
+    strongest = F.transform(F.array_sort(F.transform("all", lambda c: F.struct((-c.strength).alias("s"), c.price.alias("p"), c.alias("c")))), lambda x: x.c)
+    rows = rows.withColumn("sorted", strongest).withColumn("kept", F.aggregate("sorted", F.array().cast(f"array<{_LEVEL}>"), join))
+    return rows.select("symbol", F.explode("kept").alias("c")).select("symbol", "c.is_high", "c.price", "c.touches", "c.first_touch", "c.last_touch", "c.strength")
+
+
+def level_sources(bars: DataFrame, zones: DataFrame, profile: DataFrame, rounds: DataFrame, scale: DataFrame) -> DataFrame:
+    """Levels of all sources (U1, L4, L5, L9, J13): zones, then profile and round levels that are not within .3 scales of one before.
+
+    Each source has symbol, price, base (its strength without touches). Touches are closes within half a scale (J12); the strength adds .5 for up to
+    five touches, .2 for a late last touch and .3 for volume at the touches against the mean (G14), at most 1. A level under the last close
+    is support, over it resistance.
+    """
+    rows = packed.pack(bars).join(scale, "symbol")
+    offered = zones.select("symbol", F.lit(0).alias("o"), "price", "base").unionByName(profile.select("symbol", F.lit(1).alias("o"), "price", "base")).unionByName(rounds.select("symbol", F.lit(2).alias("o"), "price", "base"))
+    offered = offered.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("o", "price", "base"))).alias("offered"))
+    once = lambda kept, c: F.when((c.o > 0) & F.exists(kept, lambda k: F.abs(k.price - c.price) < 0.3 * F.col("vol_scale")), kept).otherwise(F.concat(kept, F.array(c)))
+    rows = rows.join(offered, "symbol").withColumn("kept", F.aggregate("offered", F.array().cast("array<struct<o: int, price: double, base: double>>"), once))
+    n, mean_volume = F.size("closes"), mean(F.col("volumes"))
+
+    def judged(c: Column) -> Column:
+        at = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.abs(F.get("closes", i) - c.price) <= 0.5 * F.col("vol_scale"))
+        def scored(t: Column) -> Column:
+            volume = F.when((F.size(t) > 0) & (mean_volume > 0), F.least(F.lit(1.0), mean(F.transform(t, lambda i: F.get("volumes", i))) / mean_volume)).otherwise(0.0)
+            late = F.when(F.size(t) > 0, F.element_at(t, -1) / F.greatest(n - 1, F.lit(1))).otherwise(0.0)
+            strength = c.base + 0.5 * F.least(F.lit(1.0), F.size(t) / 5) + 0.2 * late + 0.3 * volume
+            return F.struct(
+                (c.price > F.element_at("closes", -1)).alias("is_high"), c.price.alias("price"), F.size(t).alias("touches"), F.coalesce(F.get(t, F.lit(0)), F.lit(-1)).alias("first_touch"),
+                F.coalesce(F.try_element_at(t, F.lit(-1)), F.lit(-1)).alias("last_touch"), F.least(F.lit(1.0), strength).alias("strength"), F.element_at(F.array(F.lit("zone"), F.lit("volume"), F.lit("round")), c.o + 1).alias("source"),
+            )
+
+        return let(at, scored)
+
+    return rows.select("symbol", F.explode(F.transform("kept", judged)).alias("l")).select("symbol", "l.*")

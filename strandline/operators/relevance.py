@@ -6,13 +6,16 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FEATURES = ["ret", "range_share", "rel_volume", "vol10", "mean10", "hour_sin"]
 #: Feedback rows a model needs before it filters, and the least score then.
 LEAST_FEEDBACK = 20
 LEAST_SCORE = 0.5
+#: Trees of a forest, and labelled rows it needs.
+TREES = 200
+LEAST_SAMPLES = 200
 
 
 def bar_features(bars: DataFrame) -> DataFrame:
@@ -33,15 +36,36 @@ def one_hot(df: DataFrame, column: str, values: list[str]) -> DataFrame:
     return df.withColumns({f"{column}_{v}": (F.col(column) == v).cast("double") for v in values})
 
 
-def train(rows: DataFrame, trees: int = 50, seed: int = 42) -> PipelineModel:
-    """A forest with balanced class weights n / (2 n_class) (ML3)."""
+def held_out(*keys: str) -> Column:
+    """A quarter of the rows by a hash of their keys; within each label it is a quarter, too."""
+    return F.pmod(F.xxhash64(*keys), F.lit(4)) == 0
+
+
+def train(rows: DataFrame, trees: int = TREES, seed: int = 42) -> PipelineModel | None:
+    """A forest with balanced class weights n / (2 n_class) (ML3); None for under ``LEAST_SAMPLES`` rows or one label alone.
+
+    Counts of labels are aggregated and joined back, so no task sees all rows.
+    """
     labelled = rows.where("label is not null")
-    counts = Window.partitionBy("label")
-    weighted = labelled.withColumn("weight", F.count("*").over(Window.partitionBy(F.lit(0))) / (2 * F.count("*").over(counts)))
+    counts = labelled.groupBy("label").agg(F.count("*").alias("_n"))
+    seen = [r["_n"] for r in counts.collect()]  # two rows
+    if sum(seen) < LEAST_SAMPLES or len(seen) < 2:
+        return None
+    weighted = labelled.join(F.broadcast(counts), "label").withColumn("weight", sum(seen) / (2 * F.col("_n")))
     forest = RandomForestClassifier(numTrees=trees, seed=seed, weightCol="weight", maxDepth=5)
     return Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="features"), forest]).fit(weighted)
 
 
+def accuracy(scored: DataFrame) -> DataFrame:
+    """n and the share of rows whose score is on the side of their label (ML5)."""
+    return scored.where("label is not null").agg(F.count("*").alias("n"), F.avg((F.col("ml_score") >= 0.5).cast("double").eqNullSafe(F.col("label")).cast("double")).alias("accuracy"))
+
+
+def importances(model: PipelineModel, keep: int = 10) -> list[tuple[str, float]]:
+    """The features a forest rests on most (T9, ML5)."""
+    return sorted(zip(FEATURES, model.stages[-1].featureImportances.toArray().tolist(), strict=True), key=lambda f: -f[1])[:keep]
+
+
 def score(rows: DataFrame, model: PipelineModel | None) -> DataFrame:
     """Adds ``ml_score``: probability of label 1, or 1.0 without a model (ML4)."""
     if model is None:

@@ -76,8 +76,8 @@ def primary_types(candidates: DataFrame) -> DataFrame:
 
 
 def shared_types(candidates: DataFrame) -> DataFrame:
-    """For each pair of series, the types both have."""
+    """For each series, how many types it has in common with the series that is first by name."""
     sets = candidates.groupBy("symbol").agg(F.collect_set("type").alias("types"))
-    a, b = sets.alias("a"), sets.alias("b")
-    rows = a.join(b, F.col("a.symbol") < F.col("b.symbol"))
-    return rows.select(F.col("a.symbol").alias("first"), F.col("b.symbol").alias("second"), F.size(F.array_intersect("a.types", "b.types")).alias("shared"))
+    first = sets.orderBy("symbol").limit(1).select(F.col("symbol").alias("first"), F.col("types").alias("_types"))
+    rows = sets.crossJoin(F.broadcast(first))  # one row
+    return rows.select("first", F.col("symbol").alias("second"), F.size(F.array_intersect("types", "_types")).alias("shared"))

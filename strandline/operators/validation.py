@@ -46,3 +46,17 @@ def latency(events: DataFrame) -> DataFrame:
     """Mean bars from candidate to confirmation over confirmed events; null if there is none."""
     wait = F.when(F.col("state") == "confirmed", F.col("confirmed_at") - F.col("from_idx"))
     return events.groupBy("symbol").agg(F.avg(wait).alias("latency"))
+
+
+def class_rates(truth: DataFrame, found: DataFrame) -> DataFrame:
+    """Per class (a label but ``noise``): hits, false alarms, misses, and hit and false alarm rates.
+
+    ``truth``: symbol, label, a row a series; ``found``: symbol, type. A false alarm is a series of another label found as the class.
+    """
+    rows = truth.join(found.select("symbol", "type").distinct(), "symbol", "left")
+    size = truth.groupBy("label").agg(F.count("*").alias("n"))
+    every = size.agg(F.sum("n").alias("total"))
+    seen = rows.groupBy("label").agg(F.count_if(F.col("type") == F.col("label")).alias("tp"))
+    wrong = rows.where("type != label").groupBy(F.col("type").alias("label")).agg(F.count("*").alias("fp"))
+    out = size.where("label != 'noise'").join(seen, "label").join(wrong, "label", "left").crossJoin(F.broadcast(every)).fillna(0, ["fp"])
+    return out.select("label", "n", "tp", "fp", (F.col("n") - F.col("tp")).alias("fn"), (F.col("tp") / F.col("n")).alias("tpr"), F.try_divide("fp", F.col("total") - F.col("n")).alias("fpr"))

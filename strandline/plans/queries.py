@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import shapes
-from strandline.operators import features, folds, levels, patterns, relevance, similarity, store, structures, validation, windows
+from strandline.operators import detectors, features, folds, levels, packed, patterns, relevance, scoring, similarity, store, structures, validation, windows
+from strandline.sources import synthetic
 from strandline.sources.series import event_bars, latest, ship_days, table
 from strandline.streaming import live
 
@@ -536,8 +537,10 @@ def latency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def rf_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of the bars that the forest was not trained on (ML1, ML3, ML4)."""
     rows = relevance.bar_features(event_bars(spark, sf_dir))
-    return relevance.score(rows, relevance.train(rows)).select("symbol", "open_time", F.round("ml_score", 6).alias("ml_score"))
+    apart = relevance.held_out("symbol", "open_time")
+    return relevance.score(rows.where(apart), relevance.train(rows.where(~apart))).select("symbol", "open_time", F.round("ml_score", 6).alias("ml_score"))
 
 
 @query("SELECT symbol, timeframe, is_click, is_view FROM (SELECT 'u' || user_id AS symbol, event_type AS timeframe, (event_type = 'click')::DOUBLE AS is_click, (event_type = 'view')::DOUBLE AS is_view FROM events)")
@@ -546,29 +549,77 @@ def one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("symbol", "timeframe", F.col("timeframe_click").alias("is_click"), F.col("timeframe_view").alias("is_view"))
 
 
+def framed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest bars of every series as a whole and for its last 30, 50 and 70 bars (W20), with ``timeframe`` and its order ``ord`` (whole first)."""
+    rows = windows.sub_windows(series(spark, sf_dir))
+    size = F.coalesce("window_size", F.lit(0))
+    return rows.withColumns({"timeframe": F.when(size == 0, "4h").otherwise(F.concat(F.lit("4h_w"), size.cast("string"))), "ord": size})
+
+
+def all_structures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detectors.structures(framed(spark, sf_dir), "symbol", "timeframe", "ord")
+
+
+@query()
+def structure_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every series and window with its structure and scalars (D1 to D25, P1 to P13, A1, A3, F5); the type filter (F9) looks into ``patterns``, too."""
+    rows = all_structures(spark, sf_dir)
+    scalars = ["confidence", "freshness", "quality", "trend", "volatility", "compression", "symmetry", "convergence", "breakout_strength", "volume_confirmation", "consistency", "pivot_confidence"]
+    vector = packed.feature_vector(F.col("line"), F.col("sequence"), F.col("distances"), [F.col("trend"), F.col("volatility"), F.col("compression")])
+    return rows.select("symbol", "timeframe", "type", "is_active", "passes", F.size("pivots").alias("pivots"), F.array_sort(F.map_keys("patterns")).alias("patterns"), F.round(packed.total(vector), 5).alias("vector_sum"), *[(F.round(c, 6) + 0.0).alias(c) for c in scalars])
+
+
+@query()
+def causal_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structures confirmed bar by bar (C1 to C6); ``state`` tells confirmed, invalidated, open or none. F10 keeps the confirmed ones."""
+    rows = detectors.causal(all_structures(spark, sf_dir))
+    return rows.select("symbol", "timeframe", "type", "state", "way", "candidate_at", "candidate_time", "confirmed_at", "confirmed_time", "is_active", "freshness", F.round("confidence", 6).alias("confidence"))
+
+
 @query()
 def similarity_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All lines and their mirrors against every preset, by score."""
-    norm = lines(spark, sf_dir)[0].groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("idx", "y"))).alias("p")).select("symbol", F.col("p.y").alias("a")).where("size(a) = 100")
-    rows = norm.crossJoin(F.broadcast(shapes.presets(spark)))  # a handful of presets
-    flipped = F.transform("a", lambda v: 1 - v)
-    rows = rows.select("symbol", "name", similarity.line_score(F.col("a"), F.col("line")).alias("score"), similarity.line_score(flipped, F.col("line")).alias("mirrored"))
-    return rounded(similarity.mirror_best(rows, "score", "mirrored")).orderBy(F.col("best").desc(), "symbol", "name")
+    """All series and windows against the whole series of the first symbol, mirrors too, by score."""
+    rows = all_structures(spark, sf_dir)
+    return scoring.find_matches(rows, rows.where("ord = 0").orderBy("symbol"))
+
+
+@query()
+def synthetic_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per class of planted series: hits, false alarms and misses of the confirmed structures, and their rates."""
+    bars = synthetic.labelled(spark)
+    found = detectors.causal(detectors.structures(bars, "symbol", "label"))
+    return rounded(validation.class_rates(bars.select("symbol", "label").distinct(), found.where("state = 'confirmed'").select("symbol", "type")))
+
+
+@query()
+def levels_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Levels of zones, volume profile and round prices, merged, the strongest first."""
+    bars = series(spark, sf_dir)
+    scale = windows.vol_scale(bars)
+    zones = levels.zones(windows.pivots(bars), scale, 0.02).select("symbol", "price", F.lit(0.2).alias("base"))
+    histogram = levels.volume_histogram(bars)
+    area = levels.value_area(histogram).join(histogram.select("symbol", "lo", "width").distinct(), "symbol")
+    ends = [F.col("lo") + (F.col(b) + 0.5) * F.col("width") for b in ("poc", "high_bin", "low_bin")]
+    profile = area.select("symbol", F.explode(F.array(*ends)).alias("price"), F.lit(0.25).alias("base"))
+    rounds = levels.round_levels(bars, scale).select("symbol", F.col("level").alias("price"), F.lit(0.2).alias("base"))
+    found = folds.level_sources(bars, zones, profile, rounds, scale)
+    return rounded(folds.merge_levels(found, scale)).orderBy("symbol", F.col("strength").desc(), "price")
 
 
 @query()
 def stream_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The latest bars of each event type after all events went through a stream; the stream ends when its input does."""
+    """The latest bars of each event type after all events went through a stream, batch by batch into a table; the stream ends when its input does."""
     import uuid
 
     schema = table(spark, sf_dir, "events").schema
     ticks = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
     bars = ticks.select(F.col("event_type").alias("symbol"), F.unix_millis(F.col("ts").cast("timestamp")).alias("open_time"), F.col("value").alias("close"))
-    name = f"buffer_{uuid.uuid4().hex}"
-    run = live.latest_buffer(bars).writeStream.outputMode("update").format("memory").queryName(name).trigger(availableNow=True).start()
+    at = f"{live.stream_folder(spark)}/stream-buffer-{uuid.uuid4().hex}"
+    out = live.latest_buffer(bars)
+    run = live.into_table(out, f"{at}/rows", f"{at}/state")
     run.awaitTermination()
     last = Window.partitionBy("symbol").orderBy(F.col("last_time").desc())
-    return spark.table(name).withColumn("_rn", F.row_number().over(last)).where("_rn = 1").drop("_rn")
+    return spark.read.schema(out.schema).parquet(f"{at}/rows").withColumn("_rn", F.row_number().over(last)).where("_rn = 1").drop("_rn")
 
 
 # --- curves, squeezes, types ---
@@ -631,6 +682,7 @@ def type_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def pattern_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each series the number of types it shares with the first one, a single row."""
     return structures.shared_types(candidates(spark, sf_dir))
 
 

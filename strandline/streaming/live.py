@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -55,3 +57,40 @@ def closed_klines(messages: DataFrame) -> DataFrame:
         number("h").alias("high"), number("l").alias("low"), number("c").alias("close"), number("v").alias("volume"),
     )
     return made.where("open_time is not null and close is not null")
+
+
+def stream_folder(spark: SparkSession) -> str:
+    """The folder all executors share (``spark.checkpoint.dir``); where that is unset, a folder of this process, which only local Spark may use."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return at.rstrip("/") if at else tempfile.mkdtemp(prefix="strandline-stream-")
+
+
+def into_table(rows: DataFrame, path: str, state: str) -> StreamingQuery:
+    """Appends every batch to a Parquet table, with the stream's own state in a folder beside it; ends when the input does."""
+    def append(batch: DataFrame, _: int) -> None:
+        batch.write.mode("append").parquet(path)
+
+    return rows.writeStream.outputMode("update").foreachBatch(append).option("checkpointLocation", state).trigger(availableNow=True).start()
+
+
+def emitted_once(events: DataFrame, keys: list[str], late: str = "1 hour") -> DataFrame:
+    """The first event of each key (ST7, U5); with a time column ``ts`` a key is forgotten once the watermark has passed it by ``late``."""
+    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
+
+
+def changed_only(structures: DataFrame, least: float = 0.1) -> DataFrame:
+    """Structures (symbol, open_time, type, trend) whose type differs from the one before or whose trend moved by more than ``least`` (ST8, W24)."""
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        before = state.get if state.exists else (None, 0.0)
+        rows, out = pd.concat(list(frames)).sort_values("open_time", kind="stable"), []
+        for r in rows.itertuples(index=False):
+            if r.type != before[0] or abs(r.trend - before[1]) > least:
+                out.append(r)
+            before = (r.type, float(r.trend))
+        state.update(before)
+        yield pd.DataFrame(out, columns=rows.columns)
+
+    kinds = "symbol string, open_time long, type string, trend double"
+    return structures.select("symbol", "open_time", "type", "trend").groupBy("symbol").applyInPandasWithState(step, kinds, "type string, trend double", "update", GroupStateTimeout.NoTimeout)

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from strandline.operators import features, folds
+from strandline.operators import features, packed
 
 
 def _stretch(a, n):
@@ -59,6 +59,9 @@ def test_scores_without_pivots(spark):
     assert features.geometry(points).count() == 0
 
 
-def test_small_swings_go_by_the_range():
-    y = np.array([0.0, 0.2, 0.1, 0.9, 1.0, 0.95, 0.97, 0.5])
-    assert folds.alternate(y, [(0, False), (4, True), (5, False), (6, True), (7, False)]) == [(0, False), (4, True), (7, False)]
+def test_small_swings_go_by_the_range(spark):
+    y = [0.0, 0.2, 0.1, 0.9, 1.0, 0.95, 0.97, 0.5]
+    marks = [(0, False), (4, True), (5, False), (6, True), (7, False)]
+    df = spark.createDataFrame([(y, marks)], "y array<double>, m array<struct<idx: int, is_high: boolean>>")
+    got = df.select(packed.without_small(F.col("m"), F.col("y")).alias("m")).first()["m"]
+    assert [tuple(m) for m in got] == [(0, False), (4, True), (7, False)]

@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from strandline.functions import shapes
 from strandline.operators import folds, levels, patterns, similarity, validation, windows
@@ -58,17 +59,30 @@ def test_confirm_falls_back(spark):
     assert sorted(r["state"] for r in patterns.confirm(df, cand).collect()) == ["invalidated", "none"]
 
 
-def test_zigzag_finds_turns_and_leaves_the_last_leg():
-    y = np.array(piecewise((0, 1, 20), (1, 0.2, 20), (0.2, 0.9, 20), (0.9, 0.1, 20)))
-    found = folds.zigzag(y)
-    assert [i for i, _ in found] == [19, 38, 57] and [h for _, h in found] == [True, False, True]
-    assert folds.alternate(y, found) == found
+def _line_rows(spark, y):
+    return spark.createDataFrame([("a", i, float(v)) for i, v in enumerate(y)], "symbol string, idx int, y double")
 
 
-def test_touches_and_breakouts():
-    p = np.array([0, 0, 5, 0.1, 5, 5, 5, 0, 5], float)
-    assert folds.touches(p, np.zeros(9), 0.5, 2) == [0, 3, 7]
-    assert folds.breakouts(p, np.zeros(9), 1.0, True, 2) == 1
+def test_zigzag_finds_turns_and_leaves_the_last_leg(spark):
+    y = piecewise((0, 1, 20), (1, 0.2, 20), (0.2, 0.9, 20), (0.9, 0.1, 20))
+    found = sorted((r["idx"], r["is_high"]) for r in folds.zigzag_pivots(_line_rows(spark, y)).collect())
+    assert found == [(19, True), (38, False), (57, True)]
+    assert folds.zigzag_pivots(_line_rows(spark, piecewise((0, 1, 4), (1, 0, 5)))).count() == 0  # under 11 bars
+
+
+def test_touches_and_breakouts(spark):
+    off, beyond = [0.0, 0.2, 9.0, 0.4, 0.1, 9.0, 9.0, 0.3, 9.0], [0.0, 2.0, 3.0, 0.0, 2.0, 2.0, 2.0, 2.0, 0.0]
+    df = spark.createDataFrame([(off, beyond)], "off array<double>, beyond array<double>")
+    r = df.select(folds.touches(F.col("off"), F.lit(0.5), F.lit(2)).alias("t"), folds.breakouts(F.col("beyond"), F.lit(1.0), F.lit(2)).alias("b")).first()
+    assert r["t"] == [0, 4, 7] and r["b"] == 3
+
+
+def test_merged_levels(spark):
+    rows = [("a", True, 10.0, 2, 1, 5, 0.5), ("a", True, 10.2, 4, 0, 9, 0.4), ("a", False, 10.1, 1, 2, 2, 0.3), ("a", True, 20.0, 1, 3, 3, 0.9)]
+    levels_df = spark.createDataFrame(rows, "symbol string, is_high boolean, price double, touches int, first_touch int, last_touch int, strength double")
+    scale = spark.createDataFrame([("a", 1.0)], "symbol string, vol_scale double")
+    got = sorted((r["price"], r["is_high"], r["touches"], r["first_touch"], r["last_touch"], round(r["strength"], 6)) for r in folds.merge_levels(levels_df, scale).collect())
+    assert got == [(10.0, True, 4, 0, 9, 0.9), (10.1, False, 1, 2, 2, 0.3), (20.0, True, 1, 3, 3, 0.9)]
 
 
 def test_dtw_equals_plain_loops():
@@ -107,4 +121,4 @@ def test_partitions_do_not_matter(spark):
     a = windows.pivots(df.repartition(1)).collect()
     b = windows.pivots(df.repartition(7)).collect()
     assert sorted(a) == sorted(b)
-    assert folds.trend_levels(df).toPandas().shape[1] == 7 and isinstance(folds.trend_levels(df).toPandas(), pd.DataFrame)
+    assert folds.trend_levels(df.withColumn("open_time", F.col("idx"))).columns == ["symbol", "is_high", "slope", "intercept", "touches", "breakouts", "quality"]
