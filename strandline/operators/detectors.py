@@ -514,13 +514,14 @@ def _greatest(a: Column, b: Column) -> Column:
     return F.map_zip_with(a, b, lambda k, x, y: F.greatest(x, y))
 
 
-def structures(bars: DataFrame, *keys: str) -> DataFrame:
+def structures(bars: DataFrame, *keys: str, settle: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
     """Every series with its line, pivots, scalars and structure (D25): series of at least ten bars that are not flat; the rest stays with a null type.
 
-    ``passes``: whether its quality reaches .35 (F5).
+    ``passes``: whether its quality reaches .35 (F5). ``settle`` gets the rows with pivots and those with scalars, to write them, say, so that
+    each part is planned apart.
     """
     rows = packed.pack(bars, *keys).withColumn("line", packed.normal_line(F.col("closes")))
-    rows = classified(packed.with_scalars(packed.with_pivots(rows)))
+    rows = classified(settle(packed.with_scalars(settle(packed.with_pivots(rows)))))
     good = (F.size("closes") >= 10) & (span(F.col("closes")) >= 1e-10)
     return rows.withColumns({"type": F.when(good, F.col("type")), "passes": good & (F.col("quality") >= 0.35)})
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strandline.functions import shapes
 from strandline.operators import detectors, features, folds, levels, packed, patterns, relevance, scoring, similarity, store, structures, validation, windows
 from strandline.sources import synthetic
-from strandline.sources.series import event_bars, latest, ship_days, table
+from strandline.sources.series import event_bars, latest, settled, shared_folder, ship_days, table
 from strandline.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -557,7 +557,7 @@ def framed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_structures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detectors.structures(framed(spark, sf_dir), "symbol", "timeframe", "ord")
+    return settled(detectors.structures(framed(spark, sf_dir), "symbol", "timeframe", "ord", settle=settled))
 
 
 @query()
@@ -587,7 +587,7 @@ def similarity_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def synthetic_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per class of planted series: hits, false alarms and misses of the confirmed structures, and their rates."""
     bars = synthetic.labelled(spark)
-    found = detectors.causal(detectors.structures(bars, "symbol", "label"))
+    found = detectors.causal(settled(detectors.structures(bars, "symbol", "label", settle=settled)))
     return rounded(validation.class_rates(bars.select("symbol", "label").distinct(), found.where("state = 'confirmed'").select("symbol", "type")))
 
 
@@ -614,7 +614,7 @@ def stream_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "events").schema
     ticks = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
     bars = ticks.select(F.col("event_type").alias("symbol"), F.unix_millis(F.col("ts").cast("timestamp")).alias("open_time"), F.col("value").alias("close"))
-    at = f"{live.stream_folder(spark)}/stream-buffer-{uuid.uuid4().hex}"
+    at = f"{shared_folder(spark)}/stream-buffer-{uuid.uuid4().hex}"
     out = live.latest_buffer(bars)
     run = live.into_table(out, f"{at}/rows", f"{at}/state")
     run.awaitTermination()

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,3 +44,18 @@ def latest(series: DataFrame, n: int = 100) -> DataFrame:
     ahead = Window.partitionBy("symbol").orderBy("open_time")
     rows = series.withColumn("_rn", F.row_number().over(back)).where(F.col("_rn") <= n).drop("_rn")
     return rows.withColumn("idx", F.row_number().over(ahead) - 1)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share (``spark.checkpoint.dir``); where that is unset, a folder of this process, which only local Spark may use."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return at.rstrip("/") if at else tempfile.mkdtemp(prefix="strandline-")
+
+
+def settled(rows: DataFrame) -> DataFrame:
+    """``rows`` written to a table in the shared folder and read back, so that long expressions are planned once and what follows is planned apart."""
+    at = f"{shared_folder(rows.sparkSession)}/settled-{uuid.uuid4().hex}"
+    rows.write.parquet(at)
+    return rows.sparkSession.read.schema(rows.schema).parquet(at)
