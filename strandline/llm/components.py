@@ -51,6 +51,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 #: Members of a group of two bands that all others are checked against: the least by itself and by other orders.
 HEADS = 3
+#: Each shared band of a member is paired with so many of the next ones.
+REACH = 4
 
 
 def _alike(a: str, b: str, most_off: int) -> Column:
@@ -68,7 +70,7 @@ def _in_two_bands(shared: DataFrame, links: DataFrame, most_off: int) -> DataFra
     wide = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("band")
     left = placed.join(small(materialise(wide, "open-bands"), 16), "band", "left_semi")
     left = left.groupBy("h", "sketch", "root").agg(F.array_sort(F.collect_set("band")).alias("b")).where("size(b) > 1")
-    two = F.flatten(F.transform("b", lambda x, i: F.transform(F.slice("b", i + 2, F.size("b")), lambda y: F.xxhash64(x, y))))
+    two = F.flatten(F.transform("b", lambda x, i: F.transform(F.slice("b", i + 2, F.lit(REACH)), lambda y: F.xxhash64(x, y))))
     left = materialise(left.select("h", "sketch", "root", F.explode(two).alias("two")), "double-bands")
     heads = F.array(F.min("h"), *[F.min_by("h", F.xxhash64(F.lit(i), "h")) for i in range(1, HEADS)])
     tops = left.groupBy("two").agg(heads.alias("reps"), F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
