@@ -29,7 +29,7 @@ BUCKETS = 1 << 18
 STEMS = (4,)
 LEAST_SIGMA = 3.0
 #: Pairs are looked for among terms of at least this share of the sampled rows, and must stand out this far.
-PAIR_SHARE = 0.01
+PAIR_SHARE = 0.02
 PAIR_SIGMA = 6.0
 FACTORS = 4
 SAMPLE = 12_000
@@ -95,19 +95,25 @@ def telling_pairs(found: list[np.ndarray], y: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     place = np.full(BUCKETS, -1, np.int64)
     place[often] = np.arange(len(often))
-    there = np.zeros((n, len(often)), np.float32)
+    there = np.zeros((n, len(often)), np.uint8)
     for row, f in zip(there, found, strict=True):
         row[place[f][place[f] >= 0]] = 1
-    rate, single = y.mean(), (there.T @ y) / every[often]
+    many = every[often]
+    rate, single = y.mean(), np.array([y[there[:, j] == 1].sum() for j in range(len(often))]) / many
     out = np.zeros(len(often), bool)
-    for at in range(0, len(often), 512):  # a block of rows of the pair table at a time
-        part = there[:, at : at + 512]
-        both, toxic = part.T @ there, (part * y[:, None].astype(np.float32)).T @ there
-        want = np.clip(single[at : at + 512, None] + single[None, :] - rate, 0.02, 0.98)
+    for at in range(0, len(often), 128):  # a block of the pair table at a time, summed up over blocks of rows, so that little is in memory at once
+        both = np.zeros((len(many[at : at + 128]), len(often)), np.float32)
+        toxic = np.zeros_like(both)
+        for start in range(0, n, 1000):
+            rows = there[start : start + 1000].astype(np.float32)
+            part = rows[:, at : at + 128].T
+            both += part @ rows
+            toxic += (part * y[start : start + 1000].astype(np.float32)) @ rows
+        want = np.clip(single[at : at + 128, None] + single[None, :] - rate, 0.02, 0.98).astype(np.float32)
         off = np.abs(toxic - both * want) / np.sqrt(np.maximum(1e-9, both * want * (1 - want)))
-        off[(both < LEAST_DOCS) | (both > 0.9 * np.minimum(every[often][at : at + 512, None], every[often][None, :]))] = 0  # a word and its stem
+        off[(both < LEAST_DOCS) | (both > 0.9 * np.minimum(many[at : at + 128, None], many[None, :]))] = 0  # a word and its stem
         out |= (off >= PAIR_SIGMA).any(axis=0)
-        out[at : at + 512] |= (off >= PAIR_SIGMA).any(axis=1)
+        out[at : at + 128] |= (off >= PAIR_SIGMA).any(axis=1)
     return often[out]
 
 
