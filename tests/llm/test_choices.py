@@ -234,3 +234,25 @@ def test_pipeline(spark):
         if name == "line dedup":
             assert docs.where("n_chars != length(text)").count() == 0
     assert corpus_pipeline.run(spark, sf).columns == ["bin_id", "bin_length", "used", "doc_ids", "copies", "pieces", "starts", "sizes", "offsets", "text"]
+
+
+def test_stages_of_odd_tables(spark, docs, no_docs, tmp_path):
+    """Nulls, empty, blank and very long texts, repeated rows, clashing columns, an empty table: every stage gives what its docstring states."""
+    labels = spark.createDataFrame([(1, 0, 0), (5, 1, 0)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    have = sorted((r["doc_id"] or -1, r["text"] or "") for r in docs.collect())
+    by_name = dict(corpus_pipeline.STAGES)
+    for name in list(by_name)[:-1]:
+        out = by_name[name](spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes, name
+        got = sorted((r["doc_id"] or -1, r["text"] or "") for r in out.collect())
+        if name == "toxicity":
+            assert got == have
+        if name == "line dedup":
+            assert len(got) == len(have) and {k for k, t in got if k == 6 and t} == set()
+        if name == "near-duplicates":
+            assert [k for k, _ in got] == [-1, 1, 2, 5, 8, 9]
+        if name == "mixing":
+            assert {k for k, _ in got} <= {k for k, _ in have} and not any(k in (2, 3, 4) for k, _ in got)
+        assert by_name[name](spark, no_docs, str(tmp_path)).count() == 0, name
+    assert by_name["packing"](spark, no_docs, str(tmp_path)).count() == 0

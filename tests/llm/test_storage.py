@@ -140,3 +140,40 @@ def test_archives(spark):
     bodies = {r[0]: (r[2] or "").encode() for r in rows}
     assert all(r["payload_digest"] == hashlib.sha1(bodies[r["page_id"]]).hexdigest() and r["payload_bytes"] == len(bodies[r["page_id"]]) for r in got)
     assert arc.page_archives(pages.limit(0)).count() == 0
+
+
+def test_existing_archives_are_converted_and_damage_is_reported(spark):
+    from strandline.llm.common import fresh_path
+
+    at, out = fresh_path(spark, "arcs"), fresh_path(spark, "warcs")
+    import gzip
+    import os
+
+    os.makedirs(at)
+    head = b"HTTP/1.1 200 OK\r\n\r\n"
+    records = [arc.ArcRecord(f"http://a/{i}", "1.2.3.4", "20200102030405", "text/html", head + b"x" * (100 + i)) for i in range(5)]
+    whole = arc.write_arc(records, "2")
+    for name, data in {"one.arc": arc.write_arc(records, "1"), "two.arc.gz": gzip.compress(whole), "cut.arc": whole[:-50], "odd.arc": b"nothing of the kind\n"}.items():
+        with open(f"{at}/{name}", "wb") as f:
+            f.write(data)
+    report = {r["path"].rsplit("/", 1)[1]: (r["records"], r["error"] is None) for r in arc.convert_archives(spark, at, out).collect()}
+    assert report == {"one.arc": (5, True), "two.arc.gz": (5, True), "cut.arc": (4, False), "odd.arc": (0, False)}
+    got = arc.read_warc(spark, out).collect()
+    assert len(got) == 14 and all(r["block_ok"] and r["record_type"] == "response" for r in got)
+    assert {r["payload_bytes"] for r in got} == set(range(100, 105)) and {r["target_uri"] for r in got} == {r.url for r in records}
+
+
+def test_archives_roll_by_bytes():
+    made = list(arc._rolled(iter([[b"a" * 10] * 3, [b"b" * arc.ARCHIVE_BYTES], [b"c"] * 2])))
+    assert [len(f) for f in made] == [1] * len(made) and len(made) == 3
+    assert made[0]["value"][0] == b"\r\n\r\n".join([b"a" * 10] * 3) and made[2]["value"][0] == b"c\r\n\r\nc" and list(arc._rolled(iter([]))) == []
+
+
+def test_bad_media_are_flagged(spark):
+    rows = [(1, gif.encode(b"abc")), (2, b"GIF89a" + bytes(20)), (3, b"no"), (4, None), (5, gif.encode(b"abc")[:200])]
+    media = spark.createDataFrame([(k, bytearray(m) if m is not None else None) for k, m in rows], "doc_id long, media binary")
+    got = {r["doc_id"]: r for r in gif.stored_digests(media).collect()}
+    assert set(got) == {1, 2, 3, 5} and got[1]["error"] is None and got[1]["n_bytes"] == 3 and all(got[k]["error"] and got[k]["payload_bytes"] is None for k in (2, 3, 5))
+    assert [(t["frame"], t["start"], t["delay"], sum(t["histogram"])) for t in got[1]["timeline"]] == [(0, 0, gif.DELAY, 64)]
+    frames = gif.frame_columns(media).collect()
+    assert sorted((r["doc_id"], r["frame"], r["error"] is None) for r in frames if r["frame"] is not None) == [(1, 0, True)] and sum(r["error"] is not None for r in frames) == 3
