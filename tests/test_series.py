@@ -1,7 +1,6 @@
 """Windows, folds, patterns and likeness on hand-made series."""
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
