@@ -11,7 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm import line_dedup, mixing, packing, simhash, toxicity
-from strandline.llm.common import materialise
+from strandline.llm.common import materialise, sheltered
+
+
+def _named(rows: DataFrame, names: dict[str, str]) -> DataFrame:
+    return rows.select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +26,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of lines that repeat or nearly repeat, the first by key stays; n_chars follows. Null texts stay null; rows left without lines keep an empty text; no row goes."""
-    left = line_dedup.dedup_lines(docs).select(*docs.columns)
+    rows, names = sheltered(docs)  # so that no column of the operator takes the place of one of the table
+    left = _named(line_dedup.dedup_lines(rows, names["doc_id"], names["text"]), names)
     return left.withColumn("n_chars", F.length("text").cast("long"))
 
 
@@ -33,7 +38,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row as often as the mix takes it, sources by code point, null last. Rows without words have no share and go; repeated rows each have theirs; an empty table stays empty."""
-    return mixing.repeat_copies(mixing.pareto_mix(docs)).select(*docs.columns)
+    rows, names = sheltered(docs)
+    return _named(mixing.repeat_copies(mixing.pareto_mix(rows, names["doc_id"], names["text"], names["source"])), names)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
