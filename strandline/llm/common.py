@@ -117,3 +117,28 @@ def totals_before(df: DataFrame, order: str, value: str, out: str, block: int =
     inside = Window.partitionBy("_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.join(blocks, "_block").withColumn(out, F.col("_base") + F.coalesce(F.sum(value).over(inside), F.lit(0)))
     return rows.drop("_block", "_base")
+
+
+def numbered(df: DataFrame, out: str, name: str) -> DataFrame:
+    """Writes ``df`` and adds ``out``: 0, 1, 2, ... through its partitions one after the other, in the order rows stand in each.
+
+    Only the row counts of partitions meet in one window.
+    """
+    rows = materialise(df.withColumn("_at", F.monotonically_increasing_id()), name)
+    rows = rows.withColumn("_part", F.shiftright("_at", 33))
+    counts = rows.groupBy("_part").agg(F.count("*").alias("_n"))
+    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select("_part", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_base"))
+    rows = rows.join(small(materialise(bases, f"{name}-bases"), 16), "_part")
+    return rows.withColumn(out, F.col("_base") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at", "_part", "_base")
+
+
+def release(*tables: DataFrame) -> None:
+    """Removes tables that ``materialise`` wrote, once nothing reads them any more."""
+    for table in tables:
+        session = table.sparkSession
+        home = shared_dir(session).split(":", 1)[-1]
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            at = session._jvm.org.apache.hadoop.fs.Path(folder)
+            if at.toUri().getPath().startswith(home.rstrip("/") + "/"):
+                at.getFileSystem(session._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
