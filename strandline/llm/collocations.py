@@ -7,7 +7,7 @@ text goes on past its block, the block also holds the next words, whose position
 Level by level, a phrase that is frequent over all blocks is extended by one word: the list of its occurrences, moved on, is merge-joined with the
 postings of adjacent words, which are kept where they close a frequent phrase of the same length (a phrase is frequent only if its parts are). The pairs that meet are the
 lists of the longer phrases, and the length of a list is the phrase's exact frequency in the block. Lengths are shuffled by ranges of hashed phrase numbers as packed arrays and added up; frequent phrases get numbers,
-which go back to the blocks that hold them. So no list of a frequent phrase is ever in one place: a block's share of it is.
+which go back to the blocks that hold them. Blocks stand in buckets, so it is these numbers that move and not the lists. No list of a frequent phrase is ever in one place: a block's share of it is.
 
 Phrases are scored by their weakest cut, ones inside a longer phrase nearly as frequent are dropped, and ranks within a language come from one sort over ranges of the
 whole result, so neither a language nor a word that holds most rows is one task's.
@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import BROADCAST_BYTES, materialise, numbered, release, shuffle_partitions, small, totals_before, whole_text
+from strandline.llm.common import BROADCAST_BYTES, bucketed, materialise, numbered, release, shuffle_partitions, small, totals_before, whole_text
 
 LONGEST = 4
 LEAST_COUNT = 30
@@ -140,7 +140,7 @@ def _word_level(blocks: DataFrame, found: DataFrame) -> DataFrame:
                 pos = _ints(batch["pos"][i].as_py(), "<i4")[np.repeat(kept, lens)]
                 yield _level_row(batch["block"][i].as_py(), batch["own"][i].as_py(), ids[order], ids[order], lens[kept], pos)
 
-    rows = blocks.select("block", "own", "lens", "pos").join(found, "block")
+    rows = blocks.select("block", "own", "lens", "pos").join(found.hint("shuffle_hash"), "block")
     return rows.mapInArrow(keep, _LEVEL)
 
 
@@ -229,13 +229,12 @@ def _next_level(level: DataFrame, found: DataFrame, base: int) -> DataFrame:
                 kept = often[at] == keys
                 yield _level_row(row["block"], row["own"], ids[at[kept]], keys[kept] % base, lens[kept], pos[np.repeat(kept, lens)])
 
-    held = found.where("block is not null").agg(F.sum(F.octet_length("keys") + F.octet_length("nums") + 64)).first()[0] or 0
-    return level.join(_sized(own, held), "block").mapInArrow(keep, _LEVEL)
+    return level.join(own.hint("shuffle_hash"), "block").mapInArrow(keep, _LEVEL)
 
 
 def frequent_phrases(docs: DataFrame, lang: str = "lang", text: str = "text", longest: int = LONGEST, least: int = LEAST_COUNT, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """All phrases of 1 to ``longest`` words with a count of ``least`` or more (``lang``, ``phrase``, ``k`` words, ``f``), and each language's count of words (``lang``, ``n``)."""
-    blocks = materialise(_blocks(docs, lang, text, longest, block), "phrase-blocks")
+    blocks = bucketed(_blocks(docs, lang, text, longest, block), "phrase-blocks", "block")
     each = blocks.select("block", F.posexplode(F.arrays_zip("keys", "counts")).alias("at", "e")).select("block", "at", F.col("e.keys").alias("key"), F.col("e.counts").alias("c"))
     totals = materialise(each.groupBy("key").agg(F.sum("c").alias("f")), "phrase-words")
     language = F.substring_index(F.col("key").cast("string"), "\0", 1)
@@ -244,10 +243,8 @@ def frequent_phrases(docs: DataFrame, lang: str = "lang", text: str = "text", lo
     size = words.agg(F.count("*"), F.sum(F.octet_length("key") + 32)).first()
     base = size[0] + 1
     found = each.where("c >= 0").join(_sized(words.select("key", "id"), size[1] or 0), "key").groupBy("block").agg(F.collect_list("at").alias("at"), F.collect_list("id").alias("ids"))
-    found = materialise(found, "phrase-word-places")
-    held = found.agg(F.sum(F.size("at") * 12 + 64)).first()[0] or 0
-    level = materialise(_word_level(blocks, _sized(found, held)), "phrase-level-1")
-    release(blocks, totals, found)
+    level = bucketed(_word_level(blocks, found), "phrase-level-1", "block")
+    release(blocks, totals)
     plain = F.col("key").cast("string")
     known = words.select("id", language.alias("lang"), plain.substr(F.length(language) + 2, F.length(plain)).alias("phrase"), F.lit(1).alias("k"), "f")
     known = materialise(known, "phrases-1")
@@ -269,7 +266,7 @@ def frequent_phrases(docs: DataFrame, lang: str = "lang", text: str = "text", lo
         known = materialise(known.select("id", "lang", F.concat_ws(" ", "_lead", "_word").alias("phrase"), F.lit(k).alias("k"), "f"), f"phrases-{k}")
         phrases = phrases.unionByName(known)
         if k < longest:
-            after = materialise(_next_level(level, found, base), f"phrase-level-{k}")
+            after = bucketed(_next_level(level, found, base), f"phrase-level-{k}", "block")
             release(level)
             level = after
     return phrases.drop("id"), n

@@ -46,6 +46,14 @@ def materialise(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, column: str) -> DataFrame:
+    """Like ``materialise``, as a table in as many buckets of ``column`` as there are shuffle partitions: joins on it move the other side alone."""
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
+    table = f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    df.write.format("parquet").bucketBy(shuffle_partitions(spark), column).option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
 def sheltered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """``df`` under names that no column made on the way has, and the new name of each column."""
     names = {c: f"in_{i}" for i, c in enumerate(df.columns)}
@@ -134,7 +142,7 @@ def numbered(df: DataFrame, out: str, name: str) -> DataFrame:
 
 
 def release(*tables: DataFrame) -> None:
-    """Removes tables that ``materialise`` wrote, once nothing reads them any more."""
+    """Removes tables that ``materialise`` or ``bucketed`` wrote, once nothing reads them any more."""
     for table in tables:
         session = table.sparkSession
         home = shared_dir(session).split(":", 1)[-1]
