@@ -12,7 +12,8 @@ A piece's group follows from its key, a hash of its text, its number and, among
 other partitionings of the input give the same sequences, and rows that repeat are spread over all groups. Groups are
 equal in size by construction, so no task grows with the data.
 
-A sequence's text is its pieces one after the other, each closed by ``END``. A document that fits is a piece as it stands; the
+A sequence's text is its pieces one after the other, each closed by ``END``, a character that ``escaped`` takes out of texts; ``bodies`` cuts a sequence's
+text and gives the pieces back as they were, whatever they hold. A document that fits is a piece as it stands; the
 pieces of a longer one are its words with one space between. So every word stands in exactly one sequence (times the copies of its document).
 """
 
@@ -32,8 +33,8 @@ LENGTHS = (256, 512, 1024, 2048, 4096)
 FIXED_COST = 64
 EVEN_LENGTH = 16_384
 GROUP = 4_000
-#: Closes every piece in a sequence's text.
-END = "<|endoftext|>"
+#: Closes every piece in a sequence's text; where a text holds it or ``MARK``, these are written as ``MARK`` and a letter.
+END, MARK = "\0", "\1"
 #: Rows that are all alike are counted out in runs of so many.
 RUN = 10_000
 
@@ -43,6 +44,15 @@ def cost(length: int | np.ndarray) -> float | np.ndarray:
     return FIXED_COST + length + length * length / EVEN_LENGTH
 
 
+def escaped(body: str) -> str:
+    return body.replace(MARK, MARK + "b").replace(END, MARK + "a")
+
+
+def bodies(text: str) -> list[str]:
+    """The pieces of a sequence's text."""
+    return [b.replace(MARK + "a", END).replace(MARK + "b", MARK) for b in text.split(END)[:-1]]
+
+
 def _fit(sizes: list[int], opened: tuple[int, ...]) -> tuple[list[int], list[int], list[int]]:
     """Bin and offset of each size (largest first), and what each bin holds, when only lengths ``opened`` are opened."""
     cheapest = {}
@@ -173,7 +183,7 @@ def sequences(docs: DataFrame, key: str = "doc_id", text: str = "text", lengths:
         for bin_id, held in frame.groupby("bin_id", sort=False):
             ids = [None if pd.isna(k) else int(k) for k in held["k"]]
             lists = [held[c].tolist() for c in ("copy", "piece", "start", "size", "bin_offset")]
-            out.append((bin_id, int(held["bin_length"].iloc[0]), int(held["size"].sum()), ids, *lists, "".join(f"{b}{END}" for b in held["body"])))
+            out.append((bin_id, int(held["bin_length"].iloc[0]), int(held["size"].sum()), ids, *lists, "".join(f"{escaped(b)}{END}" for b in held["body"])))
         return pd.DataFrame(out, columns=names)
 
     names = ["bin_id", "bin_length", "used", "doc_ids", "copies", "pieces", "starts", "sizes", "offsets", "text"]

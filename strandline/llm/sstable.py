@@ -192,14 +192,15 @@ class Encoder:
     """Whole texts to ids with the tokenizers library, which never merges across its pieces.
 
     Text of basic Latin letters is split into the pieces, and the ids of a piece are kept once the
-    library has given them, in two tables of about ``most`` pieces; any other text goes to the library as it is.
+    library has given them, in two tables of about ``most`` pieces; any other text, and one that holds an added token (such as ``<|endoftext|>``, which
+    the library gives its own id), goes to the library as it is.
     """
 
     def __init__(self, path: str, most: int = 300_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.line_feed = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
         self.most, self.known, self.older = most, {}, {}
 
@@ -237,7 +238,7 @@ class Encoder:
         whole, later, fresh, find, known = [], [], set(), self.known.get, self.known.__getitem__
         for i, text in enumerate(texts):
             ids = None
-            if text.isascii() or _PLAIN.fullmatch(text):
+            if (text.isascii() or _PLAIN.fullmatch(text)) and not any(a in text for a in self.added):
                 pieces = _PIECES.findall(text)
                 try:
                     ids = np.frombuffer(b"".join(map(known, pieces)), "<u4")

@@ -101,6 +101,12 @@ def test_every_word_is_in_one_sequence(spark, docs, corpus):
     assert got == want
 
 
+def test_bodies_give_pieces_back_whatever_they_hold(spark):
+    texts = ["a \0 b", "\0", "\1a", "\1", "x\0\1\0y <|endoftext|> z", "", "plain"]
+    rows = packing.sequences(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+    assert {(k, b) for s in rows for k, b in zip(s["doc_ids"], packing.bodies(s["text"]), strict=True)} == set(enumerate(texts))
+
+
 def _slow_fit(sizes, opened):
     """Best fit over plain lists: every open bin is looked at for every piece."""
     bins = []

@@ -16,7 +16,6 @@ def _plain(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(vocabulary_path())
-    t.encode_special_tokens = True
     return [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
