@@ -35,8 +35,8 @@ TOP = 2_000
 #: A phrase goes if one that holds it has at least this share of its count, in hundredths.
 INSIDE_PERCENT = 80
 SCALE = 2_000_000
-BLOCK = 1 << 21
-RANGE = 1 << 21
+BLOCK = 1 << 20
+RANGE = 1 << 20
 
 #: Ends of pieces become a byte that no UTF-8 text holds, tabs become spaces, A-Z become a-z.
 _END = b"\xff"
