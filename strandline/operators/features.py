@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from strandline.functions.texts import functions_of
 from strandline.operators.windows import by_series, in_order
 
 
@@ -157,6 +158,7 @@ def trends(lines: DataFrame, points: DataFrame) -> DataFrame:
 
 def stretched(a: Column, n: Column) -> Column:
     """``a`` as ``n`` values by linear interpolation from its first to its last (A2)."""
+    F = functions_of(a)  # noqa: N806
 
     def value(i: Column) -> Column:
         at = i * (F.size(a) - 1) / F.greatest(n - 1, F.lit(1))
@@ -168,19 +170,23 @@ def stretched(a: Column, n: Column) -> Column:
 
 
 def _lacks(a: Column) -> Column:
+    F = functions_of(a)  # noqa: N806
     return F.coalesce(F.size(a), F.lit(0)) < 1
 
 
 def _mean(a: Column) -> Column:
+    F = functions_of(a)  # noqa: N806
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)
 
 
 def _steps(a: Column) -> Column:
+    F = functions_of(a)  # noqa: N806
     return F.zip_with(F.slice(a, 2, F.size(a) - 1), F.slice(a, 1, F.size(a) - 1), lambda x, y: x - y)
 
 
 def distance_likeness(a: Column, b: Column) -> Column:
     """1 / (1 + 8 mean squared difference) of two arrays at the longer one's length (M4); .3 if one has no values."""
+    F = functions_of(a)  # noqa: N806
     n = F.greatest(F.size(a), F.size(b))
     off = _mean(F.zip_with(stretched(a, n), stretched(b, n), lambda x, y: (x - y) * (x - y)))
     return F.when(_lacks(a) | _lacks(b), 0.3).otherwise(1 / (1 + 8 * off))
@@ -188,6 +194,7 @@ def distance_likeness(a: Column, b: Column) -> Column:
 
 def pivot_likeness(a: Column, b: Column) -> Column:
     """.40 closeness + .35 equal directions + .25 like magnitudes of two pivot sequences (M3); .3 if one has no values."""
+    F = functions_of(a)  # noqa: N806
     n = F.greatest(F.size(a), F.size(b))
     da, db = _steps(stretched(a, n)), _steps(stretched(b, n))
     same = _mean(F.zip_with(da, db, lambda x, y: (F.signum(x) == F.signum(y)).cast("double")))

@@ -1,109 +1,104 @@
 """Operators whose next step depends on what they kept so far, as folds over the arrays of packed series.
 
-A series' bars, or a few levels of it, are one array; Spark folds it where it stands, and series spread over tasks. Only the choice of a
-line through most pivots, which tries every pair of them, is an Arrow function.
+A series' bars, or a few levels of it, are one array; Spark folds it where it stands, and series spread over tasks.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.functions import texts as T
+from strandline.functions.texts import Text, added, column, for_columns
 from strandline.operators import packed
-from strandline.operators.packed import deviation, let, mean, part, span, steps
+from strandline.operators.packed import deviation, let, mean, part, steps
 
 
 def zigzag_pivots(lines: DataFrame) -> DataFrame:
     """Alternating turns of normalised lines (W11, W13): symbol, idx, y, is_high."""
     rows = lines.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("idx", "y"))).alias("b")).select("symbol", F.col("b.idx").alias("at"), F.col("b.y").alias("line"))
-    rows = rows.withColumn("_turns", packed.zigzag_marks(F.col("line"))).withColumn("m", packed.without_small(F.col("_turns"), F.col("line")))
-    rows = rows.select("symbol", "at", "line", F.explode("m").alias("m"))
+    rows = added(rows, {"_turns": packed.zigzag_marks(T.col("line"))})
+    rows = added(rows, {"m": packed.without_small(T.col("_turns"), T.col("line"))}).select("symbol", "at", "line", F.explode("m").alias("m"))
     return rows.select("symbol", F.get("at", F.col("m.idx")).cast("int").alias("idx"), F.get("line", F.col("m.idx")).alias("y"), F.col("m.is_high").alias("is_high"))
 
 
-def touches(off: Column, tolerance: Column, gap: Column) -> Column:
+@for_columns
+def touches(off: Text, tolerance: Text, gap: Text) -> Text:
     """Places whose distance ``off`` is within the tolerance, thinned (W9): of places nearer than ``gap``, the closest one holds."""
-    def keep(kept: Column, i: Column) -> Column:
-        last = F.try_element_at(kept, F.lit(-1))
+    def keep(kept: Text, i: Text) -> Text:
+        last = T.try_element_at(kept, T.lit(-1))
         fresh = last.isNull() | (i - last >= gap)
-        nearer = F.get(off, i) < F.get(off, last)
-        return F.when(fresh, F.concat(kept, F.array(i))).when(nearer, F.concat(part(kept, 0, F.size(kept) - 1), F.array(i))).otherwise(kept)
+        nearer = T.get(off, i) < T.get(off, last)
+        return T.when(fresh, T.concat(kept, T.array(i))).when(nearer, T.concat(part(kept, 0, T.size(kept) - 1), T.array(i))).otherwise(kept)
 
-    near = F.filter(F.sequence(F.lit(0), F.size(off) - 1), lambda i: F.get(off, i) <= tolerance)
-    return F.aggregate(near, F.array().cast("array<int>"), keep)
+    near = T.filter(T.sequence(T.lit(0), T.size(off) - 1), lambda i: T.get(off, i) <= tolerance)
+    return T.aggregate(near, T.array().cast("array<int>"), keep)
 
 
-def breakouts(beyond: Column, least: Column, gap: Column) -> Column:
+@for_columns
+def breakouts(beyond: Text, least: Text, gap: Text) -> Text:
     """Runs of two values of ``beyond`` over ``least``, at least ``gap`` places apart."""
-    start = F.struct(F.lit(0).alias("run"), (-gap).cast("int").alias("last"), F.lit(0).alias("n"))
+    start = T.struct(T.lit(0).alias("run"), (-gap).cast("int").alias("last"), T.lit(0).alias("n"))
 
-    def step(s: Column, i: Column) -> Column:
-        run = F.when(F.get(beyond, i) > least, s.run + 1).otherwise(0)
+    def step(s: Text, i: Text) -> Text:
+        run = T.when(T.get(beyond, i) > least, s.run + 1).otherwise(0)
         counts = (run >= 2) & (i - s.last >= gap)
-        return F.struct(F.when(counts, 0).otherwise(run).alias("run"), F.when(counts, i).otherwise(s.last).alias("last"), (s.n + counts.cast("int")).alias("n"))
+        return T.struct(T.when(counts, 0).otherwise(run).alias("run"), T.when(counts, i).otherwise(s.last).alias("last"), (s.n + counts.cast("int")).alias("n"))
 
-    return F.aggregate(F.sequence(F.lit(0), F.size(beyond) - 1), start, step, lambda s: s.n)
+    return T.aggregate(T.sequence(T.lit(0), T.size(beyond) - 1), start, step, lambda s: s.n)
 
 
-_TREND = "struct<quality: double, slope: double, intercept: double, touches: int, breakouts: int, is_high: boolean>"
-
+def trend_lines(bars: DataFrame, least: int = 3) -> DataFrame:
+    """Lines through each two pivots of a kind of a series with touches, breakouts and a quality from 0 to 100.
 
-def _trend_candidates(prices: Column, closes: Column, high: bool, whole: Column, least: int) -> Column:
-    """Lines through each two pivots of a kind, with touches, breakouts and quality."""
-    n = F.size(prices)
-    k = F.greatest(F.lit(2), F.floor(n / 20).cast("int"))
-    sign = 1 if high else -1
-    extreme = lambda i: F.array_max(part(prices, i - k, i + k + 1)) if high else F.array_min(part(prices, i - k, i + k + 1))
-    ends = F.filter(F.sequence(k, n - k - 1), lambda i: F.get(prices, i) == extreme(i))
-
-    def one(i: Column, j: Column) -> Column:
-        slope = (F.get(prices, j) - F.get(prices, i)) / (j - i)
-        base = F.get(prices, i) - slope * i
-        on_line = lambda a: F.transform(a, lambda v, x: v - base - slope * x)
-        off = F.transform(on_line(prices), F.abs)
-
-        def judged(s: Column) -> Column:
-            gaps = steps(F.transform(s.at, lambda v: v.cast("double")))
-            even = 1 / (1 + deviation(gaps) / mean(gaps))
-            away = mean(F.transform(s.at, lambda x: F.get(s.off, x))) / whole * 100
-            reach = (F.element_at(s.at, -1) - F.get(s.at, F.lit(0))) / n
-            score = 20 * F.size(s.at) + 30 * (1 - away / 0.15) + 25 * reach + 25 * even - 15 * s.broke
-            out = F.struct(
-                F.greatest(F.lit(0.0), F.least(F.lit(100.0), score)).alias("quality"), slope.alias("slope"), base.alias("intercept"), F.size(s.at).alias("touches"), s.broke.alias("breakouts"), F.lit(high).alias("is_high")
-            )
-            return F.when((F.size(s.at) >= least) & (s.broke < 3), out)
+    A series is packed once; each pair of its pivots is a row that carries the prices, so a line's fold over the bars is one row's work
+    and lines spread over tasks. Columns: symbol, n, is_high, left, right, slope, intercept, touches, breakouts, quality.
+    """
+    rows = packed.pack(bars)
+    sides = F.explode(F.array(*[F.struct(F.lit(high).alias("is_high"), F.col(c).alias("prices")) for c, high in (("highs", True), ("lows", False))]))
+    rows = rows.withColumn("whole", F.array_max("highs") - F.array_min("lows")).select("symbol", "closes", "whole", F.size("closes").alias("n"), sides.alias("s"))
+    rows = rows.select("symbol", "closes", "whole", "n", "s.is_high", "s.prices", F.greatest(F.lit(2), F.floor(F.col("n") / 20).cast("int")).alias("k")).where("n >= 20")
+    around = lambda i: part("prices", i - T.col("k"), i + T.col("k") + 1)
+    best = lambda i: T.when(T.col("is_high"), T.array_max(around(i))).otherwise(T.array_min(around(i)))
+    rows = added(rows, {"ends": T.filter(T.sequence(T.col("k"), T.col("n") - T.col("k") - 1), lambda i: T.get("prices", i) == best(i))})
+    pairs = T.flatten(T.transform("ends", lambda i: T.transform(T.filter("ends", lambda j: j > i), lambda j: T.struct(i.alias("left"), j.alias("right")))))
+    rows = rows.withColumn("pair", F.explode(column(pairs))).select("*", "pair.left", "pair.right").drop("pair", "ends")
+    rows = rows.repartition("symbol", "is_high", "left", "right")  # a series' lines are work for many tasks
+    slope = (T.get("prices", T.col("right")) - T.get("prices", T.col("left"))) / (T.col("right") - T.col("left"))
+    rows = added(rows, {"slope": slope})
+    rows = added(rows, {"intercept": T.get("prices", T.col("left")) - T.col("slope") * T.col("left")})
+    from_line = lambda a: T.transform(a, lambda v, x: v - T.col("intercept") - T.col("slope") * x)
+    sign = T.when(T.col("is_high"), 1.0).otherwise(-1.0)
+    rows = added(rows, {"off": T.transform(from_line("prices"), lambda v: T.abs(v)), "beyond": T.transform(from_line("closes"), lambda v: v * sign)})
+    rows = added(rows, {"at": touches(T.col("off"), 0.0015 * T.col("whole"), T.col("k")), "breakouts": breakouts(T.col("beyond"), 0.003 * T.col("whole"), T.col("k"))})
+    rows = rows.withColumn("touches", F.size("at")).where((F.col("touches") >= least) & (F.col("breakouts") < 3))
+    gaps = steps(T.transform("at", lambda v: v.cast("double")))
+    rows = added(rows, {"even": let(gaps, lambda g: 1 / (1 + deviation(g) / mean(g))), "away": mean(T.transform("at", lambda x: T.get("off", x))) / T.col("whole") * 100})
+    reach = (F.element_at("at", -1) - F.get("at", F.lit(0))) / F.col("n")
+    score = 20 * F.col("touches") + 30 * (1 - F.col("away") / 0.15) + 25 * reach + 25 * F.col("even") - 15 * F.col("breakouts")
+    return rows.select("symbol", "n", "is_high", "left", "right", "slope", "intercept", "touches", "breakouts", F.greatest(F.lit(0.0), F.least(F.lit(100.0), score)).alias("quality"))
 
-        beyond = F.transform(on_line(closes), lambda v: sign * v)
-        seen = let(off, lambda o: F.struct(o.alias("off"), touches(o, 0.0015 * whole, k).alias("at"), breakouts(beyond, 0.003 * whole, k).alias("broke")))
-        return let(seen, judged)
 
-    every = F.flatten(F.transform(ends, lambda i: F.transform(F.filter(ends, lambda j: j > i), lambda j: one(i, j))))
-    return F.when(n >= 20, F.array_compact(every)).otherwise(F.array().cast(f"array<{_TREND}>"))
+_TREND = "struct<quality: double, slope: double, intercept: double, touches: int, breakouts: int, is_high: boolean>"
 
 
 def trend_levels(bars: DataFrame, least: int = 3, keep: int = 10) -> DataFrame:
-    """Lines through two pivots of a kind with touches, breakouts and a quality from 0 to 100.
-
-    The best first, a line is left out if a kept one of its kind is as steep and near it in the middle of the series.
-    """
-    rows = packed.pack(bars)
-    whole = F.array_max("highs") - F.array_min("lows")
-    found = F.concat(*[_trend_candidates(F.col(c), F.col("closes"), high, F.col("whole"), least) for c, high in (("highs", True), ("lows", False))])
-    rows = rows.withColumn("whole", whole).select("symbol", F.size("closes").alias("n"), found.alias("found"))
-
-    def merge(kept: Column, c: Column) -> Column:
-        middle = lambda o: o.intercept + o.slope * F.col("n") / 2
-        same = lambda o: (o.is_high == c.is_high) & (F.abs(middle(o) - middle(c)) / (F.abs(o.intercept) + 1e-10) < 0.005) & (F.abs(o.slope - c.slope) < 0.01)
-        return F.when(F.exists(kept, same), kept).otherwise(F.concat(kept, F.array(c)))
-
-    by_quality = F.transform(F.array_sort(F.transform("found", lambda c, i: F.struct((-c.quality).alias("q"), i.alias("i"), c.alias("c")))), lambda x: x.c)
-    rows = rows.withColumn("sorted", by_quality).withColumn("kept", F.slice(F.aggregate("sorted", F.array().cast(f"array<{_TREND}>"), merge), 1, keep))
-    rows = rows.select("symbol", F.explode("kept").alias("c"))
+    """The best ``keep`` lines of ``trend_lines`` of each series (L1, L2, T3): a line is left out if a kept one of its kind is as steep and near it in the middle of the series."""
+    made = trend_lines(bars, least)
+    one = F.struct((-F.col("quality")).alias("o"), (~F.col("is_high")).alias("low"), "left", "right", F.struct("quality", "slope", "intercept", F.col("touches").cast("int").alias("touches"), F.col("breakouts").cast("int").alias("breakouts"), "is_high").alias("c"))
+    rows = made.groupBy("symbol", "n").agg(F.array_sort(F.collect_list(one)).alias("sorted"))
+
+    def merge(kept: Text, row: Text) -> Text:
+        c = row.c
+        middle = lambda o: o.intercept + o.slope * T.col("n") / 2
+        same = lambda o: (o.is_high == c.is_high) & (T.abs(middle(o) - middle(c)) / (T.abs(o.intercept) + 1e-10) < 0.005) & (T.abs(o.slope - c.slope) < 0.01)
+        return T.when(T.exists(kept, same), kept).otherwise(T.concat(kept, T.array(c)))
+
+    rows = added(rows, {"kept": T.slice(T.aggregate("sorted", T.array().cast(f"array<{_TREND}>"), merge), 1, keep)}).select("symbol", F.explode("kept").alias("c"))
     return rows.select("symbol", "c.is_high", "c.slope", "c.intercept", "c.touches", "c.breakouts", "c.quality")
 
 
+# REST
 def consensus_lines(points: DataFrame, scale: DataFrame, least: int = 3) -> DataFrame:
     """The line with most pivots of a kind within half a scale, over all pairs of them, refitted to those.
 

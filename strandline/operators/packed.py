@@ -10,9 +10,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.functions import texts as T
+from strandline.functions.texts import Text, added, for_columns
 from strandline.operators.features import stretched
 
 POINTS = 100
@@ -30,71 +32,73 @@ _MARK = "array<struct<idx: int, is_high: boolean>>"
 # --- arrays ---
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
+def let(value: Text, body: Callable[[Text], Text]) -> Text:
     """``body`` of a value that is worked out once, however often it is named there."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+    return T.element_at(T.transform(T.array(value), body), 1)
 
 
-def part(a: Column, start: Column | int, end: Column | int) -> Column:
+def part(a: Text, start: Text | int, end: Text | int) -> Text:
     """The values at places ``start`` (from 0) up to but not with ``end``."""
-    start, end = (F.lit(v) if isinstance(v, int) else v for v in (start, end))
-    return F.slice(a, (start + 1).cast("int"), F.greatest(F.lit(0), end - start).cast("int"))
+    start, end = (T.lit(v) if isinstance(v, (int, float)) else v for v in (start, end))
+    return T.slice(a, (start + 1).cast("int"), T.greatest(T.lit(0), end - start).cast("int"))
 
 
-def total(a: Column) -> Column:
-    return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+def total(a: Text) -> Text:
+    return T.aggregate(a, T.lit(0.0), lambda s, x: s + x)
 
 
-def mean(a: Column) -> Column:
+def mean(a: Text) -> Text:
     """0 of no values."""
-    return F.when(F.size(a) > 0, total(a) / F.size(a)).otherwise(0.0)
+    return T.when(T.size(a) > 0, total(a) / T.size(a)).otherwise(0.0)
 
 
-def deviation(a: Column) -> Column:
-    return let(mean(a), lambda m: F.sqrt(mean(F.transform(a, lambda x: (x - m) * (x - m)))))
+def deviation(a: Text) -> Text:
+    return let(mean(a), lambda m: T.sqrt(mean(T.transform(a, lambda x: (x - m) * (x - m)))))
 
 
-def span(a: Column) -> Column:
-    return F.when(F.size(a) > 0, F.array_max(a) - F.array_min(a)).otherwise(0.0)
+def span(a: Text) -> Text:
+    return T.when(T.size(a) > 0, T.array_max(a) - T.array_min(a)).otherwise(0.0)
 
 
-def steps(a: Column) -> Column:
+def steps(a: Text) -> Text:
     """Each value less the one before."""
-    return F.zip_with(part(a, 1, F.size(a)), part(a, 0, F.size(a) - 1), lambda x, y: x - y)
+    return T.zip_with(part(a, 1, T.size(a)), part(a, 0, T.size(a) - 1), lambda x, y: x - y)
 
 
-def sizes(a: Column) -> Column:
-    return F.transform(steps(a), F.abs)
+def sizes(a: Text) -> Text:
+    return T.transform(steps(a), T.abs)
 
 
-def count_of(a: Column, test: Callable[[Column], Column]) -> Column:
-    return F.size(F.filter(a, test))
+def count_of(a: Text, test: Callable[[Text], Text]) -> Text:
+    return T.size(T.filter(a, test))
 
 
-def first_at(a: Column, value: Column) -> Column:
+def first_at(a: Text, value: Text) -> Text:
     """The first place (from 0) of a value."""
-    return (F.array_position(a, value) - 1).cast("int")
+    return (T.array_position(a, value) - 1).cast("int")
 
 
-def fit(xs: Column, ys: Column) -> Column:
+@for_columns
+def fit(xs: Text, ys: Text) -> Text:
     """Least-squares line: slope, base, r (0 where one side does not vary) and off, the mean absolute residual."""
 
-    def lines(m: Column) -> Column:
-        dx, dy = F.transform(xs, lambda x: x - m.x), F.transform(ys, lambda y: y - m.y)
-        dot = lambda a, b: total(F.zip_with(a, b, lambda p, q: p * q))
-        return let(F.struct(dot(dx, dx).alias("xx"), dot(dx, dy).alias("xy"), dot(dy, dy).alias("yy")), lambda s: F.struct(
-            F.when(s.xx > 0, s.xy / s.xx).otherwise(0.0).alias("slope"), (m.y - F.when(s.xx > 0, s.xy / s.xx).otherwise(0.0) * m.x).alias("base"),
-            F.when((s.xx > 0) & (s.yy > 0), s.xy / F.sqrt(s.xx * s.yy)).otherwise(0.0).alias("r"),
+    def lines(m: Text) -> Text:
+        dx, dy = T.transform(xs, lambda x: x - m.x), T.transform(ys, lambda y: y - m.y)
+        dot = lambda a, b: total(T.zip_with(a, b, lambda p, q: p * q))
+        return let(T.struct(dot(dx, dx).alias("xx"), dot(dx, dy).alias("xy"), dot(dy, dy).alias("yy")), lambda s: T.struct(
+            T.when(s.xx > 0, s.xy / s.xx).otherwise(0.0).alias("slope"), (m.y - T.when(s.xx > 0, s.xy / s.xx).otherwise(0.0) * m.x).alias("base"),
+            T.when((s.xx > 0) & (s.yy > 0), s.xy / T.sqrt(s.xx * s.yy)).otherwise(0.0).alias("r"),
         ))
 
-    line = let(F.struct(mean(xs).alias("x"), mean(ys).alias("y")), lines)
-    off = lambda s: mean(F.zip_with(xs, ys, lambda x, y: F.abs(y - s.base - s.slope * x)))
-    return let(line, lambda s: F.struct(s.slope.alias("slope"), s.base.alias("base"), s.r.alias("r"), off(s).alias("off")))
+    line = let(T.struct(mean(xs).alias("x"), mean(ys).alias("y")), lines)
+    off = lambda s: mean(T.zip_with(xs, ys, lambda x, y: T.abs(y - s.base - s.slope * x)))
+    return let(line, lambda s: T.struct(s.slope.alias("slope"), s.base.alias("base"), s.r.alias("r"), off(s).alias("off")))
 
 
-def places(a: Column) -> Column:
+@for_columns
+def places(a: Text) -> Text:
     """0.0, 1.0, ... for each value."""
-    return F.transform(F.sequence(F.lit(0), F.size(a) - 1), lambda i: i.cast("double"))
+    return T.transform(T.sequence(T.lit(0), T.size(a) - 1), lambda i: i.cast("double"))
 
 
 # --- packing and lines ---
@@ -108,12 +112,12 @@ def pack(bars: DataFrame, *keys: str) -> DataFrame:
     return rows.select(*keys, F.col("bars.close").alias("closes"), F.col("bars.high").alias("highs"), F.col("bars.low").alias("lows"), F.transform("bars.volume", lambda v: v.cast("double")).alias("volumes"), F.col("bars.open_time").alias("times"))
 
 
-def normal_line(closes: Column, n: int = POINTS) -> Column:
+def normal_line(closes: Text, n: int = POINTS) -> Text:
     """``closes`` as ``n`` points by linear interpolation, from 0 to 1; a flat series is 0 (A1)."""
-    def scaled(a: Column) -> Column:
-        return let(F.struct(F.array_min(a).alias("lo"), span(a).alias("span")), lambda s: F.transform(a, lambda v: F.when(s.span < 1e-10, 0.0).otherwise((v - s.lo) / s.span)))
+    def scaled(a: Text) -> Text:
+        return let(T.struct(T.array_min(a).alias("lo"), span(a).alias("span")), lambda s: T.transform(a, lambda v: T.when(s.span < 1e-10, 0.0).otherwise((v - s.lo) / s.span)))
 
-    return let(stretched(closes, F.lit(n)), scaled)
+    return let(stretched(closes, T.lit(n)), scaled)
 
 
 def smoothing_weights(width: int) -> np.ndarray:
@@ -122,38 +126,39 @@ def smoothing_weights(width: int) -> np.ndarray:
     return x @ np.linalg.pinv(x)
 
 
-def smoothed(a: Column, width: int) -> Column:
+@for_columns
+def smoothed(a: Text, width: int) -> Text:
     """Savitzky-Golay smoothing by parabolas (W7); at the ends the first and the last parabola go on."""
-    table = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in smoothing_weights(width)])
+    table = T.array(*[T.array(*[T.lit(float(v)) for v in row]) for row in smoothing_weights(width)])
 
-    def value(i: Column) -> Column:
-        start = F.greatest(F.lit(0), F.least(i - width // 2, F.size(a) - width))
-        return total(F.zip_with(part(a, start, start + width), F.get(table, i - start), lambda x, w: x * w))
+    def value(i: Text) -> Text:
+        start = T.greatest(T.lit(0), T.least(i - width // 2, T.size(a) - width))
+        return total(T.zip_with(part(a, start, start + width), T.get(table, i - start), lambda x, w: x * w))
 
-    return F.transform(F.sequence(F.lit(0), F.size(a) - 1), value)
+    return T.transform(T.sequence(T.lit(0), T.size(a) - 1), value)
 
 
-def adaptively_smoothed(a: Column) -> Column:
+def adaptively_smoothed(a: Text) -> Text:
     """Width 5, and once more at width 9 or 11 where the moves are uneven."""
-    def again(s: Column) -> Column:
+    def again(s: Text) -> Text:
         m = sizes(s)
-        return let(F.when(mean(m) > 0, deviation(m) / mean(m)).otherwise(0.0), lambda noise: F.when(noise > 2.0, smoothed(s, 11)).when(noise > 1.5, smoothed(s, 9)).otherwise(s))
+        return let(T.when(mean(m) > 0, deviation(m) / mean(m)).otherwise(0.0), lambda noise: T.when(noise > 2.0, smoothed(s, 11)).when(noise > 1.5, smoothed(s, 9)).otherwise(s))
 
-    return F.when(F.size(a) < LEAST_BARS, a).otherwise(let(smoothed(a, 5), again))
+    return T.when(T.size(a) < LEAST_BARS, a).otherwise(let(smoothed(a, 5), again))
 
 
 # --- pivots ---
 
 
-def _mark(idx: Column, is_high: Column | bool) -> Column:
-    return F.struct(idx.cast("int").alias("idx"), (F.lit(is_high) if isinstance(is_high, bool) else is_high).alias("is_high"))
+def _mark(idx: Text, is_high: Text | bool) -> Text:
+    return T.struct(idx.cast("int").alias("idx"), (T.lit(is_high) if isinstance(is_high, bool) else is_high).alias("is_high"))
 
 
-def _none() -> Column:
-    return F.array().cast(_MARK)
+def _none() -> Text:
+    return T.array().cast(_MARK)
 
 
-def zigzag_marks(line: Column) -> Column:
+def zigzag_marks(line: Text) -> Text:
     """Turns of a line by the least swing (W11): the extreme of each finished leg that is far enough from the mark before.
 
     The swing follows the mean move and how uneven moves are. A leg that ends too early turns the direction and leaves no mark;
@@ -161,149 +166,151 @@ def zigzag_marks(line: Column) -> Column:
     """
     low, slope, high = SWING_FACTORS
 
-    def limits(m: Column) -> Column:
-        w = F.greatest(F.lit(5), F.floor(F.size(line) / 10)).cast("int")
-        means = F.transform(F.sequence(F.lit(0), F.size(m) - w), lambda i: mean(part(m, i, i + w)))
-        level = F.when(F.size(m) >= w, mean(means)).otherwise(mean(m))
-        return let(level, lambda v: F.struct(
-            F.greatest(F.lit(LEAST_SWING), v * F.greatest(F.lit(low), F.least(F.lit(high), low + slope * deviation(m) / (v + 1e-10)))).alias("swing"),
-            F.greatest(F.lit(3), F.floor(F.size(line) / 20)).alias("space"),
+    def limits(m: Text) -> Text:
+        w = T.greatest(T.lit(5), T.floor(T.size(line) / 10)).cast("int")
+        means = T.transform(T.sequence(T.lit(0), T.size(m) - w), lambda i: mean(part(m, i, i + w)))
+        level = T.when(T.size(m) >= w, mean(means)).otherwise(mean(m))
+        return let(level, lambda v: T.struct(
+            T.greatest(T.lit(LEAST_SWING), v * T.greatest(T.lit(low), T.least(T.lit(high), low + slope * deviation(m) / (v + 1e-10)))).alias("swing"),
+            T.greatest(T.lit(3), T.floor(T.size(line) / 20)).alias("space"),
         ))
 
-    def walk(bound: Column) -> Column:
-        start = F.struct(F.lit(0).alias("way"), F.lit(0).alias("hi"), F.lit(0).alias("lo"), _none().alias("marks"))
+    def walk(bound: Text) -> Text:
+        start = T.struct(T.lit(0).alias("way"), T.lit(0).alias("hi"), T.lit(0).alias("lo"), _none().alias("marks"))
 
-        def step(s: Column, i: Column) -> Column:
-            v, top, bottom = F.get(line, i), F.get(line, s.hi), F.get(line, s.lo)
+        def step(s: Text, i: Text) -> Text:
+            v, top, bottom = T.get(line, i), T.get(line, s.hi), T.get(line, s.lo)
             higher = (s.way >= 0) & (v > top)
             fell = (s.way >= 0) & ~higher & (top - v >= bound.swing)
             lower = (s.way <= 0) & (v < bottom)
             rose = (s.way <= 0) & ~lower & ~fell & (v - bottom >= bound.swing)
-            alone = F.size(s.marks) == 0
-            clear = lambda at: F.when(s.way == 0, (i > bound.space) & (alone | (at >= bound.space))).otherwise(alone | (at - F.element_at(s.marks, -1).idx >= bound.space))
-            found = F.when(fell & clear(s.hi), _mark(s.hi, True)).when(rose & clear(s.lo), _mark(s.lo, False))
-            return F.struct(
-                F.when(fell, -1).when(rose, 1).otherwise(s.way).alias("way"), F.when(higher | rose, i).otherwise(s.hi).alias("hi"),
-                F.when(lower | fell, i).otherwise(s.lo).alias("lo"), F.when(found.isNotNull(), F.concat(s.marks, F.array(found))).otherwise(s.marks).alias("marks"),
+            alone = T.size(s.marks) == 0
+            clear = lambda at: T.when(s.way == 0, (i > bound.space) & (alone | (at >= bound.space))).otherwise(alone | (at - T.element_at(s.marks, -1).idx >= bound.space))
+            found = T.when(fell & clear(s.hi), _mark(s.hi, True)).when(rose & clear(s.lo), _mark(s.lo, False))
+            return T.struct(
+                T.when(fell, -1).when(rose, 1).otherwise(s.way).alias("way"), T.when(higher | rose, i).otherwise(s.hi).alias("hi"),
+                T.when(lower | fell, i).otherwise(s.lo).alias("lo"), T.when(found.isNotNull(), T.concat(s.marks, T.array(found))).otherwise(s.marks).alias("marks"),
             )
 
-        return F.aggregate(F.sequence(F.lit(1), F.size(line) - 1), start, step, lambda s: F.array_sort(s.marks))
+        return T.aggregate(T.sequence(T.lit(1), T.size(line) - 1), start, step, lambda s: T.array_sort(s.marks))
 
-    return F.when(F.size(line) < LEAST_BARS, _none()).otherwise(let(sizes(line), lambda m: let(limits(m), walk)))
+    return T.when(T.size(line) < LEAST_BARS, _none()).otherwise(let(sizes(line), lambda m: let(limits(m), walk)))
 
 
-def adaptive_order(line: Column) -> Column:
+def adaptive_order(line: Text) -> Text:
     """2 where one move is over 8 times the mean one, 3 where over 4 times, else a twentieth of the line within 3 and 5 (P10)."""
     m = sizes(line)
-    return F.when(F.array_max(m) > 8 * mean(m), 2).when(F.array_max(m) > 4 * mean(m), 3).otherwise(F.greatest(F.lit(3), F.least(F.lit(5), F.floor(F.size(line) / 20).cast("int"))))
+    return T.when(T.array_max(m) > 8 * mean(m), 2).when(T.array_max(m) > 4 * mean(m), 3).otherwise(T.greatest(T.lit(3), T.least(T.lit(5), T.floor(T.size(line) / 20).cast("int"))))
 
 
-def strict_marks(a: Column, order: Column) -> Column:
+@for_columns
+def strict_marks(a: Text, order: Text) -> Text:
     """Places strictly beyond all ``order`` values on either side, all highs, then all lows; never an end."""
-    inner = F.sequence(F.lit(1), F.size(a) - 2)
+    inner = T.sequence(T.lit(1), T.size(a) - 2)
 
-    def side(is_high: bool) -> Column:
-        def beyond(i: Column) -> Column:
-            around = F.concat(part(a, F.greatest(F.lit(0), i - order), i), part(a, i + 1, i + 1 + order))
-            return F.get(a, i) > F.array_max(around) if is_high else F.get(a, i) < F.array_min(around)
+    def side(is_high: bool) -> Text:
+        def beyond(i: Text) -> Text:
+            around = T.concat(part(a, T.greatest(T.lit(0), i - order), i), part(a, i + 1, i + 1 + order))
+            return T.get(a, i) > T.array_max(around) if is_high else T.get(a, i) < T.array_min(around)
 
-        return F.transform(F.filter(inner, beyond), lambda i: _mark(i, is_high))
+        return T.transform(T.filter(inner, beyond), lambda i: _mark(i, is_high))
 
-    return F.concat(side(True), side(False))
+    return T.concat(side(True), side(False))
 
 
-def scale_marks(line: Column) -> Column:
+def scale_marks(line: Text) -> Text:
     """Strict extremes of the smoothed line at orders 2, 3, 5 and the adaptive one; the finer order holds its place within two bars."""
-    def all_scales(s: Column) -> Column:
-        orders = F.array_sort(F.array_distinct(F.array(*[F.lit(k) for k in SCALES], adaptive_order(line).cast("int"))))
-        found = F.flatten(F.transform(orders, lambda k: strict_marks(s, k)))
-        kept = lambda marks, m: F.when(F.exists(marks, lambda o: F.abs(o.idx - m.idx) <= 2), marks).otherwise(F.concat(marks, F.array(m)))
-        return F.array_sort(F.aggregate(found, _none(), kept))
+    def all_scales(s: Text) -> Text:
+        orders = T.array_sort(T.array_distinct(T.array(*[T.lit(k) for k in SCALES], adaptive_order(line).cast("int"))))
+        found = T.flatten(T.transform(orders, lambda k: strict_marks(s, k)))
+        kept = lambda marks, m: T.when(T.exists(marks, lambda o: T.abs(o.idx - m.idx) <= 2), marks).otherwise(T.concat(marks, T.array(m)))
+        return T.array_sort(T.aggregate(found, _none(), kept))
 
-    return F.when(F.size(line) < LEAST_BARS, _none()).otherwise(let(adaptively_smoothed(line), all_scales))
+    return T.when(T.size(line) < LEAST_BARS, _none()).otherwise(let(adaptively_smoothed(line), all_scales))
 
 
-def segment_marks(line: Column) -> Column:
+def segment_marks(line: Text) -> Text:
     """The greatest value above and the least below the mean in each eighth of a line."""
-    width = F.greatest(F.lit(5), F.floor(F.size(line) / 8).cast("int"))
+    width = T.greatest(T.lit(5), T.floor(T.size(line) / 8).cast("int"))
 
-    def ends(start: Column) -> Column:
+    def ends(start: Text) -> Text:
         s = part(line, start, start + width)
-        top, low = F.array_max(s), F.array_min(s)
-        high_mark = F.when(top > mean(line), _mark(start + first_at(s, top), True))
-        return F.array_compact(F.array(high_mark, F.when(low < mean(line), _mark(start + first_at(s, low), False))))
+        top, low = T.array_max(s), T.array_min(s)
+        high_mark = T.when(top > mean(line), _mark(start + first_at(s, top), True))
+        return T.array_compact(T.array(high_mark, T.when(low < mean(line), _mark(start + first_at(s, low), False))))
 
-    return F.array_sort(F.flatten(F.transform(F.sequence(F.lit(0), F.size(line) - width, width), ends)))
+    return T.array_sort(T.flatten(T.transform(T.sequence(T.lit(0), T.size(line) - width, width), ends)))
 
 
-def without_small(marks: Column, line: Column) -> Column:
+@for_columns
+def without_small(marks: Text, line: Text) -> Text:
     """Highs and lows in turn (W13): of neighbours of a kind the more extreme stays, and a swing under the least one ends none."""
-    y = lambda m: F.get(line, m.idx)
-    least = F.greatest(F.lit(LEAST_STEP), 1.5 * mean(sizes(line)))
-    swap = lambda kept, m: F.concat(part(kept, 0, F.size(kept) - 1), F.array(m))
-    add = lambda kept, m: F.concat(kept, F.array(m))
-    ahead = lambda m, o: F.when(m.is_high, y(m) - y(o)).otherwise(y(o) - y(m))
-
-    def thin(bound: Column) -> Column:
-        def first(kept: Column, m: Column) -> Column:
-            o = F.element_at(kept, -1)
+    y = lambda m: T.get(line, m.idx)
+    least = T.greatest(T.lit(LEAST_STEP), 1.5 * mean(sizes(line)))
+    swap = lambda kept, m: T.concat(part(kept, 0, T.size(kept) - 1), T.array(m))
+    add = lambda kept, m: T.concat(kept, T.array(m))
+    ahead = lambda m, o: T.when(m.is_high, y(m) - y(o)).otherwise(y(o) - y(m))
+
+    def thin(bound: Text) -> Text:
+        def first(kept: Text, m: Text) -> Text:
+            o = T.element_at(kept, -1)
             return (
-                F.when(F.size(kept) == 0, F.array(m)).when(m.is_high == o.is_high, F.when(ahead(m, o) >= 0, swap(kept, m)).otherwise(kept))
-                .when((bound.span > 0) & (F.abs(y(m) - y(o)) >= bound.least * bound.span), add(kept, m)).otherwise(kept)
+                T.when(T.size(kept) == 0, T.array(m)).when(m.is_high == o.is_high, T.when(ahead(m, o) >= 0, swap(kept, m)).otherwise(kept))
+                .when((bound.span > 0) & (T.abs(y(m) - y(o)) >= bound.least * bound.span), add(kept, m)).otherwise(kept)
             )
 
-        def second(kept: Column, m: Column) -> Column:
-            o = F.try_element_at(kept, F.lit(-1))
-            return F.when(F.size(kept) == 0, F.array(m)).when(m.is_high != o.is_high, add(kept, m)).when(ahead(m, o) > 0, swap(kept, m)).otherwise(kept)
+        def second(kept: Text, m: Text) -> Text:
+            o = T.try_element_at(kept, T.lit(-1))
+            return T.when(T.size(kept) == 0, T.array(m)).when(m.is_high != o.is_high, add(kept, m)).when(ahead(m, o) > 0, swap(kept, m)).otherwise(kept)
 
-        return F.aggregate(F.aggregate(marks, _none(), first), _none(), second)
+        return T.aggregate(T.aggregate(marks, _none(), first), _none(), second)
 
-    return F.when(F.size(marks) <= 2, marks).otherwise(let(F.struct(least.alias("least"), span(line).alias("span")), thin))
+    return T.when(T.size(marks) <= 2, marks).otherwise(let(T.struct(least.alias("least"), span(line).alias("span")), thin))
 
 
-def _nearby(marks: Column, i: Column, line: Column) -> tuple[Column, Column]:
+def _nearby(marks: Text, i: Text, line: Text) -> tuple[Text, Text]:
     """Places of the marks before and after mark ``i``, or the ends of the line."""
-    return F.coalesce(F.get(marks, i - 1).idx, F.lit(0)), F.coalesce(F.get(marks, i + 1).idx, F.size(line) - 1)
+    return T.coalesce(T.get(marks, i - 1).idx, T.lit(0)), T.coalesce(T.get(marks, i + 1).idx, T.size(line) - 1)
 
 
-def with_prominence(marks: Column, line: Column) -> Column:
+def with_prominence(marks: Text, line: Text) -> Text:
     """idx, is_high, y, and how far each mark stands out between its neighbours as a share of the range."""
-    def one(m: Column, i: Column) -> Column:
+    def one(m: Text, i: Text) -> Text:
         before, after = _nearby(marks, i, line)
-        near, y = part(line, before, after + 1), F.get(line, m.idx)
-        out = F.when(m.is_high, y - F.array_min(near)).otherwise(F.array_max(near) - y)
-        return F.struct(m.idx.alias("idx"), m.is_high.alias("is_high"), y.alias("y"), F.when(span(line) > 0, out / span(line)).otherwise(0.0).alias("prominence"))
+        near, y = part(line, before, after + 1), T.get(line, m.idx)
+        out = T.when(m.is_high, y - T.array_min(near)).otherwise(T.array_max(near) - y)
+        return T.struct(m.idx.alias("idx"), m.is_high.alias("is_high"), y.alias("y"), T.when(span(line) > 0, out / span(line)).otherwise(0.0).alias("prominence"))
 
-    return F.transform(marks, one)
+    return T.transform(marks, one)
 
 
-def confident(marks: Column, scales: Column, line: Column) -> Column:
+def confident(marks: Text, scales: Text, line: Text) -> Text:
     """Pivots with ``confidence`` (W14, J14): .35 prominence, .25 marks of other scales within three bars, .20 distance, .20 range around."""
-    n = F.size(line)
+    n = T.size(line)
 
-    def one(p: Column, i: Column) -> Column:
-        before, after = F.get(marks, i - 1).idx, F.get(marks, i + 1).idx
-        gap = F.coalesce(F.least(p.idx - before, after - p.idx), n)
-        tenth = F.floor(n / 10).cast("int")
-        around = part(line, F.greatest(F.lit(0), p.idx - tenth), F.least(n, p.idx + tenth))
+    def one(p: Text, i: Text) -> Text:
+        before, after = T.get(marks, i - 1).idx, T.get(marks, i + 1).idx
+        gap = T.coalesce(T.least(p.idx - before, after - p.idx), n)
+        tenth = T.floor(n / 10).cast("int")
+        around = part(line, T.greatest(T.lit(0), p.idx - tenth), T.least(n, p.idx + tenth))
         score = (
-            0.35 * F.least(F.lit(1.0), 2 * p.prominence) + 0.25 * F.least(F.lit(1.0), count_of(scales, lambda m: F.abs(m.idx - p.idx) <= 3) / 3)
-            + 0.20 * F.least(F.lit(1.0), gap / (n * 0.15)) + 0.20 * F.least(F.lit(1.0), 1.5 * span(around) / span(line))
+            0.35 * T.least(T.lit(1.0), 2 * p.prominence) + 0.25 * T.least(T.lit(1.0), count_of(scales, lambda m: T.abs(m.idx - p.idx) <= 3) / 3)
+            + 0.20 * T.least(T.lit(1.0), gap / (n * 0.15)) + 0.20 * T.least(T.lit(1.0), 1.5 * span(around) / span(line))
         )
-        return F.struct(p.idx.alias("idx"), p.y.alias("y"), p.is_high.alias("is_high"), p.prominence.alias("prominence"), F.when(span(line) > 0, score).otherwise(0.0).alias("confidence"))
+        return T.struct(p.idx.alias("idx"), p.y.alias("y"), p.is_high.alias("is_high"), p.prominence.alias("prominence"), T.when(span(line) > 0, score).otherwise(0.0).alias("confidence"))
 
-    return F.transform(marks, one)
+    return T.transform(marks, one)
 
 
-def foremost(pivots: Column, line: Column, keep: int = KEEP) -> Column:
+def foremost(pivots: Text, line: Text, keep: int = KEEP) -> Text:
     """The ``keep`` pivots that stand out most, in order; ties go to the later one."""
-    def scored(p: Column, i: Column) -> Column:
-        step = lambda j: F.coalesce(F.abs(p.y - F.get(pivots, j).y) / span(line), F.lit(0.0))
-        out = F.when(p.prominence > 0, p.prominence).otherwise(F.abs(p.y - mean(line)) / span(line))
-        return F.struct((0.5 * out + 0.3 * F.greatest(step(i - 1), step(i + 1)) + 0.2).alias("score"), p.idx.alias("at"), p.alias("p"))
+    def scored(p: Text, i: Text) -> Text:
+        step = lambda j: T.coalesce(T.abs(p.y - T.get(pivots, j).y) / span(line), T.lit(0.0))
+        out = T.when(p.prominence > 0, p.prominence).otherwise(T.abs(p.y - mean(line)) / span(line))
+        return T.struct((0.5 * out + 0.3 * T.greatest(step(i - 1), step(i + 1)) + 0.2).alias("score"), p.idx.alias("at"), p.alias("p"))
 
-    best = F.slice(F.reverse(F.array_sort(F.transform(pivots, scored))), 1, keep)
-    return F.when(F.size(pivots) <= keep, pivots).otherwise(F.array_sort(F.transform(best, lambda b: b.p)))
+    best = T.slice(T.reverse(T.array_sort(T.transform(pivots, scored))), 1, keep)
+    return T.when(T.size(pivots) <= keep, pivots).otherwise(T.array_sort(T.transform(best, lambda b: b.p)))
 
 
 def with_pivots(rows: DataFrame, line: str = "line") -> DataFrame:
@@ -311,161 +318,161 @@ def with_pivots(rows: DataFrame, line: str = "line") -> DataFrame:
 
     Prominence, thinning, confidence and the choice of the foremost follow. Lines of under ``LEAST_BARS`` values have none.
     """
-    line = F.col(line)
-    marks = F.when(F.size("_turns") >= 3, F.col("_turns")).when(F.size("_scales") >= 3, F.col("_scales")).otherwise(without_small(segment_marks(line), line))
-    rows = rows.withColumns({"_turns": zigzag_marks(line), "_scales": scale_marks(line)})
-    rows = rows.withColumn("_marks", F.when(F.size(line) < LEAST_BARS, _none()).otherwise(marks))
+    line = T.col(line)
+    marks = T.when(T.size("_turns") >= 3, T.col("_turns")).when(T.size("_scales") >= 3, T.col("_scales")).otherwise(without_small(segment_marks(line), line))
+    rows = added(rows, {"_turns": zigzag_marks(line), "_scales": scale_marks(line)})
+    rows = added(rows, {"_marks": T.when(T.size(line) < LEAST_BARS, _none()).otherwise(marks)})
     # prominence is that among the marks before thinning
-    rows = rows.withColumn("_all", with_prominence(F.col("_marks"), line)).withColumn("_thin", without_small(F.col("_marks"), line))
-    stays = F.filter("_all", lambda p: F.exists("_thin", lambda m: (m.idx == p.idx) & (m.is_high == p.is_high)))
-    rows = rows.withColumn("_stays", stays).withColumn("_sure", confident(F.col("_stays"), F.col("_scales"), line))
-    return rows.withColumn("pivots", foremost(F.col("_sure"), line)).drop("_turns", "_scales", "_marks", "_all", "_thin", "_stays", "_sure")
+    rows = added(rows, {"_all": with_prominence(T.col("_marks"), line), "_thin": without_small(T.col("_marks"), line)})
+    stays = T.filter("_all", lambda p: T.exists("_thin", lambda m: (m.idx == p.idx) & (m.is_high == p.is_high)))
+    rows = added(added(rows, {"_stays": stays}), {"_sure": confident(T.col("_stays"), T.col("_scales"), line)})
+    return added(rows, {"pivots": foremost(T.col("_sure"), line)}).drop("_turns", "_scales", "_marks", "_all", "_thin", "_stays", "_sure")
 
 
-def of_kind(pivots: Column, high: bool) -> Column:
-    return F.filter(pivots, lambda p: p.is_high if high else ~p.is_high)
+def of_kind(pivots: Text, high: bool) -> Text:
+    return T.filter(pivots, lambda p: p.is_high if high else ~p.is_high)
 
 
-def values(pivots: Column) -> Column:
-    return F.transform(pivots, lambda p: p.y)
+def values(pivots: Text) -> Text:
+    return T.transform(pivots, lambda p: p.y)
 
 
-def idxs(pivots: Column) -> Column:
-    return F.transform(pivots, lambda p: p.idx.cast("double"))
+def idxs(pivots: Text) -> Text:
+    return T.transform(pivots, lambda p: p.idx.cast("double"))
 
 
 # --- scalars of a line and its pivots ---
 
 
-def trend(line: Column) -> Column:
+def trend(line: Text) -> Text:
     """tanh(slope n / range) |r|."""
-    return let(fit(places(line), line), lambda f: F.tanh(f.slope * F.size(line) / (span(line) + 1e-10)) * F.abs(f.r))
+    return let(fit(places(line), line), lambda f: T.tanh(f.slope * T.size(line) / (span(line) + 1e-10)) * T.abs(f.r))
 
 
-def volatility(line: Column) -> Column:
+def volatility(line: Text) -> Text:
     """Deviation of relative moves."""
-    return deviation(F.zip_with(steps(line), part(line, 0, F.size(line) - 1), lambda d, before: d / (before + 1e-10)))
+    return deviation(T.zip_with(steps(line), part(line, 0, T.size(line) - 1), lambda d, before: d / (before + 1e-10)))
 
 
-def compression(line: Column) -> Column:
+def compression(line: Text) -> Text:
     """1 less the deviation of the second half over the first's."""
-    n = F.size(line)
-    half = F.floor(n / 2).cast("int")
-    two = F.struct(deviation(part(line, 0, half)).alias("a"), deviation(part(line, half, n)).alias("b"))
-    return F.when(n < 20, 0.0).otherwise(let(two, lambda s: F.when(s.a == 0, 0.0).otherwise(1 - s.b / s.a)))
+    n = T.size(line)
+    half = T.floor(n / 2).cast("int")
+    two = T.struct(deviation(part(line, 0, half)).alias("a"), deviation(part(line, half, n)).alias("b"))
+    return T.when(n < 20, 0.0).otherwise(let(two, lambda s: T.when(s.a == 0, 0.0).otherwise(1 - s.b / s.a)))
 
 
-def quality(line: Column, pivots: Column) -> Column:
+def quality(line: Text, pivots: Text) -> Text:
     """.25 pivots up to four + .30 turns between kinds + .25 prominence + .20 evenness of moves (P4); 0 under two pivots."""
-    n, m = F.size(pivots), sizes(line)
-    turns = F.size(F.filter(F.sequence(F.lit(1), n - 1), lambda i: F.get(pivots, i).is_high != F.get(pivots, i - 1).is_high))
-    out = mean(F.filter(F.transform(pivots, lambda p: p.prominence), lambda v: v > 0))
+    n, m = T.size(pivots), sizes(line)
+    turns = T.size(T.filter(T.sequence(T.lit(1), n - 1), lambda i: T.get(pivots, i).is_high != T.get(pivots, i - 1).is_high))
+    out = mean(T.filter(T.transform(pivots, lambda p: p.prominence), lambda v: v > 0))
     uneven = let(mean(m), lambda v: deviation(m) / (v + 1e-10))
-    score = 0.25 * F.least(F.lit(1.0), n / 4) + 0.30 * turns / F.greatest(F.lit(1), n - 1) + 0.25 * F.least(F.lit(1.0), 5 * out) + 0.20 * F.greatest(F.lit(0.0), 1 - uneven / 3)
-    return F.when((n < 2) | (span(line) < 1e-10), 0.0).otherwise(score)
+    score = 0.25 * T.least(T.lit(1.0), n / 4) + 0.30 * turns / T.greatest(T.lit(1), n - 1) + 0.25 * T.least(T.lit(1.0), 5 * out) + 0.20 * T.greatest(T.lit(0.0), 1 - uneven / 3)
+    return T.when((n < 2) | (span(line) < 1e-10), 0.0).otherwise(score)
 
 
-def legs(pivots: Column, n: Column) -> Column:
+def legs(pivots: Text, n: Text) -> Text:
     """dx (as a share of the line), dy of each leg between pivots."""
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(pivots) - 1)), lambda i: F.struct(((F.get(pivots, i).idx - F.get(pivots, i - 1).idx) / n).alias("dx"), (F.get(pivots, i).y - F.get(pivots, i - 1).y).alias("dy")))
+    return T.transform(T.sequence(T.lit(1), T.greatest(T.lit(1), T.size(pivots) - 1)), lambda i: T.struct(((T.get(pivots, i).idx - T.get(pivots, i - 1).idx) / n).alias("dx"), (T.get(pivots, i).y - T.get(pivots, i - 1).y).alias("dy")))
 
 
-def _legs_or_none(pivots: Column, n: Column, body: Callable[[Column], Column]) -> Column:
-    return F.when(F.size(pivots) < 2, F.array().cast("array<double>")).otherwise(let(legs(pivots, n), body))
+def _legs_or_none(pivots: Text, n: Text, body: Callable[[Text], Text]) -> Text:
+    return T.when(T.size(pivots) < 2, T.array().cast("array<double>")).otherwise(let(legs(pivots, n), body))
 
 
-def slopes(pivots: Column, n: Column) -> Column:
+def slopes(pivots: Text, n: Text) -> Text:
     """tanh(dy / dx) of each leg."""
-    return _legs_or_none(pivots, n, lambda a: F.transform(a, lambda v: F.tanh(v.dy / (v.dx + 1e-10))))
+    return _legs_or_none(pivots, n, lambda a: T.transform(a, lambda v: T.tanh(v.dy / (v.dx + 1e-10))))
 
 
-def angles(pivots: Column, n: Column) -> Column:
+def angles(pivots: Text, n: Text) -> Text:
     """The turn from each leg to the next as a share of a half circle."""
-    def turns(a: Column) -> Column:
-        both = F.zip_with(part(a, 0, F.size(a) - 1), part(a, 1, F.size(a)), lambda u, v: F.atan2(u.dx * v.dy - u.dy * v.dx, u.dx * v.dx + u.dy * v.dy) / F.pi())
-        return F.when(F.size(a) < 2, F.array().cast("array<double>")).otherwise(both)
+    def turns(a: Text) -> Text:
+        both = T.zip_with(part(a, 0, T.size(a) - 1), part(a, 1, T.size(a)), lambda u, v: T.atan2(u.dx * v.dy - u.dy * v.dx, u.dx * v.dx + u.dy * v.dy) / T.pi())
+        return T.when(T.size(a) < 2, T.array().cast("array<double>")).otherwise(both)
 
     return _legs_or_none(pivots, n, turns)
 
 
-def distances(pivots: Column, n: Column) -> Column:
+def distances(pivots: Text, n: Text) -> Text:
     """Each leg's length as a share of all."""
-    lengths = lambda a: F.transform(a, lambda v: F.sqrt(v.dx * v.dx + v.dy * v.dy))
-    return _legs_or_none(pivots, n, lambda a: let(lengths(a), lambda d: let(total(d), lambda t: F.transform(d, lambda x: F.when(t > 0, x / t).otherwise(x)))))
+    lengths = lambda a: T.transform(a, lambda v: T.sqrt(v.dx * v.dx + v.dy * v.dy))
+    return _legs_or_none(pivots, n, lambda a: let(lengths(a), lambda d: let(total(d), lambda t: T.transform(d, lambda x: T.when(t > 0, x / t).otherwise(x)))))
 
 
-def sequence_of(pivots: Column) -> Column:
+def sequence_of(pivots: Text) -> Text:
     """Pivot values from 0 to 1."""
     v = values(pivots)
-    return F.when(F.size(v) == 0, F.array().cast("array<double>")).otherwise(let(F.struct(F.array_min(v).alias("lo"), span(v).alias("span")), lambda s: F.transform(v, lambda y: F.when(s.span > 0, (y - s.lo) / s.span).otherwise(y))))
+    return T.when(T.size(v) == 0, T.array().cast("array<double>")).otherwise(let(T.struct(T.array_min(v).alias("lo"), span(v).alias("span")), lambda s: T.transform(v, lambda y: T.when(s.span > 0, (y - s.lo) / s.span).otherwise(y))))
 
 
-def symmetry(pivots: Column) -> Column:
+def symmetry(pivots: Text) -> Text:
     """How alike the halves of the pivots are when one is turned round (P5); 0 under four pivots."""
-    n = F.size(pivots)
-    half = F.floor(n / 2).cast("int")
-    pairs = F.zip_with(part(pivots, 0, half), part(F.reverse(pivots), 0, half), lambda p, q: 0.5 * (1 - F.least(F.lit(1.0), F.abs(p.y - q.y))) + F.when(p.is_high == q.is_high, 0.5).otherwise(0.0))
-    return F.when(n < 4, 0.0).otherwise(mean(pairs))
+    n = T.size(pivots)
+    half = T.floor(n / 2).cast("int")
+    pairs = T.zip_with(part(pivots, 0, half), part(T.reverse(pivots), 0, half), lambda p, q: 0.5 * (1 - T.least(T.lit(1.0), T.abs(p.y - q.y))) + T.when(p.is_high == q.is_high, 0.5).otherwise(0.0))
+    return T.when(n < 4, 0.0).otherwise(mean(pairs))
 
 
-def convergence(pivots: Column) -> Column:
+def convergence(pivots: Text) -> Text:
     """The part of the first spread between a high and a low that is gone in the last, within -1 and 1."""
     h, low = values(of_kind(pivots, True)), values(of_kind(pivots, False))
-    spreads = F.struct(F.abs(F.get(h, 0) - F.get(low, 0)).alias("a"), F.abs(F.element_at(h, -1) - F.element_at(low, -1)).alias("b"))
-    closer = let(spreads, lambda s: F.when(s.a > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (s.a - s.b) / s.a))).otherwise(0.0))
-    return F.when((F.size(h) < 2) | (F.size(low) < 2), 0.0).otherwise(closer)
+    spreads = T.struct(T.abs(T.get(h, 0) - T.get(low, 0)).alias("a"), T.abs(T.element_at(h, -1) - T.element_at(low, -1)).alias("b"))
+    closer = let(spreads, lambda s: T.when(s.a > 0, T.greatest(T.lit(-1.0), T.least(T.lit(1.0), (s.a - s.b) / s.a))).otherwise(0.0))
+    return T.when((T.size(h) < 2) | (T.size(low) < 2), 0.0).otherwise(closer)
 
 
-def breakout_strength(line: Column) -> Column:
+def breakout_strength(line: Text) -> Text:
     """.3 move of the last quarter + .3 growth of its moves' deviation + .4 break out of the range before (P7); 0 under 15 values."""
-    n = F.size(line)
-    cut = F.floor(n * 0.75).cast("int")
+    n = T.size(line)
+    cut = T.floor(n * 0.75).cast("int")
     body, tail = part(line, 0, cut), part(line, cut, n)
-    last = F.get(line, n - 1)
-    out = F.greatest(F.lit(0.0), last - F.array_max(body)) + F.greatest(F.lit(0.0), F.array_min(body) - last)
-    grown = F.least(F.lit(3.0), deviation(steps(tail)) / (deviation(steps(body)) + 1e-10)) / 3
-    return F.when(n < 15, 0.0).otherwise(F.least(F.lit(1.0), 0.3 * F.abs(last - F.get(line, cut)) + 0.3 * grown + 0.4 * out))
+    last = T.get(line, n - 1)
+    out = T.greatest(T.lit(0.0), last - T.array_max(body)) + T.greatest(T.lit(0.0), T.array_min(body) - last)
+    grown = T.least(T.lit(3.0), deviation(steps(tail)) / (deviation(steps(body)) + 1e-10)) / 3
+    return T.when(n < 15, 0.0).otherwise(T.least(T.lit(1.0), 0.3 * T.abs(last - T.get(line, cut)) + 0.3 * grown + 0.4 * out))
 
 
-def volume_confirmation(volumes: Column, pivots: Column, n: Column) -> Column:
+def volume_confirmation(volumes: Text, pivots: Text, n: Text) -> Text:
     """Volume at the pivots (rescaled to bars, J19), in the second half and in the last 15 % against the mean."""
-    m = F.size(volumes)
-    at = F.transform(pivots, lambda p: F.get(volumes, F.least(m - 1, F.floor(p.idx * m / n).cast("int"))))
-    half, tail = F.floor(m / 2).cast("int"), F.floor(m * 0.85).cast("int")
-    ratio = lambda a, b: F.when(b > 0, a / b).otherwise(1.0)
+    m = T.size(volumes)
+    at = T.transform(pivots, lambda p: T.get(volumes, T.least(m - 1, T.floor(p.idx * m / n).cast("int"))))
+    half, tail = T.floor(m / 2).cast("int"), T.floor(m * 0.85).cast("int")
+    ratio = lambda a, b: T.when(b > 0, a / b).otherwise(1.0)
     score = let(mean(volumes), lambda v: (
-        0.3 * F.least(F.lit(1.5), F.when(F.size(at) > 0, ratio(mean(at), v)).otherwise(1.0)) / 1.5
-        + 0.3 * F.least(F.lit(1.5), ratio(mean(part(volumes, half, m)), mean(part(volumes, 0, half)))) / 1.5 + 0.4 * F.least(F.lit(2.0), ratio(mean(part(volumes, tail, m)), v)) / 2
+        0.3 * T.least(T.lit(1.5), T.when(T.size(at) > 0, ratio(mean(at), v)).otherwise(1.0)) / 1.5
+        + 0.3 * T.least(T.lit(1.5), ratio(mean(part(volumes, half, m)), mean(part(volumes, 0, half)))) / 1.5 + 0.4 * T.least(T.lit(2.0), ratio(mean(part(volumes, tail, m)), v)) / 2
     ))
-    return F.when((m < 10) | (total(volumes) == 0), 0.5).otherwise(F.least(F.lit(1.0), score))
+    return T.when((m < 10) | (total(volumes) == 0), 0.5).otherwise(T.least(T.lit(1.0), score))
 
 
-def swing_share(pivots: Column, high: bool, up: bool) -> Column:
+def swing_share(pivots: Text, high: bool, up: bool) -> Text:
     """The share of steps between pivots of a kind that go up (or down); 0 under two."""
     d = steps(values(of_kind(pivots, high)))
-    n = F.size(of_kind(pivots, high))
-    return F.when(n < 2, 0.0).otherwise(count_of(d, (lambda x: x > 0) if up else (lambda x: x < 0)) / (n - 1))
+    n = T.size(of_kind(pivots, high))
+    return T.when(n < 2, 0.0).otherwise(count_of(d, (lambda x: x > 0) if up else (lambda x: x < 0)) / (n - 1))
 
 
-def consistency(pivots: Column) -> Column:
+def consistency(pivots: Text) -> Text:
     """Mean over highs and lows of the greater share of rising or falling steps (P9); 0 under three pivots."""
-    both = [F.greatest(swing_share(pivots, high, True), swing_share(pivots, high, False)) for high in (True, False)]
-    return F.when(F.size(pivots) < 3, 0.0).otherwise((both[0] + both[1]) / 2)
+    both = [T.greatest(swing_share(pivots, high, True), swing_share(pivots, high, False)) for high in (True, False)]
+    return T.when(T.size(pivots) < 3, 0.0).otherwise((both[0] + both[1]) / 2)
 
 
 def with_scalars(rows: DataFrame) -> DataFrame:
     """All scalars and sequences of a series with ``line``, ``pivots`` and ``volumes``."""
-    line, pivots = F.col("line"), F.col("pivots")
-    n = F.size(line)
-    return rows.withColumns({
+    line, pivots = T.col("line"), T.col("pivots")
+    n = T.size(line)
+    return added(rows, {
         "trend": trend(line), "volatility": volatility(line), "compression": compression(line), "quality": quality(line, pivots), "symmetry": symmetry(pivots), "convergence": convergence(pivots),
-        "breakout_strength": breakout_strength(line), "volume_confirmation": volume_confirmation(F.col("volumes"), pivots, n), "consistency": consistency(pivots), "slopes": slopes(pivots, n), "angles": angles(pivots, n),
-        "distances": distances(pivots, n), "sequence": sequence_of(pivots), "pivot_confidence": F.when(F.size(pivots) > 0, mean(F.transform(pivots, lambda p: p.confidence))).otherwise(0.5),
+        "breakout_strength": breakout_strength(line), "volume_confirmation": volume_confirmation(T.col("volumes"), pivots, n), "consistency": consistency(pivots), "slopes": slopes(pivots, n), "angles": angles(pivots, n),
+        "distances": distances(pivots, n), "sequence": sequence_of(pivots), "pivot_confidence": T.when(T.size(pivots) > 0, mean(T.transform(pivots, lambda p: p.confidence))).otherwise(0.5),
     })
 
 
-def feature_vector(line: Column, sequence: Column, shares: Column, scalars: list[Column]) -> Column:
+def feature_vector(line: Text, sequence: Text, shares: Text, scalars: list[Text]) -> Text:
     """100 line values, 10 pivot values, 9 leg shares (filled with zeros) and three scalars, weighed .35, .30, .20, .15 (A3)."""
-    filled = lambda a, n: F.slice(F.concat(a, F.array_repeat(F.lit(0.0), n)), 1, n)
-    weighed = lambda a, w: F.transform(a, lambda x: x * w)
-    return F.concat(weighed(line, 0.35), weighed(filled(sequence, 10), 0.30), weighed(filled(shares, 9), 0.20), weighed(F.array(*scalars), 0.15))
+    filled = lambda a, n: T.slice(T.concat(a, T.array_repeat(T.lit(0.0), n)), 1, n)
+    weighed = lambda a, w: T.transform(a, lambda x: x * w)
+    return T.concat(weighed(line, 0.35), weighed(filled(sequence, 10), 0.30), weighed(filled(shares, 9), 0.20), weighed(T.array(*scalars), 0.15))

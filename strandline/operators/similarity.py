@@ -9,22 +9,28 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.functions.texts import functions_of
+
 
 def _dot(a: Column, b: Column) -> Column:
+    F = functions_of(a)  # noqa: N806
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
 def cosine(a: Column, b: Column) -> Column:
+    F = functions_of(a)  # noqa: N806
     norm = F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b))
     return F.when(norm > 0, _dot(a, b) / norm).otherwise(0.0)
 
 
 def mse(a: Column, b: Column) -> Column:
+    F = functions_of(a)  # noqa: N806
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x) / F.size(a)
 
 
 def pearson(a: Column, b: Column) -> Column:
     """Correlation of two arrays; 0 where one of them does not vary."""
+    F = functions_of(a)  # noqa: N806
     n = F.size(a)
     mean = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / n
     cov, va, vb = _dot(a, b) / n - mean(a) * mean(b), _dot(a, a) / n - mean(a) * mean(a), _dot(b, b) / n - mean(b) * mean(b)

@@ -7,12 +7,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def match_events(events: DataFrame, labels: DataFrame, slack: int = 3) -> DataFrame:
-    """tp, fp, fn per symbol: each detection takes the first free label of its type whose span, widened by ``slack``, holds it.
+def match_events(events: DataFrame, labels: DataFrame, slack: int = 3, by_type: bool = False) -> DataFrame:
+    """tp, fp, fn per symbol (or symbol and pattern_type): each detection takes the first free label of its type whose span, widened by ``slack``, holds it.
 
-    Candidates come from a range join on (symbol, pattern_type); only symbols' candidate pairs meet in one group,
-    as who takes which label depends on the order of the detections.
+    Candidates come from a range join on (symbol, pattern_type); the candidate pairs of one symbol and type meet in one group,
+    as who takes which label depends on the order of the detections. Types never compete for a label.
     """
+    keys = ["symbol", "pattern_type"] if by_type else ["symbol"]
     e = events.select("symbol", "pattern_type", "idx").withColumn("e", F.struct("idx", "pattern_type"))
     near = (F.col("idx") >= F.col("start") - slack) & (F.col("idx") <= F.col("end") + slack)
     pairs = e.join(labels, ["symbol", "pattern_type"]).where(near)
@@ -26,12 +27,13 @@ def match_events(events: DataFrame, labels: DataFrame, slack: int = 3) -> DataFr
                 used_events.add(event)
                 free.add(label)
                 taken += 1
-        return pd.DataFrame([(f["symbol"].iloc[0], taken)], columns=["symbol", "tp"])
+        return pd.DataFrame([(f["symbol"].iloc[0], f["pattern_type"].iloc[0], taken)], columns=["symbol", "pattern_type", "tp"])
 
-    hits = pairs.drop("e").groupBy("symbol").applyInPandas(run, "symbol string, tp long")
-    counts = events.groupBy("symbol").agg(F.count("*").alias("n")).join(labels.groupBy("symbol").agg(F.count("*").alias("m")), "symbol", "full")
-    rows = counts.join(hits, "symbol", "left").fillna(0, ["n", "m", "tp"])
-    return rows.select("symbol", "tp", (F.col("n") - F.col("tp")).alias("fp"), (F.col("m") - F.col("tp")).alias("fn"))
+    hits = pairs.drop("e").groupBy("symbol", "pattern_type").applyInPandas(run, "symbol string, pattern_type string, tp long")
+    hits = hits.groupBy(*keys).agg(F.sum("tp").alias("tp"))
+    counts = events.groupBy(*keys).agg(F.count("*").alias("n")).join(labels.groupBy(*keys).agg(F.count("*").alias("m")), keys, "full")
+    rows = counts.join(hits, keys, "left").fillna(0, ["n", "m", "tp"])
+    return rows.select(*keys, "tp", (F.col("n") - F.col("tp")).alias("fp"), (F.col("m") - F.col("tp")).alias("fn"))
 
 
 def repaint_rate(active: DataFrame) -> DataFrame:

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import shapes
-from strandline.operators import detectors, features, folds, levels, packed, patterns, relevance, scoring, similarity, store, structures, validation, windows
-from strandline.sources import synthetic
+from strandline.functions import texts
+from strandline.operators import detectors, features, folds, levels, packed, patterns, relevance, replay, scoring, similarity, store, structures, validation, windows
 from strandline.sources.series import event_bars, latest, settled, shared_folder, ship_days, table
 from strandline.streaming import live
 
@@ -450,10 +450,12 @@ def liquid_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["liquid_topn"] = "SELECT symbol, round(quote_volume, 3) AS quote_volume FROM (" + ORACLES["liquid_topn"] + ")"
 
 
-@query("SELECT symbol, round((last - first) / first * 100, 6) AS change FROM (SELECT symbol, arg_min(close, idx) AS first, arg_max(close, idx) AS last FROM s WHERE idx >= 94 GROUP BY 1) ORDER BY change DESC", _BARS)
+@query("SELECT symbol, round((arg_max(close, idx) - arg_min(close, idx)) / arg_min(close, idx) * 100, 6) AS change FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY idx DESC) AS rn FROM s) WHERE rn <= 6 GROUP BY 1 ORDER BY change DESC", _BARS)
 def movers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Change over the last six bars, 24 hours, the largest first."""
-    rows = series(spark, sf_dir).where("idx >= 94").groupBy("symbol").agg(F.min_by("close", "idx").alias("first"), F.max_by("close", "idx").alias("last"))
+    """Change over the last six bars of each series, 24 hours, the largest first (T6); shorter series give what they have."""
+    back = Window.partitionBy("symbol").orderBy(F.col("idx").desc())
+    rows = series(spark, sf_dir).withColumn("rn", F.row_number().over(back)).where("rn <= 6")
+    rows = rows.groupBy("symbol").agg(F.min_by("close", "idx").alias("first"), F.max_by("close", "idx").alias("last"))
     return rounded(rows.select("symbol", ((F.col("last") - F.col("first")) / F.col("first") * 100).alias("change"))).orderBy(F.col("change").desc())
 
 
@@ -565,8 +567,8 @@ def structure_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every series and window with its structure and scalars (D1 to D25, P1 to P13, A1, A3, F5); the type filter (F9) looks into ``patterns``, too."""
     rows = all_structures(spark, sf_dir)
     scalars = ["confidence", "freshness", "quality", "trend", "volatility", "compression", "symmetry", "convergence", "breakout_strength", "volume_confirmation", "consistency", "pivot_confidence"]
-    vector = packed.feature_vector(F.col("line"), F.col("sequence"), F.col("distances"), [F.col("trend"), F.col("volatility"), F.col("compression")])
-    return rows.select("symbol", "timeframe", "type", "is_active", "passes", F.size("pivots").alias("pivots"), F.array_sort(F.map_keys("patterns")).alias("patterns"), F.round(packed.total(vector), 5).alias("vector_sum"), *[(F.round(c, 6) + 0.0).alias(c) for c in scalars])
+    vector = texts.column(packed.total(packed.feature_vector(*map(texts.col, ("line", "sequence", "distances")), [texts.col(c) for c in ("trend", "volatility", "compression")])))
+    return rows.select("symbol", "timeframe", "type", "is_active", "passes", F.size("pivots").alias("pivots"), F.array_sort(F.map_keys("patterns")).alias("patterns"), F.round(vector, 5).alias("vector_sum"), *[(F.round(c, 6) + 0.0).alias(c) for c in scalars])
 
 
 @query()
@@ -583,14 +585,6 @@ def similarity_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.find_matches(rows, rows.where("ord = 0").orderBy("symbol"))
 
 
-@query()
-def synthetic_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per class of planted series: hits, false alarms and misses of the confirmed structures, and their rates."""
-    bars = synthetic.labelled(spark)
-    found = detectors.causal(settled(detectors.structures(bars, "symbol", "label", settle=settled)))
-    return rounded(validation.class_rates(bars.select("symbol", "label").distinct(), found.where("state = 'confirmed'").select("symbol", "type")))
-
-
 @query()
 def levels_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Levels of zones, volume profile and round prices, merged, the strongest first."""
@@ -770,3 +764,67 @@ def pivot_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spoken.join(lengths, "symbol", "left")
     rows = similarity.against(rows, rows.orderBy("symbol").select(F.col("p").alias("q"), F.col("d").alias("e")))
     return rounded(rows.select("symbol", features.pivot_likeness(F.col("p"), F.col("q")).alias("pivots"), features.distance_likeness(F.col("d"), F.col("e")).alias("distances")))
+
+
+# --- replay: what detectors say at every bar ---
+
+_FRAMES = """fb AS (SELECT event_type AS symbol, '4h' AS timeframe, time_bucket(INTERVAL '4 hours', ts) AS open_time, arg_min(value, row(ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, row(ts, event_id)) AS close, count(*) AS volume FROM events GROUP BY 1, 2, 3
+  UNION ALL SELECT event_type, '8h', time_bucket(INTERVAL '8 hours', ts), arg_min(value, row(ts, event_id)), max(value), min(value), arg_max(value, row(ts, event_id)), count(*) FROM events GROUP BY 1, 2, 3),
+rb AS (SELECT *, (row_number() OVER (PARTITION BY symbol, timeframe ORDER BY open_time, close) - 1)::INTEGER AS place FROM fb)"""
+_STEPS = _FRAMES + """,
+s AS (SELECT a.symbol || '@' || a.timeframe || '@' || a.place AS symbol, b.place - a.place + 49 AS idx, b.open_time, b.open, b.high, b.low, b.close, b.volume FROM rb a JOIN rb b ON a.symbol = b.symbol AND a.timeframe = b.timeframe AND b.place BETWEEN a.place - 49 AND a.place WHERE a.place >= 49)"""
+_REPLAY = "rt AS (SELECT split_part(symbol, '@', 1) AS symbol, split_part(symbol, '@', 2) AS timeframe, split_part(symbol, '@', 3)::INTEGER AS step, direction, confidence, is_active FROM (" + ORACLES["trend_states"].replace(_BARS, _STEPS) + "))"
+
+
+def framed_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All bars of every symbol at two widths, with their places."""
+    rows = [event_bars(spark, sf_dir, width).withColumn("timeframe", F.lit(name)) for width, name in (("4 hours", "4h"), ("8 hours", "8h"))]
+    return replay.placed(rows[0].unionByName(rows[1]), "symbol", "timeframe")
+
+
+@query("SELECT * FROM rt", _REPLAY)
+def replay_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trend over the last 50 bars at every step of every series and width."""
+    keys = ("symbol", "timeframe")
+    rows = replay.step_bars(replay.steps(framed_history(spark, sf_dir), 50, keys), keys)
+    one = F.concat_ws("@", "symbol", "timeframe", F.col("step").cast("string"))
+    norm = settled(windows.normalised(rows.withColumn("symbol", one)).select("symbol", "idx", "y"))
+    found = rounded(features.trends(norm, windows.pivots(norm, 5, "y", "y")))
+    at = lambda i: F.split_part("symbol", F.lit("@"), F.lit(i))
+    return found.select(at(1).alias("symbol"), at(2).alias("timeframe"), at(3).cast("int").alias("step"), "direction", "confidence", "is_active")
+
+
+@query(
+    """SELECT symbol, timeframe, step, direction, is_active, was_direction, was_is_active FROM (SELECT *, lag(direction) OVER o AS was_direction, lag(is_active) OVER o AS was_is_active, lag(step) OVER o IS NULL AS first FROM rt
+    WINDOW o AS (PARTITION BY symbol, timeframe ORDER BY step)) WHERE first OR direction IS DISTINCT FROM was_direction OR is_active IS DISTINCT FROM was_is_active""", _REPLAY)
+def structure_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The steps at which the trend or its activity changes."""
+    rows = replay_trends(spark, sf_dir).drop("confidence")
+    return replay.changes(rows, "direction", "is_active", keys=("symbol", "timeframe"))
+
+
+@query(
+    """SELECT CASE g WHEN 1 THEN 'pattern' WHEN 2 THEN 'timeframe' ELSE 'all' END AS "by", coalesce(pattern_type, t.timeframe) AS name, events, confirmed, tp, fp, fn, round(precision, 6) AS precision, round(recall, 6) AS recall,
+    round(coalesce(2 * precision * recall / nullif(precision + recall, 0), 0), 6) AS f1, CASE WHEN g = 2 THEN round(coalesce(rate, 0), 6) END AS repaint_rate FROM
+    (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS precision, coalesce(tp / nullif(tp + fn, 0), 0) AS recall FROM (SELECT pattern_type, timeframe, grouping_id(pattern_type, timeframe) AS g, sum(n)::BIGINT AS events, sum(c)::BIGINT AS confirmed,
+    sum(h)::BIGINT AS tp, (sum(n) - sum(h))::BIGINT AS fp, (sum(m) - sum(h))::BIGINT AS fn FROM parts GROUP BY GROUPING SETS ((pattern_type), (timeframe), ()))) t LEFT JOIN rates USING (timeframe)""",
+    _REPLAY, _FRAMES,
+    """labels AS (SELECT symbol, timeframe, CASE WHEN arg_max(close, place) > arg_min(close, place) THEN 'up' ELSE 'down' END AS pattern_type, min(place) AS start, max(place) AS "end" FROM rb WHERE place % 25 BETWEEN 5 AND 15 GROUP BY symbol, timeframe, place // 25),
+    parts AS (SELECT timeframe, direction AS pattern_type, 1 AS n, is_active::INTEGER AS c, 0 AS m, 0 AS h FROM rt WHERE direction IS NOT NULL
+    UNION ALL SELECT timeframe, pattern_type, 0, 0, 1, (EXISTS (FROM rt WHERE rt.symbol = labels.symbol AND rt.timeframe = labels.timeframe AND rt.direction = labels.pattern_type AND rt.step BETWEEN labels.start - 3 AND labels."end" + 3))::INTEGER FROM labels),
+    rates AS (SELECT timeframe, avg(rate) AS rate FROM (SELECT symbol, timeframe, coalesce(sum((p AND (NOT np OR direction <> nd))::INTEGER) / nullif(sum(p::INTEGER), 0), 0) AS rate FROM (SELECT *, lead(p) OVER o AS np, lead(direction) OVER o AS nd FROM
+    (SELECT symbol, timeframe, step, direction, is_active AND direction IS NOT NULL AS p FROM rt) WINDOW o AS (PARTITION BY symbol, timeframe ORDER BY step)) WHERE np IS NOT NULL GROUP BY 1, 2) GROUP BY 1)""")
+def replay_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of the replayed trends against labels of the moves of every 25 bars."""
+    rows = settled(replay_trends(spark, sf_dir).withColumnRenamed("direction", "type"))
+    marks = framed_history(spark, sf_dir).where("idx % 25 between 5 and 15").groupBy("symbol", "timeframe", F.floor(F.col("idx") / 25).alias("b"))
+    marks = marks.agg(F.max_by("close", "idx").alias("last"), F.min_by("close", "idx").alias("first"), F.min("idx").alias("start"), F.max("idx").alias("end"))
+    labels = marks.select("symbol", "timeframe", F.when(F.col("last") > F.col("first"), "up").otherwise("down").alias("pattern_type"), "start", "end")
+    return rounded(replay.totals(rows, labels))
+
+
+@query()
+def replay_structures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The confirmed structure at every bar of every series (V1, W22): a step sees no later bar."""
+    rows = replay.placed(event_bars(spark, sf_dir), "symbol")
+    return rounded(replay.replay_structures(rows, settle=settled))
