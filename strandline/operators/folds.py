@@ -5,7 +5,7 @@ A series' bars, or a few levels of it, are one array; Spark folds it where it st
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions import texts as T
@@ -98,83 +98,40 @@ def trend_levels(bars: DataFrame, least: int = 3, keep: int = 10) -> DataFrame:
     return rows.select("symbol", "c.is_high", "c.slope", "c.intercept", "c.touches", "c.breakouts", "c.quality")
 
 
-# REST
 def consensus_lines(points: DataFrame, scale: DataFrame, least: int = 3) -> DataFrame:
-    """The line with most pivots of a kind within half a scale, over all pairs of them, refitted to those.
+    """The line with most pivots of a kind within half a scale, over all pairs of them, refitted to those (L6): symbol, is_high, slope, intercept, touches, strength.
 
-    In place of random samples: every pair is tried; ties go to the smaller mean residual, then to the earlier pair.
+    In place of random samples: every pair is tried; ties go to the smaller mean distance, then to the earlier pair. Joins on (symbol, is_high).
     """
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("idx")
-        x, p, tol = f["idx"].to_numpy(float), f["price"].to_numpy(float), 0.5 * f["vol_scale"].iloc[0]
-        best = None
-        for i in range(len(x)):
-            for j in range(i + 1, len(x)):
-                if x[j] > x[i]:
-                    off = np.abs(p - (p[i] + (p[j] - p[i]) / (x[j] - x[i]) * (x - x[i])))
-                    near = off <= tol
-                    mark = (int(near.sum()), -float(off[near].mean()))
-                    if best is None or mark > best[0]:
-                        best = (mark, near)
-        if best is None or best[0][0] < least:
-            return pd.DataFrame(columns=["symbol", "is_high", "slope", "intercept", "touches", "strength"])
-        slope, base = np.polyfit(x[best[1]], p[best[1]], 1)
-        inside = x[best[1]]
-        strength = 0.5 * min(1, len(inside) / 5) + 0.5 * (inside[-1] - inside[0]) / max(1.0, x[-1] - x[0])
-        return pd.DataFrame([(f["symbol"].iloc[0], bool(f["is_high"].iloc[0]), slope, base, len(inside), strength)], columns=["symbol", "is_high", "slope", "intercept", "touches", "strength"])
-
-    return points.join(scale, "symbol").groupBy("symbol", "is_high").applyInPandas(run, "symbol string, is_high boolean, slope double, intercept double, touches int, strength double")
-
-
-_LEVEL = "struct<strength: double, price: double, is_high: boolean, touches: int, first_touch: int, last_touch: int>"
+    keys = ["symbol", "is_high"]
+    p = points.join(scale, "symbol")
+    ends = lambda i, v: p.select(*keys, F.col("idx").alias(i), F.col("price").alias(v))
+    pairs = ends("i", "pi").join(ends("j", "pj"), keys).where("i < j").withColumn("steep", F.try_divide(F.col("pj") - F.col("pi"), F.col("j") - F.col("i")))
+    off = F.abs(F.col("price") - (F.col("pi") + F.col("steep") * (F.col("idx") - F.col("i"))))
+    near = pairs.join(p, keys).withColumn("off", off).where(F.col("off") <= 0.5 * F.col("vol_scale"))
+    best = near.groupBy(*keys, "i", "j").agg(F.count("*").alias("m"), F.round(F.avg("off"), 9).alias("off")).where(F.col("m") >= least)
+    best = best.groupBy(*keys).agg(F.min(F.struct((-F.col("m")).alias("o"), "off", "i", "j")).alias("b")).select(*keys, "b.i", "b.j")
+    fitted = near.drop("off").join(best, [*keys, "i", "j"]).groupBy(*keys).agg(F.regr_slope("price", "idx").alias("slope"), F.regr_intercept("price", "idx").alias("intercept"), F.count("*").cast("int").alias("touches"), (F.max("idx") - F.min("idx")).alias("reach"))
+    whole = p.groupBy(*keys).agg((F.max("idx") - F.min("idx")).alias("whole"))
+    strength = 0.5 * F.least(F.lit(1.0), F.col("touches") / 5) + 0.5 * F.col("reach") / F.greatest(F.lit(1), F.col("whole"))
+    return fitted.join(whole, keys).select(*keys, "slope", "intercept", "touches", strength.alias("strength"))
 
 
 def merge_levels(levels: DataFrame, scale: DataFrame) -> DataFrame:
-    """Levels of a kind within .3 scales of a stronger one join it: strengths add up to at most 1 (L8); a series has a few dozen levels."""
-    fields = ["strength", "price", "is_high", "touches", "first_touch", "last_touch"]
-    one = F.struct(F.col("strength").cast("double").alias("strength"), "price", "is_high", *[F.col(c).cast("int").alias(c) for c in fields[3:]])
+    """Levels of a kind within .3 scales of a stronger one join it: strengths add up to at most 1 (L8); a series has a few dozen levels. A ``source`` column stays that of the stronger."""
+    kept_fields = {"strength": "double", "price": "double", "is_high": "boolean", "touches": "int", "first_touch": "int", "last_touch": "int"} | ({"source": "string"} if "source" in levels.columns else {})
+    one = F.struct(*[F.col(c).cast(k).alias(c) for c, k in kept_fields.items()])
     rows = levels.groupBy("symbol").agg(F.collect_list(one).alias("all")).join(scale, "symbol")
 
-    def join(kept: Column, c: Column) -> Column:
-        near = lambda o: (o.is_high == c.is_high) & (F.abs(o.price - c.price) < 0.3 * F.col("vol_scale"))
-        host = F.array_position(F.transform(kept, near), True)
-        joined = lambda o: F.struct(
-            F.least(F.lit(1.0), o.strength + c.strength).alias("strength"), o.price.alias("price"), o.is_high.alias("is_high"), F.greatest(o.touches, c.touches).alias("touches"),
-            F.least(o.first_touch, c.first_touch).alias("first_touch"), F.greatest(o.last_touch, c.last_touch).alias("last_touch"),
-        )
-        return F.when(host == 0, F.concat(kept, F.array(c))).otherwise(F.transform(kept, lambda o, i: F.when(i + 1 == host, joined(o)).otherwise(o)))
-
-    strongest = F.transform(F.array_sort(F.transform("all", lambda c: F.struct((-c.strength).alias("s"), c.price.alias("p"), c.alias("c")))), lambda x: x.c)
-    rows = rows.withColumn("sorted", strongest).withColumn("kept", F.aggregate("sorted", F.array().cast(f"array<{_LEVEL}>"), join))
-    return rows.select("symbol", F.explode("kept").alias("c")).select("symbol", "c.is_high", "c.price", "c.touches", "c.first_touch", "c.last_touch", "c.strength")
-
-
-def level_sources(bars: DataFrame, zones: DataFrame, profile: DataFrame, rounds: DataFrame, scale: DataFrame) -> DataFrame:
-    """Levels of all sources (U1, L4, L5, L9, J13): zones, then profile and round levels that are not within .3 scales of one before.
-
-    Each source has symbol, price, base (its strength without touches). Touches are closes within half a scale (J12); the strength adds .5 for up to
-    five touches, .2 for a late last touch and .3 for volume at the touches against the mean (G14), at most 1. A level under the last close
-    is support, over it resistance.
-    """
-    rows = packed.pack(bars).join(scale, "symbol")
-    offered = zones.select("symbol", F.lit(0).alias("o"), "price", "base").unionByName(profile.select("symbol", F.lit(1).alias("o"), "price", "base")).unionByName(rounds.select("symbol", F.lit(2).alias("o"), "price", "base"))
-    offered = offered.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("o", "price", "base"))).alias("offered"))
-    once = lambda kept, c: F.when((c.o > 0) & F.exists(kept, lambda k: F.abs(k.price - c.price) < 0.3 * F.col("vol_scale")), kept).otherwise(F.concat(kept, F.array(c)))
-    rows = rows.join(offered, "symbol").withColumn("kept", F.aggregate("offered", F.array().cast("array<struct<o: int, price: double, base: double>>"), once))
-    n, mean_volume = F.size("closes"), mean(F.col("volumes"))
-
-    def judged(c: Column) -> Column:
-        at = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.abs(F.get("closes", i) - c.price) <= 0.5 * F.col("vol_scale"))
-        def scored(t: Column) -> Column:
-            volume = F.when((F.size(t) > 0) & (mean_volume > 0), F.least(F.lit(1.0), mean(F.transform(t, lambda i: F.get("volumes", i))) / mean_volume)).otherwise(0.0)
-            late = F.when(F.size(t) > 0, F.element_at(t, -1) / F.greatest(n - 1, F.lit(1))).otherwise(0.0)
-            strength = c.base + 0.5 * F.least(F.lit(1.0), F.size(t) / 5) + 0.2 * late + 0.3 * volume
-            return F.struct(
-                (c.price > F.element_at("closes", -1)).alias("is_high"), c.price.alias("price"), F.size(t).alias("touches"), F.coalesce(F.get(t, F.lit(0)), F.lit(-1)).alias("first_touch"),
-                F.coalesce(F.try_element_at(t, F.lit(-1)), F.lit(-1)).alias("last_touch"), F.least(F.lit(1.0), strength).alias("strength"), F.element_at(F.array(F.lit("zone"), F.lit("volume"), F.lit("round")), c.o + 1).alias("source"),
-            )
-
-        return let(at, scored)
-
-    return rows.select("symbol", F.explode(F.transform("kept", judged)).alias("l")).select("symbol", "l.*")
+    def join(kept: Text, c: Text) -> Text:
+        near = lambda o: (o.is_high == c.is_high) & (T.abs(o.price - c.price) < 0.3 * T.col("vol_scale"))
+        host = T.array_position(T.transform(kept, near), T.lit(True))
+        changed = {"strength": lambda o: T.least(T.lit(1.0), o.strength + c.strength), "touches": lambda o: T.greatest(o.touches, c.touches), "first_touch": lambda o: T.least(o.first_touch, c.first_touch), "last_touch": lambda o: T.greatest(o.last_touch, c.last_touch)}
+        joined = lambda o: T.struct(*[(changed[f](o) if f in changed else getattr(o, f)).alias(f) for f in kept_fields])
+        return T.when(host == 0, T.concat(kept, T.array(c))).otherwise(T.transform(kept, lambda o, i: T.when(i + 1 == host, joined(o)).otherwise(o)))
+
+    strongest = T.transform(T.array_sort(T.transform("all", lambda c: T.struct((-c.strength).alias("s"), c.price.alias("p"), c.alias("c")))), lambda x: x.c)
+    kind = ", ".join(f"{c}: {k}" for c, k in kept_fields.items())
+    rows = added(added(rows, {"sorted": strongest}), {"kept": T.aggregate("sorted", T.array().cast(f"array<struct<{kind}>>"), join)})
+    out = ["is_high", "price", "touches", "first_touch", "last_touch", "strength", *(["source"] if "source" in kept_fields else [])]
+    return rows.select("symbol", F.explode("kept").alias("c")).select("symbol", *[f"c.{c}" for c in out])

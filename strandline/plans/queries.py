@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import shapes
 from strandline.functions import texts
-from strandline.operators import detectors, features, folds, levels, packed, patterns, relevance, replay, scoring, similarity, store, structures, validation, windows
+from strandline.operators import detectors, features, folds, level_driver, levels, packed, patterns, relevance, replay, scoring, similarity, store, structures, validation, windows
 from strandline.sources.series import event_bars, latest, settled, shared_folder, ship_days, table
 from strandline.streaming import live
 
@@ -495,7 +495,16 @@ def trend_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(folds.trend_levels(series(spark, sf_dir)))
 
 
-@query()
+_LINES = """lp AS (SELECT piv.*, greatest(0.5 * vol_scale, 1e-9) AS tol FROM piv JOIN scale USING (symbol)),
+lq AS (SELECT a.symbol, a.is_high, a.idx AS i, b.idx AS j, a.price AS pi, (b.price - a.price) / (b.idx - a.idx) AS steep FROM lp a JOIN lp b ON a.symbol = b.symbol AND a.is_high = b.is_high AND a.idx < b.idx),
+ln AS (SELECT lq.*, idx, price, abs(price - (pi + steep * (idx - i))) AS off FROM lq JOIN lp USING (symbol, is_high) WHERE abs(price - (pi + steep * (idx - i))) <= tol),
+lb AS (SELECT * FROM (SELECT symbol, is_high, i, j, count(*) AS m, round(avg(off), 9) AS away FROM ln GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY symbol, is_high ORDER BY m DESC, away, i, j) = 1),
+lf AS (SELECT symbol, is_high, regr_slope(price, idx) AS slope, regr_intercept(price, idx) AS intercept, count(*) AS touches, min(idx) AS a, max(idx) AS b FROM ln JOIN lb USING (symbol, is_high, i, j) WHERE m >= 3 GROUP BY 1, 2)"""
+
+
+@query(
+    """SELECT symbol, is_high, round(slope, 6) AS slope, round(intercept, 6) AS intercept, touches::INTEGER AS touches, round(0.5 * least(1.0, touches / 5) + 0.5 * (b - a) / greatest(1, whole), 6) AS strength FROM lf
+    JOIN (SELECT symbol, is_high, max(idx) - min(idx) AS whole FROM piv GROUP BY 1, 2) USING (symbol, is_high)""", _BARS, _TR, _PIV, _LINES)
 def consensus_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars = series(spark, sf_dir)
     return rounded(folds.consensus_lines(windows.pivots(bars), windows.vol_scale(bars)))
@@ -585,19 +594,39 @@ def similarity_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.find_matches(rows, rows.where("ord = 0").orderBy("symbol"))
 
 
-@query()
+_STRENGTH = "round(greatest(0, least(1, {base} + 0.5 * least(1.0, {t} / 5) + 0.2 * coalesce({last}, 0) / greatest(n - 1, 1) + 0.3 * CASE WHEN mv > 0 AND {v} IS NOT NULL THEN least(1.0, {v} / (mv + 1e-9)) ELSE 0 END)), 4)"
+_LEVELS = f"""fx AS (SELECT symbol, count(*) AS n, arg_max(close, idx) AS last, avg(volume) AS mv, vol_scale FROM s JOIN scale USING (symbol) GROUP BY symbol, vol_scale HAVING count(*) >= 20 AND vol_scale > 0),
+zo AS (SELECT *, sum(fresh) OVER (PARTITION BY symbol, is_high ORDER BY price, idx) AS zone FROM (SELECT piv.*, s.volume AS v, n, mv, coalesce((price - lag(price) OVER (PARTITION BY symbol, is_high ORDER BY price, idx) > greatest(0.5 * vol_scale, 1e-9))::INTEGER, 1) AS fresh
+  FROM piv JOIN fx USING (symbol) JOIN s USING (symbol, idx))),
+zl AS (SELECT symbol, is_high, median(price) AS price, count(*) AS touches, min(idx) AS first_touch, max(idx) AS last_touch, {_STRENGTH.format(base="0", t="count(*)", last="max(idx)", v="avg(v)")} AS strength, 'zone' AS source FROM zo GROUP BY symbol, is_high, zone, n, mv HAVING count(*) >= 2),
+hb AS (SELECT symbol, least(19, floor((close - lo) / w))::INTEGER AS bin, lo, w, sum(volume) AS v FROM (SELECT *, min(close) OVER p AS lo, (max(close) OVER p - min(close) OVER p) / 20 AS w FROM s WINDOW p AS (PARTITION BY symbol)) WHERE w > 0 GROUP BY ALL),
+hg AS (SELECT symbol, lo, w, list(coalesce(v, 0) ORDER BY b.bin) AS h FROM (SELECT DISTINCT symbol, lo, w FROM hb) CROSS JOIN (SELECT unnest(range(20))::INTEGER AS bin) b LEFT JOIN hb USING (symbol, lo, w, bin) GROUP BY 1, 2, 3 HAVING sum(v) > 0),
+va AS (SELECT symbol, lo, w, h, list_position(h, list_max(h)) - 1 AS poc, list_reduce(list_prepend([list_position(h, list_max(h)) - 1, list_position(h, list_max(h)) - 1, list_max(h)]::DOUBLE[], list_transform(range(20), lambda i: [0.0::DOUBLE])), lambda t, x: CASE WHEN t[3] >= 0.7 * list_sum(h) OR (t[1] = 0 AND t[2] = 19) THEN t
+  WHEN t[2] < 19 AND (t[1] = 0 OR h[t[2]::INT + 2] >= h[t[1]::INT]) THEN [t[1], t[2] + 1, t[3] + h[t[2]::INT + 2]] ELSE [t[1] - 1, t[2], t[3] + h[t[1]::INT]] END) AS t FROM hg),
+ca AS (SELECT symbol, unnest([lo + (poc + 0.5) * w, lo + (t[2] + 0.5) * w, lo + (t[1] + 0.5) * w]) AS price, unnest(['volume_poc', 'volume_vah', 'volume_val']) AS source, unnest([0, 1, 2]) AS o FROM va
+  UNION ALL SELECT symbol, (round_even(last / step, 0) + k) * step, 'round_number', k + 10 FROM (SELECT *, unnest(range(-3, 4)) AS k FROM (SELECT symbol, last, CASE WHEN vol_scale / p < 1.5 THEN 1 WHEN vol_scale / p < 3 THEN 2 WHEN vol_scale / p < 7 THEN 5 ELSE 10 END * p AS step FROM (SELECT *, pow(10.0, floor(log10(vol_scale))) AS p FROM fx))) WHERE (round_even(last / step, 0) + k) * step > 0),
+ct AS (SELECT ca.symbol, price, source, o, count(*) FILTER (hit) AS touches, min(idx) FILTER (hit) AS a, max(idx) FILTER (hit) AS b, avg(volume) FILTER (hit) AS v FROM (SELECT ca.*, idx, volume, CASE WHEN o < 10 THEN abs(close - price) <= 0.5 * vol_scale ELSE abs(high - price) <= 0.5 * vol_scale OR abs(low - price) <= 0.5 * vol_scale END AS hit
+  FROM ca JOIN fx USING (symbol) JOIN s USING (symbol)) ca GROUP BY ALL),
+cs AS (SELECT symbol, price > last AS is_high, price, o, source, touches, coalesce(a, n - 1) AS first_touch, coalesce(b, n - 1) AS last_touch, {_STRENGTH.format(base="CASE WHEN o < 10 THEN 0.25 ELSE 0.2 END", t="greatest(touches, 1)", last="b", v="v")} AS strength FROM ct JOIN fx USING (symbol) WHERE o < 10 OR touches > 0),
+ck AS (SELECT symbol, list_reduce(list_prepend(coalesce(any_value(z), []::DOUBLE[]), list([price] ORDER BY o)), lambda k, c: CASE WHEN len(list_filter(k, lambda p: abs(p - c[1]) < 0.3 * any_tol)) > 0 THEN k ELSE list_append(k, c[1]) END) AS kept FROM
+  (SELECT cs.*, vol_scale AS any_tol FROM cs JOIN fx USING (symbol)) LEFT JOIN (SELECT symbol, list(price) AS z FROM zl GROUP BY 1) USING (symbol) GROUP BY symbol, any_tol),
+al AS (SELECT symbol, is_high, price, touches, first_touch, last_touch, strength, source FROM zl UNION ALL SELECT symbol, is_high, price, touches, first_touch, last_touch, strength, source FROM cs JOIN ck USING (symbol) WHERE list_contains(kept, price)),
+mg AS (SELECT symbol, is_high, list_reduce(list_prepend([]::DOUBLE[][], list([[strength, price, touches, first_touch, last_touch, code]]::DOUBLE[][] ORDER BY strength DESC, price)), lambda k, c: CASE WHEN len(list_filter(k, lambda o: abs(o[2] - c[1][2]) < tol)) = 0 THEN list_concat(k, c)
+  ELSE list_transform(k, lambda o, i: CASE WHEN i = list_position(list_transform(k, lambda q: abs(q[2] - c[1][2]) < tol), true) THEN [least(1.0, o[1] + c[1][1]), o[2], greatest(o[3], c[1][3]), least(o[4], c[1][4]), greatest(o[5], c[1][5]), o[6]] ELSE o END) END) AS kept
+  FROM (SELECT al.*, 0.3 * vol_scale AS tol, list_position(['zone', 'volume_poc', 'volume_vah', 'volume_val', 'round_number'], source) AS code FROM al JOIN fx USING (symbol)) GROUP BY symbol, is_high, tol),
+fl AS (SELECT symbol, is_high, 0.0 AS slope, k[2] AS intercept, k[3]::BIGINT AS touches, k[4]::INTEGER AS first_touch, k[5]::INTEGER AS last_touch, k[1] AS strength, ['zone', 'volume_poc', 'volume_vah', 'volume_val', 'round_number'][k[6]::INTEGER] AS source, false AS is_trendline, NULL::BOOLEAN AS is_channel FROM (SELECT symbol, is_high, unnest(kept) AS k FROM mg)),
+md AS (SELECT lp.symbol, lp.is_high, slope, tol, idx, price - slope * idx AS rest FROM lp JOIN (SELECT symbol, is_high, median(steep) AS slope FROM lq JOIN (SELECT symbol, is_high FROM lb WHERE m < 3) USING (symbol, is_high) GROUP BY 1, 2) USING (symbol, is_high)),
+me AS (SELECT symbol, is_high, slope, c AS intercept, count(*) AS touches, min(idx) AS a, max(idx) AS b FROM (SELECT *, median(rest) OVER (PARTITION BY symbol, is_high) AS c FROM md) WHERE abs(rest - c) <= tol GROUP BY ALL HAVING count(*) >= 3),
+st AS (SELECT symbol, is_high, slope, intercept, touches, a::INTEGER AS first_touch, b::INTEGER AS last_touch, round(greatest(0, least(1, 0.5 * least(1.0, touches / 5) + 0.5 * (b - a) / greatest(n - 1, 1))), 4) AS strength, 'trendline' AS source, true AS is_trendline,
+  count(*) OVER w = 2 AND (max(slope) OVER w - min(slope) OVER w) / greatest(max(abs(slope)) OVER w, 1e-9) <= 0.05 AS is_channel FROM (SELECT * FROM lf UNION ALL SELECT * FROM me) JOIN fx USING (symbol) WINDOW w AS (PARTITION BY symbol))"""
+
+
+@query(
+    """SELECT symbol, 'level_' || CASE WHEN is_high THEN 'resistance' ELSE 'support' END AS structure_type, round(100 * strength, 1) AS score, round(slope, 6) AS slope, round(intercept, 6) AS intercept, round(slope * (n - 1) + intercept, 6) AS price_at_last, touches, first_touch, last_touch,
+    CASE WHEN slope > 1e-9 THEN 'rising' WHEN slope < -1e-9 THEN 'falling' ELSE 'horizontal' END AS slope_label, source, is_trendline, is_channel FROM (SELECT * FROM fl UNION ALL SELECT * FROM st) JOIN fx USING (symbol)""", _BARS, _TR, _PIV, _LINES, _LEVELS)
 def levels_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Levels of zones, volume profile and round prices, merged, the strongest first."""
-    bars = series(spark, sf_dir)
-    scale = windows.vol_scale(bars)
-    zones = levels.zones(windows.pivots(bars), scale, 0.02).select("symbol", "price", F.lit(0.2).alias("base"))
-    histogram = levels.volume_histogram(bars)
-    area = levels.value_area(histogram).join(histogram.select("symbol", "lo", "width").distinct(), "symbol")
-    ends = [F.col("lo") + (F.col(b) + 0.5) * F.col("width") for b in ("poc", "high_bin", "low_bin")]
-    profile = area.select("symbol", F.explode(F.array(*ends)).alias("price"), F.lit(0.25).alias("base"))
-    rounds = levels.round_levels(bars, scale).select("symbol", F.col("level").alias("price"), F.lit(0.2).alias("base"))
-    found = folds.level_sources(bars, zones, profile, rounds, scale)
-    return rounded(folds.merge_levels(found, scale)).orderBy("symbol", F.col("strength").desc(), "price")
+    """All levels of every series as match rows: zones, profile, round prices and trend lines."""
+    return rounded(level_driver.level_matches(settled(series(spark, sf_dir))))
 
 
 @query()
