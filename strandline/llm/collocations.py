@@ -35,7 +35,7 @@ TOP = 2_000
 #: A phrase goes if one that holds it has at least this share of its count, in hundredths.
 INSIDE_PERCENT = 80
 SCALE = 2_000_000
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 RANGE = 1 << 20
 
 #: Ends of pieces become a byte that no UTF-8 text holds, tabs become spaces, A-Z become a-z.
@@ -116,6 +116,24 @@ def _ints(data: bytes | None, kind: str) -> np.ndarray:
     return np.frombuffer(data or b"", kind)
 
 
+def _rising(values: np.ndarray) -> bytes:
+    """Rising numbers for a shuffle: their steps, the bytes of each place together, which compresses well."""
+    return np.diff(values.astype("<i8"), prepend=0).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _risen(data: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<i8").ravel())
+
+
+def _dealt(keys: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges that get some of the keys, the order of keys by range (rising in each), and where each range's begin."""
+    to = ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)) % np.uint64(ranges)
+    order = np.argsort(to, kind="stable")
+    to = to[order].astype(np.int64)
+    heads = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])) if len(to) else np.zeros(0, np.int64)
+    return to[heads], order, np.append(heads, len(to))
+
+
 def _level_row(block: int, own: int, ids: np.ndarray, last: np.ndarray, lens: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
     packed = [ids.astype("<i8"), last.astype("<i8"), lens.astype("<i4"), pos.astype("<i4")]
     return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip([block, own, *(p.tobytes() for p in packed)], _LEVEL_KINDS.types, strict=True)], schema=_LEVEL_KINDS)
@@ -158,7 +176,7 @@ def extend(ids: np.ndarray, last: np.ndarray, lens: np.ndarray, pos: np.ndarray,
 
 
 def _count(level: DataFrame, base: int, ranges: int, least: int) -> DataFrame:
-    """Frequent extensions by range: rows with ``block`` hold which of them the block has, the row without has all and their counts."""
+    """Frequent extensions by range: rows with ``block`` hold which of the keys it dealt are frequent (``keys``: their places, ``nums``: their numbers in the range), the row without has all and their counts."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,17 +186,16 @@ def _count(level: DataFrame, base: int, ranges: int, least: int) -> DataFrame:
                 if not len(keys):
                     continue
                 counts = np.add.reduceat(pos < row["own"], np.cumsum(lens) - lens, dtype=np.int32)
-                to = ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)) % np.uint64(ranges)
-                order = np.argsort(to, kind="stable")
-                to, keys, counts = to[order].astype(np.int64), keys[order], counts[order]
-                heads = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
-                ends = np.append(heads[1:], len(to))
-                packed = [[x[a:b].tobytes() for a, b in zip(heads.tolist(), ends.tolist(), strict=True)] for x in (keys.astype("<i8"), counts.astype("<i4"))]
-                yield pa.RecordBatch.from_pydict({"range": to[heads], "block": np.full(len(heads), row["block"]), "keys": pa.array(packed[0], pa.binary()), "counts": pa.array(packed[1], pa.binary())})
+                to, order, edges = _dealt(keys, ranges)
+                keys, counts = keys[order], counts[order]
+                cuts = list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
+                packed = [_rising(keys[a:b]) for a, b in cuts], [counts[a:b].astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes() for a, b in cuts]
+                yield pa.RecordBatch.from_pydict({"range": to, "block": np.full(len(to), row["block"]), "keys": pa.array(packed[0], pa.binary()), "counts": pa.array(packed[1], pa.binary())})
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
-        parts = [_ints(k, "<i8") for k in frame["keys"]]
-        keys, counts = np.concatenate(parts), np.concatenate([_ints(c, "<i4") for c in frame["counts"]])
+        parts = [_risen(k) for k in frame["keys"]]
+        keys = np.concatenate(parts)
+        counts = np.concatenate([np.ascontiguousarray(np.frombuffer(c, np.uint8).reshape(4, -1).T).view("<i4").ravel() for c in frame["counts"]])
         order = np.argsort(keys)
         keys, counts = keys[order], counts[order]
         heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
@@ -191,7 +208,7 @@ def _count(level: DataFrame, base: int, ranges: int, least: int) -> DataFrame:
             at = np.minimum(np.searchsorted(often, part), len(often) - 1)
             mine = often[at] == part
             if mine.any():
-                out.append((block, part[mine].tobytes(), at[mine].astype("<i8").tobytes()))
+                out.append((block, _rising(np.flatnonzero(mine)), _rising(at[mine])))
         rows = pd.DataFrame(out, columns=["block", "keys", "nums"])
         return rows.assign(block=rows["block"].astype("Int64"), range=int(frame["range"].iloc[0]))[["range", "block", "keys", "nums"]]
 
@@ -211,9 +228,9 @@ def _entries(found: DataFrame, base: int) -> DataFrame:
     return found.where("block is null").select("first", "keys", "nums").mapInArrow(unpack, "id long, parent long, word long, f long")
 
 
-def _next_level(level: DataFrame, found: DataFrame, base: int) -> DataFrame:
+def _next_level(level: DataFrame, found: DataFrame, base: int, ranges: int) -> DataFrame:
     """The lists of the frequent extensions, under their numbers."""
-    own = found.where("block is not null").select("block", F.struct("first", "keys", "nums").alias("part"))
+    own = found.where("block is not null").select("block", F.struct("range", "first", "keys", "nums").alias("part"))
     own = own.groupBy("block").agg(F.collect_list("part").alias("parts"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,13 +238,13 @@ def _next_level(level: DataFrame, found: DataFrame, base: int) -> DataFrame:
             for i in range(batch.num_rows):
                 row = {c: batch[c][i].as_py() for c in batch.schema.names}
                 keys, lens, pos = extend(_ints(row["ids"], "<i8"), _ints(row["last"], "<i8"), _ints(row["lens"], "<i4"), _ints(row["pos"], "<i4"), base)
-                often = np.concatenate([_ints(p["keys"], "<i8") for p in row["parts"]])
-                ids = np.concatenate([_ints(p["nums"], "<i8") + p["first"] for p in row["parts"]])
-                order = np.argsort(often)
-                often, ids = often[order], ids[order]
-                at = np.minimum(np.searchsorted(often, keys), len(often) - 1)
-                kept = often[at] == keys
-                yield _level_row(row["block"], row["own"], ids[at[kept]], keys[kept] % base, lens[kept], pos[np.repeat(kept, lens)])
+                to, order, edges = _dealt(keys, ranges)
+                begins = dict(zip(to.tolist(), edges.tolist(), strict=False))
+                at = np.concatenate([order[begins[p["range"]] + _risen(p["keys"])] for p in row["parts"]])
+                ids = np.full(len(keys), -1, np.int64)
+                ids[at] = np.concatenate([_risen(p["nums"]) + p["first"] for p in row["parts"]])
+                kept = ids >= 0
+                yield _level_row(row["block"], row["own"], ids[kept], keys[kept] % base, lens[kept], pos[np.repeat(kept, lens)])
 
     return level.join(own.hint("shuffle_hash"), "block").mapInArrow(keep, _LEVEL)
 
@@ -266,7 +283,7 @@ def frequent_phrases(docs: DataFrame, lang: str = "lang", text: str = "text", lo
         known = materialise(known.select("id", "lang", F.concat_ws(" ", "_lead", "_word").alias("phrase"), F.lit(k).alias("k"), "f"), f"phrases-{k}")
         phrases = phrases.unionByName(known)
         if k < longest:
-            after = bucketed(_next_level(level, found, base), f"phrase-level-{k}", "block")
+            after = bucketed(_next_level(level, found, base, ranges), f"phrase-level-{k}", "block")
             release(level)
             level = after
     return phrases.drop("id"), n
