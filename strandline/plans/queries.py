@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from strandline.functions import shapes
 from strandline.functions import texts
 from strandline.operators import detectors, features, folds, level_driver, levels, packed, patterns, relevance, replay, scoring, similarity, store, structures, validation, windows
+from strandline.sources import klines
 from strandline.sources.series import event_bars, latest, settled, shared_folder, ship_days, table
 from strandline.streaming import live
 
@@ -857,3 +858,84 @@ def replay_structures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The confirmed structure at every bar of every series (V1, W22): a step sees no later bar."""
     rows = replay.placed(event_bars(spark, sf_dir), "symbol")
     return rounded(replay.replay_structures(rows, settle=settled))
+
+
+# --- klines, tickers and the universe, from files of answers ---
+
+
+def exchange(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of answers made from the events: bars of two widths of every event type, and an error for one of them."""
+    import uuid
+
+    at = f"{shared_folder(spark)}/klines-{uuid.uuid4().hex}"
+    width = F.when(F.col("timeframe") == "4h", F.expr("interval 4 hours")).otherwise(F.expr("interval 8 hours"))
+    rows = framed_history(spark, sf_dir).withColumn("close_time", F.col("open_time") + width - F.expr("interval 1 millisecond"))
+    klines.write_klines(rows, at, 70)
+    gone = rows.where("symbol = 'error'").select("symbol", "timeframe").limit(1).withColumn("value", F.lit('{"code": -1121, "msg": "Invalid symbol."}'))
+    klines.write_answers(gone, at)
+    return at
+
+
+@query("SELECT symbol, timeframe, epoch_ms(open_time) AS open_time, open, high, low, close, volume::DOUBLE AS volume, epoch_ms(open_time) + 14399999 AS close_time FROM fb WHERE timeframe = '4h' AND symbol <> 'error' QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY open_time DESC) <= 100", _FRAMES)
+def klines_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last 100 bars of every symbol at one timeframe, read from the answers; a symbol with an error is on the blocklist."""
+    at = exchange(spark, sf_dir)
+    return klines.klines(spark, at, timeframes=["4h"], blocklist=klines.unavailable(spark, at))
+
+
+@query(
+    """SELECT symbol, timeframe, coalesce(bars, 0) AS bars, last_close, last_time FROM (SELECT DISTINCT event_type AS symbol FROM events UNION ALL SELECT 'nothing') CROSS JOIN (SELECT unnest(['4h', '8h', '1d']) AS timeframe) LEFT JOIN
+    (SELECT symbol, timeframe, count(*) AS bars, arg_max(close, open_time) AS last_close, max(epoch_ms(open_time) + CASE timeframe WHEN '4h' THEN 14399999 ELSE 28799999 END) AS last_time FROM (FROM fb WHERE symbol <> 'error' QUALIFY row_number() OVER (PARTITION BY symbol, timeframe ORDER BY open_time DESC) <= 60) GROUP BY 1, 2) USING (symbol, timeframe)""", _FRAMES)
+def klines_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every symbol at every timeframe with what was found for it."""
+    at = exchange(spark, sf_dir)
+    names = table(spark, sf_dir, "events").select(F.col("event_type").alias("symbol")).distinct().unionByName(spark.createDataFrame([("nothing",)], "symbol string"))
+    return klines.asked(klines.klines(spark, at, limit=60, blocklist=klines.unavailable(spark, at)), names, ["4h", "8h", "1d"])
+
+
+_PAIRS = """tk AS (SELECT upper(event_type) || CASE WHEN event_type = 'purchase' THEN 'BTC' ELSE 'USDT' END AS symbol, (arg_max(value, event_id) - arg_min(value, event_id)) / arg_min(value, event_id) * 100 AS pct, sum(value * 100) AS volume FROM events WHERE value > 0 GROUP BY 1, event_type)"""
+
+
+def pairs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tickers of trading pairs as text, made from the events; one pair has another quote."""
+    kind = F.col("event_type")
+    rows = table(spark, sf_dir, "events").where("value > 0").groupBy(F.concat(F.upper(kind), F.when(kind == "purchase", "BTC").otherwise("USDT")).alias("symbol"))
+    rows = rows.agg(F.min_by("value", "event_id").alias("first"), F.max_by("value", "event_id").alias("last"), F.sum(F.col("value") * 100).alias("v"))
+    return rows.select("symbol", ((F.col("last") - F.col("first")) / F.col("first") * 100).cast("string").alias("price_change_percent"), F.col("v").cast("string").alias("quote_volume"))
+
+
+@query("SELECT replace(symbol, 'USDT', '') AS symbol, round(pct, 2) AS change, round(volume, 2) AS quote_volume FROM tk WHERE suffix(symbol, 'USDT')", _PAIRS)
+def ticker_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes and volumes of the pairs against one quote."""
+    return klines.tickers(pairs_of(spark, sf_dir)).withColumn("quote_volume", F.round("quote_volume", 2))
+
+
+@query("SELECT t.symbol, change, quote_volume, bars FROM (SELECT replace(symbol, 'USDT', '') AS symbol, round(pct, 2) AS change, round(volume, 2) AS quote_volume FROM tk WHERE suffix(symbol, 'USDT')) t RIGHT JOIN (SELECT upper(symbol) AS symbol, count(*) AS bars FROM fb WHERE timeframe = '4h' GROUP BY 1) USING (symbol)".replace("t.symbol", "symbol"), _PAIRS, _FRAMES)
+def change_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each series with its symbol's 24 h change (J5); none for a symbol without a ticker."""
+    rows = framed_history(spark, sf_dir).where("timeframe = '4h'").groupBy(F.upper("symbol").alias("symbol")).agg(F.count("*").alias("bars"))
+    return rows.join(ticker_scan(spark, sf_dir), "symbol", "left").select("symbol", "change", "quote_volume", "bars")
+
+
+#: Names from parts, some made into names that cannot have a market.
+_COINS = """cn AS (SELECT CASE p_partkey % 7 WHEN 0 THEN 'USDC' WHEN 1 THEN 'WETH' WHEN 2 THEN upper(replace(p_name, ' ', '_')) WHEN 3 THEN upper(replace(p_name, ' ', '')) ELSE upper(split_part(p_name, ' ', 1)) || p_size END AS symbol, (p_retailprice * 100)::BIGINT::DOUBLE * p_size AS volume, p_partkey AS place FROM part),
+  ok AS (SELECT * FROM cn WHERE symbol NOT IN ('USDC', 'WETH') AND NOT contains(symbol, '_') AND length(symbol) <= 10 AND volume >= 1000000)"""
+
+
+def coins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, name = F.col("p_partkey") % 7, F.col("p_name")
+    symbol = F.when(k == 0, "USDC").when(k == 1, "WETH").when(k == 2, F.upper(F.replace(name, F.lit(" "), F.lit("_")))).when(k == 3, F.upper(F.replace(name, F.lit(" "), F.lit("")))).otherwise(F.concat(F.upper(F.split_part(name, F.lit(" "), F.lit(1))), F.col("p_size").cast("string")))
+    return table(spark, sf_dir, "part").select(symbol.alias("symbol"), (F.round(F.col("p_retailprice") * 100).cast("long").cast("double") * F.col("p_size")).alias("volume"), F.col("p_partkey").alias("place"))
+
+
+@query("SELECT symbol, row_number() OVER (ORDER BY min(place), symbol)::INTEGER AS place, 'ranked' AS origin FROM ok GROUP BY symbol ORDER BY min(place), symbol LIMIT 30", _COINS)
+def universe_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The universe from the ranked source."""
+    return klines.universe(spark, coins(spark, sf_dir), None)
+
+
+@query("SELECT symbol, row_number() OVER (ORDER BY max(volume) DESC, symbol)::INTEGER AS place, 'traded' AS origin FROM ok GROUP BY symbol ORDER BY max(volume) DESC, symbol LIMIT 30", _COINS)
+def universe_traded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The universe where the ranked source gives no row: the most traded."""
+    rows = coins(spark, sf_dir)
+    return klines.universe(spark, rows.limit(0), rows.select("symbol", F.col("volume").alias("quote_volume")))
