@@ -11,6 +11,7 @@ from strandline.functions import shapes
 from strandline.functions import texts
 from strandline.operators import detectors, features, folds, level_driver, levels, packed, patterns, relevance, replay, scoring, similarity, store, structures, validation, windows
 from strandline.sources import klines
+from strandline.sources.tables import Store
 from strandline.sources.series import event_bars, latest, settled, shared_folder, ship_days, table
 from strandline.streaming import live
 
@@ -939,3 +940,38 @@ def universe_traded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The universe where the ranked source gives no row: the most traded."""
     rows = coins(spark, sf_dir)
     return klines.universe(spark, rows.limit(0), rows.select("symbol", F.col("volume").alias("quote_volume")))
+
+
+# --- stored tables ---
+
+
+def filled_store(spark: SparkSession, sf_dir: str) -> Store:
+    """Structures (users), their matches (events) and feedback (every third event), put in by inserts; structures of every fifth user are deleted with all that hangs on them."""
+    import uuid
+
+    store_ = Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
+    events = table(spark, sf_dir, "events")
+    names = store_.insert("structures", events.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("name"), "user_id").distinct())
+    own = names.select(F.col("id").alias("structure_id"), "user_id")
+    rows = events.join(own, "user_id").select("structure_id", "event_id", F.col("event_type").alias("timeframe"), F.col("value").alias("score"))
+    first, second = (store_.insert("matches", rows.where(F.col("event_id") % 2 == i)) for i in (0, 1))
+    found = first.unionByName(second).where(F.col("event_id") % 3 == 0)
+    store_.insert("feedback", found.select(F.col("id").alias("match_id"), (F.col("event_id") % 2).cast("int").alias("is_relevant"), "event_id"))
+    store_.delete("structures", names.where(F.col("user_id") % 5 == 0).select("id"))
+    return store_
+
+
+@query(
+    """SELECT 'structures' AS name, count(DISTINCT user_id) AS n, sum(DISTINCT user_id)::BIGINT AS sum FROM events WHERE user_id % 5 <> 0 UNION ALL SELECT 'matches', count(*), sum(event_id)::BIGINT FROM events WHERE user_id % 5 <> 0
+    UNION ALL SELECT 'feedback', count(*), sum(event_id)::BIGINT FROM events WHERE user_id % 5 <> 0 AND event_id % 3 = 0""")
+def store_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of three stored tables after a delete that cascades."""
+    kept = filled_store(spark, sf_dir)
+    count = lambda name, c: kept.read(name).agg(F.count("*").alias("n"), F.sum(c).alias("sum")).select(F.lit(name).alias("name"), "n", "sum")
+    return count("structures", "user_id").unionByName(count("matches", "event_id")).unionByName(count("feedback", "event_id"))
+
+
+@query("SELECT event_id, event_type AS timeframe, value AS score FROM events WHERE user_id % 5 <> 0 AND event_type = 'click' ORDER BY value DESC, event_id LIMIT 50")
+def store_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best stored matches of a timeframe, in order (T5, F8)."""
+    return filled_store(spark, sf_dir).latest("matches", 50, F.col("score").desc(), F.col("event_id"), where=F.col("timeframe") == "click").select("event_id", "timeframe", "score")
