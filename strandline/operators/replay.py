@@ -39,14 +39,22 @@ def step_bars(rows: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFrame
     return rows.select(*keys, "step", "idx", *[F.col(f"bar.{c}").alias(c) for c in _BAR[1:]])
 
 
+def detections(bars: DataFrame, n: int = 100, keys: tuple[str, ...] = ("symbol",), settle: Callable[[DataFrame], DataFrame] = lambda rows: rows, chunk: int = CHUNK) -> DataFrame:
+    """Rows of ``detectors.causal`` at every step that passes the quality gate, with all they are judged by; places are those in the window."""
+    every = settle(detectors.structures_of(_packed(steps(bars, n, keys, chunk), keys).repartition(*keys, "step"), settle))
+    return detectors.causal(every)
+
+
+def _packed(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    return rows.select(*keys, "step", F.col("bars.close").alias("closes"), F.col("bars.high").alias("highs"), F.col("bars.low").alias("lows"), F.transform("bars.volume", lambda v: v.cast("double")).alias("volumes"), F.col("bars.open_time").alias("times"))
+
+
 def replay_structures(bars: DataFrame, n: int = 100, keys: tuple[str, ...] = ("symbol",), settle: Callable[[DataFrame], DataFrame] = lambda rows: rows, chunk: int = CHUNK) -> DataFrame:
     """The structure at every step (V1): keys, step, time, type, state, way, confidence, is_active, candidate_at and confirmed_at as places in the whole series.
 
     A step sees no later bar. Windows that are flat or fail the quality gate have no type and the state ``none``.
     """
-    rows = steps(bars, n, keys, chunk)
-    packed_rows = rows.select(*keys, "step", F.col("bars.close").alias("closes"), F.col("bars.high").alias("highs"), F.col("bars.low").alias("lows"), F.transform("bars.volume", lambda v: v.cast("double")).alias("volumes"), F.col("bars.open_time").alias("times"))
-    every = settle(detectors.structures_of(packed_rows.repartition(*keys, "step"), settle))
+    every = settle(detectors.structures_of(_packed(steps(bars, n, keys, chunk), keys).repartition(*keys, "step"), settle))
     first = F.col("step") - (n - 1)
     time = F.element_at("times", -1).alias("time")
     found = detectors.causal(every).select(*keys, "step", time, "type", "state", "way", "confidence", "is_active", (first + F.col("candidate_at")).alias("candidate_at"), (first + F.col("confirmed_at")).alias("confirmed_at"))

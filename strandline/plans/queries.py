@@ -11,7 +11,7 @@ from strandline.functions import shapes
 from strandline.functions import texts
 from strandline.operators import detectors, features, folds, level_driver, levels, packed, patterns, relevance, replay, scoring, similarity, store, structures, validation, windows
 from strandline.sources import klines
-from strandline.sources.tables import Store
+from strandline.sources.tables import Models, Store
 from strandline.sources.series import event_bars, latest, settled, shared_folder, ship_days, table
 from strandline.streaming import live
 
@@ -975,3 +975,28 @@ def store_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 def store_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 50 best stored matches of a timeframe, in order (T5, F8)."""
     return filled_store(spark, sf_dir).latest("matches", 50, F.col("score").desc(), F.col("event_id"), where=F.col("timeframe") == "click").select("event_id", "timeframe", "score")
+
+
+# --- learning from detections ---
+
+
+@query()
+def ml_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections at every bar with the score of a forest that did not see them (ML1 to ML4, S20).
+
+    A detection is relevant if the close five bars on lies on its side; the model is saved, loaded by version and scores the quarter that was kept apart.
+    """
+    import uuid
+
+    bars = settled(replay.placed(event_bars(spark, sf_dir), "symbol"))
+    found = relevance.detection_features(settled(replay.detections(bars, settle=settled)), F.lit(240))
+    later = bars.select("symbol", (F.col("idx") - 5).alias("step"), F.col("close").alias("later"))
+    rows = found.join(later, ["symbol", "step"]).withColumn("up", F.col("later") > F.element_at("closes", -1))
+    says_up = F.col("way").eqNullSafe("up") | (F.col("way").isNull() & (F.col("trend") > 0))
+    rows = rows.withColumn("label", (says_up == F.col("up")).cast("double")).select("symbol", "step", "type", "label", *relevance.DETECTION_FEATURES)
+    split = settled(relevance.stratified(rows, "symbol", "step", settle=settled))
+    model = relevance.train(split.where("not apart"), 50, features=relevance.DETECTION_FEATURES)
+    if model is not None:
+        models = Models(Store(spark, f"{shared_folder(spark)}/models-{uuid.uuid4().hex}"))
+        model, _ = models.load(models.save(model, {"n": split.count()}))
+    return relevance.score(split.where("apart"), model).select("symbol", "step", "type", "label", F.round("ml_score", 6).alias("ml_score"))

@@ -8,9 +8,11 @@ dealt from the row counts of partitions, above the greatest id so far; no task s
 
 from __future__ import annotations
 
+import json
 import uuid
 from typing import Any
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -133,3 +135,30 @@ class Store:
             self._remove("/".join([self.root, name, old]))
         for draft in self._names("_draft-"):
             self._remove(f"{self.root}/{draft}")
+
+
+class Models:
+    """Saved models by version in a ``Store``'s folder; a version is there as a whole or not at all."""
+
+    def __init__(self, store: Store, name: str = "models") -> None:
+        self.store, self.name = store, name
+
+    def versions(self) -> list[int]:
+        return [int(v[2:]) for v in self.store._names("v-", self.name)]
+
+    def save(self, model: PipelineModel, facts: dict) -> int:
+        """Puts a model with its facts in place and gives its version."""
+        version = (self.versions() or [0])[-1] + 1
+        at = f"{self.store.root}/_draft-{uuid.uuid4().hex}"
+        model.write().save(f"{at}/model")
+        self.store.spark.createDataFrame([(json.dumps(facts),)], "value string").coalesce(1).write.text(f"{at}/facts")
+        self.store._put(at, self.name, f"v-{version:08d}")
+        return version
+
+    def load(self, version: int | None = None) -> tuple[PipelineModel, dict] | None:
+        """The newest model, or that of a version, with its facts; None without one."""
+        there = self.versions()
+        if not there or (version is not None and version not in there):
+            return None
+        at = f"{self.store.root}/{self.name}/v-{version or there[-1]:08d}"
+        return PipelineModel.load(f"{at}/model"), json.loads(self.store.spark.read.text(f"{at}/facts").first()[0])
