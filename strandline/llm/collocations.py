@@ -83,7 +83,7 @@ def _blocks(docs: DataFrame, lang: str, text: str, longest: int, block: int) ->
             for at in range(0, len(every), block):
                 part = every[at : at + block + longest - 1]
                 names, counted, lengths, pos = _lists(part, min(block, len(every) - at), keys)
-                values = ([number], [min(block, len(every) - at)], [names], [counted.astype(np.int32)], [lengths.astype("<i4").tobytes()], [pos.astype("<i4").tobytes()])
+                values = ([number], [min(block, len(every) - at)], [names], [counted.astype(np.int32)], [lengths.astype("<i4").tobytes()], [_places(pos)])
                 kinds = (pa.int64(), pa.int32(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], ["block", "own", "keys", "counts", "lens", "pos"])
                 number += 1
@@ -134,9 +134,18 @@ def _dealt(keys: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return to[heads], order, np.append(heads, len(to))
 
 
+def _places(pos: np.ndarray) -> bytes:
+    """Positions of lists one after the other: steps of 32 bits, the bytes of each place together."""
+    return np.diff(pos.astype("<i4"), prepend=np.int32(0)).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _positions(data: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<i4").ravel(), dtype=np.int32)
+
+
 def _level_row(block: int, own: int, ids: np.ndarray, last: np.ndarray, lens: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
-    packed = [ids.astype("<i8"), last.astype("<i8"), lens.astype("<i4"), pos.astype("<i4")]
-    return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip([block, own, *(p.tobytes() for p in packed)], _LEVEL_KINDS.types, strict=True)], schema=_LEVEL_KINDS)
+    packed = [ids.astype("<i8").tobytes(), last.astype("<i8").tobytes(), lens.astype("<i4").tobytes(), _places(pos)]
+    return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip([block, own, *packed], _LEVEL_KINDS.types, strict=True)], schema=_LEVEL_KINDS)
 
 
 def _sized(table: DataFrame, total_bytes: int) -> DataFrame:
@@ -155,7 +164,7 @@ def _word_level(blocks: DataFrame, found: DataFrame) -> DataFrame:
                 lens = _ints(batch["lens"][i].as_py(), "<i4")
                 kept = np.zeros(len(lens), bool)
                 kept[at] = True
-                pos = _ints(batch["pos"][i].as_py(), "<i4")[np.repeat(kept, lens)]
+                pos = _positions(batch["pos"][i].as_py())[np.repeat(kept, lens)]
                 yield _level_row(batch["block"][i].as_py(), batch["own"][i].as_py(), ids[order], ids[order], lens[kept], pos)
 
     rows = blocks.select("block", "own", "lens", "pos").join(found.hint("shuffle_hash"), "block")
@@ -182,7 +191,7 @@ def _count(level: DataFrame, base: int, ranges: int, least: int) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {c: batch[c][i].as_py() for c in batch.schema.names}
-                keys, lens, pos = extend(_ints(row["ids"], "<i8"), _ints(row["last"], "<i8"), _ints(row["lens"], "<i4"), _ints(row["pos"], "<i4"), base)
+                keys, lens, pos = extend(_ints(row["ids"], "<i8"), _ints(row["last"], "<i8"), _ints(row["lens"], "<i4"), _positions(row["pos"]), base)
                 if not len(keys):
                     continue
                 counts = np.add.reduceat(pos < row["own"], np.cumsum(lens) - lens, dtype=np.int32)
@@ -237,7 +246,7 @@ def _next_level(level: DataFrame, found: DataFrame, base: int, ranges: int) -> D
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {c: batch[c][i].as_py() for c in batch.schema.names}
-                keys, lens, pos = extend(_ints(row["ids"], "<i8"), _ints(row["last"], "<i8"), _ints(row["lens"], "<i4"), _ints(row["pos"], "<i4"), base)
+                keys, lens, pos = extend(_ints(row["ids"], "<i8"), _ints(row["last"], "<i8"), _ints(row["lens"], "<i4"), _positions(row["pos"]), base)
                 to, order, edges = _dealt(keys, ranges)
                 begins = dict(zip(to.tolist(), edges.tolist(), strict=False))
                 at = np.concatenate([order[begins[p["range"]] + _risen(p["keys"])] for p in row["parts"]])

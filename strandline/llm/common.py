@@ -50,7 +50,7 @@ def bucketed(df: DataFrame, name: str, column: str) -> DataFrame:
     """Like ``materialise``, as a table in as many buckets of ``column`` as there are shuffle partitions: joins on it move the other side alone."""
     spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
     table = f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
-    df.write.format("parquet").bucketBy(shuffle_partitions(spark), column).option("path", path).saveAsTable(table)
+    df.write.format("parquet").option("compression", "zstd").bucketBy(shuffle_partitions(spark), column).option("path", path).saveAsTable(table)
     return spark.table(table)
 
 
