@@ -29,6 +29,33 @@ def through(points: list[tuple[float, float]], n: int = 100) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), at)
 
 
+def named_line(name: str, n: int = 100, touches: int = 3) -> Column:
+    """A reference line by name (S13): triangle_up, triangle_down, trend_up, trend_down, range, compression, level; any other is a plain wave.
+
+    ``level`` is a quiet line that touches a height ``touches`` times; its noise comes from a hash of the place, so it is the same every time.
+    """
+    wave = lambda x, turns: F.sin(x * turns * F.pi())
+    noise = lambda i, salt: F.pmod(F.xxhash64(F.lit(salt), i), F.lit(1_000_003)) / 1_000_003
+    lines = {
+        "triangle_up": lambda x, i: 0.5 + wave(x, 8) * (0.5 - x) * 0.5, "triangle_down": lambda x, i: 0.5 + wave(x, 8) * x * 0.5, "trend_up": lambda x, i: x * 0.8 + 0.1 + wave(x, 6) * 0.08,
+        "trend_down": lambda x, i: (1 - x) * 0.8 + 0.1 + wave(x, 6) * 0.08, "range": lambda x, i: wave(x, 8) * 0.15 + 0.5, "compression": lambda x, i: wave(x, 10) * 0.3 * F.exp(-2 * x) + 0.5,
+    }
+
+    def level(x: Column, i: Column) -> Column:
+        value = noise(i, 1) * 0.3 + 0.35
+        for t in range(touches):
+            at = int((t + 0.5) / touches * n * 0.9)
+            value = F.when(i.between(at - 3, at + 2), 0.7 + (noise(i, 2) - 0.5) * 0.04).otherwise(value)
+        return value
+
+    made = level if name == "level" else lines.get(name, lambda x, i: wave(x, 4) * 0.3 + 0.5)
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: made(i / (n - 1), i))
+
+
+#: Names that ``named_line`` knows.
+NAMED = ("triangle_up", "triangle_down", "trend_up", "trend_down", "range", "compression", "level")
+
+
 def presets(spark: SparkSession) -> DataFrame:
     """name, line: every preset."""
     rows = spark.range(1)

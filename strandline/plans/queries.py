@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import shapes
 from strandline.functions import texts
-from strandline.operators import detectors, features, folds, level_driver, levels, packed, patterns, relevance, replay, scoring, similarity, store, structures, validation, windows
+from strandline.operators import detectors, features, folds, level_driver, levels, packed, patterns, relevance, replay, scans, scoring, similarity, store, structures, validation, windows
 from strandline.sources import klines
 from strandline.sources.tables import Models, Store
 from strandline.sources.series import event_bars, latest, settled, shared_folder, ship_days, table
@@ -1000,3 +1000,85 @@ def ml_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
         models = Models(Store(spark, f"{shared_folder(spark)}/models-{uuid.uuid4().hex}"))
         model, _ = models.load(models.save(model, {"n": split.count()}))
     return relevance.score(split.where("apart"), model).select("symbol", "step", "type", "label", F.round("ml_score", 6).alias("ml_score"))
+
+
+# --- scans: filters and what stands behind a match ---
+
+_HELD = """hs AS (SELECT 'u' || user_id % 40 AS symbol, event_type || ['', '_w30', '_w50'][event_id % 3 + 1] AS timeframe, (event_id % 3)::INTEGER AS ord, event_id, CASE WHEN k % 11 = 0 THEN NULL ELSE ['double_top', 'flag', 'range'][k % 3 + 1] END AS type, ['range', 'flag', 'pennant'][k % 2 + 1 + (k % 5 = 0)::INTEGER] AS other,
+  k / 100.0 AS confidence, (k % 50) / 50.0 AS sure, event_id % 4 <> 0 AS is_active, (k * 7 % 100) / 100.0 AS volume, event_type AS base FROM (SELECT *, (props->>'$.k')::INTEGER AS k FROM events))"""
+
+
+def held_structures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structures as the event table has them: types, patterns and confidences by the number in ``props``."""
+    k, i = F.get_json_object("props", "$.k").cast("int"), F.col("event_id")
+    pick = lambda values, at: F.element_at(F.array(*[F.lit(v) for v in values]), at.cast("int") + 1)
+    other = pick(("range", "flag", "pennant"), k % 2 + (k % 5 == 0).cast("int"))
+    return table(spark, sf_dir, "events").select(
+        F.concat(F.lit("u"), (F.col("user_id") % 40).cast("string")).alias("symbol"), F.concat("event_type", pick(("", "_w30", "_w50"), i % 3)).alias("timeframe"), (i % 3).cast("int").alias("ord"),
+        F.when(k % 11 != 0, pick(("double_top", "flag", "range"), k % 3)).alias("type"), (k / 100).alias("confidence"), F.create_map(other, (k % 50) / 50).alias("patterns"), (i % 4 != 0).alias("is_active"), (k * 7 % 100 / 100).alias("volume_confirmation"),
+    )
+
+
+@query(
+    """SELECT symbol, base AS timeframe, is_primary, round(least(100.0, score * CASE WHEN w >= 3 THEN 1.08 WHEN w >= 2 THEN 1.04 ELSE 1.0 END), 1) AS score, w AS timeframes FROM (SELECT * FROM (SELECT *, coalesce(type = 'flag', false) AS is_primary, CASE WHEN type = 'flag' THEN 100.0 ELSE round(100 * CASE WHEN volume > 0.7 THEN least(1.0, c * (1 + (volume - 0.7) * 0.3)) WHEN volume < 0.3 THEN c * 0.85 ELSE c END, 1) END AS score
+    FROM (SELECT *, CASE WHEN other = 'flag' THEN sure ELSE confidence END AS c FROM hs WHERE type IS NOT NULL AND (type = 'flag' OR other = 'flag'))) WHERE is_active QUALIFY row_number() OVER (PARTITION BY symbol, base ORDER BY ord, timeframe, is_primary, score) = 1)
+    JOIN (SELECT symbol, count(DISTINCT base) AS w FROM hs WHERE type IS NOT NULL AND (type = 'flag' OR other = 'flag') GROUP BY 1) USING (symbol)""", _HELD)
+def type_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Series that show a type, with volume and timeframes in the score."""
+    return scans.type_hits(held_structures(spark, sf_dir), "flag")
+
+
+ORACLES["type_hits_of_timeframe"] = ORACLES["type_hits"].replace("WHERE is_active QUALIFY", "WHERE is_active AND base = 'click' QUALIFY")
+
+
+def type_hits_of_timeframe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for one base timeframe, its windows included (F8)."""
+    return scans.type_hits(held_structures(spark, sf_dir), "flag", timeframe="click")
+
+
+QUERIES["type_hits_of_timeframe"] = type_hits_of_timeframe
+
+
+@query(
+    """SELECT m.event_id AS match_id, m.symbol, m.timeframe, s.timeframe AS found_in, s.type, s.confidence FROM (SELECT event_id, 'u' || user_id % 50 AS symbol, event_type || CASE WHEN event_id % 5 = 0 THEN '_w70' ELSE '' END AS timeframe, event_type AS base FROM events WHERE value > 10) m
+    LEFT JOIN (SELECT * FROM hs WHERE type IS NOT NULL QUALIFY row_number() OVER (PARTITION BY symbol, base ORDER BY ord, timeframe, type, confidence) = 1) s ON s.symbol = m.symbol AND s.base = m.base""", _HELD)
+def standing_structures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The current structure behind each match: its own series, else the first of its windows."""
+    rows = table(spark, sf_dir, "events").where("value > 10")
+    found = rows.select(F.col("event_id").alias("match_id"), F.concat(F.lit("u"), (F.col("user_id") % 50).cast("string")).alias("symbol"), F.concat("event_type", F.when(F.col("event_id") % 5 == 0, "_w70").otherwise("")).alias("timeframe"))
+    return scans.standing_structures(found, held_structures(spark, sf_dir))
+
+
+@query("SELECT * FROM (SELECT count(DISTINCT 'u' || user_id % 60) AS total_symbols FROM events) CROSS JOIN (SELECT count(DISTINCT symbol) AS symbols_with_data, count(*) AS total_structures FROM hs WHERE type IS NOT NULL AND symbol IN (SELECT 'u' || user_id % 60 FROM events))", _HELD)
+def scan_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of the asked symbols have structures, and how many these are."""
+    asked = table(spark, sf_dir, "events").select(F.concat(F.lit("u"), (F.col("user_id") % 60).cast("string")).alias("symbol"))
+    return scans.scan_statistics(asked, held_structures(spark, sf_dir))
+
+
+@query("SELECT type AS name, count(*) AS n FROM hs WHERE symbol = 'u3' AND base = 'click' AND NOT contains(timeframe, '_w') GROUP BY GROUPING SETS ((type), ())", _HELD)
+def label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of a symbol and timeframe by type and in all."""
+    labels = held_structures(spark, sf_dir).withColumnRenamed("type", "pattern_type")
+    return scans.label_counts(scans.labels_of(labels, "u3", "click"))
+
+
+@query("SELECT event_id AS match_id, event_type AS timeframe, value AS score, coalesce(CASE WHEN k % 7 <> 0 THEN k / 100.0 END >= 0.5, true) AS is_relevant FROM (SELECT *, (props->>'$.k')::INTEGER AS k FROM events)")
+def relevant_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches with whether their score of relevance reaches the threshold; without a score they do."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("match_id"), F.col("event_type").alias("timeframe"), F.col("value").alias("score"), F.when(k % 7 != 0, k / 100).alias("ml_score"))
+    return scans.relevant(rows).drop("ml_score")
+
+
+@query(
+    """SELECT symbol, name, round(CASE WHEN va > 1e-12 AND vb > 1e-12 THEN cov / sqrt(va * vb) ELSE 0 END, 6) AS pearson FROM (SELECT symbol, name, avg(y * v) - avg(y) * avg(v) AS cov, avg(y * y) - avg(y) ** 2 AS va, avg(v * v) - avg(v) ** 2 AS vb FROM (SELECT symbol, idx, y FROM nm WHERE symbol IN (SELECT symbol FROM nm GROUP BY 1 HAVING count(*) = 100)) JOIN
+    (SELECT i AS idx, name, CASE name WHEN 'triangle_up' THEN 0.5 + sin(x * 8 * pi()) * (0.5 - x) * 0.5 WHEN 'triangle_down' THEN 0.5 + sin(x * 8 * pi()) * x * 0.5 WHEN 'trend_up' THEN x * 0.8 + 0.1 + sin(x * 6 * pi()) * 0.08 WHEN 'trend_down' THEN (1 - x) * 0.8 + 0.1 + sin(x * 6 * pi()) * 0.08
+    WHEN 'range' THEN sin(x * 8 * pi()) * 0.15 + 0.5 ELSE sin(x * 10 * pi()) * 0.3 * exp(-2 * x) + 0.5 END AS v FROM (SELECT i, i / 99 AS x FROM range(100) r(i)) CROSS JOIN (SELECT unnest(['triangle_up', 'triangle_down', 'trend_up', 'trend_down', 'range', 'compression']) AS name)) USING (idx) GROUP BY 1, 2)""", _BARS, _NORM)
+def preset_likeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How every series of 100 bars goes with each named line (S13, J1): the lines are a few arrays beside each row."""
+    norm, _ = lines(spark, sf_dir)
+    rows = norm.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("idx", "y"))).alias("b")).where("size(b) = 100").select("symbol", F.col("b.y").alias("y"))
+    named = F.array(*[F.struct(F.lit(name).alias("name"), shapes.named_line(name).alias("v")) for name in shapes.NAMED[:-1]])
+    rows = settled(rows.select("symbol", "y", F.explode(named).alias("p")))
+    return rounded(rows.select("symbol", "p.name", similarity.pearson(F.col("y"), F.col("p.v")).alias("pearson")))

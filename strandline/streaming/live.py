@@ -85,3 +85,28 @@ def changed_only(structures: DataFrame, least: float = 0.1) -> DataFrame:
 
     kinds = "symbol string, open_time long, type string, trend double"
     return structures.select("symbol", "open_time", "type", "trend").groupBy("symbol").applyInPandasWithState(step, kinds, "type string, trend double", "update", GroupStateTimeout.NoTimeout)
+
+
+def score_histograms(scores: DataFrame, keep: int = 1000, idle_ms: int = 3_600_000) -> DataFrame:
+    """After each batch, the histogram in ten bins of the last ``keep`` scores of each symbol it touched (ST11, G7): symbol, bin, n.
+
+    Scores: symbol, at (long), score. State is at most ``keep`` numbers a symbol; a timeout drops a symbol that was idle, and gives its bins as 0. Null
+    scores count in nothing. Within a batch scores are in order of ``at``.
+    """
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        kept: list[float] = []
+        if state.hasTimedOut:
+            state.remove()
+        else:
+            fresh = pd.concat(list(frames)).sort_values(["at", "score"], kind="stable")["score"].dropna().tolist()
+            kept = [*(state.get[0] if state.exists else []), *fresh][-keep:]
+            state.update((kept,))
+            state.setTimeoutDuration(idle_ms)
+        bins = [0] * 10
+        for s in kept:
+            bins[min(9, max(0, int(s * 10 // 1)))] += 1
+        yield pd.DataFrame({"symbol": key[0], "bin": list(range(10)), "n": bins})
+
+    rows = scores.select("symbol", "at", "score").groupBy("symbol")
+    return rows.applyInPandasWithState(step, "symbol string, bin int, n int", "scores array<double>", "update", GroupStateTimeout.ProcessingTimeTimeout)
