@@ -1082,3 +1082,48 @@ def preset_likeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = F.array(*[F.struct(F.lit(name).alias("name"), shapes.named_line(name).alias("v")) for name in shapes.NAMED[:-1]])
     rows = settled(rows.select("symbol", "y", F.explode(named).alias("p")))
     return rounded(rows.select("symbol", "p.name", similarity.pearson(F.col("y"), F.col("p.v")).alias("pearson")))
+
+
+# --- the same detectors on walks, at the surveyed tolerances ---
+
+#: Each user group's running balance of its events, whole numbers, one bar an event: lines that wander, so that every shape occurs.
+_WALKS = """wk AS (SELECT 'u' || user_id % 30 AS symbol, ts AS open_time, sum(round(value * 100)::BIGINT % 200 - 100) OVER (PARTITION BY user_id % 30 ORDER BY ts, event_id)::DOUBLE AS close, row_number() OVER (PARTITION BY user_id % 30 ORDER BY ts DESC, event_id DESC) AS rn FROM events),
+s AS (SELECT symbol, open_time, close AS open, close AS high, close AS low, close, 1 AS volume, (row_number() OVER (PARTITION BY symbol ORDER BY rn DESC) - 1)::INTEGER AS idx FROM wk WHERE rn <= 100)"""
+
+
+def walks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = Window.partitionBy("symbol").orderBy("ts", "event_id")
+    rows = table(spark, sf_dir, "events").withColumn("symbol", F.concat(F.lit("u"), (F.col("user_id") % 30).cast("string")))
+    rows = rows.select("symbol", "ts", "event_id", F.sum(F.round(F.col("value") * 100).cast("long") % 200 - 100).over(order).cast("double").alias("close"))
+    back = Window.partitionBy("symbol").orderBy(F.col("ts").desc(), F.col("event_id").desc())
+    rows = rows.withColumn("rn", F.row_number().over(back)).where("rn <= 100")
+    return rows.select("symbol", F.col("ts").alias("open_time"), *[F.col("close").alias(c) for c in ("open", "high", "low", "close")], F.lit(1).cast("long").alias("volume"), (F.row_number().over(order) - 1).alias("idx"))
+
+
+def walk_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    norm = windows.normalised(walks(spark, sf_dir)).select("symbol", "idx", "y", "close")
+    return norm, windows.pivots(norm, 5, "y", "y")
+
+
+def _on_walks(name: str, run: Callable[[DataFrame, DataFrame], DataFrame], **tolerance: str) -> None:
+    """Registers the query ``name`` on walks; ``was`` and ``now``: the tolerance in its SQL."""
+    sql = ORACLES[name].replace(_BARS, _WALKS)
+    if tolerance:
+        sql = sql.replace(f"/ {tolerance['was']})", f"/ {tolerance['now']})").replace(f"< {tolerance['was']} ", f"< {tolerance['now']} ")
+    ORACLES[f"walk_{name}"] = sql
+    QUERIES[f"walk_{name}"] = lambda spark, sf_dir: rounded(run(*walk_lines(spark, sf_dir)))
+
+
+_on_walks("double_top", lambda n, p: patterns.double_extremes(n, p, True), was="0.1", now="0.03")
+_on_walks("double_bottom", lambda n, p: patterns.double_extremes(n, p, False), was="0.1", now="0.03")
+_on_walks("triple_top", lambda n, p: patterns.triple_extremes(n, p, True), was="0.1", now="0.035")
+_on_walks("triple_bottom", lambda n, p: patterns.triple_extremes(n, p, False), was="0.1", now="0.035")
+_on_walks("head_shoulders", lambda n, p: patterns.head_shoulders(p, True))
+_on_walks("inverse_head_shoulders", lambda n, p: patterns.head_shoulders(p, False))
+_on_walks("flag", lambda n, p: patterns.flags(n))
+_on_walks("impulse", lambda n, p: patterns.impulse(n))
+_on_walks("trend_states", lambda n, p: features.trends(n, p))
+_on_walks("rounding_bottom", lambda n, p: structures.rounding_bottom(n))
+_on_walks("pennant", lambda n, p: structures.pennant(n))
+_on_walks("squeeze", lambda n, p: structures.squeezes(p))
+_on_walks("important_pivots", lambda n, p: features.important_pivots(n, p))
