@@ -129,7 +129,7 @@ def shape_likeness(ref: str, own: str, lean: Text, kind: Text) -> Text:
     vol = T.least(r("volatility"), o("volatility")) / (T.greatest(r("volatility"), o("volatility")) + 1e-10)
     common = T.array_max(T.transform(_shared(r("patterns"), o("patterns")), lambda k: T.least(T.element_at(r("patterns"), k), T.element_at(o("patterns"), k))))
     kinds = T.when(r("type") == kind, 1.0).when(same_category(r("type"), kind), 0.60).when(opposites(r("type"), kind), 0.15).otherwise(0.35)
-    kinds = T.least(T.lit(1.0), kinds + T.coalesce(T.least(T.lit(0.30), 0.4 * common), T.lit(0.0)))
+    kinds = T.least(T.lit(1.0), kinds + T.when(common.isNotNull(), T.least(T.lit(0.30), 0.4 * common)).otherwise(0.0))
     return 0.20 * near(r("trend"), lean) + 0.10 * vol + 0.20 * near(r("compression"), o("compression")) + 0.50 * kinds
 
 
