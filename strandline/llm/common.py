@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 _own_dirs: dict[str, str] = {}
+#: Names of bucketed tables by their folder's name.
+_tables: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,6 +53,7 @@ def bucketed(df: DataFrame, name: str, column: str) -> DataFrame:
     spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
     table = f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
     df.write.format("parquet").option("compression", "zstd").bucketBy(shuffle_partitions(spark), column).option("path", path).saveAsTable(table)
+    _tables[path.rsplit("/", 1)[1]] = table
     return spark.table(table)
 
 
@@ -150,3 +153,5 @@ def release(*tables: DataFrame) -> None:
             at = session._jvm.org.apache.hadoop.fs.Path(folder)
             if at.toUri().getPath().startswith(home.rstrip("/") + "/"):
                 at.getFileSystem(session._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+                if name := _tables.pop(at.getName(), None):
+                    session.sql(f"DROP TABLE IF EXISTS {name}")
