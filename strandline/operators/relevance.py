@@ -86,7 +86,7 @@ def trained(rows: DataFrame, settle: Callable[[DataFrame], DataFrame], *keys: st
     """A model of all rows and what it was worth on a quarter that a first model had not seen (ML3, ML6): n, positive, trained, accuracy, n_feedback."""
     split = stratified(rows, *keys, settle=settle)
     split = settle(split)
-    n, positive = split.agg(F.count("*"), F.count_if("label = 1")).first()
+    n, positive = split.agg(F.count("*"), F.count_if(F.col("label") == 1)).first()
     facts: dict = {"n": n, "positive": positive, "n_feedback": n_feedback, "trained": False}
     whole = train(split, trees, features=DETECTION_FEATURES)
     if whole is None:
@@ -159,3 +159,11 @@ def hard_filter(scored: DataFrame, n_feedback: object) -> DataFrame:
     except (TypeError, ValueError):
         active = False
     return scored.where(F.col("ml_score") >= LEAST_SCORE) if active else scored
+
+
+def retrained(found: DataFrame, truth: DataFrame, feedback: DataFrame | None, save: Callable[[PipelineModel, dict], int], settle: Callable[[DataFrame], DataFrame], key: str = "symbol", trees: int = TREES) -> dict:
+    """Trains anew on detections, their truth and the feedback (ML6) and saves the model if there is one: the facts of ``trained`` with ``version`` (None if nothing was saved)."""
+    rows = settle(training_set(found, truth, key, feedback))
+    n_feedback = 0 if feedback is None else feedback.na.drop(subset=DETECTION_FEATURES).count()
+    model, facts = trained(rows, settle, key, trees=trees, n_feedback=n_feedback)
+    return facts | {"version": None if model is None else save(model, facts)}

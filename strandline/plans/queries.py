@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strandline.functions import shapes
 from strandline.functions import texts
 from strandline.operators import detectors, features, folds, level_driver, levels, packed, patterns, relevance, replay, scans, scoring, similarity, store, structures, validation, windows
-from strandline.sources import klines
+from strandline.sources import datasets, klines
 from strandline.sources.tables import Models, Store
 from strandline.sources.series import event_bars, latest, settled, shared_folder, ship_days, table
 from strandline.streaming import live
@@ -1127,3 +1127,14 @@ _on_walks("rounding_bottom", lambda n, p: structures.rounding_bottom(n))
 _on_walks("pennant", lambda n, p: structures.pennant(n))
 _on_walks("squeeze", lambda n, p: structures.squeezes(p))
 _on_walks("important_pivots", lambda n, p: features.important_pivots(n, p))
+
+
+@query("SELECT symbol, timeframe AS label, place AS idx, epoch_ms(open_time) AS open_time, high, low, close, volume::DOUBLE AS volume FROM rb", _FRAMES)
+def json_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Series written as JSON objects with their bars and read back."""
+    import uuid
+
+    at = f"{shared_folder(spark)}/dataset-{uuid.uuid4().hex}"
+    rows = framed_history(spark, sf_dir).withColumn("open_time", F.unix_millis(F.col("open_time").cast("timestamp"))).withColumnRenamed("timeframe", "label")
+    datasets.write_dataset(rows, at)
+    return datasets.read_dataset(spark, at).drop("open")
