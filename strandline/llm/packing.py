@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import WORD, materialise, whole_text, word_count
+from strandline.llm.common import WORD, materialise, small, whole_text, word_count
 
 LENGTHS = (256, 512, 1024, 2048, 4096)
 #: Cost of a sequence besides its length, and the length at which attention costs as much as the rest.
@@ -129,7 +129,7 @@ def pieces(docs: DataFrame, key: str, text: str, longest: int) -> DataFrame:
         rows = rows.select("k", "own", "t", F.lit(0).cast("long").alias("copy"))
     else:
         same = F.col("k").eqNullSafe(F.col("_k")) & (F.col("own") == F.col("_own"))
-        marks = again.select(F.col("k").alias("_k"), F.col("own").alias("_own"))
+        marks = small(again.select(F.col("k").alias("_k"), F.col("own").alias("_own")), 24)
         single = rows.join(marks, same, "left_anti").select("k", "own", "t", F.lit(0).cast("long").alias("copy"))
         # one text for each kind of rows, counted out in runs: no task holds all copies of a row
         texts = rows.join(marks, same, "left_semi").groupBy("k", "own").agg(F.first("t").alias("t"), F.count("*").alias("n"))
