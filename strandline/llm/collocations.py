@@ -18,6 +18,7 @@ columns are not used. A task's memory is that of a block, a text and a range of
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -125,13 +126,25 @@ def _risen(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<i8").ravel())
 
 
-def _dealt(keys: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ranges that get some of the keys, the order of keys by range (rising in each), and where each range's begin."""
-    to = ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)) % np.uint64(ranges)
-    order = np.argsort(to, kind="stable")
-    to = to[order].astype(np.int64)
+def _multiplier(modulus: int) -> int:
+    """A number without a common divisor with the modulus, as near to .618 of it as products with numbers below it stay within 63 bits."""
+    a = max(1, min((2**63 - 1) // modulus, int(0.618 * modulus)))
+    while math.gcd(a, modulus) != 1:
+        a -= 1
+    return a
+
+
+def _dealt(keys: np.ndarray, ranges: int, modulus: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges that get some of the keys, the order of keys by range, where each range's begin, and the rising numbers that stand for the keys in that order.
+
+    A key times a fixed number, modulo ``modulus`` (above all keys), is a number of its own; ranges are even cuts of these, so a word with many followers is spread and steps within a range stay small.
+    """
+    mixed = keys * np.int64(_multiplier(modulus)) % np.int64(modulus)
+    order = np.argsort(mixed)
+    mixed = mixed[order]
+    to = np.minimum(ranges - 1, (mixed / modulus * ranges).astype(np.int64))
     heads = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])) if len(to) else np.zeros(0, np.int64)
-    return to[heads], order, np.append(heads, len(to))
+    return to[heads], order, np.append(heads, len(to)), mixed
 
 
 def _places(pos: np.ndarray) -> bytes:
@@ -184,7 +197,7 @@ def extend(ids: np.ndarray, last: np.ndarray, lens: np.ndarray, pos: np.ndarray,
     return keys[heads], np.diff(np.append(heads, len(keys))), pos
 
 
-def _count(level: DataFrame, base: int, ranges: int, least: int) -> DataFrame:
+def _count(level: DataFrame, base: int, ranges: int, modulus: int, least: int) -> DataFrame:
     """Frequent extensions by range: rows with ``block`` hold which of the keys it dealt are frequent (``keys``: their places, ``nums``: their numbers in the range), the row without has all and their counts."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,8 +208,8 @@ def _count(level: DataFrame, base: int, ranges: int, least: int) -> DataFrame:
                 if not len(keys):
                     continue
                 counts = np.add.reduceat(pos < row["own"], np.cumsum(lens) - lens, dtype=np.int32)
-                to, order, edges = _dealt(keys, ranges)
-                keys, counts = keys[order], counts[order]
+                to, order, edges, keys = _dealt(keys, ranges, modulus)
+                counts = counts[order]
                 cuts = list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
                 packed = [_rising(keys[a:b]) for a, b in cuts], [counts[a:b].astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes() for a, b in cuts]
                 yield pa.RecordBatch.from_pydict({"range": to, "block": np.full(len(to), row["block"]), "keys": pa.array(packed[0], pa.binary()), "counts": pa.array(packed[1], pa.binary())})
@@ -212,7 +225,8 @@ def _count(level: DataFrame, base: int, ranges: int, least: int) -> DataFrame:
         often = keys[heads][sums >= least]
         if not len(often):
             return pd.DataFrame({"range": [], "block": [], "keys": [], "nums": []})
-        out = [(None, often.tobytes(), sums[sums >= least].astype("<i8").tobytes())]
+        plain = np.array(often.astype(object) * pow(_multiplier(modulus), -1, modulus) % modulus, "<i8")
+        out = [(None, plain.tobytes(), sums[sums >= least].astype("<i8").tobytes())]
         for block, part in zip(frame["block"].tolist(), parts, strict=True):
             at = np.minimum(np.searchsorted(often, part), len(often) - 1)
             mine = often[at] == part
@@ -237,7 +251,7 @@ def _entries(found: DataFrame, base: int) -> DataFrame:
     return found.where("block is null").select("first", "keys", "nums").mapInArrow(unpack, "id long, parent long, word long, f long")
 
 
-def _next_level(level: DataFrame, found: DataFrame, base: int, ranges: int) -> DataFrame:
+def _next_level(level: DataFrame, found: DataFrame, base: int, ranges: int, modulus: int) -> DataFrame:
     """The lists of the frequent extensions, under their numbers."""
     own = found.where("block is not null").select("block", F.struct("range", "first", "keys", "nums").alias("part"))
     own = own.groupBy("block").agg(F.collect_list("part").alias("parts"))
@@ -247,7 +261,7 @@ def _next_level(level: DataFrame, found: DataFrame, base: int, ranges: int) -> D
             for i in range(batch.num_rows):
                 row = {c: batch[c][i].as_py() for c in batch.schema.names}
                 keys, lens, pos = extend(_ints(row["ids"], "<i8"), _ints(row["last"], "<i8"), _ints(row["lens"], "<i4"), _positions(row["pos"]), base)
-                to, order, edges = _dealt(keys, ranges)
+                to, order, edges, _ = _dealt(keys, ranges, modulus)
                 begins = dict(zip(to.tolist(), edges.tolist(), strict=False))
                 at = np.concatenate([order[begins[p["range"]] + _risen(p["keys"])] for p in row["parts"]])
                 ids = np.full(len(keys), -1, np.int64)
@@ -278,9 +292,10 @@ def frequent_phrases(docs: DataFrame, lang: str = "lang", text: str = "text", lo
     for k in range(2, longest + 1):
         occurrences = level.agg(F.sum(F.octet_length("pos") / 4)).first()[0] or 0
         ranges = max(shuffle_partitions(docs.sparkSession), int(occurrences) // RANGE + 1)
-        if base * max(base, phrases.count()) >= 1 << 62:
+        modulus = base * (max(base, phrases.count()) + 1)
+        if modulus >= 1 << 62:
             raise ValueError("phrase numbers times word numbers pass 62 bits; raise the least count")
-        found = materialise(_count(level, base, ranges, least), f"phrase-counts-{k}")
+        found = materialise(_count(level, base, ranges, modulus, least), f"phrase-counts-{k}")
         firsts = materialise(found.where("block is null").select("range", (F.octet_length("keys") / 8).cast("long").alias("_n")), f"phrase-ranges-{k}")
         if firsts.isEmpty():
             break
@@ -292,7 +307,7 @@ def frequent_phrases(docs: DataFrame, lang: str = "lang", text: str = "text", lo
         known = materialise(known.select("id", "lang", F.concat_ws(" ", "_lead", "_word").alias("phrase"), F.lit(k).alias("k"), "f"), f"phrases-{k}")
         phrases = phrases.unionByName(known)
         if k < longest:
-            after = bucketed(_next_level(level, found, base, ranges), f"phrase-level-{k}", "block")
+            after = bucketed(_next_level(level, found, base, ranges, modulus), f"phrase-level-{k}", "block")
             release(level)
             level = after
     return phrases.drop("id"), n
