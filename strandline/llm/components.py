@@ -49,53 +49,60 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         state = tuple(now)
 
 
-#: Members of a group of two bands that all others are checked against: the least by itself and by other orders.
-HEADS = 3
-#: Each shared band of a member is paired with so many of the next ones.
-REACH = 4
+#: Leaders of a band in the first round, and how many times as many each round after it has.
+LEADERS = 8
+GROWTH = 64
 
 
 def _alike(a: str, b: str, most_off: int) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= most_off
 
 
-def _in_two_bands(shared: DataFrame, links: DataFrame, most_off: int) -> DataFrame:
-    """Pairs ``h``, ``rep`` that ``links`` leave in different components: members of two bands at once with ``HEADS`` members of both.
-
-    Strangers share a band by chance, two hardly ever, so a group of two bands holds near members alone, however many strangers
-    the bands themselves hold. A member stands in as many groups as it has pairs of bands, which does not grow with the table.
-    """
-    roots = components(links, "h", "rep").select(F.col("node").alias("h"), "root")
-    placed = materialise(shared.join(roots, "h", "left").select("h", "band", "sketch", F.coalesce("root", "h").alias("root")), "band-members")
-    wide = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("band")
-    left = placed.join(small(materialise(wide, "open-bands"), 16), "band", "left_semi")
-    left = left.groupBy("h", "sketch", "root").agg(F.array_sort(F.collect_set("band")).alias("b")).where("size(b) > 1")
-    two = F.flatten(F.transform("b", lambda x, i: F.transform(F.slice("b", i + 2, F.lit(REACH)), lambda y: F.xxhash64(x, y))))
-    left = materialise(left.select("h", "sketch", "root", F.explode(two).alias("two")), "double-bands")
-    heads = F.array(F.min("h"), *[F.min_by("h", F.xxhash64(F.lit(i), "h")) for i in range(1, HEADS)])
-    tops = left.groupBy("two").agg(heads.alias("reps"), F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
-    tops = materialise(tops.select("two", F.explode(F.array_distinct("reps")).alias("rep")), "double-tops")
-    heads = left.select("two", F.col("h").alias("rep"), F.col("sketch").alias("_sketch"), F.col("root").alias("_root")).join(small(tops, 32), ["two", "rep"])
-    pairs = left.join(small(materialise(heads, "double-heads"), 48), "two").where((F.col("root") != F.col("_root")) & _alike("sketch", "_sketch", most_off))
-    return pairs.select(F.greatest("h", "rep").alias("h"), F.least("h", "rep").alias("rep")).distinct()
+def _merged(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """``rows`` with the roots that links between roots ``root`` and ``_root`` leave."""
+    moved = materialise(components(found, "root", "_root").withColumnRenamed("root", "_to").withColumnRenamed("node", "root"), "moved-roots")
+    return rows.join(small(moved, 32), "root", "left").withColumn("root", F.coalesce("_to", "root")).drop("_to")
 
 
 def banded_links(members: DataFrame, check: Callable[[DataFrame], DataFrame], most_off: int = 64) -> DataFrame:
-    """Links ``h``, ``rep`` that connect members ``h`` of a ``band`` (longs) that ``check`` links, directly or by others of their bands.
+    """Links ``h``, ``rep`` that connect all members ``h`` of a ``band`` (longs) that ``check`` links, directly or by others.
 
     ``sketch``: 64 bits of a member of which near ones have at most ``most_off`` that differ; other pairs are not checked.
 
-    Each member is checked against the band's least one, found by partial aggregation and a join that Spark may split. In bands whose
-    members are then in more than one component, members are checked against a few of each two bands they share (see
-    ``_in_two_bands``). No step makes all pairs of a band. ``check`` gets pairs ``h``, ``rep`` and returns those that are near.
+    Each member is checked against the band's least one, found by partial aggregation and a join that Spark may split. Where members
+    are then in more than one component, every other pair of the band is looked at, in rounds: its leaders, ``LEADERS`` by a hash, then ``GROWTH``
+    times as many, and so on to the last member, meet the members behind them that are in another component. Bands that have become
+    one component, and those whose members have all led, are done. So no link is lost, whatever a band holds, and members that
+    one leader connects are not paired with each other. ``check`` gets pairs ``h``, ``rep`` and returns those that are near.
     """
     tops = members.groupBy("band").agg(F.min("h").alias("rep"), F.max("h").alias("last")).where("rep != last").drop("last")
     tops = materialise(tops, "bands")
     shared = materialise(members.join(small(tops, 32), "band").select("h", "band", "rep", "sketch").distinct(), "bands-shared")
     heads = materialise(shared.where("h = rep").select("rep", F.col("sketch").alias("_sketch")).distinct(), "band-heads")
     pairs = shared.where("h != rep").join(small(heads, 32), "rep").where(_alike("sketch", "_sketch", most_off))
-    pairs = materialise(pairs.select("h", "rep").distinct(), "band-pairs")
-    links = check(pairs)
-    # a pair that was checked already is not checked again
-    rest = materialise(_in_two_bands(shared.drop("rep"), links, most_off).join(pairs, ["h", "rep"], "left_anti"), "band-crossing")
-    return links if rest.isEmpty() else links.unionByName(check(rest))
+    links = check(materialise(pairs.select("h", "rep").distinct(), "band-pairs"))
+
+    # the least member has met all others
+    roots = materialise(components(links, "h", "rep").select(F.col("node").alias("h"), "root"), "band-roots")
+    rows = shared.where("h != rep").join(small(roots, 32), "h", "left").select("h", "band", "sketch", F.coalesce("root", "h").alias("root"))
+    rows = materialise(rows, "band-members")
+    size, low, high = F.count("*"), 0, LEADERS
+    while True:
+        wide = rows.groupBy("band").agg(size.alias("n"), F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("band", "n")
+        wide = materialise(wide, "open-bands")
+        if wide.isEmpty():
+            return links
+        rows = rows.select("h", "band", "sketch", "root").join(small(wide, 32), "band")
+        rows = materialise(rows.withColumn("turn", (F.xxhash64(F.lit(1), "h") / 2.0**64 + 0.5) * F.col("n")), "open-members")
+        lead = rows.where((F.col("turn") >= low) & (F.col("turn") < high))
+        lead = lead.select("band", F.col("h").alias("rep"), F.col("sketch").alias("_sketch"), F.col("root").alias("_root"), F.col("turn").alias("_turn"))
+        behind = (F.struct("_turn", "rep") < F.struct("turn", "h")) & (F.col("root") != F.col("_root")) & _alike("sketch", "_sketch", most_off)
+        pairs = rows.join(small(materialise(lead, "band-leaders"), 56), "band").where(behind)
+        pairs = pairs.select(*[f("h", "rep").alias(n) for f, n in ((F.greatest, "h"), (F.least, "rep"))], "root", "_root").dropDuplicates(["h", "rep"])
+        pairs = materialise(pairs, "band-crossing")
+        rows = rows.where(F.col("n") >= high)
+        if not pairs.isEmpty():
+            found = materialise(check(pairs.select("h", "rep")), "crossing-links")
+            links = links.unionByName(found)
+            rows = _merged(rows, pairs.join(found, ["h", "rep"], "left_semi"))
+        size, low, high = F.max("n"), high, high * GROWTH

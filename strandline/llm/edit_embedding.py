@@ -11,8 +11,8 @@ reaches. A sample is a 4-bit hash of the character there, ``-`` past the end. Th
 fingerprints is the share of output places that agree, each range weighed by its size.
 
 ``near_duplicates`` draws bands of samples, checks texts that share a band by the likeness of their whole fingerprints, and gives
-classes: each against the least one of the band, then, in bands left with more than one class, against a few of each two bands
-it shares. ``embed_and_link`` gives both results for one table.
+classes: each against the least one of the band, then, in bands left with more than one class, against all of the other classes
+there (see ``banded_links``). ``embed_and_link`` gives both results for one table.
 """
 
 from __future__ import annotations

@@ -7,7 +7,7 @@ import numpy as np
 import xxhash
 
 from strandline.llm import edit_embedding, line_dedup, simhash
-from strandline.llm.components import components
+from strandline.llm.components import banded_links, components
 
 
 def test_neighbours_and_edits(docs, no_docs):
@@ -293,3 +293,23 @@ def test_recall_of_edit_embedding(spark, corpus):
     assert all(want[i] == want[c] for i, c in got.items())  # nothing is linked that is not near
     linked = [i for i in want if want[i] != i]
     assert len(linked) > 60 and sum(got[i] == want[i] for i in linked) >= 0.95 * len(linked)
+
+
+def test_no_link_of_a_band_is_lost(spark):
+    """Members that share one band alone, near ones as pairs, chains and stars away from the least one, against all pairs of each band."""
+    draw = random.Random(17)
+    near = {(i + 150, i) for i in range(1, 120)} | {(400 + i, 399 + i) for i in range(1, 90)} | {(600, i) for i in range(500, 540)}
+    sizes = {1: range(300), 2: range(390, 500), 3: range(495, 610), 4: (700, 701, 702), 5: (800,)}
+    rows = [(h, band, 5 if h % 2 else 7) for band, hs in sizes.items() for h in hs] + [(10, 1, 7), (11, 1, 5)]
+    draw.shuffle(rows)
+    truth = spark.createDataFrame(sorted(near | {(702, 701)}), "h long, rep long")
+
+    def check(pairs):
+        return pairs.join(truth, ["h", "rep"], "left_semi")
+
+    got = {r["node"]: r["root"] for r in components(banded_links(spark.createDataFrame(rows, "h long, band long, sketch long"), check, 1), "h", "rep").collect()}
+    want = {r["node"]: r["root"] for r in components(truth, "h", "rep").collect()}
+    assert got == want and len(want) > 350
+    # sketches too far apart are not checked at all
+    far = {r["node"] for r in components(banded_links(spark.createDataFrame([(1, 1, 0), (2, 1, 15), (3, 1, 14)], "h long, band long, sketch long"), lambda p: p, 1), "h", "rep").collect()}
+    assert far == {2, 3}
