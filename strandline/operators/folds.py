@@ -48,6 +48,12 @@ def breakouts(beyond: Text, least: Text, gap: Text) -> Text:
     return T.aggregate(T.sequence(T.lit(0), T.size(beyond) - 1), start, step, lambda s: s.n)
 
 
+def _once(rows: DataFrame, columns: dict[str, Text]) -> DataFrame:
+    """Adds columns that are worked out once a row. A filter on a plain one would take its expression, and those of the columns it names, into each step of its folds."""
+    rows = rows.withColumn("_once", F.explode(F.array(F.struct(*[column(c).alias(n) for n, c in columns.items()]))))
+    return rows.select("*", *[f"_once.{n}" for n in columns]).drop("_once")
+
+
 def trend_lines(bars: DataFrame, least: int = 3) -> DataFrame:
     """Lines through each two pivots of a kind of a series with touches, breakouts and a quality from 0 to 100.
 
@@ -69,8 +75,8 @@ def trend_lines(bars: DataFrame, least: int = 3) -> DataFrame:
     rows = added(rows, {"intercept": T.get("prices", T.col("left")) - T.col("slope") * T.col("left")})
     from_line = lambda a: T.transform(a, lambda v, x: v - T.col("intercept") - T.col("slope") * x)
     sign = T.when(T.col("is_high"), 1.0).otherwise(-1.0)
-    rows = added(rows, {"off": T.transform(from_line("prices"), lambda v: T.abs(v)), "beyond": T.transform(from_line("closes"), lambda v: v * sign)})
-    rows = added(rows, {"at": touches(T.col("off"), 0.0015 * T.col("whole"), T.col("k")), "breakouts": breakouts(T.col("beyond"), 0.003 * T.col("whole"), T.col("k"))})
+    rows = _once(rows, {"off": T.transform(from_line("prices"), lambda v: T.abs(v)), "beyond": T.transform(from_line("closes"), lambda v: v * sign)})
+    rows = _once(rows, {"at": touches(T.col("off"), 0.0015 * T.col("whole"), T.col("k")), "breakouts": breakouts(T.col("beyond"), 0.003 * T.col("whole"), T.col("k"))})
     rows = rows.withColumn("touches", F.size("at")).where((F.col("touches") >= least) & (F.col("breakouts") < 3))
     gaps = steps(T.transform("at", lambda v: v.cast("double")))
     rows = added(rows, {"even": let(gaps, lambda g: 1 / (1 + deviation(g) / mean(g))), "away": mean(T.transform("at", lambda x: T.get("off", x))) / T.col("whole") * 100})

@@ -121,3 +121,12 @@ def test_partitions_do_not_matter(spark):
     b = windows.pivots(df.repartition(7)).collect()
     assert sorted(a) == sorted(b)
     assert folds.trend_levels(df.withColumn("open_time", F.col("idx"))).columns == ["symbol", "is_high", "slope", "intercept", "touches", "breakouts", "quality"]
+
+
+def test_trend_lines_work_out_each_line_once(spark, sf_dir, capsys):
+    """A fold in a filter holds the expressions of the arrays it reads, which are then made anew at each of its steps."""
+    from strandline.sources.series import event_bars, latest
+
+    folds.trend_lines(latest(event_bars(spark, sf_dir))).explain()
+    filters = [x for x in capsys.readouterr().out.splitlines() if "Filter " in x]
+    assert filters and not [x for x in filters if "aggregate(" in x]
