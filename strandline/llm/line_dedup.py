@@ -14,9 +14,8 @@ any length are found by two hashes (96 bits). Near lines are looked for among li
 * sketch: one bit of each minimum. Lines at 0.8 differ in a tenth of them, strangers in almost half, so most
   strangers that share a band by chance are told from two longs, without their texts;
 * links: each line of a band is first checked against the band's least line, found by partial aggregation and a
-  join that Spark may split. Lines of bands that are then in more than one component are checked against a few lines of each
-  two bands they share, where strangers are rare. No step makes all pairs of a group, so in families whose lines lie
-  just under and just over the bound, a link may be lost: nine in ten are found in the test made for that;
+  join that Spark may split. In bands that then hold more than one component, lines of different ones are checked against each other in
+  rounds, until all have been (see ``banded_links``). A family whose lines lie just under the bound takes all its pairs;
 * check: exact Jaccard similarity of the whole sets of ``SHINGLE``-character runs, ``LEAST`` or more;
 * union-find: connected components over checked links; one line per component stays, the first by
   (key, place in the text).

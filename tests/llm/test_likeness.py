@@ -313,3 +313,36 @@ def test_no_link_of_a_band_is_lost(spark):
     # sketches too far apart are not checked at all
     far = {r["node"] for r in components(banded_links(spark.createDataFrame([(1, 1, 0), (2, 1, 15), (3, 1, 14)], "h long, band long, sketch long"), lambda p: p, 1), "h", "rep").collect()}
     assert far == {2, 3}
+
+
+def _family(draw, passage=180, own=60, pairs=150):
+    """Lines around a common passage: a near line stands beside each, the others lie just under the bound."""
+    shared, rows = _random_line(draw, passage), []
+    for i in range(pairs):
+        line = shared + _random_line(draw, own)
+        rows += [(2 * i, line), (2 * i + 1, _near_line(draw, line, 0.8, 0.84))]
+    return rows
+
+
+def _dropped_by_all_pairs(rows):
+    """Keys of lines that are not the first of their class, over all pairs with a common band, near sketches and a similarity of the bound or more."""
+    which, bands, sketch = line_dedup.signatures([x for _, x in rows])
+    marks = [[(set(b), s) for w, b, s in zip(which.tolist(), bands.tolist(), sketch.view(np.uint64).tolist(), strict=True) if w == i] for i in range(len(rows))]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if any(a & b and (x ^ y).bit_count() <= line_dedup.MOST_OFF for a, x in marks[i] for b, y in marks[j]) and _jaccard(rows[i][1], rows[j][1]) >= line_dedup.LEAST:
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    return {rows[i][0] for i in range(len(rows)) if find(i) != i}
+
+
+def test_every_link_of_a_family_of_lines_is_found(spark):
+    rows = _family(random.Random(18))
+    want = _dropped_by_all_pairs(rows)
+    assert {r["id"] for r in line_dedup.doubles(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want and len(want) > 100
