@@ -346,3 +346,13 @@ def test_every_link_of_a_family_of_lines_is_found(spark):
     rows = _family(random.Random(18))
     want = _dropped_by_all_pairs(rows)
     assert {r["id"] for r in line_dedup.doubles(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want and len(want) > 100
+
+
+def test_the_pipeline_drops_every_near_line_of_a_family(spark):
+    import corpus_pipeline
+
+    rows = _family(random.Random(19))
+    want = _dropped_by_all_pairs(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' lang", "'s' source", "length(text) + 0L n_chars")
+    left = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_lines(spark, docs, "").collect()}
+    assert left == {k: "" if k in want else t for k, t in rows} and len(want) > 100
