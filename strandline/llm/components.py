@@ -54,20 +54,24 @@ LEADERS = 8
 GROWTH = 64
 
 
-def _alike(a: str, b: str, most_off: int) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= most_off
-
-
 def _merged(rows: DataFrame, found: DataFrame) -> DataFrame:
     """``rows`` with the roots that links between roots ``root`` and ``_root`` leave."""
     moved = materialise(components(found, "root", "_root").withColumnRenamed("root", "_to").withColumnRenamed("node", "root"), "moved-roots")
     return rows.join(small(moved, 32), "root", "left").withColumn("root", F.coalesce("_to", "root")).drop("_to")
 
 
-def banded_links(members: DataFrame, check: Callable[[DataFrame], DataFrame], most_off: int = 64) -> DataFrame:
+def in_shared_bands(members: DataFrame) -> DataFrame:
+    """Members ``h`` of a ``band`` (longs) that more than one has, once each, with the band's least member ``rep`` and further columns."""
+    tops = members.groupBy("band").agg(F.min("h").alias("rep"), F.max("h").alias("last")).where("rep != last").drop("last")
+    return materialise(members.join(small(materialise(tops, "bands"), 32), "band").distinct(), "bands-shared")
+
+
+def banded_links(members: DataFrame, check: Callable[[DataFrame], DataFrame], most_off: int = 64, marks: DataFrame | None = None, near: Callable[[str, str], Column] | None = None) -> DataFrame:
     """Links ``h``, ``rep`` that connect all members ``h`` of a ``band`` (longs) that ``check`` links, directly or by others.
 
-    ``sketch``: 64 bits of a member of which near ones have at most ``most_off`` that differ; other pairs are not checked.
+    ``members`` may come from ``in_shared_bands``. ``marks``: ``h`` and ``mark`` of each member; ``near`` is true for the names of two marks unless ``check``
+    cannot link them, so it spares pairs and loses none. Without marks members have a ``sketch``: 64 bits of which near ones have at most ``most_off`` that differ;
+    other pairs are not checked.
 
     Each member is checked against the band's least one, found by partial aggregation and a join that Spark may split. Where members
     are then in more than one component, every other pair of the band is looked at, in rounds: its leaders, ``LEADERS`` by a hash, then ``GROWTH``
@@ -75,16 +79,18 @@ def banded_links(members: DataFrame, check: Callable[[DataFrame], DataFrame], mo
     one component, and those whose members have all led, are done. So no link is lost, whatever a band holds, and members that
     one leader connects are not paired with each other. ``check`` gets pairs ``h``, ``rep`` and returns those that are near.
     """
-    tops = members.groupBy("band").agg(F.min("h").alias("rep"), F.max("h").alias("last")).where("rep != last").drop("last")
-    tops = materialise(tops, "bands")
-    shared = materialise(members.join(small(tops, 32), "band").select("h", "band", "rep", "sketch").distinct(), "bands-shared")
-    heads = materialise(shared.where("h = rep").select("rep", F.col("sketch").alias("_sketch")).distinct(), "band-heads")
-    pairs = shared.where("h != rep").join(small(heads, 32), "rep").where(_alike("sketch", "_sketch", most_off))
+    shared = members if "rep" in members.columns else in_shared_bands(members)
+    pairs = shared.where("h != rep")
+    if marks is None:
+        near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= most_off
+        heads = materialise(shared.where("h = rep").select("rep", F.col("sketch").alias("_mark")).distinct(), "band-heads")
+        pairs = pairs.join(small(heads, 32), "rep").where(near("sketch", "_mark"))
     links = check(materialise(pairs.select("h", "rep").distinct(), "band-pairs"))
 
     # the least member has met all others
     roots = materialise(components(links, "h", "rep").select(F.col("node").alias("h"), "root"), "band-roots")
-    rows = shared.where("h != rep").join(small(roots, 32), "h", "left").select("h", "band", "sketch", F.coalesce("root", "h").alias("root"))
+    own = ["h", "band", *(["sketch"] if marks is None else [])]
+    rows = shared.where("h != rep").join(small(roots, 32), "h", "left").select(*own, F.coalesce("root", "h").alias("root"))
     rows = materialise(rows, "band-members")
     size, low, high = F.count("*"), 0, LEADERS
     while True:
@@ -92,12 +98,13 @@ def banded_links(members: DataFrame, check: Callable[[DataFrame], DataFrame], mo
         wide = materialise(wide, "open-bands")
         if wide.isEmpty():
             return links
-        rows = rows.select("h", "band", "sketch", "root").join(small(wide, 32), "band")
+        rows = rows.select(*own, "root").join(small(wide, 32), "band")
         rows = materialise(rows.withColumn("turn", (F.xxhash64(F.lit(1), "h") / 2.0**64 + 0.5) * F.col("n")), "open-members")
-        lead = rows.where((F.col("turn") >= low) & (F.col("turn") < high))
-        lead = lead.select("band", F.col("h").alias("rep"), F.col("sketch").alias("_sketch"), F.col("root").alias("_root"), F.col("turn").alias("_turn"))
-        behind = (F.struct("_turn", "rep") < F.struct("turn", "h")) & (F.col("root") != F.col("_root")) & _alike("sketch", "_sketch", most_off)
-        pairs = rows.join(small(materialise(lead, "band-leaders"), 56), "band").where(behind)
+        marked = rows.withColumnRenamed("sketch", "mark") if marks is None else rows.join(small(marks, 160), "h")
+        lead = marked.where((F.col("turn") >= low) & (F.col("turn") < high))
+        lead = lead.select("band", F.col("h").alias("rep"), F.col("mark").alias("_mark"), F.col("root").alias("_root"), F.col("turn").alias("_turn"))
+        behind = (F.struct("_turn", "rep") < F.struct("turn", "h")) & (F.col("root") != F.col("_root")) & near("mark", "_mark")
+        pairs = marked.join(small(materialise(lead, "band-leaders"), 56 if marks is None else 200), "band").where(behind)
         pairs = pairs.select(*[f("h", "rep").alias(n) for f, n in ((F.greatest, "h"), (F.least, "rep"))], "root", "_root").dropDuplicates(["h", "rep"])
         pairs = materialise(pairs, "band-crossing")
         rows = rows.where(F.col("n") >= high)

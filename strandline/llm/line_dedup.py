@@ -11,8 +11,9 @@ any length are found by two hashes (96 bits). Near lines are looked for among li
 * banding: a band is ``ROWS`` of these minima. At a similarity of 0.8 a pair shares a band in
   1 - (1 - 0.8**5)**12 = 99 % of cases. Lines of one language share some 4 % of these runs, so bands of 3 would
   fill with strangers as the table grows;
-* sketch: one bit of each minimum. Lines at 0.8 differ in a tenth of them, strangers in almost half, so most
-  strangers that share a band by chance are told from two longs, without their texts;
+* parities: of a line in a shared band, the number of its different runs, and for each of ``WORDS`` * 64 places by hash whether an odd number of them
+  falls there. Sets that differ in d runs differ in at most d places, so these tell most pairs under the bound without their texts and lose none
+  above it (``_may_be_near``);
 * links: each line of a band is first checked against the band's least line, found by partial aggregation and a
   join that Spark may split. In bands that then hold more than one component, lines of different ones are checked against each other in
   rounds, until all have been (see ``banded_links``). A family whose lines lie just under the bound takes all its pairs;
@@ -40,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.common import BROADCAST_BYTES, materialise, sheltered, small
-from strandline.llm.components import banded_links, components
+from strandline.llm.components import banded_links, components, in_shared_bands
 
 MIN_CHARS = 16
 SHINGLE = 5
@@ -50,8 +51,10 @@ ROWS = 5
 #: Numbers of runs between which a line has a signature of either kind.
 SHORT = (48, 64)
 SEED = 97
-#: Bits of a sketch (one for each minimum, 60) that may differ between lines at ``LEAST``: 6 are expected there, some 26 between strangers.
+#: Bits of a signature's sketch (one for each minimum, 60) that may differ between most lines at ``LEAST``: 6 are expected there, some 26 between strangers. Links do not depend on it.
 MOST_OFF = 20
+#: Longs of a line's parities.
+WORDS = 16
 #: Characters whose signatures are made at once.
 CHUNK = 1 << 18
 _LAST_KEY = 2**63 - 1
@@ -135,7 +138,7 @@ def signatures(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _bands(lines: DataFrame) -> DataFrame:
-    """``h``, ``sketch`` and ``bands`` of each line; a line that repeats within a batch comes once."""
+    """``h`` and ``bands`` of each line; a line that repeats within a batch comes once."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,11 +147,25 @@ def _bands(lines: DataFrame) -> DataFrame:
             cuts = np.cumsum([len(t) for t in texts]) // CHUNK
             for part in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(cuts)) + 1):
                 if len(part):
-                    which, bands, sketch = signatures([texts[i] for i in part.tolist()])
+                    which, bands, _ = signatures([texts[i] for i in part.tolist()])
                     lists = pa.FixedSizeListArray.from_arrays(pa.array(bands.ravel()), BANDS).cast(pa.list_(pa.int64()))
-                    yield pa.RecordBatch.from_arrays([pa.array(h[part][which]), pa.array(sketch), lists], names=["h", "sketch", "bands"])
+                    yield pa.RecordBatch.from_arrays([pa.array(h[part][which]), lists], names=["h", "bands"])
 
-    return lines.select("h", "line").mapInArrow(make, "h long, sketch long, bands array<long>")
+    return lines.select("h", "line").mapInArrow(make, "h long, bands array<long>")
+
+
+def parities(line: str) -> list[int]:
+    """The number of a line's different runs, then ``WORDS`` longs: for each place whether an odd number of these runs falls there."""
+    x = np.unique(runs([line])[0])
+    odd = np.bincount((x >> np.uint64(20)).astype(np.int64) % (64 * WORDS), minlength=64 * WORDS) & 1
+    return [len(x), *np.packbits(odd.astype(bool)).view(">i8").tolist()]
+
+
+def _may_be_near(a: str, b: str) -> Column:
+    """Whether lines with parities ``a`` and ``b`` can be alike: at ``LEAST`` their sets of n and m runs differ in at most (n + m) * (1 - LEAST) / (1 + LEAST)."""
+    n, m = F.get(a, F.lit(0)), F.get(b, F.lit(0))
+    off = sum((F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(2, WORDS + 1)), F.bit_count(F.get(a, F.lit(1)).bitwiseXOR(F.get(b, F.lit(1)))))
+    return F.greatest(off.cast("long"), F.abs(n - m)) <= (n + m) * ((1 - LEAST) / (1 + LEAST)) + 1e-6
 
 
 def _runs_of(line: str) -> set[str]:
@@ -157,7 +174,10 @@ def _runs_of(line: str) -> set[str]:
 
 def jaccard(a: str, b: str) -> float:
     """Likeness of the sets of ``SHINGLE``-character runs of two lines of at least that length."""
-    a, b = _runs_of(a), _runs_of(b)
+    return _overlap(_runs_of(a), _runs_of(b))
+
+
+def _overlap(a: set[str], b: set[str]) -> float:
     common = len(a & b)
     return common / (len(a) + len(b) - common)
 
@@ -167,17 +187,28 @@ def _checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     @F.pandas_udf("double")
     def likeness(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([jaccard(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
-
-    both = pairs.join(texts, "h").withColumnRenamed("line", "line_a")
-    both = both.join(texts.select(F.col("h").alias("rep"), F.col("line").alias("line_b")), "rep")
+        out, last, held = [], None, set()
+        for x, y in zip(a, b, strict=True):
+            if y != last:  # rows of one line mostly stand together
+                last, held = y, _runs_of(y)
+            out.append(_overlap(_runs_of(x), held))
+        return pd.Series(out, dtype=float)
+
+    both = pairs.join(texts.select("h", F.col("line").alias("line_a"), F.col("mark").alias("_a")), "h")
+    both = both.join(texts.select(F.col("h").alias("rep"), F.col("line").alias("line_b"), F.col("mark").alias("_b")), "rep").where(_may_be_near("_a", "_b"))
     return materialise(both.where(likeness("line_a", "line_b") >= LEAST).select("h", "rep"), "line-links")
 
 
-def _texts(docs: DataFrame, key: str, text: str, pairs: DataFrame) -> DataFrame:
-    wanted = materialise(pairs.select(F.explode(F.array("h", "rep")).alias("h")).distinct(), "line-wanted")
+def _texts(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
+    """``h``, ``line`` and ``mark`` (its parities) of the lines with a hash in ``wanted``."""
+
+    @F.pandas_udf("array<long>")
+    def mark(lines: pd.Series) -> pd.Series:
+        return pd.Series([parities(x) for x in lines], dtype=object)
+
     texts = _long(_lines(docs, key, text)).join(small(wanted, 24), "h", "left_semi")
-    return materialise(texts.groupBy("h").agg(F.min("line").alias("line")), "line-texts")
+    texts = texts.groupBy("h").agg(F.min("line").alias("line"))
+    return materialise(texts.select("h", "line", mark("line").alias("mark")), "line-texts", "zstd")
 
 
 def doubles(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -186,8 +217,9 @@ def doubles(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     distinct = materialise(marked.groupBy("h", "g").agg(F.min(_loc()).alias("loc"), F.count("*").alias("n")), "lines")
 
     signed = materialise(_bands(_long(_lines(docs, key, text))), "line-signatures")
-    members = signed.select("h", "sketch", F.explode("bands").alias("band"))
-    links = banded_links(members, lambda pairs: _checked(pairs, _texts(docs, key, text, pairs)), MOST_OFF)
+    shared = in_shared_bands(signed.select("h", F.explode("bands").alias("band")))
+    texts = _texts(docs, key, text, materialise(shared.select("h").distinct(), "line-wanted"))
+    links = banded_links(shared, lambda pairs: _checked(pairs, texts), marks=texts.select("h", "mark"), near=_may_be_near)
     reached = components(links, "h", "rep").withColumnRenamed("node", "h")
 
     # the first place of each class of lines; lines that stand alone have no need of one

@@ -356,3 +356,19 @@ def test_the_pipeline_drops_every_near_line_of_a_family(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' lang", "'s' source", "length(text) + 0L n_chars")
     left = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_lines(spark, docs, "").collect()}
     assert left == {k: "" if k in want else t for k, t in rows} and len(want) > 100
+
+
+def test_lines_just_under_the_bound_are_told_without_their_texts(spark, monkeypatch):
+    """A family whose pairs almost all lie under the bound: few pairs are left to the check, and every link is found."""
+    draw = random.Random(20)
+    rows = _family(draw, 200, 90, 120)
+    compared, checked = [], line_dedup._checked
+
+    def count(pairs, texts):
+        compared.append(pairs.count())
+        return checked(pairs, texts)
+
+    monkeypatch.setattr(line_dedup, "_checked", count)
+    got = {r["id"] for r in line_dedup.doubles(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == _dropped_by_all_pairs(rows) and len(got) > 90
+    assert sum(compared[1:]) < 5 * len(rows)  # after the least line of each band
