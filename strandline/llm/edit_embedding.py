@@ -12,7 +12,8 @@ fingerprints is the share of output places that agree, each range weighed by its
 
 ``near_duplicates`` draws bands of samples, checks texts that share a band by the likeness of their whole fingerprints, and gives
 classes: each against the least one of the band, then, in bands left with more than one class, against all of the other classes
-there (see ``banded_links``). ``embed_and_link`` gives both results for one table.
+there (see ``banded_links``). Bits of the last ranges, which weigh most, tell most pairs under the bound without their fingerprints and lose none above it
+(``_may_be_near``). ``embed_and_link`` gives both results for one table and walks through each text once.
 """
 
 from __future__ import annotations
@@ -21,11 +22,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.llm.common import input_bytes, materialise, ordered_buckets, shuffle_partitions, small, whole_text
-from strandline.llm.components import banded_links, components
+from strandline.llm.components import banded_links, components, in_shared_bands
 
 PERIOD = 1024
 SAMPLES = 64
@@ -35,8 +37,9 @@ SEED = 1729
 #: Bands of sampled places in each of a fingerprint's last two full ranges, and places a band.
 BANDS = 8
 TAPS = 6
-#: Bits of a range's sketch (one a sample) that may differ between near texts: about 8 do at a likeness of 0.8, some 30 between strangers.
-MOST_OFF = 18
+#: Last ranges of which a mark holds the samples, and longs a range (each one bit of every sample's digit).
+MARKED = 5
+PLANES = 3
 
 
 def _walk_tables() -> list[list[int]]:
@@ -61,7 +64,7 @@ _TABLES = _walk_tables()
 _PLACES = _places()
 _DIGITS = np.frombuffer(b"0123456789abcdef", np.uint8)
 _PAST = ord("-")
-_ODD = np.array([chr(i) in "0123456789abcdef" and int(chr(i), 16).bit_count() % 2 for i in range(256)], np.uint8)
+_VALUE = np.array([int(chr(i), 16) if chr(i) in "0123456789abcdef" else 0 for i in range(256)], np.uint8)
 
 
 class Walk:
@@ -114,7 +117,7 @@ def embed_neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     The next document is the one with the next lower key, after the last the first; the edited text
     has the last third of the code points replaced by as many from the start of the next one.
 
-    Texts move once: rows go to buckets that rise with the key, and the row with the largest key of
+    Texts move once, compressed: rows go to buckets that rise with the key, and the row with the largest key of
     a bucket is also sent to the next bucket (the largest of all to the first) to be looked at there.
     Null texts are empty, null keys come before all others, rows with one key are in the order of a hash of
     their texts; an empty table gives an empty result, and a single row is its own next one.
@@ -130,6 +133,12 @@ def embed_neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     following = F.coalesce(F.lead("bucket").over(order), F.first("bucket").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     marks = materialise(rows.groupBy("bucket").agg(F.max(F.struct("k", "own")).alias("top")).withColumn("following", following), "buckets")
     rows = rows.join(small(marks, 48), "bucket")
+
+    @F.pandas_udf("binary")
+    def packed(texts: pd.Series) -> pd.Series:
+        return pd.Series([zstandard.compress(t.encode("utf-8", "surrogatepass"), 1) for t in texts], dtype=object)
+
+    rows = rows.withColumn("t", packed("t"))
     own = F.struct(F.col("bucket").alias("to"), F.lit(False).alias("seen"))
     again = F.struct(F.col("following").alias("to"), F.lit(True).alias("seen"))
     at_top = F.col("k").eqNullSafe(F.col("top.k")) & (F.col("own") == F.col("top.own"))
@@ -145,6 +154,7 @@ def embed_neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text") -
         for frame in frames:
             out = []
             for seen, k, hashed, t in zip(frame["seen"], frame["k"], frame["own"], frame["t"], strict=True):
+                t = zstandard.decompress(t).decode("utf-8", "surrogatepass")
                 own = Walk(t)
                 mark = own.fingerprint()
                 if not seen:
@@ -172,16 +182,38 @@ def _band_columns(fp: Column, draw: np.random.Generator) -> Column:
     for back in (0, 1):
         span = F.greatest(F.lit(0), full - back)
         part = F.substring(fp, span * SAMPLES + 1, F.lit(SAMPLES))
-        bands = [F.xxhash64(F.lit(i), span, *[F.substring(part, p + 1, 1) for p in ps]) for i, ps in enumerate(taps)]
-        out += [F.struct(b.alias("band"), F.get("sketches", F.lit(back)).alias("sketch")) for b in bands]
+        out += [F.xxhash64(F.lit(i), span, *[F.substring(part, p + 1, 1) for p in ps]) for i, ps in enumerate(taps)]
     return F.array_distinct(F.array(*out))
 
 
-def sketches(fp: str) -> list[int]:
-    """64 bits for each of the last two full ranges: whether a sample's digit has an odd number of ones."""
-    full = max(2, len(fp) // SAMPLES) - 2
-    ones = _ODD[np.frombuffer(fp.encode().ljust(SAMPLES, b"-"), np.uint8)]
-    return [int(np.packbits(ones[s * SAMPLES : (s + 1) * SAMPLES]).view(">i8")[0]) for s in (full, max(0, full - 1))]
+def mark(fp: str) -> list[int]:
+    """Ranges of a fingerprint, samples there in the last one, then ``PLANES`` longs for each of the last ``MARKED`` ranges, the last one first."""
+    ranges = len(fp) // SAMPLES
+    digits = _VALUE[np.frombuffer(fp.encode(), np.uint8)].reshape(ranges, SAMPLES)[::-1][:MARKED]
+    digits = np.concatenate([digits, np.zeros((MARKED - len(digits), SAMPLES), np.uint8)])
+    planes = np.packbits(np.stack([digits >> p & 1 for p in range(PLANES)], axis=1), axis=-1).view(">i8")
+    return [ranges, len(fp[-SAMPLES:].rstrip("-")), *planes.ravel().tolist()]
+
+
+def _may_be_near(a: str, b: str, least: float) -> Column:
+    """Whether fingerprints with marks ``a`` and ``b`` can have a likeness of ``least``.
+
+    Of two or more ranges the last weighs as much as all before it, so with k samples there the weights come to (k + SAMPLES) times its own. Samples whose bits differ differ. Where one
+    fingerprint has a range more than the other, all its k samples there differ; two more ranges are more than half of the weight.
+    """
+    at = lambda x, i: F.get(x, F.lit(i))
+    off = F.lit(0)
+    for r in range(MARKED):
+        bits = None
+        for p in range(2 + r * PLANES, 2 + (r + 1) * PLANES):
+            other = at(a, p).bitwiseXOR(at(b, p))
+            bits = other if bits is None else bits.bitwiseOR(other)
+        off += F.bit_count(bits) * 2 ** (MARKED - 1 - r)
+    n, m, k, j = at(a, 0), at(b, 0), at(a, 1), at(b, 1)
+    whole = lambda k: (k + F.when(F.greatest(n, m) > 1, SAMPLES).otherwise(0)) * (1 - least) + 1e-6
+    longer = F.when(n > m, k).otherwise(j)
+    more = F.when(F.least(n, m) == 0, F.lit(False)).otherwise((F.abs(n - m) == 1) & (longer <= whole(longer)))
+    return F.when(n == m, off <= whole(F.greatest(k, j)) * 2 ** (MARKED - 1)).otherwise(more if least > 0.5 else F.lit(True))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.8) -> DataFrame:
@@ -193,36 +225,52 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     member has a key; an empty table gives an empty result.
     """
 
-    @F.pandas_udf("fp string, sketches array<long>")
-    def mark(texts: pd.Series) -> pd.DataFrame:
-        fps = [fingerprint(t) for t in texts]
-        return pd.DataFrame({"fp": fps, "sketches": [sketches(f) for f in fps]})
+    @F.pandas_udf("string")
+    def walked(texts: pd.Series) -> pd.Series:
+        return pd.Series([fingerprint(t) for t in texts], dtype=object)
+
+    rows = docs.select(F.col(key).cast("long").alias("k"), F.xxhash64(whole_text(text)).alias("own"), walked(whole_text(text)).alias("fp"))
+    return _classes(materialise(rows, "edit-marks", "zstd"), least).withColumnRenamed("k", key)
+
+
+def _classes(marked: DataFrame, least: float) -> DataFrame:
+    """``k``, ``own`` and ``component_id`` of written rows ``k``, ``own`` and ``fp``."""
 
     @F.pandas_udf("double")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([likeness(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
 
-    rows = docs.select(F.col(key).cast("long").alias("k"), F.xxhash64(whole_text(text)).alias("own"), mark(whole_text(text)).alias("m"))
-    marked = materialise(rows.select("k", "own", "m.fp", "m.sketches"), "edit-marks", "zstd").withColumn("h", F.xxhash64("fp"))
-    members = marked.select("h", F.explode(_band_columns(F.col("fp"), np.random.default_rng(SEED + 2))).alias("b")).select("h", "b.band", "b.sketch")
+    @F.pandas_udf("array<long>")
+    def marks(fps: pd.Series) -> pd.Series:
+        return pd.Series([mark(f) for f in fps], dtype=object)
+
+    marked = marked.withColumn("h", F.xxhash64("fp"))
+    shared = in_shared_bands(marked.select("h", F.explode(_band_columns(F.col("fp"), np.random.default_rng(SEED + 2))).alias("band")))
+    wanted = materialise(shared.select("h").distinct(), "edit-wanted")
+    fps = marked.join(small(wanted, 24), "h", "left_semi").groupBy("h").agg(F.min("fp").alias("fp"))
+    fps = materialise(fps.select("h", "fp", marks("fp").alias("mark")), "edit-fingerprints", "zstd")
+
+    def near(a: str, b: str) -> Column:
+        return _may_be_near(a, b, least)
 
     def check(pairs: DataFrame) -> DataFrame:
-        wanted = materialise(pairs.select(F.explode(F.array("h", "rep")).alias("h")).distinct(), "edit-wanted")
-        fps = materialise(marked.join(small(wanted, 24), "h", "left_semi").groupBy("h").agg(F.min("fp").alias("fp")), "edit-fingerprints", "zstd")
-        both = pairs.join(fps, "h").withColumnRenamed("fp", "_a").join(fps.select(F.col("h").alias("rep"), F.col("fp").alias("_b")), "rep")
-        return materialise(both.where(alike("_a", "_b") >= least).select("h", "rep"), "edit-links")
+        both = pairs.join(fps.select("h", F.col("fp").alias("fp_a"), F.col("mark").alias("_a")), "h")
+        both = both.join(fps.select(F.col("h").alias("rep"), F.col("fp").alias("fp_b"), F.col("mark").alias("_b")), "rep").where(near("_a", "_b"))
+        return materialise(both.where(alike("fp_a", "fp_b") >= least).select("h", "rep"), "edit-links")
 
-    reached = materialise(components(banded_links(members, check, MOST_OFF), "h", "rep"), "edit-components").withColumnRenamed("node", "h")
+    links = banded_links(shared, check, marks=fps.select("h", "mark"), near=near)
+    reached = materialise(components(links, "h", "rep"), "edit-components").withColumnRenamed("node", "h")
     keyed = marked.groupBy("k", "own", "h").agg(F.lit(1).alias("_")).drop("_")
     rooted = keyed.join(small(reached, 32), "h", "left").select("k", "own", F.coalesce("root", "h").alias("root"))
     rooted = materialise(rooted, "edit-rooted")
     ids = materialise(rooted.groupBy("root").agg(F.min("k").alias("component_id")), "edit-classes")
-    return rooted.join(small(ids, 32), "root").select(F.col("k").alias(key), "own", "component_id")
+    return rooted.join(small(ids, 32), "root").select("k", "own", "component_id")
 
 
 def embed_and_link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The columns of ``embed_neighbours`` without ``own``, and ``component_id`` of ``near_duplicates``, one row per row of ``docs``."""
-    classes = materialise(near_duplicates(docs, key, text), "edit-ids").select(F.col(key).alias("_k"), F.col("own").alias("_own"), "component_id")
-    rows = embed_neighbours(docs, key, text)
+    rows = materialise(embed_neighbours(docs, key, text), "edit-neighbours", "zstd")
+    classes = materialise(_classes(rows.select(F.col(key).alias("k"), "own", F.col("fingerprint").alias("fp")), 0.8), "edit-ids")
+    classes = classes.select(F.col("k").alias("_k"), F.col("own").alias("_own"), "component_id")
     same = F.col(key).eqNullSafe(F.col("_k")) & (F.col("own") == F.col("_own"))
     return rows.join(small(classes, 48), same, "left").drop("_k", "_own", "own")

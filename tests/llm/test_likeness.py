@@ -372,3 +372,21 @@ def test_lines_just_under_the_bound_are_told_without_their_texts(spark, monkeypa
     got = {r["id"] for r in line_dedup.doubles(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == _dropped_by_all_pairs(rows) and len(got) > 90
     assert sum(compared[1:]) < 5 * len(rows)  # after the least line of each band
+
+
+def test_screens_lose_no_near_pair(spark):
+    """Marks of lines and of fingerprints pass every pair at the bound or above, and few well below."""
+    draw = random.Random(21)
+    lines = [_random_line(draw, n) for n in (16, 20, 30, 60, 200, 1000, 3000) for _ in range(12)] + ["ab" * 40, "abc" * 30, "a" * 50]
+    pairs = [(x, y) for x in lines for y in (x, x[: len(x) * 9 // 10], x[: len(x) * 7 // 10], x + x[: len(x) // 5], "é" + x[1:-1], x[:-1] + "zz", lines[0])]
+    pairs = [(a, b) for a, b in pairs if min(len(a), len(b)) >= 5]
+    rows = [(line_dedup.parities(a), line_dedup.parities(b), _jaccard(a, b)) for a, b in pairs]
+    got = spark.createDataFrame(rows, "a array<long>, b array<long>, j double").select("j", line_dedup._may_be_near("a", "b").alias("near")).collect()
+    assert all(r["near"] for r in got if r["j"] >= line_dedup.LEAST) and sum(r["near"] for r in got if r["j"] < 0.6) == 0 < sum(r["j"] >= 0.8 for r in got)
+    texts = ["", "x", *[_random_line(draw, n) for n in (9, 30, 60, 130, 500, 2000, 2100, 9000) for _ in range(8)]]
+    pairs = [(x, y) for x in texts for y in [*[x[: int(len(x) * f)] + "qq" + x[int(len(x) * g) :] for f, g in ((0, 0.02), (0.1, 0.3), (0.5, 0.5), (0.5, 0.55), (0.8, 0.83), (0.99, 1))], x, x[: len(x) * 9 // 10], texts[40]]]
+    fps = [(edit_embedding.fingerprint(a), edit_embedding.fingerprint(b)) for a, b in pairs]
+    rows = [(edit_embedding.mark(a), edit_embedding.mark(b), edit_embedding.likeness(a, b)) for a, b in fps]
+    got = spark.createDataFrame(rows, "a array<long>, b array<long>, j double").select("j", edit_embedding._may_be_near("a", "b", 0.8).alias("near")).collect()
+    assert all(r["near"] for r in got if r["j"] >= 0.8) and sum(r["j"] >= 0.8 for r in got) > 50
+    assert sum(r["near"] for r in got if r["j"] < 0.5) <= 0.2 * sum(r["j"] < 0.5 for r in got)
