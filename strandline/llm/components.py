@@ -52,6 +52,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 #: Leaders of a band in the first round, and how many times as many each round after it has.
 LEADERS = 8
 GROWTH = 64
+#: What a row with a mark takes on the driver while it is broadcast: some 170 bytes, collected, packed and built into a table.
+MARK_BYTES = 800
 
 
 def _merged(rows: DataFrame, found: DataFrame) -> DataFrame:
@@ -85,7 +87,12 @@ def banded_links(members: DataFrame, check: Callable[[DataFrame], DataFrame], mo
         near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= most_off
         heads = materialise(shared.where("h = rep").select("rep", F.col("sketch").alias("_mark")).distinct(), "band-heads")
         pairs = pairs.join(small(heads, 32), "rep").where(near("sketch", "_mark"))
-    links = check(materialise(pairs.select("h", "rep").distinct(), "band-pairs"))
+    pairs = materialise(pairs.select("h", "rep").distinct(), "band-pairs")
+    if marks is not None:
+        held = small(marks, MARK_BYTES)
+        pairs = pairs.join(held, "h").join(held.select(F.col("h").alias("rep"), F.col("mark").alias("_mark")), "rep").where(near("mark", "_mark"))
+        pairs = materialise(pairs.select("h", "rep"), "band-near-pairs")
+    links = check(pairs)
 
     # the least member has met all others
     roots = materialise(components(links, "h", "rep").select(F.col("node").alias("h"), "root"), "band-roots")
@@ -100,11 +107,11 @@ def banded_links(members: DataFrame, check: Callable[[DataFrame], DataFrame], mo
             return links
         rows = rows.select(*own, "root").join(small(wide, 32), "band")
         rows = materialise(rows.withColumn("turn", (F.xxhash64(F.lit(1), "h") / 2.0**64 + 0.5) * F.col("n")), "open-members")
-        marked = rows.withColumnRenamed("sketch", "mark") if marks is None else rows.join(small(marks, 160), "h")
+        marked = rows.withColumnRenamed("sketch", "mark") if marks is None else rows.join(held, "h")
         lead = marked.where((F.col("turn") >= low) & (F.col("turn") < high))
         lead = lead.select("band", F.col("h").alias("rep"), F.col("mark").alias("_mark"), F.col("root").alias("_root"), F.col("turn").alias("_turn"))
         behind = (F.struct("_turn", "rep") < F.struct("turn", "h")) & (F.col("root") != F.col("_root")) & near("mark", "_mark")
-        pairs = marked.join(small(materialise(lead, "band-leaders"), 56 if marks is None else 200), "band").where(behind)
+        pairs = marked.join(small(materialise(lead, "band-leaders"), 56 if marks is None else MARK_BYTES), "band").where(behind)
         pairs = pairs.select(*[f("h", "rep").alias(n) for f, n in ((F.greatest, "h"), (F.least, "rep"))], "root", "_root").dropDuplicates(["h", "rep"])
         pairs = materialise(pairs, "band-crossing")
         rows = rows.where(F.col("n") >= high)

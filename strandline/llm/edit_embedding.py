@@ -254,8 +254,9 @@ def _classes(marked: DataFrame, least: float) -> DataFrame:
         return _may_be_near(a, b, least)
 
     def check(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(fps.select("h", F.col("fp").alias("fp_a"), F.col("mark").alias("_a")), "h")
-        both = both.join(fps.select(F.col("h").alias("rep"), F.col("fp").alias("fp_b"), F.col("mark").alias("_b")), "rep").where(near("_a", "_b"))
+        wanted = materialise(pairs.select(F.explode(F.array("h", "rep")).alias("h")).distinct(), "edit-pair-members")
+        few = fps.join(small(wanted, 24), "h", "left_semi").select("h", "fp")
+        both = pairs.join(few, "h").withColumnRenamed("fp", "fp_a").join(few.select(F.col("h").alias("rep"), F.col("fp").alias("fp_b")), "rep")
         return materialise(both.where(alike("fp_a", "fp_b") >= least).select("h", "rep"), "edit-links")
 
     links = banded_links(shared, check, marks=fps.select("h", "mark"), near=near)

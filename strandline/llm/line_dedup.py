@@ -194,8 +194,9 @@ def _checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             out.append(_overlap(_runs_of(x), held))
         return pd.Series(out, dtype=float)
 
-    both = pairs.join(texts.select("h", F.col("line").alias("line_a"), F.col("mark").alias("_a")), "h")
-    both = both.join(texts.select(F.col("h").alias("rep"), F.col("line").alias("line_b"), F.col("mark").alias("_b")), "rep").where(_may_be_near("_a", "_b"))
+    wanted = materialise(pairs.select(F.explode(F.array("h", "rep")).alias("h")).distinct(), "line-pair-members")
+    few = texts.join(small(wanted, 24), "h", "left_semi").select("h", "line")
+    both = pairs.join(few, "h").withColumnRenamed("line", "line_a").join(few.select(F.col("h").alias("rep"), F.col("line").alias("line_b")), "rep")
     return materialise(both.where(likeness("line_a", "line_b") >= LEAST).select("h", "rep"), "line-links")
 
 
