@@ -5,6 +5,9 @@ from __future__ import annotations
 import atexit
 import shutil
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,6 +18,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 _own_dirs: dict[str, str] = {}
 #: Names of bucketed tables by their folder's name.
 _tables: dict[str, str] = {}
+#: Tables written since the innermost ``scratch`` began.
+_written: ContextVar[list[DataFrame] | None] = ContextVar("written", default=None)
+#: With this setting Spark removes the shuffle files of a query when it ends, not when the driver happens to collect its garbage.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,19 +49,61 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def materialise(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
-    """Writes ``df`` to a Parquet table in the shared folder and reads it back: lineage ends there."""
+    """Writes ``df`` to a Parquet table in the shared folder and reads it back: lineage ends there, and the shuffle files it took go."""
     path = fresh_path(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    with _clean_shuffles(df.sparkSession):
+        df.write.option("compression", codec).parquet(path)
+    return _noted(df.sparkSession.read.schema(df.schema).parquet(path))
+
+
+@contextmanager
+def _clean_shuffles(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEAN)
+        else:
+            spark.conf.set(_CLEAN, before)
+
+
+def _noted(table: DataFrame) -> DataFrame:
+    if (written := _written.get()) is not None:
+        written.append(table)
+    return table
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Removes the tables written within it at its end, but for those given to the function it yields; these are then the outer one's."""
+    outer, inner, kept = _written.get(), [], []
+    mark = _written.set(inner)
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.append(table)
+        return table
+
+    try:
+        yield keep
+    finally:
+        _written.reset(mark)
+        for table in inner:
+            if not any(table is k for k in kept):
+                release(table)
+            elif outer is not None:
+                outer.append(table)
 
 
 def bucketed(df: DataFrame, name: str, column: str) -> DataFrame:
     """Like ``materialise``, as a table in as many buckets of ``column`` as there are shuffle partitions: joins on it move the other side alone."""
     spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
     table = f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
-    df.write.format("parquet").option("compression", "zstd").bucketBy(shuffle_partitions(spark), column).option("path", path).saveAsTable(table)
+    with _clean_shuffles(spark):
+        df.write.format("parquet").option("compression", "zstd").bucketBy(shuffle_partitions(spark), column).option("path", path).saveAsTable(table)
     _tables[path.rsplit("/", 1)[1]] = table
-    return spark.table(table)
+    return _noted(spark.table(table))
 
 
 def sheltered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:

@@ -2,8 +2,8 @@
 
 Every node points at the least node it has seen. A round points all neighbours of a node at the least
 one among them (large star, then small star), which keeps components together and shortens
-paths, until nothing changes. Each round is a checkpoint, so lineage stays short and lies in the
-folder all executors share. Stars aggregate on the driver nothing but a count.
+paths, until nothing changes. Each round is written in the folder all executors share, so lineage stays
+short, and the round before it goes. Stars aggregate on the driver nothing but a count.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import materialise, shared_dir, small
+from strandline.llm.common import materialise, release, scratch, small
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -35,12 +35,12 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Links may repeat, go either way and loop; null ends are left out. Any type that can be ordered will do.
     """
-    shared_dir(links.sparkSession)
     links = links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
-    links = links.where("a is not null and b is not null and a > b").distinct().checkpoint()
+    links = materialise(links.where("a is not null and b is not null and a > b").distinct(), "links")
     state = None
     while True:
-        links = _star(_star(links, large=True), large=False).checkpoint()
+        before, links = links, materialise(_star(_star(links, large=True), large=False), "stars")
+        release(before)
         now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(now) == state:
             return links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
@@ -52,8 +52,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 #: Leaders of a band in the first round, and how many times as many each round after it has.
 LEADERS = 8
 GROWTH = 64
-#: What a row with a mark takes on the driver while it is broadcast: some 170 bytes, collected, packed and built into a table.
-MARK_BYTES = 800
+#: What a row with a mark takes on the driver while it is broadcast: some 270 bytes, collected, packed and built into a table.
+MARK_BYTES = 1200
 
 
 def _merged(rows: DataFrame, found: DataFrame) -> DataFrame:
@@ -78,9 +78,14 @@ def banded_links(members: DataFrame, check: Callable[[DataFrame], DataFrame], mo
     Each member is checked against the band's least one, found by partial aggregation and a join that Spark may split. Where members
     are then in more than one component, every other pair of the band is looked at, in rounds: its leaders, ``LEADERS`` by a hash, then ``GROWTH``
     times as many, and so on to the last member, meet the members behind them that are in another component. Bands that have become
-    one component, and those whose members have all led, are done. So no link is lost, whatever a band holds, and members that
-    one leader connects are not paired with each other. ``check`` gets pairs ``h``, ``rep`` and returns those that are near.
+    one component, and those whose members have all led, are done; of bands with the same members one is looked at. So no link is lost,
+    whatever a band holds, and members that one leader connects are not paired with each other. Tables of the rounds go when the links are written. ``check`` gets pairs ``h``, ``rep`` and returns those that are near.
     """
+    with scratch() as keep:
+        return keep(materialise(_banded(members, check, most_off, marks, near), "banded-links"))
+
+
+def _banded(members: DataFrame, check: Callable[[DataFrame], DataFrame], most_off: int, marks: DataFrame | None, near: Callable[[str, str], Column] | None) -> DataFrame:
     shared = members if "rep" in members.columns else in_shared_bands(members)
     pairs = shared.where("h != rep")
     if marks is None:
@@ -101,7 +106,9 @@ def banded_links(members: DataFrame, check: Callable[[DataFrame], DataFrame], mo
     rows = materialise(rows, "band-members")
     size, low, high = F.count("*"), 0, LEADERS
     while True:
-        wide = rows.groupBy("band").agg(size.alias("n"), F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("band", "n")
+        same = [F.bit_xor(F.xxhash64(F.lit(i), "h")).alias(f"s{i}") for i in (2, 3)]
+        wide = rows.groupBy("band").agg(size.alias("n"), F.min("root").alias("a"), F.max("root").alias("b"), *same).where("a != b")
+        wide = wide.groupBy("n", "a", "b", "s2", "s3").agg(F.min("band").alias("band")).select("band", "n")
         wide = materialise(wide, "open-bands")
         if wide.isEmpty():
             return links

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import BROADCAST_BYTES, materialise, sheltered, small
+from strandline.llm.common import BROADCAST_BYTES, materialise, release, scratch, sheltered, small
 from strandline.llm.components import banded_links, components, in_shared_bands
 
 MIN_CHARS = 16
@@ -194,10 +194,11 @@ def _checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             out.append(_overlap(_runs_of(x), held))
         return pd.Series(out, dtype=float)
 
-    wanted = materialise(pairs.select(F.explode(F.array("h", "rep")).alias("h")).distinct(), "line-pair-members")
-    few = texts.join(small(wanted, 24), "h", "left_semi").select("h", "line")
-    both = pairs.join(few, "h").withColumnRenamed("line", "line_a").join(few.select(F.col("h").alias("rep"), F.col("line").alias("line_b")), "rep")
-    return materialise(both.where(likeness("line_a", "line_b") >= LEAST).select("h", "rep"), "line-links")
+    with scratch() as keep:
+        wanted = materialise(pairs.select(F.explode(F.array("h", "rep")).alias("h")).distinct(), "line-pair-members")
+        few = texts.join(small(wanted, 24), "h", "left_semi").select("h", "line")
+        both = pairs.join(few, "h").withColumnRenamed("line", "line_a").join(few.select(F.col("h").alias("rep"), F.col("line").alias("line_b")), "rep")
+        return keep(materialise(both.where(likeness("line_a", "line_b") >= LEAST).select("h", "rep"), "line-links"))
 
 
 def _texts(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
@@ -214,15 +215,16 @@ def _texts(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame
 
 def doubles(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``id``, ``own`` and ``drop``: per key (null as the largest number) and hash of a text the places of lines that stand elsewhere."""
+    with scratch() as keep:
+        signed = materialise(_bands(_long(_lines(docs, key, text))), "line-signatures")
+        shared = in_shared_bands(signed.select("h", F.explode("bands").alias("band")))
+        release(signed)
+        texts = _texts(docs, key, text, materialise(shared.select("h").distinct(), "line-wanted"))
+        links = banded_links(shared, lambda pairs: _checked(pairs, texts), marks=texts.select("h", "mark"), near=_may_be_near)
+        reached = keep(materialise(components(links, "h", "rep").withColumnRenamed("node", "h"), "line-roots"))
     marked = materialise(_lines(docs, key, text).drop("line"), "line-places")
     distinct = materialise(marked.groupBy("h", "g").agg(F.min(_loc()).alias("loc"), F.count("*").alias("n")), "lines")
 
-    signed = materialise(_bands(_long(_lines(docs, key, text))), "line-signatures")
-    shared = in_shared_bands(signed.select("h", F.explode("bands").alias("band")))
-    texts = _texts(docs, key, text, materialise(shared.select("h").distinct(), "line-wanted"))
-    links = banded_links(shared, lambda pairs: _checked(pairs, texts), marks=texts.select("h", "mark"), near=_may_be_near)
-    reached = components(links, "h", "rep").withColumnRenamed("node", "h")
-
     # the first place of each class of lines; lines that stand alone have no need of one
     linked = distinct.select("h", "g", "loc", "n").join(reached, "h", "left")
     firsts = materialise(linked.where("root is not null").groupBy("root").agg(F.min("loc").alias("first")), "line-firsts")
@@ -235,7 +237,8 @@ def doubles(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the lines that stand elsewhere, with n_lines and kept_lines."""
-    gone = materialise(doubles(docs, key, text), "line-drops")
+    with scratch() as keep:
+        gone = keep(materialise(doubles(docs, key, text), "line-drops"))
     size = gone.agg(F.coalesce(F.sum(F.size("drop") * 4 + 72), F.lit(0))).first()[0]
     gone = gone.withColumnRenamed("id", "_id").withColumnRenamed("own", "_own").withColumnRenamed("drop", "_drop")
     gone = F.broadcast(gone) if size <= BROADCAST_BYTES else gone
