@@ -390,3 +390,56 @@ def test_screens_lose_no_near_pair(spark):
     got = spark.createDataFrame(rows, "a array<long>, b array<long>, j double").select("j", edit_embedding._may_be_near("a", "b", 0.8).alias("near")).collect()
     assert all(r["near"] for r in got if r["j"] >= 0.8) and sum(r["j"] >= 0.8 for r in got) > 50
     assert sum(r["near"] for r in got if r["j"] < 0.5) <= 0.2 * sum(r["j"] < 0.5 for r in got)
+
+
+def test_marks_tell_all_fingerprints_just_under_the_bound(spark):
+    """Marks hold all ranges, so pairs that differ in their first ranges too are told."""
+    draw, fps = random.Random(22), []
+    for _ in range(40):
+        text = _random_line(draw, 4000)
+        for _ in range(8):
+            other = "".join(draw.choice("abcdefgh") for _ in range(300)) + text[300:] if draw.random() < 0.7 else text
+            at = draw.randrange(2500)
+            fps.append((edit_embedding.fingerprint(text), edit_embedding.fingerprint(other[:at] + _random_line(draw, 800) + other[at + draw.randrange(780, 821) :])))
+    rows = [(edit_embedding.mark(a), edit_embedding.mark(b), edit_embedding.likeness(a, b)) for a, b in fps]
+    got = spark.createDataFrame(rows, "a array<long>, b array<long>, j double").select("j", edit_embedding._may_be_near("a", "b", 0.8).alias("near")).collect()
+    assert all(r["near"] for r in got if r["j"] >= 0.8)
+    assert sum(r["near"] for r in got if r["j"] < 0.798) <= 0.02 * len(got) and sum(0.7 < r["j"] < 0.8 for r in got) > 20
+
+
+def test_bands_of_fingerprints():
+    """Bands are those of the samples, alike for near fingerprints and seldom for strangers."""
+    draw = random.Random(23)
+    lines = [_random_line(draw, n) for n in (30, 90, 400, 900, 3000) for _ in range(60)]
+    fps = ["", *map(edit_embedding.fingerprint, lines)]
+    found = edit_embedding.bands(fps)
+    for fp, row in zip(fps, found.tolist(), strict=True):
+        want = []
+        for back in (0, 1):
+            span = max(0, max(2, len(fp) // 64) - 2 - back)
+            part = fp[64 * span : 64 * span + 64].ljust(64, "-")
+            for i, places in enumerate(edit_embedding._SAMPLED.tolist()):
+                made = 64 * i + span
+                for p in places:
+                    made = made << 5 | (16 if part[p] == "-" else int(part[p], 16))
+                want.append(made)
+        assert row == want
+    sets = [set(r) for r in found.tolist()]
+    assert sum(bool(sets[i] & sets[j]) for i in range(241, 301) for j in range(241, i)) <= 0.01 * 60 * 59 / 2
+
+
+def test_tables_of_the_rounds_go(spark, corpus, tmp_path):
+    """What links and lines took is gone once the result is written; what the result reads stays."""
+    import os
+
+    from strandline.llm.common import materialise, scratch, shared_dir
+
+    at = shared_dir(spark).split(":", 1)[-1]
+    before = set(os.listdir(at))
+    rows = edit_embedding.embed_and_link(corpus).count(), line_dedup.dedup_lines(corpus).count()
+    assert rows == (corpus.count(),) * 2
+    left = sorted(x.rsplit("-", 1)[0] for x in set(os.listdir(at)) - before)
+    assert left == ["edit-ids", "edit-neighbours", "line-drops"]
+    with scratch() as keep:
+        a, b = keep(materialise(spark.range(3), "kept")), materialise(spark.range(4), "gone")
+    assert a.count() == 3 and [x for x in set(os.listdir(at)) - before if x.startswith("gone")] == [] and b is not None
