@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import BROADCAST_BYTES, bucketed, materialise, numbered, release, shuffle_partitions, small, totals_before, whole_text
+from strandline.llm.common import BROADCAST_BYTES, bucketed, materialise, numbered, release, scratch, shuffle_partitions, small, totals_before, whole_text
 
 LONGEST = 4
 LEAST_COUNT = 30
@@ -295,12 +295,12 @@ def frequent_phrases(docs: DataFrame, lang: str = "lang", text: str = "text", lo
         modulus = base * (max(base, phrases.count()) + 1)
         if modulus >= 1 << 62:
             raise ValueError("phrase numbers times word numbers pass 62 bits; raise the least count")
-        found = materialise(_count(level, base, ranges, modulus, least), f"phrase-counts-{k}")
-        firsts = materialise(found.where("block is null").select("range", (F.octet_length("keys") / 8).cast("long").alias("_n")), f"phrase-ranges-{k}")
+        counted = materialise(_count(level, base, ranges, modulus, least), f"phrase-counts-{k}")
+        firsts = materialise(counted.where("block is null").select("range", (F.octet_length("keys") / 8).cast("long").alias("_n")), f"phrase-ranges-{k}")
         if firsts.isEmpty():
             break
         firsts = materialise(totals_before(firsts, "range", "_n", "first").drop("_n"), f"phrase-firsts-{k}")
-        found = found.join(small(firsts, 16), "range")
+        found = counted.join(small(firsts, 16), "range")
         entries = materialise(_entries(found, base), f"phrase-entries-{k}")
         shorter = known.select(F.col("id").alias("parent"), "lang", F.col("phrase").alias("_lead"))
         known = entries.join(small(shorter, 96), "parent").join(spelled, "word")
@@ -310,6 +310,7 @@ def frequent_phrases(docs: DataFrame, lang: str = "lang", text: str = "text", lo
             after = bucketed(_next_level(level, found, base, ranges, modulus), f"phrase-level-{k}", "block")
             release(level)
             level = after
+        release(counted)
     return phrases.drop("id"), n
 
 
@@ -318,7 +319,11 @@ def collocations(docs: DataFrame, lang: str = "lang", text: str = "text", longes
 
     A cut after the first words scores ``floor(SCALE * a / (l + r))`` in exact decimals; the lowest cut counts, ties go to the shortest first part.
     """
-    phrases, n = frequent_phrases(docs, lang, text, longest, least, block)
+    with scratch() as keep:
+        return keep(materialise(_scored(*frequent_phrases(docs, lang, text, longest, least, block), longest, top, inside), "phrases-best"))
+
+
+def _scored(phrases: DataFrame, n: DataFrame, longest: int, top: int, inside: int) -> DataFrame:
     w = F.split("phrase", " ")
     longer = phrases.where("k >= 2").select("lang", "phrase", "k", F.col("f").alias("a"), w.alias("w"))
     part = lambda start, size: F.array_join(F.slice("w", start, size), " ")
