@@ -2,7 +2,7 @@
 
 Toxic documents go; repeated lines go; of near-duplicate documents one stays; sources are mixed to
 their target weights, documents repeated as often as they are taken; what is left is packed into
-training sequences. Every stage is written as Parquet in the shared folder and read back.
+training sequences. Every stage is written as Parquet in the shared folder and read back; what it took, and the table before it, go then.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm import line_dedup, mixing, packing, simhash, toxicity
-from strandline.llm.common import materialise, sheltered
+from strandline.llm.common import materialise, release, scratch, sheltered
 
 
 def _named(rows: DataFrame, names: dict[str, str]) -> DataFrame:
@@ -60,7 +60,11 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = given = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        before = docs
+        with scratch() as keep:
+            docs = keep(materialise(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}"))
+        if before is not given:
+            release(before)
     return STAGES[-1][1](spark, docs, sf_dir)
